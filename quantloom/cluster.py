@@ -43,6 +43,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def prepare(spark: SparkSession, rows_per_batch: int = 500) -> None:
+    """Before Arrow work on texts: this package on the workers, and batches small enough for very long texts."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows_per_batch:
+        spark.conf.set(key, str(rows_per_batch))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle of the session's usual width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
