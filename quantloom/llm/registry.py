@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir
+from .bpe import bpe_decode, bpe_encode
+from .line_dedup import drop_boilerplate_lines
 from .near_dedup import near_duplicates
+from .sharding import shard_of, shuffled_shards
+from .token_store import read_documents, write_tokens
+from .url_filter import host_and_path, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +26,70 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_directly_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all token ids as directly addressable codes and read every document back from the files."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_external_shuffle_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffle all documents into eight shards chosen by doc_id."""
+    shards, seed = 8, 17
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shuffled_shards(table(spark, sf_dir, "documents"), shards, seed).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
+    )
+
+
+def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; digests of ids and decoded text."""
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe_decode(encoded, tokenizer_path()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are boilerplate of their source."""
+    cleaned = drop_boilerplate_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "source", "text", "dropped_lines")
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page url; a page's outcome is the quality label of the document that its path numbers."""
+    pages = table(spark, sf_dir, "pages")
+    judged = judge_urls(pages.select("page_id", "url"), page_outcomes(pages, table(spark, sf_dir, "labels")))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, bad) of the labelled pages."""
+    host, path = host_and_path(F.col("__url"))
+    numbered = pages.withColumn("__url", F.col("url")).select(host.alias("host"), F.regexp_extract(path, r"^/[^/]*/(\d{1,18})", 1).alias("number"))
+    numbered = numbered.where(F.col("number") != "").select("host", F.col("number").cast("long").alias("doc_id"))
+    return numbered.join(labels.select("doc_id", "quality"), "doc_id").select("host", (1 - F.col("quality")).alias("bad"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_directly_addressable_tokens": op4_directly_addressable_tokens,
+    "op5_external_shuffle_sharding": op5_external_shuffle_sharding,
+    "op7_segment_tree_bpe": op7_segment_tree_bpe,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_url_reputation": op9_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
