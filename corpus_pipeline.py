@@ -1,4 +1,64 @@
-STAGES = []
+"""A training corpus from raw documents: quality, boilerplate lines, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.cluster import materialize
+from quantloom.llm.line_dedup import drop_boilerplate_lines
+from quantloom.llm.near_dedup import near_duplicates
+from quantloom.llm.packing import pack
+from quantloom.llm.quality import importance_resample
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return importance_resample(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines; those with nothing left go."""
+    cleaned = drop_boilerplate_lines(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("dropped_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    emptied = (F.col("dropped_lines") > 0) & (F.trim("text") == "")
+    return cleaned.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # rows that share the least id of their group: one of them stays
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words: a row for each piece of a document."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicate), ("best-fit packing", packing)]
+
+#: Hashed n-gram models, sketches and best-fit search are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_dir
 from .bpe import bpe_decode, bpe_encode
+from .embedding_dedup import embedding_near_duplicates
 from .line_dedup import drop_boilerplate_lines
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality import importance_resample
 from .sharding import shard_of, shuffled_shards
+from .syncmers import as_text, edited, likeness, sketch, with_next
 from .token_store import read_documents, write_tokens
 from .url_filter import host_and_path, judge_urls
 
@@ -20,12 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into bins of 2048 words."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 85 % or more over three-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more between all vectors."""
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -54,6 +68,22 @@ def op5_external_shuffle_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    pairs = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pairs = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    pairs = pairs.withColumn("edited_sketch", sketch(F.col("edited")))
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded text."""
     encoded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -75,6 +105,12 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the quality classifier keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).select("doc_id", "log_weight", "kept")
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, bad) of the labelled pages."""
     host, path = host_and_path(F.col("__url"))
@@ -84,12 +120,16 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_directly_addressable_tokens": op4_directly_addressable_tokens,
     "op5_external_shuffle_sharding": op5_external_shuffle_sharding,
+    "op6_closed_syncmers": op6_closed_syncmers,
     "op7_segment_tree_bpe": op7_segment_tree_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_reputation": op9_url_reputation,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {}
