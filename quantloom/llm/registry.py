@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import shared_dir
+from . import oracles
 from .bpe import bpe_decode, bpe_encode
 from .embedding_dedup import embedding_near_duplicates
 from .line_dedup import drop_boilerplate_lines
@@ -132,4 +133,10 @@ QUERIES = {
     "op10_importance_resampling": op10_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash, tokenize or search in ways that SQL cannot express; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.OP2,
+    "op3_embedding_near_dedup": oracles.OP3,
+    "op8_line_dedup": oracles.OP8,
+    "op9_url_reputation": oracles.OP9,
+}
