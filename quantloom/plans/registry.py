@@ -1,4 +1,6 @@
 """Every query of the library by name, with its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import tick_queries  # noqa: F401
+from .common import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
