@@ -6,15 +6,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import materialize, prepare
 from .components import connected_components
-from .shingles import Shingler, Sketcher, banding, digest
+from .shingles import Shingler, Sketcher, banding, digest, odd_sketch
 
 BINS = 252
-FEATURES = "row_key long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+FEATURES = "row_key long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>, odd array<long>"
 SETS = "digest binary, shingles array<long>"
 
 
@@ -22,7 +22,7 @@ def _features(words: int, bands: int, rows: int):
     def run(batches):
         shingler, sketcher = Shingler(words), Sketcher(BINS, rows)
         for batch in batches:
-            out = {name: [] for name in ("n_shingles", "digest", "bands", "bits")}
+            out = {name: [] for name in ("n_shingles", "digest", "bands", "bits", "odd")}
             for text in batch.column("text"):
                 shingles = shingler(text.as_py())
                 out["n_shingles"].append(len(shingles))
@@ -31,8 +31,9 @@ def _features(words: int, bands: int, rows: int):
                     out["digest"].append(digest(shingles))
                     out["bands"].append(sketcher.bands(signature)[:bands])
                     out["bits"].append(sketcher.bits(signature))
+                    out["odd"].append(odd_sketch(shingles))
                 else:
-                    for name in ("digest", "bands", "bits"):
+                    for name in ("digest", "bands", "bits", "odd"):
                         out[name].append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -43,8 +44,9 @@ def _features(words: int, bands: int, rows: int):
                     pa.array(out["digest"], pa.binary()),
                     pa.array(out["bands"], longs),
                     pa.array(out["bits"], longs),
+                    pa.array(out["odd"], longs),
                 ],
-                names=["row_key", "doc_id", "n_shingles", "digest", "bands", "bits"],
+                names=["row_key", "doc_id", "n_shingles", "digest", "bands", "bits", "odd"],
             )
 
     return run
@@ -79,7 +81,6 @@ def near_duplicates(
     threshold: tuple[int, int] = (4, 5),
     id_col: str = "doc_id",
     text_col: str = "text",
-    stars: int = 4,
 ) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``threshold`` (a fraction) or more.
 
@@ -88,10 +89,11 @@ def near_duplicates(
     1. One pass over the texts gives each row its set's digest, size, banded bucket keys and a bit sketch.
        Rows with one digest are one class, so copies are never paired.
     2. In each bucket of two or more classes one class is the centre; only (centre, member) pairs are candidates.
-    3. Candidates that sizes or bit sketches do not rule out are confirmed on the full sets; links form components.
-    4. Buckets whose members lie in different components get further centres, twice as many each round, taken
-       from the smallest components first, each tested against the members of other components, until no bucket
-       has an untested pair across components: links that the first stars miss are found here.
+    3. Candidates that sizes or sketches do not rule out are confirmed on the full sets; links form components.
+    4. Where a bucket's members still lie in different components, those outside its largest component are compared
+       with its members of other components, by size and sketch within the join, and what is left is confirmed: so
+       links between members of a bucket that its centre does not reach are found too. A group that the stars
+       joined is not paired any more.
 
     Null and blank texts have no shingles and stay alone. Equal rows get equal results. A null id counts as larger
     than any other: such a row is kept (as null) only if its component has no other id. An empty table gives an
@@ -105,7 +107,7 @@ def near_duplicates(
     features = materialize(
         docs.select("row_key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_features(words, bands, rows), FEATURES), "features"
     )
-    links = materialize(_links(docs, features, words, threshold, stars), "links")
+    links = _links(docs, features, words, threshold)
     labels = connected_components(links)
     classes = features.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -117,27 +119,35 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
 
 
+def _differing(name: str, words: int):
+    """Bits in which the sketches ``a_name`` and ``b_name`` differ."""
+    return sum((F.bit_count(F.get(f"a_{name}", F.lit(i)).bitwiseXOR(F.get(f"b_{name}", F.lit(i)))) for i in range(words)), F.lit(0))
+
+
 def _plausible(threshold: tuple[int, int], slack: float = 5.5):
-    """True unless sizes or bit sketches rule out that the pair reaches the threshold.
+    """True unless sizes or sketches rule out that the pair reaches the threshold t.
 
-    Two sets at the threshold differ in a bit with probability (1 - t) / 2; the allowance is that mean plus
-    ``slack`` standard deviations of as many independent bins as the smaller set can fill.
+    Sets at t differ in at most (1 - t) / (1 + t) of their sizes' sum, and in no more bits of their odd sketches.
+    Their MinHash bits differ with probability (1 - t) / 2 each; the allowance is that mean plus ``slack`` standard
+    deviations of as many independent bins as the smaller set can fill.
     """
     num, den = threshold
     p = (1 - num / den) / 2
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    apart = sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(math.ceil(BINS / 64))), F.lit(0))
     filled = F.least(small, F.lit(BINS)).cast("double")
-    return (small * den >= large * num) & (apart <= BINS * p + slack * BINS * math.sqrt(p * (1 - p)) / F.sqrt(filled))
+    return (
+        (small * den >= large * num)
+        & (_differing("odd", 4) * (den + num) <= (den - num) * (F.col("a_n") + F.col("b_n")))
+        & (_differing("bits", math.ceil(BINS / 64)) <= BINS * p + slack * BINS * math.sqrt(p * (1 - p)) / F.sqrt(filled))
+    )
 
 
-def _links(docs: DataFrame, features: DataFrame, words: int, threshold: tuple[int, int], stars: int) -> DataFrame:
+def _links(docs: DataFrame, features: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) between digests."""
-    spark = docs.sparkSession
     representative = (
         features.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min(F.struct("row_key", F.col("n_shingles").alias("n"), "bits", "bands")).alias("r"))
+        .agg(F.min(F.struct("row_key", F.col("n_shingles").alias("n"), "bits", "odd", "bands")).alias("r"))
         .select("digest", "r.*")
     )
     representative = materialize(representative, "representatives")
@@ -148,38 +158,32 @@ def _links(docs: DataFrame, features: DataFrame, words: int, threshold: tuple[in
     candidates = representative.join(members.select("digest").distinct(), "digest", "left_semi").select("row_key")
     texts = docs.join(candidates, "row_key", "left_semi").select(F.col("text").cast("binary").alias("text"))
     sets = materialize(texts.mapInArrow(_sets(words), SETS).dropDuplicates(["digest"]), "sets")
-    sketches = representative.select("digest", "n", "bits")
+    sketches = representative.select("digest", "n", "bits", "odd")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(c).alias(name if c == "digest" else c if c == "key" else f"{name}_{c}") for c in rows.columns))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that are links."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(sketches.select(*(F.col(c).alias(f"{side}_{c}" if c != "digest" else side) for c in sketches.columns)), side)
-        pairs = pairs.where(_plausible(threshold)).select("a", "b")
-        for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("digest").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-        pairs = pairs.withColumn("common", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
-        union = F.size("a_set") + F.size("b_set") - F.col("common")
+        """The (a, b) of plausible ``pairs`` that are links."""
+        for name in ("a", "b"):
+            pairs = pairs.join(side(name, sets), name)
+        pairs = pairs.withColumn("common", F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long"))
+        union = F.size("a_shingles") + F.size("b_shingles") - F.col("common")
         return pairs.where(threshold[1] * F.col("common") >= threshold[0] * union).select("a", "b")
 
-    links = materialize(confirm(members.where("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b"))), "links")
-    tested = members.select("key", F.col("centre").alias("digest")).distinct()
-    while True:
-        labels = connected_components(links)
-        still = members.select("key", "digest").join(tested, ["key", "digest"], "left_anti").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-        still = still.withColumn("label", F.coalesce("label", "digest"))
-        # once the untested members of a bucket share one component, every pair across components has a tested end
-        split = still.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        still = materialize(still.join(split, "key", "left_semi"), "untested")
-        if still.isEmpty():
-            return links
-        size = still.groupBy("key", "label").agg(F.count("*").alias("size"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "label", "digest"))
-        centres = still.join(size, ["key", "label"]).withColumn("rank", rank).where(F.col("rank") <= stars)
-        centres = materialize(centres.select("key", "digest", "label"), "centres")
-        everyone = members.select("key", "digest").join(split, "key", "left_semi").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-        everyone = everyone.select("key", F.col("digest").alias("b"), F.coalesce("label", "digest").alias("b_label"))
-        pairs = centres.select("key", F.col("digest").alias("a"), "label").join(everyone, "key").where("label != b_label").select("a", "b")
-        links = materialize(links.union(confirm(pairs)), "links")
-        tested = materialize(tested.union(centres.select("key", "digest")), "tested")
-        stars *= 4
+    stars = members.where("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
+    for name in ("a", "b"):
+        stars = stars.join(side(name, sketches), name)
+    links = materialize(confirm(stars.where(_plausible(threshold)).select("a", "b")), "links")
+
+    labels = connected_components(links)
+    placed = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = placed.withColumn("label", F.coalesce("label", "digest"))
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
+    split = sizes.agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.label").alias("most"))
+    placed = materialize(placed.join(split, "key").join(sketches, "digest"), "placed")
+    outside = side("a", placed.where("label != most").drop("most"))
+    everyone = side("b", placed.withColumn("largest", F.col("label") == F.col("most")).drop("most"))
+    across = (F.col("a_label") != F.col("b_label")) & (F.col("b_largest") | (F.col("a") < F.col("b"))) & _plausible(threshold)
+    pairs = outside.join(everyone, "key").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(links.union(confirm(pairs)), "links")

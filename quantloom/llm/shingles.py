@@ -100,6 +100,15 @@ class Sketcher:
         return np.packbits(padded).view(np.int64)
 
 
+def odd_sketch(shingles: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Which of ``bits`` buckets hold an odd number of shingles, as 64-bit words.
+
+    Two sets differ in no more of these bits than in shingles, so many differing bits prove many differing shingles.
+    """
+    parity = np.bincount((mixed(shingles ^ U(0x2545F4914F6CDD1D)) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def banding(threshold: float, bins: int = 252, missed: float = 1e-6) -> tuple[int, int]:
     """(bands, rows): the most selective banding that misses a pair at the threshold with at most this probability."""
     for rows in range(12, 1, -1):
