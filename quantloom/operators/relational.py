@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIGNED = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
+
+def signed_quantity():
+    """Bought quantity, or minus the sold one."""
+    return F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
 
 
 def as_of_quotes(trades: DataFrame, quotes: DataFrame, fields=("bid", "ask")) -> DataFrame:
@@ -27,7 +30,7 @@ def orphaned_orders(submitted: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def net_positions(fills: DataFrame, least: float = 1e-10) -> DataFrame:
     """Signed quantity by symbol, but for flat ones."""
-    return fills.groupBy("symbol").agg(F.sum(SIGNED).alias("position")).where(F.abs("position") > least)
+    return fills.groupBy("symbol").agg(F.sum(signed_quantity()).alias("position")).where(F.abs("position") > least)
 
 
 def reconciled(ledger: DataFrame, broker: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -108,7 +111,7 @@ def round_trips(fills: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("symbol").orderBy("ts", "order_id", "line")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    f = fills.withColumn("signed", SIGNED).withColumn("after", F.sum("signed").over(running)).withColumn("before", F.col("after") - F.col("signed"))
+    f = fills.withColumn("signed", signed_quantity()).withColumn("after", F.sum("signed").over(running)).withColumn("before", F.col("after") - F.col("signed"))
     flips = F.col("before") * F.col("after") < 0
     parts = F.when(flips, F.array(F.struct((-F.col("before")).alias("q"), F.lit(0).alias("p")), F.struct(F.col("after").alias("q"), F.lit(1).alias("p")))).otherwise(
         F.array(F.struct(F.col("signed").alias("q"), F.lit(0).alias("p")))

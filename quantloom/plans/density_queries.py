@@ -25,7 +25,7 @@ def densities(spark, sf_dir, points: int = 101):
     return fitted.withColumn("pdf", N.mixture_density(x, F.col("weights"), F.col("means"), F.col("vars")))
 
 
-STEP = F.lit(8.0 / 100)
+STEP = 8.0 / 100
 
 
 @query()

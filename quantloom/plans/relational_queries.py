@@ -21,7 +21,7 @@ def net_positions(spark, sf_dir):
 
 @query(f"{FL} SELECT coalesce(sum({SIGNED}), 0) AS position FROM fills WHERE symbol = 7")
 def net_position_of_symbol(spark, sf_dir):
-    return fills(spark, sf_dir).where("symbol = 7").agg(F.coalesce(F.sum(R.SIGNED), F.lit(0.0)).alias("position"))
+    return fills(spark, sf_dir).where("symbol = 7").agg(F.coalesce(F.sum(R.signed_quantity()), F.lit(0.0)).alias("position"))
 
 
 @query(
@@ -81,7 +81,7 @@ def holding_bins(spark, sf_dir):
 )
 def exposure(spark, sf_dir):
     f = fills(spark, sf_dir)
-    positions = f.groupBy("symbol").agg(F.sum(R.SIGNED).alias("position"), F.max_by("price", F.struct("ts", "order_id", "line", "price")).alias("mark"))
+    positions = f.groupBy("symbol").agg(F.sum(R.signed_quantity()).alias("position"), F.max_by("price", F.struct("ts", "order_id", "line", "price")).alias("mark"))
     return rounded(R.exposure(positions), "long", "short", "gross", "net", digits=2)
 
 
@@ -136,7 +136,7 @@ def order_fill_join(spark, sf_dir):
 def position_reconcile(spark, sf_dir):
     """The broker knows other symbols and lacks the fills of one regime."""
     f = fills(spark, sf_dir)
-    side = lambda d: d.groupBy("symbol").agg(F.sum(R.SIGNED).alias("position"))
+    side = lambda d: d.groupBy("symbol").agg(F.sum(R.signed_quantity()).alias("position"))
     return R.reconciled(side(f.where("symbol < 40")), side(f.where("symbol >= 5 AND regime_id <> 3")))
 
 
