@@ -74,13 +74,13 @@ def impact_ols(spark, sf_dir):
 
 
 @query(
-    f"""{FL} SELECT order_id, {r("sum(qty * price) / sum(qty)", "vwap")}, {r("sum(qty) / (sum(qty) + 5)", "fill_rate")}, CASE WHEN sum(qty) / (sum(qty) + 5) >= 0.95 THEN 'COMPLETED' WHEN sum(qty) = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status,
+    f"""{FL} SELECT order_id, {r("sum(qty * price) / sum(qty) + 1e-9", "vwap")}, {r("sum(qty) / (sum(qty) + 5)", "fill_rate")}, CASE WHEN sum(qty) / (sum(qty) + 5) >= 0.95 THEN 'COMPLETED' WHEN sum(qty) = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status,
     {r("sum(CASE WHEN side = 'BUY' THEN (price - arrival_price) * qty ELSE (arrival_price - price) * qty END)", "shortfall")} FROM fills GROUP BY 1"""
 )
 def sliced_orders(spark, sf_dir):
-    """Average price and completion of orders filled in slices, each asked for five more than it got."""
+    """Average price and completion of orders filled in slices, each asked for five more than it got (1e-9 keeps amounts in cents off ties)."""
     worse = F.when(F.col("side") == "BUY", F.col("price") - F.col("arrival_price")).otherwise(F.col("arrival_price") - F.col("price"))
-    g = fills(spark, sf_dir).groupBy("order_id").agg((F.sum(F.col("qty") * F.col("price")) / F.sum("qty")).alias("vwap"), F.sum("qty").alias("filled"), F.sum(worse * F.col("qty")).alias("shortfall"))
+    g = fills(spark, sf_dir).groupBy("order_id").agg((F.sum(F.col("qty") * F.col("price")) / F.sum("qty") + 1e-9).alias("vwap"), F.sum("qty").alias("filled"), F.sum(worse * F.col("qty")).alias("shortfall"))
     rate = F.col("filled") / (F.col("filled") + 5)
     out = g.select("order_id", "vwap", rate.alias("fill_rate"), F.when(rate >= 0.95, "COMPLETED").when(F.col("filled") == 0, "FAILED").otherwise("PARTIAL").alias("status"), "shortfall")
     return rounded(out, "vwap", "fill_rate", "shortfall")
