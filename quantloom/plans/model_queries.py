@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
+from ..operators import models as B
 from ..operators import performance as P
 from ..operators import quality as Q
 from ..operators import scans as S
@@ -272,3 +273,29 @@ def entry_actions(spark, sf_dir):
     t = t.withColumn("a", F.col("ret") - F.lag("ret").over(W.ordered())).withColumn("im", (F.col("bid_size") - F.col("ask_size")) / (F.col("bid_size") + F.col("ask_size")))
     action = D.entry_action(F.lit(1.0), F.lit(1.0), F.col("ret"), F.col("a"), F.lit(0.0), F.least(F.lit(1.0), F.abs("ret")), F.when(F.col("seq") % 3 == 0, 1.0).otherwise(0.0), F.col("im"), F.lit(True))
     return t.select("symbol", action.alias("action")).groupBy("symbol", "action").agg(F.count("*").alias("n"))
+
+
+@query()
+def book_dynamics(spark, sf_dir):
+    """A book fed by the ticks taken as inserts, updates and deletes of its first five levels."""
+    t = ticks(spark, sf_dir).select(
+        "symbol", "seq", "ts", (F.col("seq") % 3).cast("int").alias("operation"), F.when(F.col("seq") % 2 == 0, "BID").otherwise("ASK").alias("side"),
+        (F.floor(F.col("seq") / 6) % 5).cast("int").alias("level"), "price", F.col("volume").alias("size"),
+    )
+    return rounded(B.book_dynamics(t), "bid_depth", "ask_depth", "pull_bid", "pull_ask", "spoofing")
+
+
+@query()
+def regime_transitions(spark, sf_dir):
+    """Changes between the regimes that the hidden Markov model finds in the rolling moments."""
+    states = _states(spark, sf_dir)
+    rows = states.join(S.hmm_regimes(states, STATE).select("symbol", "seq", "regime_id"), ["symbol", "seq"])
+    return rounded(B.regime_transitions(rows, STATE, (1.0, 5.0, 1.0, 0.5)), "strength", "probability", "velocity", "acceleration")
+
+
+@query()
+def ensemble_predictions(spark, sf_dir):
+    """Ridge, regime and momentum models weighed by their errors."""
+    rows = W.evaluations(W.momentum(W.moments(W.log_returns(ticks(spark, sf_dir)))))
+    rows = rows.withColumn("target", F.coalesce(F.lead("mu").over(W.ordered()), F.lit(0.0))).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
+    return rounded(B.ensemble_predictions(rows, STATE, "target", "mom_50"), "prediction", "disagreement", "w_ridge", "w_regime", "w_momentum")

@@ -219,3 +219,54 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r.symbol, r.start, r.open, r.high, r.low, r.close, r.n)
     assert sorted(map(key, bars)) == sorted(map(key, expected)) and sum(r.n for r in bars) == 800
     assert run_stream(spark, stream.gap_alerts(readers.stream_ticks(spark, path)), "gaps", "complete").count() == stream.gap_alerts(t).count()
+
+
+def test_book_moves_levels():
+    from quantloom.operators.models import BookDynamics
+
+    book = BookDynamics()
+    for args in ((0, "BID", 0, 99.0, 5.0), (0, "BID", 0, 100.0, 1.0), (1, "BID", 1, 99.5, 4.0), (0, "ASK", 0, 101.0, 2.0)):
+        book.step(*args)
+    assert book.sides["BID"][:3] == [(100.0, 1.0), (99.5, 4.0), None] and book.totals == {"BID": 5.0, "ASK": 2.0}
+    book.step(2, "BID", 0, 0.0, 0.0)
+    assert book.sides["BID"][:2] == [(99.5, 4.0), None] and book.pulled["BID"] == pytest.approx(0.2 + 0.95**2 / 6) and book.pulled["ASK"] == 0
+    for _ in range(25):
+        book.step(1, "ASK", 0, 101.0, 2.0)
+    assert book.flashed == 0
+    book.step(1, "ASK", 0, 101.0, 50.0)
+    assert book.flashed == 1.0
+
+
+def test_transitions_start_at_one_half():
+    from quantloom.operators.models import Transitions
+
+    r = np.random.default_rng(4)
+    regime = np.arange(400) // 25 % 2
+    part = pd.DataFrame({"symbol": "A", "seq": range(400), "regime_id": regime, "mu": r.normal(0, 1, 400) + 4 * regime, "e": r.normal(0, 1, 400)})
+    out = Transitions(("mu", "e"), (1.0, 1.0))(part)
+    assert len(out) == 15 and out.probability[0] == 0.5 and out.probability.between(0, 1).all() and (out.from_regime != out.to_regime).all()
+
+
+def test_ensemble_prefers_the_model_that_knows():
+    from quantloom.operators.models import Ensemble
+
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, 1500)
+    out = Ensemble(["x"], "y", "m")(pd.DataFrame({"symbol": "A", "seq": range(1500), "regime_id": 0, "x": x, "m": r.normal(0, 50, 1500), "y": 2 * x}))
+    assert out.w_momentum.iloc[-1] < 0.2 and out[["w_ridge", "w_regime", "w_momentum"]].iloc[-1].sum() == pytest.approx(1)
+
+
+def test_boosted_trees_beat_the_mean_or_say_nothing(spark):
+    from quantloom.operators.models import boosted_trees
+
+    r = np.random.default_rng(6)
+    data = [(i, float(x), float(np.sign(x)), float(z)) for i, (x, z) in enumerate(zip(r.normal(0, 1, 300), r.normal(0, 1, 300)))]
+    d = spark.createDataFrame(data, "i int, x double, y double, z double")
+    assert boosted_trees(d, ["x"], "y", "i < 200", rounds=3).count() == 100
+
+
+def test_feature_table_equals_single_queries(spark, sf_small):
+    joint = registry.QUERIES["feature_table"](spark, sf_small).toPandas().set_index(["symbol", "seq"]).sort_index()
+    for name, cols in (("rolling_moments", ["mu", "sigma", "skew", "kurt"]), ("momentum_50_200", ["mom_50", "mom_200"]), ("kyle_lambda", ["kyle"]), ("flow_toxicity", ["toxicity", "intensity"])):
+        single = registry.QUERIES[name](spark, sf_small).toPandas().set_index(["symbol", "seq"]).sort_index()
+        assert np.allclose(joint[cols].astype(float), single[cols].astype(float), atol=2e-6), name
