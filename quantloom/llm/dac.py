@@ -24,12 +24,12 @@ HEAD = struct.Struct("<4sBBxxQ")
 def encode(ids: np.ndarray, chunk_bits: int = 8) -> bytes:
     """One segment of unsigned 32-bit ids; no ids give a segment of one empty level."""
     kind = {8: np.dtype("<u1"), 16: np.dtype("<u2")}[chunk_bits]
-    rest = np.asarray(ids, dtype=np.uint64)
+    rest = np.asarray(ids, dtype=np.uint32)
     count, sizes, body = len(rest), [], []
     while True:
-        chunks = (rest & np.uint64((1 << chunk_bits) - 1)).astype(kind)
-        rest = rest >> np.uint64(chunk_bits)
-        more = rest > 0
+        chunks = rest.astype(kind)  # keeps the low bits
+        rest = rest >> np.uint32(chunk_bits)
+        more = rest != 0
         ones = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.int64) if len(more) else np.empty(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u4") if len(ones) else np.empty(0, "<u4")
         sizes.append(len(chunks))

@@ -90,10 +90,10 @@ def near_duplicates(
        Rows with one digest are one class, so copies are never paired.
     2. In each bucket of two or more classes one class is the centre; only (centre, member) pairs are candidates.
     3. Candidates that sizes or sketches do not rule out are confirmed on the full sets; links form components.
-    4. Where a bucket's members still lie in different components, those outside its largest component are compared
-       with its members of other components, by size and sketch within the join, and what is left is confirmed: so
-       links between members of a bucket that its centre does not reach are found too. A group that the stars
-       joined is not paired any more.
+    4. Where a bucket's members lie in different components, its best linked member is the centre of a second star.
+    5. Where they still do, those outside the bucket's largest component are compared with its members of other
+       components, by size and sketch within the join, and what is left is confirmed: so links between members
+       that no centre reaches are found too. A group that the stars joined is not paired any more.
 
     Null and blank texts have no shingles and stay alone. Equal rows get equal results. A null id counts as larger
     than any other: such a row is kept (as null) only if its component has no other id. An empty table gives an
@@ -171,19 +171,38 @@ def _links(docs: DataFrame, features: DataFrame, words: int, threshold: tuple[in
         union = F.size("a_shingles") + F.size("b_shingles") - F.col("common")
         return pairs.where(threshold[1] * F.col("common") >= threshold[0] * union).select("a", "b")
 
-    stars = members.where("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
-    for name in ("a", "b"):
-        stars = stars.join(side(name, sketches), name)
-    links = materialize(confirm(stars.where(_plausible(threshold)).select("a", "b")), "links")
-
-    labels = connected_components(links)
-    placed = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    placed = placed.withColumn("label", F.coalesce("label", "digest"))
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
-    split = sizes.agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.label").alias("most"))
-    placed = materialize(placed.join(split, "key").join(sketches, "digest"), "placed")
+    def starred(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for name in ("a", "b"):
+            pairs = pairs.join(side(name, sketches), name)
+        return confirm(pairs.where(_plausible(threshold)).select("a", "b"))
+
+    def split_buckets(links: DataFrame) -> DataFrame:
+        """(key, digest, label, most): members of the buckets that hold several components, and the largest of these."""
+        labels = connected_components(links)
+        placed = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+        placed = placed.withColumn("label", F.coalesce("label", "digest"))
+        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
+        split = sizes.agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.label").alias("most"))
+        return materialize(placed.join(split, "key"), "split")
+
+    links = materialize(starred(members.where("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b"))), "links")
+
+    # a second star: the best linked member of a bucket against those outside its component
+    placed = split_buckets(links)
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("degree"))
+    hubs = placed.join(degree, "digest").groupBy("key").agg(F.max(F.struct("degree", "digest", "label")).alias("hub")).select("key", "hub.digest", "hub.label")
+    outside = placed.select("key", F.col("digest").alias("b"), F.col("label").alias("b_label"))
+    again = hubs.select("key", F.col("digest").alias("a"), F.col("label").alias("a_label")).join(outside, "key").where("a_label != b_label").select("a", "b")
+    links = materialize(links.union(starred(again)), "links")
+
+    placed = split_buckets(links)
+    placed = materialize(placed.join(representative.select("digest", "n", "bits", "odd", "bands"), "digest"), "placed")
     outside = side("a", placed.where("label != most").drop("most"))
     everyone = side("b", placed.withColumn("largest", F.col("label") == F.col("most")).drop("most"))
     across = (F.col("a_label") != F.col("b_label")) & (F.col("b_largest") | (F.col("a") < F.col("b"))) & _plausible(threshold)
-    pairs = outside.join(everyone, "key").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return materialize(links.union(confirm(pairs)), "links")
+    # a pair that meets in several buckets is taken in the first of them
+    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    across = across & (F.get(common, F.lit(0)) == F.col("key"))
+    pairs = outside.join(everyone, "key").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(links.union(confirm(pairs.distinct())), "links")

@@ -89,20 +89,19 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     the next lower range begins with, so that no row needs another task and texts are moved once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    edges = boundaries(docs, "doc_id", buckets or 2 * default_parallelism(docs.sparkSession))
+    edges = boundaries(docs, "doc_id", buckets or default_parallelism(docs.sparkSession))
     # bucket 0 is the first in descending order; null ids go with the lowest ids
     keyed = docs.withColumn("bucket", F.lit(len(edges)) - bucket_of(F.col("doc_id"), edges)).withColumn("tie", F.xxhash64("text"))
     place = F.struct((-F.col("doc_id")).isNull().alias("nulls"), (-F.col("doc_id")).alias("down"), "tie")
     heads = keyed.groupBy("bucket").agg(F.min(place).alias("head")).collect()  # one row for each range
     heads = sorted((r["bucket"], r["head"]["down"], r["head"]["tie"]) for r in heads)
-    before = {b: heads[i - 1][0] for i, (b, _, _) in enumerate(heads)}  # the range before the first is the last
-    is_head = F.lit(False)
-    target = F.lit(None).cast("int")
-    for bucket, down, tie in heads:
-        hit = (F.col("bucket") == bucket) & F.col("doc_id").eqNullSafe(F.lit(None if down is None else -down).cast("long")) & (F.col("tie") == tie)
-        is_head, target = is_head | hit, F.when(hit, before[bucket]).otherwise(target)
     first = heads[0][0] if heads else 0
-    ghosts = keyed.where(is_head).withColumn("ghost", F.when(F.col("bucket") == first, 2).otherwise(1)).withColumn("bucket", target)
+    before = [heads[i - 1][0] for i in range(len(heads))]  # the range before the first is the last
+    heads = [(b, None if down is None else -down, tie, to, 2 if b == first else 1) for (b, down, tie), to in zip(heads, before)]
+    heads = docs.sparkSession.createDataFrame(heads, "h_bucket int, h_id long, h_tie long, h_to int, h_ghost int")
+    is_head = (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))
+    ghosts = keyed.join(F.broadcast(heads), is_head)  # as many rows as ranges
+    ghosts = ghosts.select("doc_id", "text", F.col("h_to").alias("bucket"), "tie", F.col("h_ghost").alias("ghost"))
     rows = keyed.withColumn("ghost", F.lit(0)).unionByName(ghosts).withColumn("sketch", sketch(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "tie")
     follow = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))

@@ -2,45 +2,83 @@
 
 from __future__ import annotations
 
+import os
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import default_parallelism, prepare
+from ..cluster import default_parallelism, materialize, prepare
 from .bpe import Memo
 from .dac import Segment, encode
 from .ranges import boundaries
 
+#: ASCII characters that are neither letters, digits nor blanks; a run of them is a piece of its own after a letter.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+ALPHANUMERIC = frozenset(b for b in range(128) if chr(b).isalnum())
 SEGMENT = "bucket int, segment int, n_ids long, doc_ids array<long>, starts array<long>, data binary"
 
 
 class LibraryTokenizer:
-    """The tokenizers library over whole texts; runs between blanks, which no token spans, are encoded once and remembered."""
+    """The tokenizers library over whole texts; runs between blanks, which no token spans, are encoded once and remembered.
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    A run not met before is cut into its letters and the punctuation after them, which are pieces of their own, and
+    A-Z are lower-cased as the library does, so that fewer different strings go to the library.
+    """
+
+    def __init__(self, path: str, remembered: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks; threads of the library would only compete
         from tokenizers import Tokenizer
 
-        self.encode_batch, self.memo = Tokenizer.from_file(path).encode_batch, Memo(remembered)
-
-    def __call__(self, text: bytes | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        words = text.split() if text else []
-        found = list(map(memo.get, words))
-        if None in found:
-            others = {word: memo.find(word) for word in {w for w, ids in zip(words, found) if ids is None}}
-            lost = [word for word, ids in others.items() if ids is None]
-            encoded = self.encode_batch([w.decode("utf-8", "replace") for w in lost], add_special_tokens=False)
-            for word, ids in zip(lost, encoded):
-                others[word] = array("I", ids.ids).tobytes()
-                if len(word) <= 60:
-                    memo.put(word, others[word])
-            found = [others[word] if ids is None else ids for word, ids in zip(words, found)]
-        return b"".join(found)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch, self.words, self.parts = tokenizer.encode_batch, Memo(remembered), Memo(remembered)
+        self.marks = tuple({t.content[:2].encode() for t in tokenizer.get_added_tokens_decoder().values()})
+        lowered = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.lower = bytes.lower if lowered else bytes
+
+    def _cut(self, word: bytes) -> tuple[bytes, ...]:
+        """Strings whose ids, one after the other, are those of the word."""
+        core = word.rstrip(PUNCTUATION)
+        if not core or (any(m in word for m in self.marks)):
+            return (word,)
+        last = core[-1]
+        if last < 128:
+            if last not in ALPHANUMERIC:
+                return (word,)
+        elif not core.decode("utf-8", "replace").lower()[-1].isalpha():
+            return (word,)
+        if len(core) == len(word):
+            return (self.lower(core),)
+        return (self.lower(core), word[len(core) :])
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        words, parts = self.words, self.parts
+        split = [text.split() if text else [] for text in texts]
+        found = [list(map(words.get, run)) for run in split]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        fresh = {w: words.find(w) for w in {run[i] for run, gaps in zip(split, holes) for i in gaps}}
+        cut = {w: self._cut(w) for w, ids in fresh.items() if ids is None}
+        known = {p: parts.get(p) for p in set(chain.from_iterable(cut.values()))}
+        for p in [p for p, ids in known.items() if ids is None]:
+            known[p] = parts.find(p)
+        lost = [p for p, ids in known.items() if ids is None]
+        for p, encoded in zip(lost, self.encode_batch([p.decode("utf-8", "replace") for p in lost], add_special_tokens=False)):
+            known[p] = array("I", encoded.ids).tobytes()
+            if len(p) <= 60:
+                parts.put(p, known[p])
+        for w, pieces in cut.items():
+            ids = fresh[w] = known[pieces[0]] if len(pieces) == 1 else known[pieces[0]] + known[pieces[1]]
+            if len(w) <= 60:
+                words.put(w, ids)
+        for run, ids, gaps in zip(split, found, holes):
+            for i in gaps:
+                ids[i] = fresh[run[i]]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
@@ -74,7 +112,7 @@ def write_tokens(
         for batch in batches:
             keys = batch.column("doc_id")
             values = np.array([-(1 << 63) if k is None else k for k in keys.to_pylist()], dtype=np.int64)
-            ids = [tokenizer(t.as_py()) + end for t in batch.column("text")]
+            ids = [found + end for found in tokenizer(batch.column("text").to_pylist())]
             # two bytes for each id where they are enough
             narrow = [np.frombuffer(x, "<u4") for x in ids]
             narrow = [x.astype("<u2").tobytes() if int(x.max()) < 65536 else b"" for x in narrow]
@@ -135,7 +173,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     totals = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("bucket_first"))
     inside = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     places = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, "bucket")
-    return stored.join(places.select("bucket", "segment", (F.col("bucket_first") + F.col("inside")).alias("first")), ["bucket", "segment"])
+    # written, so that the planner knows its size and sends it to the segments if it is small enough
+    places = materialize(places.select("bucket", "segment", (F.col("bucket_first") + F.col("inside")).alias("first")), "places")
+    return stored.join(places, ["bucket", "segment"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +187,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for first, count, docs, starts, data in zip(*(batch.column(c) for c in ("first", "n_ids", "doc_ids", "starts", "data"))):
                 segment, starts = Segment(data.as_py()), starts.as_py()
                 ends = [*starts[1:], count.as_py()]
-                ids = [segment.slice(a, b).astype("<u4").tobytes() for a, b in zip(starts, ends)]
+                flat = segment.slice(0, len(segment)).astype("<u4", copy=False)  # every document is wanted: one run
+                ids = [flat[a:b].tobytes() for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(docs.as_py(), pa.int64()),
