@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
+
 #: Suffixes of two labels under which names are registered; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za")
 
@@ -60,18 +62,21 @@ def _with_strength(level: DataFrame, parent_mean: str, children: DataFrame, most
     )
 
 
-def reputations(outcomes: DataFrame, base_strength: float = 10.0, most_strength: float = 200.0) -> DataFrame:
-    """Posterior bad rate of every labelled host: (host, labelled, bad, mean, deviation).
+def reputations(outcomes: DataFrame, base_strength: float = 10.0, most_strength: float = 200.0, hosts: DataFrame | None = None) -> DataFrame:
+    """Posterior bad rate of every labelled host and of every one of ``hosts(host)``: (host, labelled, bad, mean, deviation).
 
     ``outcomes(host, bad)`` has one row per labelled page, bad 0 or 1. Counts are summed per host first, so that a
     host with most of the pages is one row afterwards. The prior of a suffix is the overall rate with
     ``base_strength``; that of a domain is its suffix's posterior, that of a host its domain's posterior, with a
-    strength found from the spread of the children's rates (at most ``most_strength``). Rows with a null label or
-    host are ignored.
+    strength found from the spread of the children's rates (at most ``most_strength``). A host without labels has its
+    prior: its domain's posterior and strength, else its suffix's, else the overall rate with ``base_strength``. Rows
+    with a null label or host are ignored.
     """
-    hosts = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(
-        F.count("*").alias("n"), F.sum(F.col("bad").cast("double")).alias("s")
-    )
+    counted = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).select("host", F.lit(1).alias("n"), F.col("bad").cast("double").alias("s"))
+    if hosts is not None:
+        counted = counted.unionByName(hosts.where(F.col("host").isNotNull()).select("host", F.lit(0).alias("n"), F.lit(0.0).alias("s")))
+    # one row for each host, read by every level
+    hosts = materialize(counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "s")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -81,19 +86,22 @@ def reputations(outcomes: DataFrame, base_strength: float = 10.0, most_strength:
     def spread(children: DataFrame, parents: DataFrame, key: str, mean: str) -> DataFrame:
         """Variance between the children's rates beyond binomial noise, weighted by their labels."""
         deviation = (F.col("s") / F.col("n") - F.col(mean)) ** 2 - F.col(mean) * (1 - F.col(mean)) / F.col("n")
-        return children.join(parents.select(key, mean), key).groupBy(F.col(key).alias("group")).agg(
+        return children.where("n > 0").join(parents.select(key, mean), key).groupBy(F.col(key).alias("group")).agg(
             F.count("*").alias("n_children"), (F.sum(F.col("n") * deviation) / F.sum("n")).alias("between")
         )
 
     suffixes = suffixes.crossJoin(F.broadcast(overall)).select(  # one row
-        "suffix", ((F.col("s") + base_strength * F.col("overall")) / (F.col("n") + base_strength)).alias("suffix_mean")
+        "suffix", "n", ((F.col("s") + base_strength * F.col("overall")) / (F.col("n") + base_strength)).alias("suffix_mean")
     )
     suffixes = _with_strength(suffixes.withColumn("group", F.col("suffix")), "suffix_mean", spread(domains, suffixes, "suffix", "suffix_mean"), most_strength)
-    domains = domains.join(suffixes.select("suffix", "suffix_mean", "strength"), "suffix").select(
-        "domain", ((F.col("s") + F.col("strength") * F.col("suffix_mean")) / (F.col("n") + F.col("strength"))).alias("domain_mean")
+    # a group without labels has no children to tell its spread: it hands on the strength that it was given
+    strength = F.when(F.col("n") > 0, F.col("strength")).otherwise(F.lit(base_strength)).alias("strength")
+    domains = domains.join(suffixes.select("suffix", "suffix_mean", strength), "suffix").select(
+        "domain", "n", F.col("strength").alias("given"), ((F.col("s") + F.col("strength") * F.col("suffix_mean")) / (F.col("n") + F.col("strength"))).alias("domain_mean")
     )
     domains = _with_strength(domains.withColumn("group", F.col("domain")), "domain_mean", spread(hosts, domains, "domain", "domain_mean"), most_strength)
-    hosts = hosts.join(domains.select("domain", "domain_mean", "strength"), "domain")
+    strength = F.when(F.col("n") > 0, F.col("strength")).otherwise(F.col("given")).alias("strength")
+    hosts = hosts.join(domains.select("domain", "domain_mean", strength), "domain")
     total = F.col("n") + F.col("strength")
     mean = (F.col("s") + F.col("strength") * F.col("domain_mean")) / total
     return hosts.select("host", F.col("n").alias("labelled"), F.col("s").alias("bad"), mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("deviation"))
@@ -110,14 +118,14 @@ def judge_urls(
     """Add ``host, path, rule, verdict`` and the host's posterior (``bad_mean, bad_bound``) to every page.
 
     ``outcomes(host, bad)``: labelled pages. A rule's action wins; else a page is blocked if the lower ``z`` bound of
-    its host's posterior bad rate exceeds ``max_bad``: a host is blocked on evidence only, so hosts without labels and
-    null or odd urls are allowed. Existing columns of these names are replaced; all rows are returned, repeated ones too.
+    its host's posterior bad rate exceeds ``max_bad``. A host without labels is judged by its prior from its domain,
+    suffix or all labels; null and odd urls have no host and are allowed. Existing columns of these names are replaced; all rows are returned, repeated ones too.
     """
     host, path = host_and_path(F.col("__url"))
     taken = {"host", "path", "rule", "verdict", "bad_mean", "bad_bound", "__url"}
     judged = pages.withColumn("__url", F.col(url_col)).withColumns({"__host": host, "__path": path})
     judged = judged.select(*(c for c in pages.columns if c not in taken or c == url_col), F.col("__host").alias("host"), F.col("__path").alias("path"))
-    known = reputations(outcomes).select(F.col("host").alias("__known"), F.col("mean").alias("bad_mean"), (F.col("mean") - z * F.col("deviation")).alias("bad_bound"))
+    known = reputations(outcomes, hosts=judged.where(F.col("host") != "").select("host")).select(F.col("host").alias("__known"), F.col("mean").alias("bad_mean"), (F.col("mean") - z * F.col("deviation")).alias("bad_bound"))
     judged = judged.join(known, F.col("host") == F.col("__known"), "left").drop("__known")
     best = matching_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")

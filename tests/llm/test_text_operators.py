@@ -200,6 +200,20 @@ def test_shrinkage_goes_from_host_to_domain(spark):
     assert got["h0.bad.net"] > 0.6 > 0.4 > got["h0.good.net"]
 
 
+def test_hosts_without_labels_are_judged_by_their_prior(spark):
+    outcomes = [(f"h{i % 4}.bad.net", 1) for i in range(40)] + [(f"h{i % 4}.good.net", 0) for i in range(40)] + [(f"h{i}.d{i}.xyz", 1) for i in range(20)]
+    outcomes = spark.createDataFrame(outcomes, "host string, bad int")
+    urls = ["http://new.bad.net/a", "http://new.good.net/a", "http://new.net/a", "http://new.d.xyz/a", "http://new.museum/a", "http:///a", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(pages, outcomes).collect()}
+    assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "allow", "block", "allow", "allow", "allow"]
+    known = {r.host: r for r in reputations(outcomes).collect()}
+    assert got[0].bad_mean > 0.9 and got[1].bad_mean < 0.1 and abs(got[0].bad_mean - known["h0.bad.net"].mean) < 0.05
+    overall = 61 / 102
+    assert abs(got[4].bad_mean - overall) < 1e-9 and abs(got[4].bad_bound - (overall - 1.645 * (overall * (1 - overall) / 11) ** 0.5)) < 1e-9
+    assert got[5].bad_mean is None and got[6].bad_mean is None
+
+
 # quality
 
 def test_kth_largest_is_exact(spark):
