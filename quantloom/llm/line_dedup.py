@@ -1,4 +1,4 @@
-"""Line deduplication by site-relative frequency: lines on too large a share of a host's pages are boilerplate."""
+"""Line deduplication by site-relative frequency: lines surely on more than a small share of a host's pages are boilerplate."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(docs: DataFrame, ratio: float, min_pages: int, host_col: str, text_col: str) -> DataFrame:
-    """One row per host with boilerplate: (host, lines), the hashes of lines on more than ``ratio`` of its pages.
+def boilerplate_lines(docs: DataFrame, ratio: float, z: float, min_on: int, min_pages: int, host_col: str, text_col: str) -> DataFrame:
+    """One row per host with boilerplate: (host, lines), the hashes of lines that are surely on more than ``ratio`` of its pages.
+
+    Sure means that the lower ``z`` bound (Wilson's) of on/pages exceeds the ratio, which is the same as
+    on > ratio * pages + z * sqrt(ratio * (1 - ratio) * pages); ``z`` = 0 takes the bare share.
 
     Pages of a host with the same text are one page, so that a copied page's own lines do not become boilerplate.
     A host has fewer than (lines per page) / ratio such lines, so ``lines`` stays small.
@@ -23,26 +26,29 @@ def boilerplate_lines(docs: DataFrame, ratio: float, min_pages: int, host_col: s
     totals = pages.groupBy("host", "page").count().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     shared = pages.select("host", "page", F.explode("lines").alias("line")).where(F.col("line") != _line_hash(F.lit("")))
     shared = shared.groupBy("host", "line", "page").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("on"))
-    shared = shared.where(F.col("on") >= 2)
-    found = shared.join(totals, shared["host"].eqNullSafe(totals["host"])).where(F.col("on") > ratio * F.col("pages"))
+    shared = shared.where(F.col("on") >= min_on)
+    found = shared.join(totals, shared["host"].eqNullSafe(totals["host"])).where(F.col("on") > ratio * F.col("pages") + z * F.sqrt(ratio * (1 - ratio) * F.col("pages")))
     return found.groupBy(shared["host"].alias("host")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def drop_boilerplate_lines(
     docs: DataFrame,
-    ratio: float = 0.1,
-    min_pages: int = 10,
+    ratio: float = 0.01,
+    min_pages: int = 1,
     host_col: str = "source",
     text_col: str = "text",
+    z: float = 2.326,
+    min_on: int = 3,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``; adds ``dropped_lines`` (long).
 
-    A line (compared without outer blanks) is boilerplate if it is on more than ``ratio`` of the distinct pages of
-    its host; hosts with fewer than ``min_pages`` distinct pages have none, and blank lines are never any. Every row
+    A line (compared without outer blanks) is boilerplate if it is on ``min_on`` distinct pages of its host or more
+    and the lower ``z`` bound of its share of them exceeds ``ratio``; hosts with fewer than ``min_pages`` distinct pages
+    have none, and blank lines are never any. Every row
     comes back, its other columns as they were: a null text stays null with 0 dropped lines, a text of nothing but
     boilerplate becomes empty, a null host is a host of its own. A column named ``dropped_lines`` is replaced.
     """
-    found = materialize(boilerplate_lines(docs, ratio, min_pages, host_col, text_col), "boilerplate").select(
+    found = materialize(boilerplate_lines(docs, ratio, z, min_on, min_pages, host_col, text_col), "boilerplate").select(
         F.col("host").alias("__host"), F.col("lines").alias("__lines")
     )
     kept_columns = [c for c in docs.columns if c != "dropped_lines"]

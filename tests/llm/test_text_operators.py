@@ -178,6 +178,17 @@ def test_line_dedup(spark):
     assert drop_boilerplate_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_goes_by_evidence_at_every_size(spark):
+    r = random.Random(8)
+    lines = lambda *planted: "\n".join([prose(r, 30), *planted, prose(r, 30)])
+    rows = [(i, lines(*["seldom"] * (i < 3), *["often"] * (i % 20 == 0)), "en", "large", 1) for i in range(400)]
+    rows += [(1000 + i, lines("everywhere", *["twice"] * (i < 2)), "en", "nine", 1) for i in range(9)]
+    out = {x.doc_id: x for x in drop_boilerplate_lines(documents(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        left = [x for x in text.split("\n") if x not in ("often", "everywhere")]
+        assert out[i].text == "\n".join(left) and out[i].dropped_lines == len(text.split("\n")) - len(left)
+
+
 # urls
 
 def test_url_verdicts(spark):
