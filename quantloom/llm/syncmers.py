@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..cluster import default_parallelism
 from .ranges import boundaries, bucket_of
 
-#: Symbols of a k-mer, symbols of the inner substring that must be minimal at an edge, anchors in a fingerprint.
-K, S, SKETCH = 5, 2, 64
+#: Symbols of a k-mer, symbols of the inner substring that must be minimal at an edge.
+K, S = 5, 2
+
+#: Bits of an anchor's position in a sketch.
+POSITION_BITS = 28
 
 
 def let(value: Column, body) -> Column:
@@ -18,8 +21,16 @@ def let(value: Column, body) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    """The alphabet of the k-mers: runs of up to 8 characters other than blanks, hashed, with K - 1 end marks on both sides."""
-    hashed = F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,8}"), F.lit(0)), lambda w: F.xxhash64(w))
+    """The alphabet of the k-mers: runs of up to 8 characters other than blanks, hashed, with K - 1 end marks on both sides.
+
+    An unbroken run of over 32 characters has the 8 characters from each of its places instead, so that an insertion
+    changes no symbols but those around it (in shorter runs, at most those of the run).
+    """
+    cut = lambda run: F.regexp_extract_all(run, F.lit(r"\S{1,8}"), F.lit(0))
+    every = lambda run: F.regexp_extract_all(run, F.lit(r"(?=(\S{8}))\S"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    by_run = F.flatten(F.transform(runs, lambda run: F.when(F.char_length(run) > 32, every(run)).otherwise(cut(run))))
+    hashed = F.transform(F.when(text.rlike(r"\S{33}"), by_run).otherwise(cut(text)), lambda w: F.xxhash64(w))
     mark = F.array_repeat(F.lit(0).cast("long"), K - 1)
     return let(hashed, lambda h: F.when(F.size(h) > 0, F.concat(mark, h, mark)).otherwise(F.array().cast("array<bigint>")))
 
@@ -52,22 +63,52 @@ def anchors(text: Column) -> Column:
     return F.coalesce(let(symbols(F.coalesce(text, F.lit(""))), lambda h: F.when(F.size(h) >= K, select(h)).otherwise(empty)), empty)
 
 
+def _packed(found: Column) -> Column:
+    return F.transform(found, lambda a: F.shiftleft(F.pmod(a["hash"], F.lit(1 << 32)), POSITION_BITS) + a["position"])
+
+
 def sketch(text: Column) -> Column:
-    """The ``SKETCH`` least distinct anchor hashes (32 bits each, ascending): whole for short texts, a uniform sample else."""
-    low = F.transform(anchors(text), lambda a: F.pmod(a["hash"], F.lit(1 << 32)))
-    return F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)
+    """All anchors by position, each a long: 32 bits of its hash, then ``POSITION_BITS`` of its position."""
+    return _packed(anchors(text))
 
 
 def as_text(sketched: Column) -> Column:
-    """A sketch as hexadecimal digits, 8 for each anchor; empty for a text without anchors."""
-    return F.lower(F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    """A sketch as hexadecimal digits, 8 for the hash and 7 for the position of each anchor; empty for a text without anchors."""
+    return F.lower(F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x), 15, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two anchor sets from their sketches; 1 if both are empty, 0 if one is."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common)
+    """Share of the distinct anchors of the text with fewer that the other has in aligned runs, from sketches.
+
+    A common anchor (at its first place in either text) is aligned if the common anchor before or after it lies at
+    the same distance in both texts, so a passage counts wherever it stands and a contained text has about 1.
+    1 if the sketches are equal, both empty too; 0 if one is empty.
+    """
+    place = (1 << POSITION_BITS) - 1
+
+    def with_side(sketched, side):
+        return F.transform(
+            sketched, lambda x: F.shiftleft(F.shiftright(x, POSITION_BITS) * 2 + side, POSITION_BITS) + x.bitwiseAND(F.lit(place))
+        )
+
+    def key(x):
+        """Hash and side."""
+        return F.shiftright(x, POSITION_BITS)
+
+    # ascending by hash, side, position
+    both = F.sort_array(F.concat(with_side(a, 0), with_side(b, 1)))
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (key(x) != key(F.get(s, i - 1))))
+
+    def score(d):
+        n_b = F.size(F.filter(d, lambda x: key(x) % 2 == 1))
+        in_both = F.filter(F.sequence(F.lit(0), F.size(d) - 2), lambda i: (key(F.get(d, i)) % 2 == 0) & (key(F.get(d, i)) + 1 == key(F.get(d, i + 1))))
+        spots = F.transform(in_both, lambda i: F.struct(F.get(d, i).bitwiseAND(F.lit(place)).alias("at"), F.get(d, i + 1).bitwiseAND(F.lit(place)).alias("other")))
+        shifts = F.transform(F.sort_array(spots), lambda m: m["at"] - m["other"])
+        aligned = lambda h: F.size(F.filter(h, lambda x, i: F.coalesce(x == F.get(h, i - 1), F.lit(False)) | F.coalesce(x == F.get(h, i + 1), F.lit(False))))
+        return let(shifts, aligned) / F.least(n_b, F.size(d) - n_b)
+
+    scored = let(let(both, first), score)
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(scored)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,8 +118,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("anchors", "fingerprint")]
     out = docs.select(*kept, anchors(F.col(text_col)).alias("anchors"))
-    low = F.transform("anchors", lambda a: F.pmod(a["hash"], F.lit(1 << 32)))
-    return out.withColumn("fingerprint", as_text(F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)))
+    return out.withColumn("fingerprint", as_text(_packed(F.col("anchors"))))
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -86,7 +126,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The last is followed by the first; rows with equal ids follow each other by the hash of their text, rows with a
     null id (texts null: empty) come after all others. Ids are cut into ranges; a range gets a copy of the row that
-    the next lower range begins with, so that no row needs another task and texts are moved once.
+    the next lower range begins with, so that no row needs another task and texts are moved once; sketches are made
+    afterwards and never moved.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     edges = boundaries(docs, "doc_id", buckets or default_parallelism(docs.sparkSession))
@@ -102,10 +143,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     is_head = (F.col("bucket") == F.col("h_bucket")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))
     ghosts = keyed.join(F.broadcast(heads), is_head)  # as many rows as ranges
     ghosts = ghosts.select("doc_id", "text", F.col("h_to").alias("bucket"), "tie", F.col("h_ghost").alias("ghost"))
-    rows = keyed.withColumn("ghost", F.lit(0)).unionByName(ghosts).withColumn("sketch", sketch(F.col("text")))
+    rows = keyed.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "tie")
-    follow = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
-    return follow.where("ghost = 0").select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    follow = rows.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0")
+    return follow.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "next_text", sketch(F.col("next_text")).alias("next_sketch"))
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -95,6 +95,29 @@ def test_op6_contract(spark, sf_small):
     assert min(r.near_edited for r in long) > max(r.near_next for r in long)
 
 
+def alike(spark, a, b):
+    made = spark.createDataFrame([(a, b)], "a string, b string").select(syncmers.sketch(F.col("a")).alias("a"), syncmers.sketch(F.col("b")).alias("b"))
+    return made.select(syncmers.likeness(F.col("a"), F.col("b")).alias("x")).first().x
+
+
+def test_likeness_finds_contained_texts_and_shared_passages(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    a, b, shared = ([word() for _ in range(n)] for n in (8000, 8000, 200))
+    assert alike(spark, " ".join(a), " ".join(a[3000:3300])) > 0.9
+    near = alike(spark, " ".join(a + shared), " ".join(b[:4000] + shared + b[4000:]))
+    assert 0.5 * 200 / 8200 < near < 1.5 * 200 / 8200 and alike(spark, " ".join(a), " ".join(b)) == 0
+    mixed = [" ".join(a[i : i + 6]) for i in range(0, 600, 6)]
+    assert alike(spark, "x".join(mixed), "x".join(r.sample(mixed, 100))) < 1
+    assert alike(spark, "one", "one") == alike(spark, "", " ") == 1 and alike(spark, "one", "") == 0
+
+
+def test_insertion_in_unbroken_text_stays_local(spark):
+    r = random.Random(10)
+    text = "".join(r.choices("\u4e00\u4e8c\u4e09\u56db\u4e94abcdefg", k=3000))
+    assert alike(spark, text, "z" + text) > 0.95 and alike(spark, text, text[:1500] + "z" + text[1500:]) > 0.95
+
+
 # sharding
 
 def test_shards_keep_every_row_and_slot(spark, tmp_path):
