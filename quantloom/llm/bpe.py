@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import prepare
+from .words import Memo, cut
 
 NO_RANK = 1 << 62
 
@@ -28,25 +29,6 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Memo(dict):
-    """A dictionary that keeps between ``size`` and twice ``size`` of the entries used last."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.older = size, {}
-
-    def put(self, key, value):
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-    def find(self, key):
-        value = self.older.get(key)
-        return value if value is None else self.put(key, value)
-
-
 class Bpe:
     """A tokenizer file of kind BPE with byte-level pieces, word ends and lower-casing.
 
@@ -54,7 +36,7 @@ class Bpe:
     pattern; the bytes of each piece become symbols, the last with the word-end suffix, and adjacent symbols merge.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered_bytes: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -74,9 +56,9 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         marks = "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))
-        self.cut = regex.compile(f"({marks})").split if marks else None
-        self.mark = min((s[:2] for s in self.specials), default="").encode()
-        self.words, self.parts = Memo(remembered), Memo(remembered)
+        self.special = regex.compile(f"({marks})").split if marks else None
+        self.marks = tuple({s[:2].encode() for s in self.specials})
+        self.memo = Memo(remembered_bytes)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the leftmost pair of the lowest rank until no pair has a rank.
@@ -137,20 +119,15 @@ class Bpe:
 
     def part(self, piece: str) -> list[int]:
         """Ids of one piece of the pattern."""
-        ids = self.parts.get(piece) or self.parts.find(piece)
-        if ids is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            inner = self.inner
-            ids = self.merge([*(inner[b] for b in data[:-1]), self.last[data[-1]]])
-            if len(piece) <= 40:
-                self.parts.put(piece, ids)
-        return ids
+        data = piece.encode("utf-8", "surrogatepass")
+        inner = self.inner
+        return self.merge([*(inner[b] for b in data[:-1]), self.last[data[-1]]])
 
     def word(self, data: bytes) -> bytes:
         """Ids, as little-endian unsigned 32-bit integers, of a run without blanks."""
         text = data.decode("utf-8", "replace")
         ids: list[int] = []
-        for run in self.cut(text) if self.cut and self.mark in data else (text,):
+        for run in self.special(text) if any(m in data for m in self.marks) else (text,):
             if run in self.specials:
                 ids.append(self.specials[run])
             elif run:
@@ -164,18 +141,16 @@ class Bpe:
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers; null is empty."""
-        words, out = self.words, []
-        get = words.get
-        for data in text.split() if text else ():
-            ids = get(data)
-            if ids is None:
-                ids = words.find(data)
-                if ids is None:
-                    ids = self.word(data)
-                    if len(data) <= 60:
-                        words.put(data, ids)
-            out.append(ids)
-        return b"".join(out)
+        if not text:
+            return b""
+        memo = self.memo
+        # where a special token may stand, its letters keep their case and it stays in one piece
+        words = text.split() if any(m in text for m in self.marks) else cut(text.lower())
+        for word in memo.missing(words):
+            memo.put(word, self.word(word))
+        ids = b"".join(map(memo.young.__getitem__, words))
+        memo.trim()
+        return ids
 
     def decode(self, ids: bytes | None) -> str:
         """The token strings of ids, special ones too, joined by blanks (the file names no decoder); unknown ids are left out."""

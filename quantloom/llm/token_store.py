@@ -3,82 +3,95 @@
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import default_parallelism, materialize, prepare
-from .bpe import Memo
+from ..cluster import materialize, prepare
 from .dac import Segment, encode
-from .ranges import boundaries
+from .ranges import boundaries, range_count
+from .words import Memo, cut
 
-#: ASCII characters that are neither letters, digits nor blanks; a run of them is a piece of its own after a letter.
-PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-ALPHANUMERIC = frozenset(b for b in range(128) if chr(b).isalnum())
 SEGMENT = "bucket int, segment int, n_ids long, doc_ids array<long>, starts array<long>, data binary"
 
 
 class LibraryTokenizer:
-    """The tokenizers library over whole texts; runs between blanks, which no token spans, are encoded once and remembered.
+    """The tokenizers library over whole texts; words, which no token spans, are encoded once and remembered.
 
-    A run not met before is cut into its letters and the punctuation after them, which are pieces of their own, and
-    A-Z are lower-cased as the library does, so that fewer different strings go to the library.
+    A-Z are lower-cased first where the library does so, and texts are cut at blanks and before punctuation that
+    follows a letter or digit, where a piece ends in any case. Words not met before go to the library as one text with
+    ``0`` between them, whose id tells where each ends. A text with a mark that begins a special token goes there as
+    it is. Ids come as little-endian unsigned integers of ``dtype``: two bytes where the vocabulary allows it.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks; threads of the library would only compete
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode_batch, self.words, self.parts = tokenizer.encode_batch, Memo(remembered), Memo(remembered)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.encode_batch, self.memo = tokenizer.encode_batch_fast, Memo(remembered_bytes)
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.marks = tuple({t.content[:2].encode() for t in tokenizer.get_added_tokens_decoder().values()})
         lowered = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
         self.lower = bytes.lower if lowered else bytes
-
-    def _cut(self, word: bytes) -> tuple[bytes, ...]:
-        """Strings whose ids, one after the other, are those of the word."""
-        core = word.rstrip(PUNCTUATION)
-        if not core or (any(m in word for m in self.marks)):
-            return (word,)
-        last = core[-1]
-        if last < 128:
-            if last not in ALPHANUMERIC:
-                return (word,)
-        elif not core.decode("utf-8", "replace").lower()[-1].isalpha():
-            return (word,)
-        if len(core) == len(word):
-            return (self.lower(core),)
-        return (self.lower(core), word[len(core) :])
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        words, parts = self.words, self.parts
-        split = [text.split() if text else [] for text in texts]
-        found = [list(map(words.get, run)) for run in split]
-        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        fresh = {w: words.find(w) for w in {run[i] for run, gaps in zip(split, holes) for i in gaps}}
-        cut = {w: self._cut(w) for w, ids in fresh.items() if ids is None}
-        known = {p: parts.get(p) for p in set(chain.from_iterable(cut.values()))}
-        for p in [p for p, ids in known.items() if ids is None]:
-            known[p] = parts.find(p)
-        lost = [p for p, ids in known.items() if ids is None]
-        for p, encoded in zip(lost, self.encode_batch([p.decode("utf-8", "replace") for p in lost], add_special_tokens=False)):
-            known[p] = array("I", encoded.ids).tobytes()
-            if len(p) <= 60:
-                parts.put(p, known[p])
-        for w, pieces in cut.items():
-            ids = fresh[w] = known[pieces[0]] if len(pieces) == 1 else known[pieces[0]] + known[pieces[1]]
-            if len(w) <= 60:
-                words.put(w, ids)
-        for run, ids, gaps in zip(split, found, holes):
-            for i in gaps:
-                ids[i] = fresh[run[i]]
-        return [b"".join(ids) for ids in found]
+        zero = tokenizer.encode("0", add_special_tokens=False).ids
+        self.zero = zero[0] if len(zero) == 1 else None
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of strings by the library, one by one."""
+        encoded = self.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of strings without blanks and zeros, encoded as one text."""
+        text = b" 0 ".join(words).decode("utf-8", "replace")
+        ids = np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.zero).tolist()
+        if len(ends) != len(words) - 1:
+            return self._whole(words)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        return [data[a * size : b * size] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of new words into the memory."""
+        plain = [w for w in words if b"0" not in w] if self.zero is not None else []
+        odd = [w for w in words if b"0" in w] if plain else words
+        for group, encode_group in ((plain, self._together), (odd, self._whole)):
+            if group:
+                for word, ids in zip(group, encode_group(group)):
+                    self.memo.put(word, ids)
+
+    def __call__(self, texts: list[bytes | None], at_once: int = 4 << 20) -> list[bytes]:
+        """Ids of each text; null is empty. Texts are taken in groups of about ``at_once`` bytes, which bounds the words held."""
+        out, group, held = [], [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text or b"")
+            if held >= at_once:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[bytes | None]) -> list[bytes]:
+        memo, marks = self.memo, self.marks
+        marked = [i for i, text in enumerate(texts) if text and any(m in text for m in marks)]
+        runs = [cut(self.lower(text)) if text else [] for text in texts]
+        for i in marked:
+            runs[i] = []
+        words: set[bytes] = set()
+        for run in runs:
+            words.update(run)
+        self._learn(memo.missing(words))
+        out = [b"".join(map(memo.young.__getitem__, run)) for run in runs]
+        for i, ids in zip(marked, self._whole([texts[i] for i in marked]) if marked else ()):
+            out[i] = ids
+        memo.trim()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -93,6 +106,7 @@ def write_tokens(
     end_id: int = 2,
     segment_ids: int = 1 << 20,
     chunk_bits: int = 8,
+    range_bytes: int = 256 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -105,23 +119,18 @@ def write_tokens(
     """
     spark = docs.sparkSession
     prepare(spark)
-    edges = np.array(boundaries(docs, id_col, 2 * default_parallelism(spark)), dtype=np.int64)
+    edges = np.array(boundaries(docs, id_col, range_count(docs, text_col, range_bytes)), dtype=np.int64)
 
     def tokenize(batches):
-        tokenizer, end = library_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokenizer = library_tokenizer(tokenizer_path)
+        end = np.array([end_id], tokenizer.dtype).tobytes()
         for batch in batches:
             keys = batch.column("doc_id")
             values = np.array([-(1 << 63) if k is None else k for k in keys.to_pylist()], dtype=np.int64)
-            ids = [found + end for found in tokenizer(batch.column("text").to_pylist())]
-            # two bytes for each id where they are enough
-            narrow = [np.frombuffer(x, "<u4") for x in ids]
-            narrow = [x.astype("<u2").tobytes() if int(x.max()) < 65536 else b"" for x in narrow]
-            wide = [None if n else x for n, x in zip(narrow, ids)]
+            ids = pa.array([found + end for found in tokenizer(batch.column("text").to_pylist())], pa.binary())
+            width = pa.array(np.full(len(values), tokenizer.dtype.itemsize, np.int32))
             buckets = np.searchsorted(edges, values, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets), keys, batch.column("tie"), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary())],
-                names=["bucket", "doc_id", "tie", "narrow", "wide"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), keys, batch.column("tie"), width, ids], names=["bucket", "doc_id", "tie", "width", "ids"])
 
     def pack(batches):
         held: dict = {"docs": [], "starts": [], "ids": []}
@@ -138,15 +147,14 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["bucket", "segment", "n_ids", "doc_ids", "starts", "data"])
 
         for batch in batches:
-            for bucket, doc_id, narrow, wide in zip(*(batch.column(c) for c in ("bucket", "doc_id", "narrow", "wide"))):
-                if bucket.as_py() != state["bucket"] or state["n"] >= segment_ids:
+            for bucket, doc_id, width, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "width", "ids"))):
+                if bucket != state["bucket"] or state["n"] >= segment_ids:
                     if out := flush():
                         yield out
-                    if bucket.as_py() != state["bucket"]:
-                        state |= {"bucket": bucket.as_py(), "segment": 0}
-                wide = wide.as_py()
-                ids = np.frombuffer(wide, "<u4") if wide else np.frombuffer(narrow.as_py(), "<u2")
-                held["docs"].append(doc_id.as_py())
+                    if bucket != state["bucket"]:
+                        state |= {"bucket": bucket, "segment": 0}
+                ids = np.frombuffer(data, f"<u{width}")
+                held["docs"].append(doc_id)
                 held["starts"].append(state["n"])
                 held["ids"].append(ids.astype(np.uint32))
                 state["n"] += len(ids)
@@ -156,7 +164,7 @@ def write_tokens(
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").cast("binary").alias("text")
     )
-    ids = source.mapInArrow(tokenize, "bucket int, doc_id long, tie long, narrow binary, wide binary")
+    ids = source.mapInArrow(tokenize, "bucket int, doc_id long, tie long, width int, ids binary")
     ordered = ids.repartition(len(edges) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
     ordered.mapInArrow(pack, SEGMENT).write.option("compression", "uncompressed").parquet(path)
 

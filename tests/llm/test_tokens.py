@@ -26,7 +26,7 @@ ALPHABET = list("abc ABC'sΣςσİıßﬁ’ \t\n\x0b\x1c\x1f\x85\xa0​ 　é
 def test_own_encoding_is_the_library_s(text):
     expected = LIBRARY.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(OWN.encode(text.encode()), "<u4").tolist() == expected
-    assert np.frombuffer(CACHED([text.encode()])[0], "<u4").tolist() == expected
+    assert np.frombuffer(CACHED([text.encode()])[0], CACHED.dtype).tolist() == expected
     assert OWN.decode(np.array(expected, "<u4").tobytes()) == LIBRARY.decode(expected, skip_special_tokens=False)
 
 
@@ -38,11 +38,11 @@ def test_long_run_without_blanks():
 def test_small_memory_changes_nothing():
     r = random.Random(3)
     texts = [" ".join("".join(r.choices("abcdef", k=r.randint(1, 6))) for _ in range(80)) for _ in range(30)]
-    own, cached = Bpe(PATH, remembered=7), LibraryTokenizer(PATH, remembered=7)
+    own, cached = Bpe(PATH, remembered_bytes=700), LibraryTokenizer(PATH, remembered_bytes=700)
     for text in texts:
         expected = LIBRARY.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == expected
-        assert np.frombuffer(cached([text.encode()])[0], "<u4").tolist() == expected
+        assert np.frombuffer(cached([text.encode()])[0], cached.dtype).tolist() == expected
 
 
 @settings(max_examples=150, deadline=None)
