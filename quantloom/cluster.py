@@ -13,9 +13,14 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset (local runs, tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is set where that is unset in a local session.
+
+    On a cluster without that setting this is an error, as executors do not see the driver's folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = Path(tempfile.mkdtemp(prefix="quantloom-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
