@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import default_parallelism
+from ..cluster import materialize, prepare
 
+SEED = 23
+MOST_TASKS = 100_000  # a task takes several groups beyond that, one after the other
 PACKED = "doc_id long, source string, cluster long, piece int, start long, length long, bin_id long, bin_offset long"
 
 
@@ -76,15 +81,15 @@ class Bins:
         return chosen, self.capacity - residual
 
 
-def pack_group(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Best-fit decreasing over one group of pieces: adds ``bin`` and ``bin_offset``; rows come back in packing order."""
-    items = items.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    sources = {s: 1 << i for i, s in enumerate(dict.fromkeys(items["source"]))}
-    counts = items["cluster"].value_counts()
-    clusters = {c: 1 << i for i, c in enumerate(counts[counts > 1].index)}  # a cluster of one cannot conflict
+def pack_group(lengths: list[int], sources: list[str], clusters: list[int | None], capacity: int) -> tuple[list[int], list[int]]:
+    """(bins, offsets) of pieces in the order given: each goes to the tightest open bin that is compatible."""
+    source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
+    counts = Counter(clusters)
+    repeated = [c for c, n in counts.items() if n > 1 and c is not None]  # a cluster of one cannot conflict
+    cluster_bit = {c: 1 << i for i, c in enumerate(repeated)}
     bins = Bins(capacity)
-    places = [bins.place(n, sources[s], clusters.get(c, 0)) for n, s, c in zip(items["length"].tolist(), items["source"].tolist(), items["cluster"].tolist())]
-    return items.assign(bin=[b for b, _ in places], bin_offset=[o for _, o in places])
+    places = [bins.place(n, source_bit[s], cluster_bit.get(c, 0)) for n, s, c in zip(lengths, sources, clusters)]
+    return [b for b, _ in places], [o for _, o in places]
 
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, source_col: str, cluster_col: str | None) -> DataFrame:
@@ -114,35 +119,46 @@ def pack(
     texts are cut into pieces, of which all but the last fill a bin. No bin holds two pieces of one source or of one
     duplicate cluster. Clusters are those of ``cluster_col``, or else of equal texts but for case and blanks.
 
-    Pieces are dealt evenly over tasks without their texts, whatever their source; each task packs groups of
-    ``group`` pieces, so memory is bounded and a task computed again gives the same bins. Null texts and texts
-    without words have no piece; a null source is the source ''; a null cluster is that of its own value; repeated rows are packed
-    each; other columns are not looked at; an empty table gives no bins.
+    Pieces are dealt without their texts into groups of about ``group`` by a seeded hash of the piece and its number
+    among equal ones, whatever their source; each group is packed by itself, largest pieces first, ties by id, piece,
+    source and cluster. So memory is bounded, and the same pieces give the same bins whatever tasks are run again.
+    Null texts and texts without words have no piece; a null source is the source ''; a null cluster conflicts with
+    nothing; a null id stays null; repeated rows are packed each; other columns are not looked at, whatever their
+    names; an empty table gives no bins.
     """
+    spark = docs.sparkSession
+    prepare(spark)
+    cut = pieces(docs, capacity, id_col, text_col, source_col, cluster_col)
+    # equal pieces are counted first and numbered afterwards, so that many of them spread over the groups
+    counted = cut.groupBy(*cut.columns).agg(F.count("*").alias("copies"))
+    counted = materialize(counted, "pieces")
+    total = counted.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    groups = max(1, -(-total // group))
+    numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    dealt = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "source", "cluster", "piece", "copy"), F.lit(groups)).cast("int")
+    order = ("group", F.desc("length"), "doc_id", "piece", "source", "cluster")
+    ordered = numbered.withColumn("group", dealt).repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions(*order)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        partition, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        held: list[pa.RecordBatch] = []
 
         def packed():
-            nonlocal number
-            out = pack_group(pd.concat(held, ignore_index=True), capacity)
-            out["bin_id"] = (partition << 36) + number + out.pop("bin")
-            number += int(out["bin_id"].max()) - ((partition << 36) + number) + 1
-            return out[["doc_id", "source", "cluster", "piece", "start", "length", "bin_id", "bin_offset"]]
+            table = pa.Table.from_batches(held)
+            bins, offsets = pack_group(*(table.column(c).to_pylist() for c in ("length", "source", "cluster")), capacity)
+            number = table.column("group")[0].as_py()
+            columns = [*(table.column(c).combine_chunks() for c in ("doc_id", "source", "cluster", "piece", "start", "length"))]
+            columns += [pa.array([(number << 32) + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "cluster", "piece", "start", "length", "bin_id", "bin_offset"])
 
         for batch in batches:
-            while len(batch):
-                part, batch = batch.iloc[: group - size], batch.iloc[group - size :]
-                held.append(part)
-                size += len(part)
-                if size == group:
+            numbers = batch.column("group").to_numpy()
+            for low, high in zip(edges := [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist()], [*edges[1:], len(numbers)]):
+                if held and high > low and held[0].column("group")[0].as_py() != numbers[low]:
                     yield packed()
-                    held, size = [], 0
-        if size:
+                    held.clear()
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        if held:
             yield packed()
 
-    spark = docs.sparkSession
-    dealt = pieces(docs, capacity, id_col, text_col, source_col, cluster_col).repartition(default_parallelism(spark))
-    return dealt.mapInPandas(run, PACKED)
+    return ordered.mapInArrow(run, PACKED)
