@@ -17,9 +17,7 @@ U = np.uint64
 #: n-grams of 4 bytes, and of one and two words: two families, each hashed into buckets of its own.
 BYTE_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 BUCKETS = BYTE_BUCKETS + WORD_BUCKETS
-#: n-grams of each family that a weight stands for: the sum over a text of this length, so that weights of short and long texts compare.
-NOMINAL = 256
-REPEAT = U(0xB5297A4D3F84D5B5)  # stands for any pair of equal words
+REPEAT = U(0xB5297A4D3F84D5B5)  # any pair of equal words is one feature, so that repetition is weighed as such
 
 
 class NGrams:
@@ -56,7 +54,7 @@ def labelled_sample(labels: DataFrame, most: int, seed: int = 5) -> dict[int, in
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     share = min(1.0, most / max(1, labels.count()))
     drawn = labels.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return {r["doc_id"]: r["quality"] for r in drawn.limit(2 * most).collect()}
+    return {r["doc_id"]: r["quality"] for r in drawn.collect()}  # the share bounds it
 
 
 def fit_ratio(docs: DataFrame, sample: dict[int, int], id_col: str, text_col: str, prior: float = 10.0) -> np.ndarray:
@@ -99,22 +97,22 @@ def fit_ratio(docs: DataFrame, sample: dict[int, int], id_col: str, text_col: st
     return ratio
 
 
-def weigh(ratio: np.ndarray, found: np.ndarray) -> float | None:
-    """Log weight of a text from its buckets: the mean log ratio of each family, times the nominal length; null without n-grams."""
+def weigh(ratio: np.ndarray, found: np.ndarray, excerpt: int) -> float | None:
+    """Log weight of a text from its buckets: the log ratio that ``excerpt`` n-grams of each family have on average; null without n-grams."""
     if not len(found):
         return None
     values, words = ratio[found], found >= BYTE_BUCKETS
     means = [float(part.sum()) / len(part) for part in (values[~words], values[words]) if len(part)]
-    return NOMINAL * sum(means)
+    return excerpt * sum(means)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry: list[str], excerpt: int) -> DataFrame:
     """The columns ``carry`` with ``log_weight`` (null without n-grams) and ``row_key``."""
 
     def run(batches):
         grams = NGrams()
         for batch in batches:
-            weights = [weigh(ratio, grams(text.as_py())) for text in batch.column("__text")]
+            weights = [weigh(ratio, grams(text.as_py()), excerpt) for text in batch.column("__text")]
             passed = batch.select([*carry, "row_key"]) if carry else batch.select(["row_key"])
             yield pa.RecordBatch.from_arrays([*passed.columns, pa.array(weights, pa.float64())], names=[*passed.schema.names, "log_weight"])
 
@@ -174,6 +172,7 @@ def importance_resample(
     labels: DataFrame,
     most_labels: int = 20_000,
     seed: int = 11,
+    excerpt: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: list[str] | None = None,
@@ -182,9 +181,11 @@ def importance_resample(
 
     Two n-gram models are counted over the documents: raw from all of them, target from those that a sample of at
     most about ``most_labels`` rows of ``labels(doc_id, quality)`` calls good. ``log_weight`` is the log ratio of
-    the two probabilities of a document at a nominal length, ``score`` adds Gumbel noise seeded by the row, and the
-    k greatest scores are kept: a sample without replacement in proportion to the weights. k is the number of
-    documents above the cut between good and bad ones in a third of the sample that the models were not fitted on.
+    the two probabilities of an excerpt of ``excerpt`` n-grams of each family: texts of all lengths compare, and the
+    excerpt is the temperature of the draw (the longer, the closer to a plain threshold). ``score`` adds standard
+    Gumbel noise seeded by the row, and the k greatest scores are kept: a sample without replacement in proportion to
+    the weights. k is the number of documents whose weight is above the cut between good and bad ones in a third of
+    the sample that the models were not fitted on.
 
     Null and blank texts have a null weight and are not kept. Rows that tie with the k-th score are all kept, so
     equal rows get equal results. Without labels of both kinds every text with n-grams is kept. Columns named like
@@ -197,7 +198,7 @@ def importance_resample(
     held_out = {i: q for i, q in sample.items() if xxhash.xxh3_64_intdigest(str(i), seed) % 3 == 0}
     fitted = {i: q for i, q in sample.items() if i not in held_out}
     ratio = fit_ratio(docs, fitted, id_col, text_col) if any(fitted.values()) else np.zeros(BUCKETS)
-    weighed = materialize(log_weights(docs, ratio, id_col, text_col, carry), "weights")
+    weighed = materialize(log_weights(docs, ratio, id_col, text_col, carry, excerpt), "weights")
     if held_out and id_col in carry:
         ids = docs.sparkSession.createDataFrame(list(held_out.items()), "__id long, __quality int")
         known = weighed.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).where("log_weight is not null")  # as many rows as were sampled
