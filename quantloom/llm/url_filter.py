@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize
 
-#: Suffixes of two labels under which names are registered; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za")
+#: Second labels under which names are registered below a country's two letters (``co.uk``, ``gov.au``, ``or.jp``).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 
 #: (action, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (
@@ -30,12 +30,35 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def domain_and_suffix(host: Column, two_label_suffixes=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host."""
-    last_two = F.substring_index(host, ".", -2)
-    suffix = F.when(last_two.isin(*two_label_suffixes), last_two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(last_two.isin(*two_label_suffixes), F.substring_index(host, ".", -3)).otherwise(last_two)
-    return domain, suffix
+def domain_and_suffix(host: Column, second_level=SECOND_LEVEL) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, without its user and port.
+
+    The suffix is the last label, or the last two where a country's two letters follow one of ``second_level``; a host
+    that is an address of digits is its own domain and suffix. A full suffix list can be given by joining it before.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    long_suffix = name.rlike(rf"(^|\.)({'|'.join(second_level)})\.[a-z]{{2}}$")
+    suffix = F.when(long_suffix, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(long_suffix, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    address = name.rlike(r"^[0-9.]+$|^\[")
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
+
+
+def probability_above(a: Column, b: Column, rate: float, points: int = 1000) -> Column:
+    """Probability that a rate with the posterior Beta(a, b) exceeds ``rate``: the density summed over even points."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: (i + F.lit(0.5)) / F.lit(float(points)))
+    logs = F.transform(places, lambda x: F.struct(x.alias("x"), ((a - 1) * F.log(x) + (b - 1) * F.log(1 - x)).alias("log")))
+
+    def share(found):
+        top = F.array_max(F.transform(found, lambda p: p["log"]))
+
+        def parts(most):
+            add = lambda keep: F.aggregate(found, F.lit(0.0), lambda s, p: s + F.when(keep(p), F.exp(p["log"] - most)).otherwise(0.0))
+            return add(lambda p: p["x"] > F.lit(rate)) / add(lambda p: p["x"] > F.lit(0.0))
+
+        return F.get(F.transform(F.array(top), parts), F.lit(0))
+
+    return F.get(F.transform(F.array(logs), share), F.lit(0))
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -63,7 +86,7 @@ def _with_strength(level: DataFrame, parent_mean: str, children: DataFrame, most
 
 
 def reputations(outcomes: DataFrame, base_strength: float = 10.0, most_strength: float = 200.0, hosts: DataFrame | None = None) -> DataFrame:
-    """Posterior bad rate of every labelled host and of every one of ``hosts(host)``: (host, labelled, bad, mean, deviation).
+    """Posterior Beta(a, b) of the bad rate of every labelled host and of every one of ``hosts(host)``: (host, labelled, bad, mean, a, b).
 
     ``outcomes(host, bad)`` has one row per labelled page, bad 0 or 1. Counts are summed per host first, so that a
     host with most of the pages is one row afterwards. The prior of a suffix is the overall rate with
@@ -104,7 +127,7 @@ def reputations(outcomes: DataFrame, base_strength: float = 10.0, most_strength:
     hosts = hosts.join(domains.select("domain", "domain_mean", strength), "domain")
     total = F.col("n") + F.col("strength")
     mean = (F.col("s") + F.col("strength") * F.col("domain_mean")) / total
-    return hosts.select("host", F.col("n").alias("labelled"), F.col("s").alias("bad"), mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("deviation"))
+    return hosts.select("host", F.col("n").alias("labelled"), F.col("s").alias("bad"), mean.alias("mean"), (mean * total).alias("a"), ((1 - mean) * total).alias("b"))
 
 
 def judge_urls(
@@ -113,20 +136,23 @@ def judge_urls(
     rules=RULES,
     url_col: str = "url",
     max_bad: float = 0.4,
-    z: float = 1.645,
+    confidence: float = 0.95,
 ) -> DataFrame:
-    """Add ``host, path, rule, verdict`` and the host's posterior (``bad_mean, bad_bound``) to every page.
+    """Add ``host, path, rule, verdict`` and the host's posterior (``bad_mean, bad_probability``) to every page.
 
-    ``outcomes(host, bad)``: labelled pages. A rule's action wins; else a page is blocked if the lower ``z`` bound of
-    its host's posterior bad rate exceeds ``max_bad``. A host without labels is judged by its prior from its domain,
+    ``outcomes(host, bad)``: labelled pages. A rule's action wins; else a page is blocked if the lower bound of its
+    host's posterior bad rate exceeds ``max_bad``, that is, if the rate exceeds it with at least the probability
+    ``confidence`` (``bad_probability``). A host without labels is judged by its prior from its domain,
     suffix or all labels; null and odd urls have no host and are allowed. Existing columns of these names are replaced; all rows are returned, repeated ones too.
     """
     host, path = host_and_path(F.col("__url"))
-    taken = {"host", "path", "rule", "verdict", "bad_mean", "bad_bound", "__url"}
+    taken = {"host", "path", "rule", "verdict", "bad_mean", "bad_probability", "__url"}
     judged = pages.withColumn("__url", F.col(url_col)).withColumns({"__host": host, "__path": path})
     judged = judged.select(*(c for c in pages.columns if c not in taken or c == url_col), F.col("__host").alias("host"), F.col("__path").alias("path"))
-    known = reputations(outcomes, hosts=judged.where(F.col("host") != "").select("host")).select(F.col("host").alias("__known"), F.col("mean").alias("bad_mean"), (F.col("mean") - z * F.col("deviation")).alias("bad_bound"))
+    known = reputations(outcomes, hosts=judged.where(F.col("host") != "").select("host")).select(F.col("host").alias("__known"), F.col("mean").alias("bad_mean"), "a", "b")
+    # written once: the probability is worked out for each host, not for each page
+    known = materialize(known.select("__known", "bad_mean", probability_above(F.col("a"), F.col("b"), max_bad).alias("bad_probability")), "reputations")
     judged = judged.join(known, F.col("host") == F.col("__known"), "left").drop("__known")
     best = matching_rule(F.col("host"), F.col("path"), rules)
-    by_method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
+    by_method = F.when(F.col("bad_probability") >= confidence, "block").otherwise("allow")
     return judged.withColumn("rule", best["rule"]).withColumn("verdict", F.coalesce(best["action"], by_method))
