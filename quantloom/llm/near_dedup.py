@@ -70,7 +70,7 @@ def _sets(words: int, flush: int = 1 << 20):
     return run
 
 
-def _row_key(id_col: str, text_col: str):
+def row_key(id_col: str, text_col: str):
     """Names a row by id and text, nulls included; rows equal in both are interchangeable."""
     return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
 
@@ -84,7 +84,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``threshold`` (a fraction) or more.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, kept`` and ``digest`` (names the shingle set).
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept``, ``digest`` (names the shingle set),
+    ``component`` (names the group, also where ids repeat) and ``row_key`` (names the row by id and text).
 
     1. One pass over the texts gives each row its set's digest, size, banded bucket keys and a bit sketch.
        Rows with one digest are one class, so copies are never paired.
@@ -95,7 +96,7 @@ def near_duplicates(
        components, by size and sketch within the join, and what is left is confirmed: so links between members
        that no centre reaches are found too. A group that the stars joined is not paired any more.
 
-    Null and blank texts have no shingles and stay alone. Equal rows get equal results. A null id counts as larger
+    One set is read for all rows of a class. Null and blank texts have no shingles and stay alone. Equal rows get equal results. A null id counts as larger
     than any other: such a row is kept (as null) only if its component has no other id. An empty table gives an
     empty result; other columns of ``docs`` are not looked at, whatever their names.
     """
@@ -103,7 +104,7 @@ def near_duplicates(
     prepare(spark)
     share = threshold[0] / threshold[1]
     bands, rows = banding(share, BINS)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
     features = materialize(
         docs.select("row_key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_features(words, bands, rows), FEATURES), "features"
     )
@@ -113,10 +114,10 @@ def near_duplicates(
     named = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     named = materialize(named, "classes")
     components = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(components, "label").select("digest", "component_id")
-    out = features.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = named.join(components, "label").select("digest", "component_id", F.col("label").alias("component"))
+    out = features.select("doc_id", "n_shingles", "digest", "row_key").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest", "component", "row_key")
 
 
 def _differing(name: str, words: int):
