@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import default_parallelism
+
+#: Buckets that a task shuffles one after the other; their rows are in memory together at most.
+BUCKETS_A_TASK = 16
+
 RESERVED = ("shard", "slot", "bucket", "position")
 
 
@@ -47,7 +52,9 @@ def shuffled_shards(
     # a fixed order first, so that a bucket computed again after a lost executor is shuffled alike
     order = F.xxhash64(F.lit(seed + 2), F.col(key_col), F.col(text_col))
     row = F.struct(order.alias("order"), F.struct(*kept).alias("record"))
-    scattered = placed.repartition(shards * per_shard, "shard", "bucket")
+    buckets = shards * per_shard
+    tasks = max(-(-buckets // BUCKETS_A_TASK), min(buckets, default_parallelism(records.sparkSession)))
+    scattered = placed.repartition(tasks, "shard", "bucket")
     gathered = scattered.groupBy("shard", "bucket").agg(F.collect_list(row).alias("rows")).sortWithinPartitions("shard", "bucket")
     by_order = F.array_sort("rows", lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0))
     dealt = gathered.select("shard", "bucket", F.shuffle(by_order, F.lit(seed)).alias("rows"))

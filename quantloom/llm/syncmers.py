@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import default_parallelism
-from .ranges import boundaries, bucket_of
+from .ranges import boundaries, bucket_of, range_count
 
 #: Symbols of a k-mer, symbols of the inner substring that must be minimal at an edge.
 K, S = 5, 2
 
+#: Bytes of text in a range of ids that one task reads, about.
+RANGE_BYTES = 128 << 20
+
 #: Bits of an anchor's position in a sketch.
 POSITION_BITS = 28
 
@@ -130,7 +132,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     afterwards and never moved.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    edges = boundaries(docs, "doc_id", buckets or default_parallelism(docs.sparkSession))
+    edges = boundaries(docs, "doc_id", buckets or range_count(docs, "text", RANGE_BYTES))
     # bucket 0 is the first in descending order; null ids go with the lowest ids
     keyed = docs.withColumn("bucket", F.lit(len(edges)) - bucket_of(F.col("doc_id"), edges)).withColumn("tie", F.xxhash64("text"))
     place = F.struct((-F.col("doc_id")).isNull().alias("nulls"), (-F.col("doc_id")).alias("down"), "tie")
