@@ -12,7 +12,7 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(docs: DataFrame, ratio: float, z: float, min_on: int, min_pages: int, host_col: str, text_col: str) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, ratio: float, z: float, min_on: int, host_col: str, text_col: str) -> DataFrame:
     """One row per host with boilerplate: (host, lines), the hashes of lines that are surely on more than ``ratio`` of its pages.
 
     Sure means that the lower ``z`` bound (Wilson's) of on/pages exceeds the ratio, which is the same as
@@ -23,7 +23,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float, z: float, min_on: int, min_
     """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     pages = pages.select("host", F.xxhash64("text").alias("page"), F.array_distinct(F.transform(F.split("text", "\n"), _line_hash)).alias("lines"))
-    totals = pages.groupBy("host", "page").count().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host", "page").count().groupBy("host").agg(F.count("*").alias("pages"))
     shared = pages.select("host", "page", F.explode("lines").alias("line")).where(F.col("line") != _line_hash(F.lit("")))
     shared = shared.groupBy("host", "line", "page").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("on"))
     shared = shared.where(F.col("on") >= min_on)
@@ -34,7 +34,6 @@ def boilerplate_lines(docs: DataFrame, ratio: float, z: float, min_on: int, min_
 def drop_boilerplate_lines(
     docs: DataFrame,
     ratio: float = 0.01,
-    min_pages: int = 1,
     host_col: str = "source",
     text_col: str = "text",
     z: float = 2.326,
@@ -43,12 +42,11 @@ def drop_boilerplate_lines(
     """``docs`` with boilerplate lines taken out of ``text_col``; adds ``dropped_lines`` (long).
 
     A line (compared without outer blanks) is boilerplate if it is on ``min_on`` distinct pages of its host or more
-    and the lower ``z`` bound of its share of them exceeds ``ratio``; hosts with fewer than ``min_pages`` distinct pages
-    have none, and blank lines are never any. Every row
-    comes back, its other columns as they were: a null text stays null with 0 dropped lines, a text of nothing but
+    and the lower ``z`` bound of its share of them exceeds ``ratio``, by the same rule at every size of host; blank
+    lines are never any. Every row comes back, its other columns as they were: a null text stays null with 0 dropped lines, a text of nothing but
     boilerplate becomes empty, a null host is a host of its own. A column named ``dropped_lines`` is replaced.
     """
-    found = materialize(boilerplate_lines(docs, ratio, z, min_on, min_pages, host_col, text_col), "boilerplate").select(
+    found = materialize(boilerplate_lines(docs, ratio, z, min_on, host_col, text_col), "boilerplate").select(
         F.col("host").alias("__host"), F.col("lines").alias("__lines")
     )
     kept_columns = [c for c in docs.columns if c != "dropped_lines"]

@@ -39,11 +39,11 @@ FROM component c LEFT JOIN degree USING (vec_id)
 
 OP8 = r"""
 WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL
-), totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY 1 HAVING count(*) >= 10
+), totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY 1
 ), lines AS (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10)))) AS line FROM pages
 ), boilerplate AS (
   SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 2 AND count(*) > 0.1::DOUBLE * pages
+  WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 3 AND count(*) > 0.01::DOUBLE * pages + 2.326::DOUBLE * sqrt(0.01::DOUBLE * (1 - 0.01::DOUBLE) * pages)
 ), per_source AS (SELECT source, list(line) AS lines FROM boilerplate GROUP BY 1
 ), kept AS (
   SELECT doc_id, d.source, text, string_split(text, chr(10)) AS all_lines,
@@ -63,39 +63,46 @@ WITH cut AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), outcomes AS (
-  SELECT host, 1 - quality AS bad FROM judged JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/(\d{1,18})', 1) AS BIGINT)
+  SELECT host, 1 - quality AS bad FROM judged JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l
+    ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/(\d{1,18})', 1) AS BIGINT)
   WHERE quality IS NOT NULL
+), counted AS (
+  SELECT host, sum(n)::DOUBLE AS n, sum(s)::DOUBLE AS s FROM (SELECT host, 1 AS n, bad AS s FROM outcomes UNION ALL SELECT host, 0, 0 FROM judged WHERE host <> '') GROUP BY 1
+), names AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM counted
 ), parts AS (
-  SELECT host, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS last_two, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS s
-  FROM outcomes GROUP BY host
-), two AS (
-  SELECT *, last_two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'com.cn', 'co.za') AS long_suffix FROM parts
+  SELECT *, string_split(name, '.') AS p, regexp_matches(name, '(^|\.)(ac|co|com|edu|go|gob|gov|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2}$') AS long_suffix,
+    regexp_matches(name, '^[0-9.]+$|^\[') AS address FROM names
 ), hosts AS (
-  SELECT host, n, s, CASE WHEN long_suffix THEN array_to_string(p[-3:], '.') ELSE last_two END AS domain,
-    CASE WHEN long_suffix THEN last_two ELSE p[-1] END AS suffix FROM two
+  SELECT host, n, s, CASE WHEN address THEN name WHEN long_suffix THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+    CASE WHEN address THEN name WHEN long_suffix THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM parts
 ), domains AS (SELECT suffix, domain, sum(n) AS n, sum(s) AS s FROM hosts GROUP BY 1, 2
 ), suffixes0 AS (SELECT suffix, sum(n) AS n, sum(s) AS s FROM domains GROUP BY 1
 ), overall AS (SELECT (sum(s) + 1) / (sum(n) + 2) AS m FROM suffixes0
-), suffixes1 AS (SELECT suffix, (s + 10.0::DOUBLE * m) / (n + 10.0::DOUBLE) AS m FROM suffixes0, overall
+), suffixes1 AS (SELECT suffix, n, (s + 10.0::DOUBLE * m) / (n + 10.0::DOUBLE) AS m FROM suffixes0, overall
 ), spread_s AS (
-  SELECT d.suffix, count(*) AS c, sum(n * ((s / n - m) ** 2 - m * (1 - m) / n)) / sum(n) AS between_ FROM domains d JOIN suffixes1 USING (suffix) GROUP BY 1
+  SELECT d.suffix, count(*) AS c, sum(d.n * ((d.s / d.n - m) ** 2 - m * (1 - m) / d.n)) / sum(d.n) AS between_ FROM domains d JOIN suffixes1 USING (suffix) WHERE d.n > 0 GROUP BY 1
 ), suffixes AS (
-  SELECT suffix, m, CASE WHEN c >= 2 AND between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1.0::DOUBLE), 200.0::DOUBLE) ELSE 200.0::DOUBLE END AS k
+  SELECT suffix, m, CASE WHEN n = 0 THEN 10.0::DOUBLE WHEN c >= 2 AND between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1.0::DOUBLE), 200.0::DOUBLE) ELSE 200.0::DOUBLE END AS k
   FROM suffixes1 LEFT JOIN spread_s USING (suffix)
-), domains1 AS (SELECT domain, (s + k * m) / (n + k) AS m FROM domains JOIN suffixes USING (suffix)
+), domains1 AS (SELECT suffix, domain, n, k AS given, (s + k * m) / (n + k) AS m FROM domains JOIN suffixes USING (suffix)
 ), spread_d AS (
-  SELECT h.domain, count(*) AS c, sum(n * ((s / n - m) ** 2 - m * (1 - m) / n)) / sum(n) AS between_ FROM hosts h JOIN domains1 USING (domain) GROUP BY 1
+  SELECT h.domain, count(*) AS c, sum(h.n * ((h.s / h.n - m) ** 2 - m * (1 - m) / h.n)) / sum(h.n) AS between_ FROM hosts h JOIN domains1 USING (domain) WHERE h.n > 0 GROUP BY 1
 ), domains2 AS (
-  SELECT domain, m, CASE WHEN c >= 2 AND between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1.0::DOUBLE), 200.0::DOUBLE) ELSE 200.0::DOUBLE END AS k
+  SELECT domain, m, CASE WHEN n = 0 THEN given WHEN c >= 2 AND between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1.0::DOUBLE), 200.0::DOUBLE) ELSE 200.0::DOUBLE END AS k
   FROM domains1 LEFT JOIN spread_d USING (domain)
-), known AS (SELECT host, (s + k * m) / (n + k) AS mean, n + k AS total FROM hosts JOIN domains2 USING (domain)
+), posterior AS (SELECT host, s + k * m AS a, n + k - (s + k * m) AS b FROM hosts JOIN domains2 USING (domain)
+), grid AS (
+  SELECT host, x, (a - 1) * ln(x) + (b - 1) * ln(1 - x) AS l FROM posterior, (SELECT (i + 0.5::DOUBLE) / 1000::DOUBLE AS x FROM range(1000) t(i))
+), tops AS (SELECT host, max(l) AS top FROM grid GROUP BY 1
+), known AS (
+  SELECT host, sum(exp(l - top)) FILTER (x > 0.4::DOUBLE) / sum(exp(l - top)) AS probability FROM grid JOIN tops USING (host) GROUP BY 1
 ), rules(action, rule_host, rule_path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), best AS (
   SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
   FROM judged JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1
 )
-SELECT j.page_id, j.host, j.path, rule,
-  coalesce(action, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (total + 1)) > 0.4::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+SELECT j.page_id, j.host, j.path, rule, coalesce(action, CASE WHEN probability >= 0.95::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN known USING (host) LEFT JOIN best USING (page_id)
 """

@@ -94,9 +94,8 @@ def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are on over a tenth of their source's pages: the rule of the SQL twin, looser than the operator's own."""
-    cleaned = drop_boilerplate_lines(table(spark, sf_dir, "documents"), ratio=0.1, min_pages=10, z=0.0, min_on=2)
-    return cleaned.select("doc_id", "source", "text", "dropped_lines")
+    """Documents without the lines that are surely on over a hundredth of their source's pages."""
+    return drop_boilerplate_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "dropped_lines")
 
 
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +116,9 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("__url"))
     numbered = pages.withColumn("__url", F.col("url")).select(host.alias("host"), F.regexp_extract(path, r"^/[^/]*/(\d{1,18})", 1).alias("number"))
     numbered = numbered.where(F.col("number") != "").select("host", F.col("number").cast("long").alias("doc_id"))
-    return numbered.join(labels.select("doc_id", "quality"), "doc_id").select("host", (1 - F.col("quality")).alias("bad"))
+    # one outcome for each labelled document: bad if any of its labels is
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return numbered.join(labels, "doc_id").select("host", (1 - F.col("quality")).alias("bad"))
 
 
 QUERIES = {

@@ -1,20 +1,24 @@
 """Syncmers, sharding, packing, lines, urls, quality and the pipeline on small fixtures."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm import syncmers
 from quantloom.llm.line_dedup import drop_boilerplate_lines
 from quantloom.llm.packing import pack
-from quantloom.llm.quality import importance_resample, kth_largest, margin
-from quantloom.llm.registry import QUERIES
+from quantloom.llm.quality import gumbel, importance_resample, kth_largest, margin
+from quantloom.llm.registry import QUERIES, page_outcomes
 from quantloom.llm.sharding import shard_of, shuffled_shards, write_shards
-from quantloom.llm.url_filter import judge_urls, reputations
+from quantloom.llm.url_filter import domain_and_suffix, judge_urls, probability_above, reputations
 
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu") for b in ("la", "me", "ni", "ro", "su", "ta")]
 
@@ -44,7 +48,7 @@ def expected_next(rows):
 
 @pytest.mark.parametrize("buckets", [1, 3, 50])
 def test_next_document_and_edit(spark, buckets):
-    rows = [r for r in corpus(1, 40) if r[0] % 3] + [r for r in EDGE[1:5]]
+    rows = [r for r in corpus(1, 40) if r[0] % 3] + [r for r in EDGE[1:5]] + [EDGE[6]]
     nxt = expected_next(rows)
     out = syncmers.with_next(documents(spark, rows), buckets).withColumn("edited", syncmers.edited(F.col("text"), F.col("next_text"))).collect()
     assert len(out) == len(rows)
@@ -54,6 +58,19 @@ def test_next_document_and_edit(spark, buckets):
         assert r.edited == r.text[: len(r.text) - cut] + r.next_text[:cut]
 
 
+def test_next_document_with_null_and_repeated_ids(spark):
+    rows = [*EDGE, (None, "second without id", None, None, None), (None, None, None, None, None), (904, "other", "en", "s", 1)]
+    out = syncmers.with_next(documents(spark, rows), 4).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out) == sorted((i is None, i or 0, t or "") for i, t, *_ in rows)
+    # the next ones are the same rows, each followed once, in descending order of ids with null ids last
+    assert sorted(r.next_text for r in out) == sorted(r.text for r in out)
+    following = {}
+    for r in out:
+        following.setdefault(r.doc_id, []).append(r.next_text)
+    assert set(following[904]) & {"other", EDGE[6][1]} and "one" in following[904] + following[903]
+    assert syncmers.with_next(documents(spark, [])).count() == 0
+
+
 def brute_anchors(spark, text):
     """Closed syncmers by their definition, on Spark's own hashes of the pieces."""
     import re
@@ -150,44 +167,63 @@ def test_op5_contract(spark, sf_small):
 # packing
 
 def brute_pack(items, capacity):
-    """Tightest compatible bin by looking at all of them."""
-    bins = []
+    """(bin, offset) of each (length, source, cluster): the tightest compatible bin of all, of equals the one that got there first."""
+    bins, out, clock = [], [], 0
     for n, s, c in items:
-        fits = [b for b in bins if b[0] >= n and s not in b[1] and c not in b[2]]
-        best = min(fits, key=lambda b: b[0], default=None)
+        fits = [b for b in range(len(bins)) if bins[b]["left"] >= n and s not in bins[b]["s"] and (c is None or c not in bins[b]["c"])]
+        best = min(fits, key=lambda b: (bins[b]["left"], bins[b]["since"]), default=None)
         if best is None:
-            best = [capacity, set(), set()]
-            bins.append(best)
-        best[0] -= n
-        best[1].add(s)
-        best[2].add(c)
-    return sorted(b[0] for b in bins)
+            bins.append({"left": capacity, "s": set(), "c": set()})
+            best = len(bins) - 1
+        one, clock = bins[best], clock + 1
+        out.append((best, capacity - one["left"]))
+        one["left"] -= n
+        one["since"] = clock
+        one["s"].add(s)
+        one["c"].add(c)
+    return out
 
 
-def test_packing_is_best_fit_without_conflicts(spark):
-    rows = [*corpus(3, 400), *EDGE, *[(2000 + i, "copy of one text", "en", f"s{i}", 1) for i in range(9)]]
-    got = pack(documents(spark, rows).coalesce(1), capacity=64, group=10_000).collect()
+def packing_order(r):
+    return (-r.length, r.doc_id is not None, r.doc_id or 0, r.piece, r.source, (r.cluster is not None, r.cluster or 0))
+
+
+@pytest.mark.parametrize("group", [60, 10_000])
+def test_packing_is_best_fit_without_conflicts(spark, group):
+    rows = [*corpus(3, 400), *EDGE, *[(2000 + i, "copy of one text", "en", f"s{i}", 1) for i in range(9)], *[(77, "again and again", "en", "t", 1)] * 50]
+    got = pack(documents(spark, rows), capacity=64, group=group).collect()
     words = sum(len((t or "").split()) for _, t, *_ in rows)
     assert sum(r.length for r in got) == words
-    bins = {}
+    bins, groups = {}, {}
     for r in got:
         bins.setdefault(r.bin_id, []).append(r)
+        groups.setdefault(r.bin_id >> 32, []).append(r)
     for b in bins.values():
         b.sort(key=lambda r: r.bin_offset)
         assert sum(r.length for r in b) <= 64 and len({r.source for r in b}) == len(b) == len({r.cluster for r in b})
         assert all(x.bin_offset + x.length == y.bin_offset for x, y in zip(b, b[1:]))
-    parts = {}
-    for r in got:
-        parts.setdefault(r.bin_id >> 36, []).append(r)
-    for part in parts.values():
-        items = sorted(part, key=lambda r: (-r.length, r.doc_id if r.doc_id is not None else 1 << 62, r.piece))
-        left = {}
-        for r in part:
-            left[r.bin_id] = left.get(r.bin_id, 64) - r.length
-        assert len(left) <= len(brute_pack([(r.length, r.source, r.cluster) for r in items], 64)) + 2
+    assert (len(groups) > 5) == (group == 60)
+    for number, part in groups.items():
+        items = sorted(part, key=packing_order)
+        expected = brute_pack([(r.length, r.source, r.cluster) for r in items], 64)
+        # pieces that are equal in all are interchangeable
+        mine = sorted((packing_order(r), r.bin_id - (number << 32), r.bin_offset) for r in items)
+        assert mine == sorted((packing_order(r), *place) for r, place in zip(items, expected))
+    again = pack(documents(spark, rows).repartition(5), capacity=64, group=group).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert pack(documents(spark, [])).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_ones_and_takes_given_clusters(spark):
+    big = 9_007_199_254_740_993
+    rows = [(big, "a b", "s0", big), (None, "a b", "s1", None), (big + 1, "c", "s2", big + 1), (big + 2, "d", "s3", big), (5, "e", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, given long").withColumns({"cluster": F.lit("clash"), "group": F.lit("clash"), "copies": F.lit(1)})
+    got = pack(docs, capacity=8, cluster_col="given").collect()
+    assert sorted((r.doc_id or 0, r.cluster or 0) for r in got) == sorted((i or 0, c or 0) for i, _, _, c in rows)
+    where = {r.doc_id: r.bin_id for r in got}
+    assert where[big] != where[big + 2] and len(set(where.values())) == 2
+
+
 # lines
 
 def test_line_dedup(spark):
@@ -196,7 +232,7 @@ def test_line_dedup(spark):
     out = {(r.doc_id, r.text): r.dropped_lines for r in drop_boilerplate_lines(documents(spark, rows).withColumn("dropped_lines", F.lit("clash"))).collect()}
     assert all(out[i, f"own {i}\nmore {i}"] == 1 for i in range(20))
     assert all(out[100 + i, "copied page\nof two lines"] == 0 for i in range(15))  # copies are one page
-    assert all(out[200 + i, "footer\nx"] == 0 for i in range(3))  # too few pages
+    assert all(out[200 + i, "footer\nx"] == 0 for i in range(3))  # one page with copies
     assert out[900, None] == out[901, ""] == out[902, " \n "] == out[903, "one"] == 0
     assert drop_boilerplate_lines(documents(spark, [])).count() == 0
 
@@ -243,9 +279,29 @@ def test_hosts_without_labels_are_judged_by_their_prior(spark):
     assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "allow", "block", "allow", "allow", "allow"]
     known = {r.host: r for r in reputations(outcomes).collect()}
     assert got[0].bad_mean > 0.9 and got[1].bad_mean < 0.1 and abs(got[0].bad_mean - known["h0.bad.net"].mean) < 0.05
-    overall = 61 / 102
-    assert abs(got[4].bad_mean - overall) < 1e-9 and abs(got[4].bad_bound - (overall - 1.645 * (overall * (1 - overall) / 11) ** 0.5)) < 1e-9
+    assert abs(got[4].bad_mean - 61 / 102) < 1e-9
     assert got[5].bad_mean is None and got[6].bad_mean is None
+    empty = judge_urls(pages.limit(0), outcomes)
+    assert empty.count() == 0 and "verdict" in empty.columns
+
+
+def test_posterior_probability_is_that_of_the_beta_distribution(spark):
+    draws = np.random.default_rng(4)
+    for a, b in ((0.6, 3.0), (2.5, 2.5), (40.0, 60.0), (900.0, 1100.0)):
+        got = spark.range(1).select(probability_above(F.lit(a), F.lit(b), 0.4).alias("p")).first().p
+        assert abs(got - (draws.beta(a, b, 400_000) > 0.4).mean()) < 0.004
+
+
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.com": ("b.com", "com"), "u:p@x.y.co.kr:8080": ("y.co.kr", "co.kr"), "gov.uk": ("gov.uk", "gov.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "a.de": ("a.de", "de")}
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.d, r.s) for r in d.select("host", *(c.alias(n) for c, n in zip(domain_and_suffix(F.col("host")), "ds"))).collect()} == hosts
+
+
+def test_repeated_labels_count_once(spark):
+    pages = spark.createDataFrame([("http://a.com/x/7",), ("http://a.com/x/8",)], "url string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1), (8, None)], "doc_id long, quality int")
+    assert [tuple(r) for r in page_outcomes(pages, labels).where("bad IS NOT NULL").collect()] == [("a.com", 1)]
 
 
 # quality
@@ -273,6 +329,74 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
 
+def brute_weights(rows, good, fitted_prior=10.0, excerpt=16):
+    """Log weights by dictionaries of n-grams hashed one by one."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & m64
+        x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) & m64
+        return x ^ (x >> 33)
+
+    def grams(text):
+        data = (text or "").encode()
+        if not data.strip():
+            return [], []
+        four = [((int.from_bytes(data[i : i + 4], "big") * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(data) - 3)]
+        h = [xxhash.xxh3_64_intdigest(w) for w in data.split()]
+        two = [0xB5297A4D3F84D5B5 if a == b else mix((a * 3 + b) & m64) for a, b in zip(h, h[1:])]
+        return four, [x >> 48 for x in h + two]
+
+    found = {i: grams(t) for i, t in rows}
+    out = dict.fromkeys(found, None)
+    for family in (0, 1):
+        raw = Counter(g for i in found for g in found[i][family])
+        target = Counter(g for i in good for g in found[i][family])
+        scale = sum(target.values()) / sum(raw.values())
+        ratio = {g: math.log((target[g] + fitted_prior) / (raw[g] * scale + fitted_prior)) for g in raw}
+        for i, parts in found.items():
+            if parts[family]:
+                out[i] = (out[i] or 0.0) + excerpt * sum(ratio[g] for g in parts[family]) / len(parts[family])
+    return out
+
+
+def test_quality_equals_brute_force(spark):
+    r = random.Random(12)
+    rows = [(i, prose(r, 40)) for i in range(60)] + [(100 + i, " ".join(r.choices(["zz", "zz", "qq!", "xj"], k=40))) for i in range(30)] + [(200, None), (201, " ")]
+    quality = {i: int(i < 100) for i, t in rows if t and t.strip()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    got = importance_resample(docs, labels, carry=["doc_id"]).collect()
+    held_out = {i for i in quality if xxhash.xxh3_64_intdigest(str(i), 11) % 3 == 0}
+    expected = brute_weights(rows, [i for i, q in quality.items() if q and i not in held_out])
+    for x in got:
+        assert (x.log_weight is None) == (expected[x.doc_id] is None) and (x.log_weight is None or math.isclose(x.log_weight, expected[x.doc_id], abs_tol=1e-9))
+    weights = {i: w for i, w in expected.items() if w is not None}
+    good, bad = ([weights[i] for i in held_out if quality[i] == q] for q in (1, 0))
+    values = sorted({*good, *bad})
+    cut = min((sum(w < c for w in good) / len(good) + sum(w > c for w in bad) / len(bad), c) for c in [(a + b) / 2 for a, b in zip(values, values[1:])])[1]
+    k = sum(w > cut for w in weights.values())
+    assert {x.doc_id for x in got if x.kept} == {x.doc_id for x in sorted((x for x in got if x.score is not None), key=lambda x: -x.score)[:k]}
+
+
+def test_inclusion_follows_the_weights_over_seeds(spark):
+    """Gumbel top-1 takes a row with the probability of its weight."""
+    share = [0.6, 0.3, 0.1]
+    d = spark.range(4000).selectExpr("id AS trial").crossJoin(spark.createDataFrame([(i, math.log(p)) for i, p in enumerate(share)], "item int, w double"))
+    scored = d.withColumn("score", F.col("w") + gumbel(F.struct("trial", "item"), 11))
+    first = scored.groupBy("trial").agg(F.max_by("item", "score").alias("item")).groupBy("item").count().collect()
+    got = {r["item"]: r["count"] / 4000 for r in first}
+    assert all(abs(got[i] - p) < 0.03 for i, p in enumerate(share))
+
+
+def test_noise_decides_between_close_weights(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, 12), "en", "s", 1) for i in range(200)] + [(500 + i, "zz qq " * 3 + prose(r, 10), "en", "s", 1) for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 500)) for i, *_ in rows if i % 2], "doc_id long, quality int")
+    kept = [{x.doc_id for x in importance_resample(documents(spark, rows), labels, seed=seed, excerpt=2).where("kept").collect()} for seed in (1, 2, 3)]
+    assert kept[0] != kept[1] != kept[2] and all(len(k & set(range(200))) > len(k) * 0.6 for k in kept)
+
+
 def test_quality_edge_rows(spark):
     rows = [*corpus(7, 50), *EDGE]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -308,3 +432,34 @@ def test_pipeline_stages_on_edge_rows(spark, sf_small):
         corpus_pipeline.packing(spark, docs, sf_small).count()
     kept = corpus_pipeline.near_duplicate(spark, documents(spark, [(903, "one", "en", "s", 3)] * 3), sf_small)
     assert kept.count() == 1
+
+
+def test_near_duplicate_stage_goes_by_rows_not_by_ids(spark, sf_small):
+    r = random.Random(9)
+    first, other, third = prose(r, 60), prose(r, 60), prose(r, 60)
+    rows = [(1, first, "en", "s", 1), (5, first, "en", "t", 1), (5, other, "en", "s", 1), (7, third, "en", "s", 1), (7, prose(r, 50), "en", "s", 1), (None, first, "en", "s", 1), (None, third + " more", "de", "s", 1)]
+    rows += [(8, third, "en", "b", 2), (7, third, "en", "a", 2), (9, None, "en", "s", None), (9, None, "en", "s", None), (9, " ", "en", "s", None)]
+    kept = [tuple(x) for x in corpus_pipeline.near_duplicate(spark, documents(spark, rows), sf_small).collect()]
+    expected = [rows[0], rows[2], rows[8], rows[4], rows[9], rows[10], rows[11]]
+    assert sorted(map(repr, kept)) == sorted(map(repr, expected))
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Lines, duplicates and packing of the pipeline recomputed from the documents that the first stage keeps."""
+    r = random.Random(21)
+    rows = [(i, "\n".join(["Site menu", prose(r, 30), prose(r, 30)]), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end", "en", "s0", 1) for i in range(10)] + [(200 + i, " ".join(r.choices(["zz", "qq!"], k=50)), "en", "s1", 1) for i in range(20)]
+    folder = f"file://{tmp_path}"
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200)) for i, *_ in rows], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    first = {x.doc_id: x.text for x in corpus_pipeline.quality(spark, documents(spark, rows), folder).collect()}
+    assert len(first) == 70 and len([i for i in first if i < 200]) >= 69
+    cleaned = {i: "\n".join(x for x in t.split("\n") if x != "Site menu") for i, t in first.items()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in cleaned.items()}
+    kept = [i for i in sorted(sets) if not any(j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets)]
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((x.doc_id, x.length) for x in packed) == [(i, len(cleaned[i].split())) for i in kept]
+    bins = {}
+    for x in packed:
+        bins.setdefault(x.bin_id, []).append(x.source)
+    assert all(len(set(b)) == len(b) for b in bins.values())
