@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.cluster import materialize
 from quantloom.llm.line_dedup import drop_boilerplate_lines
-from quantloom.llm.near_dedup import near_duplicates
+from quantloom.llm.near_dedup import near_duplicates, row_key
 from quantloom.llm.packing import pack
 from quantloom.llm.quality import importance_resample
 
@@ -32,17 +32,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows that share the least id of their group: one of them stays
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    repeated = materialize(repeated, "repeated")
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
+
+    Unlike documents that share an id are groups of their own and all stay; an id that is null comes after all others.
+    Rows with one id and text are one document: that with the least of the other columns stays. Texts without words
+    have no duplicates.
+    """
+    docs = docs.select(*COLUMNS)
+    found = materialize(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "row_key", "component"), "groups")
+    grouped = found.where(F.col("component").isNotNull())
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nulls"), "doc_id", "row_key")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("__id"), F.col("first.row_key").alias("__key"))
+    alone = found.where(F.col("component").isNull()).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
+    kept = keyed.join(chosen.union(alone), same, "left_semi")
+    # rows equal in id and text, of which each group keeps one
+    repeated = materialize(grouped.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("__row")), "repeated")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "__row", "left_semi").groupBy("__row", "doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(repeated, "__row", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
