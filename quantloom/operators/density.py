@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..cluster import ship_package
-from .windows import SYMBOL, last, ordered
+from .windows import SYMBOL, ordered
 
 MIXTURE = "weights array<double>, means array<double>, vars array<double>, bic double"
 
@@ -19,9 +20,23 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def window_arrays(rows: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
-    """``window``: the last n returns as an array; meant for evaluation rows, see ``evaluated``."""
-    return rows.withColumn("window", F.filter(F.collect_list("ret").over(last(n, keys)), lambda x: x.isNotNull()))
+def window_arrays(rows: DataFrame, n: int = 150, every: int = 10, keys=SYMBOL) -> DataFrame:
+    """The evaluation rows, each with ``window``, the last n returns as an array.
+
+    Rows carry their number ``n`` within the symbol; other rows are needed as they hold the returns, and go.
+    ``keys`` should be tiles, as each partition is handed over whole.
+    """
+    ship_package(rows.sparkSession)
+    schema = StructType([*rows.schema.fields, StructField("window", ArrayType(DoubleType()))])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+        ret = part["ret"].to_numpy(float)
+        chosen = part[(part["n"] > n) & (part["n"] % every == 0)]
+        windows = [ret[max(0, i - n + 1) : i + 1] for i in chosen.index]
+        return chosen.assign(window=[w[~np.isnan(w)].tolist() for w in windows])
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def fit_mixture(x: np.ndarray, most: int = 4, rounds: int = 60) -> tuple | None:
@@ -61,14 +76,52 @@ def mixtures(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__m", fit("window")).select(*rows.columns, "__m.*")
 
 
-def grid(low: Column, high: Column, points: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + (high - low) * i / (points - 1))
+def mixture_values(x: np.ndarray, weights, means, spread) -> np.ndarray:
+    """Density of a mixture at every point."""
+    w, m, v = (np.asarray(p, float)[:, None] for p in (weights, means, spread))
+    return (w / np.sqrt(2 * np.pi * v) * np.exp(-((x - m) ** 2) / (2 * v))).sum(axis=0)
+
+
+def mixture_density(low: Column, high: Column, weights: Column, means: Column, spread: Column, points: int) -> Column:
+    """Density of a mixture at ``points`` even places from ``low`` to ``high``, in Arrow batches; null where a part is null."""
+
+    @F.pandas_udf("array<double>")
+    def evaluate(low: pd.Series, high: pd.Series, weights: pd.Series, means: pd.Series, spread: pd.Series) -> pd.Series:
+        rows = zip(low, high, weights, means, spread)
+        return pd.Series([None if w is None or a is None else mixture_values(np.linspace(a, b, points), w, m, v) for a, b, w, m, v in rows], dtype=object)
+
+    return evaluate(low, high, weights, means, spread)
+
+
+def mixture_divergence(p: tuple[Column, Column, Column], q: tuple[Column, Column, Column], points: int = 1000, deviations: float = 5.0) -> Column:
+    """Divergence of mixture ``p`` from ``q`` on one grid that holds so many deviations of every part of both; null if one is null."""
+
+    @F.pandas_udf("double")
+    def evaluate(pw: pd.Series, pm: pd.Series, pv: pd.Series, qw: pd.Series, qm: pd.Series, qv: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(zip(pw, pm, pv), zip(qw, qm, qv)):
+            if a[0] is None or b[0] is None:
+                out.append(None)
+                continue
+            means, reach = np.concatenate([a[1], b[1]]), deviations * np.sqrt(np.concatenate([a[2], b[2]]))
+            x = np.linspace((means - reach).min(), (means + reach).max(), points)
+            out.append(divergence_of(mixture_values(x, *a), mixture_values(x, *b), x[1] - x[0]))
+        return pd.Series(out, dtype=float)
+
+    return evaluate(*p, *q)
 
 
-def mixture_density(x: Column, weights: Column, means: Column, spread: Column) -> Column:
-    """Density of a mixture at every point of an array."""
+def divergence_of(p: np.ndarray, q: np.ndarray, step: float, eps: float = 1e-12) -> float:
+    """Kullback-Leibler divergence of two densities on one grid, each brought to mass 1 first; at least 0."""
+    p, q = p / (p.sum() * step), q / (q.sum() * step)
+    both = (p > eps) & (q > eps)
+    return max(0.0, float((p[both] * np.log(p[both] / q[both])).sum() * step))
+
+
+def density_at(x: Column, weights: Column, means: Column, spread: Column) -> Column:
+    """Density of a mixture at one point."""
     parts = F.arrays_zip(weights.alias("w"), means.alias("m"), spread.alias("v"))
-    return F.transform(x, lambda p: total(F.transform(parts, lambda c: c["w"] / F.sqrt(2 * math.pi * c["v"]) * F.exp(-(p - c["m"]) * (p - c["m"]) / (2 * c["v"])))))
+    return total(F.transform(parts, lambda c: c["w"] / F.sqrt(2 * math.pi * c["v"]) * F.exp(-(x - c["m"]) * (x - c["m"]) / (2 * c["v"]))))
 
 
 def kernel_density(x: Column, values: Column) -> Column:
@@ -85,11 +138,40 @@ def differential_entropy(pdf: Column, step: Column) -> Column:
     return -total(F.transform(pdf, lambda p: F.when(p > 1e-300, p * F.log(p)).otherwise(0.0))) * step
 
 
-def divergence(p: Column, q: Column, step: Column, eps: float = 1e-12) -> Column:
-    """Kullback-Leibler divergence of two densities on one grid, each brought to mass 1 first."""
-    sp, sq = total(p) * step, total(q) * step
-    terms = F.zip_with(p, q, lambda a, b: F.when((a / sp > eps) & (b / sq > eps), a / sp * F.log((a / sp) / (b / sq))).otherwise(0.0))
-    return F.greatest(F.lit(0.0), total(terms) * step)
+def quantile(values: Column, share: float) -> Column:
+    """The linear-interpolated quantile of an array."""
+    ranked, n = F.sort_array(values), F.size(values)
+    place = (n - 1) * share
+    low = F.floor(place).cast("int")
+    return F.get(ranked, low) + (F.get(ranked, F.least(low + 1, n - 1)) - F.get(ranked, low)) * (place - low)
+
+
+def likelihood(values: Column, weights: Column, means: Column, spread: Column) -> Column:
+    """Mean log density of an array's values."""
+    return total(F.transform(values, lambda x: F.log(F.greatest(density_at(x, weights, means, spread), F.lit(1e-300))))) / F.size(values)
+
+
+def tail_ratio(values: Column, weights: Column, means: Column, spread: Column, share: float = 0.95) -> Column:
+    """Density of the mixture over that of a Gaussian of the same moments, at the ``share`` quantile of an array's values."""
+    n = F.size(values)
+    mean = total(values) / n
+    variance = F.greatest(total(F.transform(values, lambda v: v * v)) / n - mean * mean, F.lit(1e-18))
+    at = quantile(values, share)
+    gauss = F.exp(-(at - mean) * (at - mean) / (2 * variance)) / F.sqrt(2 * math.pi * variance)
+    return density_at(at, weights, means, spread) / F.greatest(gauss, F.lit(1e-300))
+
+
+def shape(rows: DataFrame, peak: float = 1000.0, keys=SYMBOL) -> DataFrame:
+    """``change, collapsed, spread_90``: Euclidean distance of the density ``pdf`` to the one before, whether the density exceeds
+    ``peak`` anywhere, and the distance between the 5 and 95 % quantiles of ``window``."""
+    rows = rows.withColumn("__was", F.lag("pdf").over(ordered(keys)))
+    return rows.withColumns(
+        {
+            "change": F.coalesce(F.sqrt(total(F.zip_with("pdf", "__was", lambda a, b: (a - b) * (a - b)))), F.lit(0.0)),
+            "collapsed": F.array_max("pdf") > peak,
+            "spread_90": quantile(F.col("window"), 0.95) - quantile(F.col("window"), 0.05),
+        }
+    ).drop("__was")
 
 
 def surface(rows: DataFrame, keys=SYMBOL) -> DataFrame:

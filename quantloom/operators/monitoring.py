@@ -95,6 +95,18 @@ def rejected(orders: DataFrame) -> Column:
     )
 
 
+def rule_model(df: DataFrame) -> DataFrame:
+    """``prediction, confidence`` from ofi, mom_50, mom_200 and mean_rev: momentum that has the sign of the order flow, and
+    reversion beyond 1.5 deviations; momentum weighs 0.7 where the long momentum is above 0.005, else 0.3."""
+    flow = F.when(F.abs("ofi") > 0.01, F.signum("ofi")).otherwise(0.0)
+    momentum = F.when((F.abs("mom_50") > 1e-6) & (flow == F.signum("mom_50")), F.col("mom_50") * 0.3).otherwise(0.0)
+    reversion = F.when(F.abs("mean_rev") > 1.5, -F.col("mean_rev") * 0.002).otherwise(0.0)
+    df = df.withColumns({"__m": momentum, "__v": reversion})
+    m, v = F.col("__m"), F.col("__v")
+    prediction = F.when(F.abs("mom_200") > 0.005, m * 0.7 + v * 0.3).otherwise(m * 0.3 + v * 0.7)
+    return df.withColumns({"prediction": prediction, "confidence": F.least(F.lit(1.0), (F.abs(m) + F.abs(v)) * 100)}).drop("__m", "__v")
+
+
 def buy_and_hold(marks: DataFrame, keys=SYMBOL) -> DataFrame:
     """(first, last, ret, max_drawdown) of holding each symbol throughout."""
     w = ordered(keys).rowsBetween(Window.unboundedPreceding, 0)

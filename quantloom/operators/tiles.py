@@ -29,7 +29,7 @@ def rolling(
     df: DataFrame,
     lookback: int,
     features: Callable[[DataFrame, tuple[str, ...]], DataFrame],
-    tile_rows: int = 100_000,
+    tile_rows: int = 10_000,
     key: str = "symbol",
     order: tuple[str, ...] = ("ts", "seq"),
 ) -> DataFrame:

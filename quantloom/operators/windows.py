@@ -6,8 +6,15 @@ Rows are ordered by (ts, seq). Windows are counted in rows unless a name says ot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..cluster import ship_package
 
 SYMBOL = ("symbol",)
 
@@ -30,6 +37,42 @@ def so_far(keys=SYMBOL):
     return ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def sliding_sums(df: DataFrame, values: dict[str, Column], n: int, keys=SYMBOL, newest: int = 0) -> DataFrame:
+    """Each of ``values`` summed over the n rows that end ``newest`` rows before this one; nulls count as 0.
+
+    Differences of running sums: a row costs the same whatever n is, where a sliding frame would read its n rows again.
+    """
+    w = ordered(keys)
+    running = df.withColumns({f"__run_{c}": F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(so_far(keys)) for c, v in values.items()})
+
+    def ended(c: str, ago: int) -> Column:
+        return F.coalesce(F.lag(f"__run_{c}", ago).over(w), F.lit(0.0)) if ago else F.col(f"__run_{c}")
+
+    summed = running.withColumns({c: ended(c, newest) - ended(c, newest + n) for c in values})
+    return summed.drop(*(f"__run_{c}" for c in values))
+
+
+def _present(col: str) -> Column:
+    return F.when(F.col(col).isNotNull(), 1.0)
+
+
+def sliding_moments(df: DataFrame, col: str, n: int, keys=SYMBOL, newest: int = 0, powers: int = 2) -> DataFrame:
+    """``__n, __mean, __m2`` (and ``__m3, __m4``): count, mean and central power means of a column over the sliding rows.
+
+    Values are taken from the first of their partition, so that a constant column has no spread at all.
+    """
+    df = df.withColumn("__base", F.first(col, ignorenulls=True).over(so_far(keys))).withColumn("__x", F.col(col) - F.col("__base"))
+    sums = {"__n": _present(col)} | {f"__s{k}": F.col("__x") ** k if k > 1 else F.col("__x") for k in range(1, powers + 1)}
+    df = sliding_sums(df, sums, n, keys, newest)
+    raw = {k: F.col(f"__s{k}") / F.col("__n") for k in range(1, powers + 1)}
+    m = raw[1]
+    out = {"__mean": F.when(F.col("__n") > 0, F.col("__base") + m), "__m2": F.when(F.col("__n") > 0, F.greatest(F.lit(0.0), raw[2] - m * m))}
+    if powers == 4:
+        out["__m3"] = F.when(F.col("__n") > 0, raw[3] - 3 * m * raw[2] + 2 * m**3)
+        out["__m4"] = F.when(F.col("__n") > 0, raw[4] - 4 * m * raw[3] + 6 * m * m * raw[2] - 3 * m**4)
+    return df.withColumns(out).drop("__base", "__x", *(f"__s{k}" for k in range(1, powers + 1)))
+
+
 def log_returns(df: DataFrame, keys=SYMBOL) -> DataFrame:
     """``ret``: log of price over the price before; null on a symbol's first row."""
     return df.withColumn("ret", F.log(F.col("price") / F.lag("price").over(ordered(keys))))
@@ -40,42 +83,42 @@ def moments(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
 
     All four are 0 with fewer than 10 returns; skewness and kurtosis are 0 where the deviation is.
     """
-    w = last(n, keys)
-    few = F.count("ret").over(w) < 10
-    sigma = F.stddev_samp("ret").over(w)
-    flat = few | (sigma == 0)
+    df = sliding_moments(df, "ret", n, keys, powers=4)
+    count, m2 = F.col("__n"), F.col("__m2")
+    few = count < 10
+    flat = few | (m2 <= 0)
     return df.withColumns(
         {
-            "mu": F.when(few, 0.0).otherwise(F.avg("ret").over(w)),
-            "sigma": F.when(few, 0.0).otherwise(sigma),
-            "skew": F.when(flat, 0.0).otherwise(F.skewness("ret").over(w)),
-            "kurt": F.when(flat, 0.0).otherwise(F.kurtosis("ret").over(w)),
+            "mu": F.when(few, 0.0).otherwise(F.col("__mean")),
+            "sigma": F.when(few, 0.0).otherwise(F.sqrt(m2 * count / (count - 1))),
+            "skew": F.when(flat, 0.0).otherwise(F.col("__m3") / F.pow(m2, F.lit(1.5))),
+            "kurt": F.when(flat, 0.0).otherwise(F.col("__m4") / (m2 * m2) - 3),
         }
-    )
+    ).drop("__n", "__mean", "__m2", "__m3", "__m4")
 
 
 def zscore(df: DataFrame, col: str = "price", n: int = 1000, keys=SYMBOL) -> DataFrame:
     """``z`` of a column in the last n rows, itself included; 0 where the sample deviation is 0, the distance to the mean on the first row."""
-    w = last(n, keys)
-    deviation = F.stddev_samp(col).over(w)
-    distance = F.col(col) - F.avg(col).over(w)
-    return df.withColumn("z", F.when(deviation.isNull(), F.col(col)).when(deviation == 0, 0.0).otherwise(distance / deviation))
+    df = sliding_moments(df, col, n, keys)
+    deviation = F.when(F.col("__n") > 1, F.sqrt(F.col("__m2") * F.col("__n") / (F.col("__n") - 1)))
+    distance = F.col(col) - F.col("__mean")
+    return df.withColumn("z", F.when(deviation.isNull(), F.col(col)).when(deviation == 0, 0.0).otherwise(distance / deviation)).drop("__n", "__mean", "__m2")
 
 
 def momentum(df: DataFrame, keys=SYMBOL) -> DataFrame:
     """``mom_50, mom_200``: sums of the 50 and 200 returns before the newest; 0 until there are as many."""
-    out = {}
     for n in (50, 200):
-        w = before(n, keys)
-        out[f"mom_{n}"] = F.when(F.count("ret").over(w) < n, 0.0).otherwise(F.sum("ret").over(w))
-    return df.withColumns(out)
+        df = sliding_sums(df, {"__n": _present("ret"), "__s": F.col("ret")}, n, keys, newest=1)
+        df = df.withColumn(f"mom_{n}", F.when(F.col("__n") < n, 0.0).otherwise(F.col("__s"))).drop("__n", "__s")
+    return df
 
 
 def mean_reversion(df: DataFrame, n: int = 200, keys=SYMBOL) -> DataFrame:
     """``mean_rev``: distance of the price from the mean of the last n in population deviations; 0 with fewer than 50."""
-    w = last(n, keys)
-    deviation = F.stddev_pop("price").over(w)
-    return df.withColumn("mean_rev", F.when((F.count("price").over(w) < 50) | (deviation < 1e-12), 0.0).otherwise((F.col("price") - F.avg("price").over(w)) / deviation))
+    df = sliding_moments(df, "price", n, keys)
+    deviation = F.sqrt("__m2")
+    value = F.when((F.col("__n") < 50) | (deviation < 1e-12), 0.0).otherwise((F.col("price") - F.col("__mean")) / deviation)
+    return df.withColumn("mean_rev", value).drop("__n", "__mean", "__m2")
 
 
 def order_flow_imbalance(df: DataFrame, keys=SYMBOL) -> DataFrame:
@@ -97,24 +140,23 @@ def book_slope(df: DataFrame) -> DataFrame:
 
 def ofi_zscore(df: DataFrame, n: int = 200, keys=SYMBOL) -> DataFrame:
     """``ofi_std, ofi_z``: population deviation of the last n imbalances (1 with fewer than 20, at least 1e-8) and the imbalance over it."""
-    w = last(n, keys)
-    deviation = F.when(F.count("ofi").over(w) < 20, 1.0).otherwise(F.greatest(F.stddev_pop("ofi").over(w), F.lit(1e-8)))
-    return df.withColumn("ofi_std", deviation).withColumn("ofi_z", F.col("ofi") / F.col("ofi_std"))
+    df = sliding_moments(df, "ofi", n, keys)
+    deviation = F.when(F.col("__n") < 20, 1.0).otherwise(F.greatest(F.sqrt("__m2"), F.lit(1e-8)))
+    return df.withColumn("ofi_std", deviation).withColumn("ofi_z", F.col("ofi") / F.col("ofi_std")).drop("__n", "__mean", "__m2")
 
 
 def flow(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
     """``ofi_sum, toxicity, intensity`` of the last n rows: imbalance, imbalance over volume, volume over seconds."""
-    w = last(n, keys)
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    span = F.max(seconds).over(w) - F.min(seconds).over(w)
-    volume = F.sum("volume").over(w)
+    df = sliding_sums(df, {"ofi_sum": F.col("ofi"), "__volume": F.col("volume")}, n, keys)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = F.first(at).over(last(n, keys))
+    span = (at - first) / 1e6
     return df.withColumns(
         {
-            "ofi_sum": F.sum("ofi").over(w),
-            "toxicity": F.sum("ofi").over(w) / F.greatest(volume, F.lit(1.0)),
-            "intensity": F.when(span > 0, volume / span).otherwise(0.0),
+            "toxicity": F.col("ofi_sum") / F.greatest("__volume", F.lit(1.0)),
+            "intensity": F.when(span > 0, F.col("__volume") / span).otherwise(0.0),
         }
-    )
+    ).drop("__volume")
 
 
 def spread_stats(df: DataFrame, n: int = 20, keys=SYMBOL) -> DataFrame:
@@ -131,14 +173,17 @@ def spread_stats(df: DataFrame, n: int = 20, keys=SYMBOL) -> DataFrame:
 
 def kyle_lambda(df: DataFrame, n: int = 100, keys=SYMBOL) -> DataFrame:
     """``kyle``: sample covariance of mid changes and signed volume over the population variance of the latter; 0 with fewer than 20 pairs."""
-    w = last(n, keys)
     mid = (F.col("bid") + F.col("ask")) / 2
     change = mid - F.lag(mid).over(ordered(keys))
     signed = F.when(change.isNotNull(), F.col("volume") * F.signum(F.col("price") - F.lag("price").over(ordered(keys))))
-    df = df.withColumn("__change", change).withColumn("__signed", signed)
-    variance = F.var_pop("__signed").over(w)
-    kyle = F.when((F.count("__signed").over(w) < 20) | (variance < 1e-15), 0.0).otherwise(F.covar_samp("__change", "__signed").over(w) / variance)
-    return df.withColumn("kyle", kyle).drop("__change", "__signed")
+    df = df.withColumn("__c", change).withColumn("__v", signed)
+    sums = {"__n": _present("__v"), "__sc": F.col("__c"), "__sv": F.col("__v"), "__scv": F.col("__c") * F.col("__v"), "__svv": F.col("__v") ** 2}
+    df = sliding_sums(df, sums, n, keys)
+    count = F.col("__n")
+    variance = F.col("__svv") / count - (F.col("__sv") / count) ** 2
+    covariance = (F.col("__scv") - F.col("__sc") * F.col("__sv") / count) / (count - 1)
+    kyle = F.when((count < 20) | (variance < 1e-15), 0.0).otherwise(covariance / variance)
+    return df.withColumn("kyle", kyle).drop("__c", "__v", *sums)
 
 
 def amihud(df: DataFrame, n: int = 200, keys=SYMBOL) -> DataFrame:
@@ -150,25 +195,49 @@ def amihud(df: DataFrame, n: int = 200, keys=SYMBOL) -> DataFrame:
     return df.withColumn("amihud", F.coalesce(F.last("__ratio", ignorenulls=True).over(so_far(keys)), F.lit(0.0))).drop("__valid", "__ratio")
 
 
+def _by_rows(df: DataFrame, keys, columns: tuple[str, ...], fill: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
+    """``df`` with double ``columns`` that ``fill`` makes from each partition's ordered rows; for statistics of sorted windows.
+
+    A partition is handed over whole, so ``keys`` should be tiles, whose size is bounded.
+    """
+    ship_package(df.sparkSession)
+    schema = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in columns)])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "seq"], kind="stable")
+        return rows.assign(**fill(rows))
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _windows(values: np.ndarray, n: int) -> np.ndarray:
+    """The n values up to each one, as rows; NaN where there are fewer."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), values]), n)
+
+
 def autocorrelations(df: DataFrame, n: int = 300, lags=(1, 5, 10), keys=SYMBOL) -> DataFrame:
     """``ac_k`` of the n returns before the newest: lagged products of centred returns over their number and the population variance.
 
     Clipped to [-1, 1]; 0 with fewer than 20 returns or no variance. The mean of the whole window is taken off both sides.
     """
-    w = before(n, keys)
-    df = df.withColumn("__r", F.filter(F.collect_list("ret").over(w), lambda x: x.isNotNull()))
-    mean = F.avg("ret").over(w)
-    df = df.withColumn("__m", mean).withColumn("__v", F.var_pop("ret").over(w))
-    for k in lags:
-        size = F.size("__r") - k
-        product = F.aggregate(
-            F.zip_with(F.slice("__r", 1, F.greatest(size, F.lit(0))), F.slice("__r", k + 1, F.greatest(size, F.lit(0))), lambda a, b: (a - F.col("__m")) * (b - F.col("__m"))),
-            F.lit(0.0),
-            lambda s, x: s + x,
-        )
-        value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product / size / F.col("__v")))
-        df = df.withColumn(f"ac_{k}", F.when((F.size("__r") < 20) | (F.col("__v") < 1e-18), 0.0).otherwise(value))
-    return df.drop("__r", "__m", "__v")
+
+    def fill(rows):
+        ret = np.concatenate([[np.nan], rows["ret"].to_numpy(float)[:-1]])
+        out = {f"ac_{k}": np.zeros(len(ret)) for k in lags}
+        for low in range(0, len(ret), 2000):  # a bounded number of windows at a time
+            w = _windows(ret[max(0, low - n + 1) : low + 2000], n)[-len(ret[low : low + 2000]) :]
+            count = (~np.isnan(w)).sum(axis=1)
+            mean = np.nansum(w, axis=1) / np.maximum(count, 1)
+            centred = w - mean[:, None]
+            variance = np.nansum(centred**2, axis=1) / np.maximum(count, 1)
+            good = (count >= 20) & (variance >= 1e-18)
+            for k in lags:
+                product = np.nansum(centred[:, :-k] * centred[:, k:], axis=1)
+                value = np.clip(product / np.maximum(count - k, 1) / np.where(good, variance, 1.0), -1, 1)
+                out[f"ac_{k}"][low : low + 2000] = np.where(good, value, 0.0)
+        return out
+
+    return _by_rows(df, keys, tuple(f"ac_{k}" for k in lags), fill)
 
 
 def hill_slope(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
@@ -176,12 +245,86 @@ def hill_slope(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
 
     With m = max(5, a tenth of the returns), alpha is m over the sum of logs of the m largest against the next one.
     """
-    df = df.withColumn("__a", F.sort_array(F.transform(F.filter(F.collect_list("ret").over(last(n, keys)), lambda x: x.isNotNull()), lambda x: F.abs(x)), asc=False))
-    m = F.greatest(F.lit(5), F.floor(F.size("__a") / 10).cast("int"))
-    edge = F.get("__a", m)
-    logs = F.aggregate(F.slice("__a", 1, m), F.lit(0.0), lambda s, x: s + F.log(x / edge))
-    slope = F.when((F.size("__a") < 10) | (edge <= 0) | edge.isNull() | (logs <= 0), 0.0).otherwise(1 / F.greatest(m / logs, F.lit(0.1)))
-    return df.withColumn("tail_slope", slope).drop("__a")
+
+    def fill(rows):
+        w = np.abs(_windows(rows["ret"].to_numpy(float), n))
+        count = (~np.isnan(w)).sum(axis=1)
+        top = max(5, n // 10) + 1
+        largest = -np.sort(np.partition(np.where(np.isnan(w), np.inf, -w), min(top, n - 1), axis=1)[:, :top], axis=1)
+        m = np.maximum(5, count // 10)
+        rows_at = np.arange(len(w))
+        edge = np.where(m < np.minimum(count, top), largest[rows_at, np.minimum(m, top - 1)], np.nan)
+        with np.errstate(all="ignore"):
+            logs = np.where(np.arange(top)[None, :] < m[:, None], np.log(largest / edge[:, None]), 0.0).sum(axis=1)
+            slope = 1 / np.maximum(m / logs, 0.1)
+        return {"tail_slope": np.where((count < 10) | ~(edge > 0) | ~(logs > 0), 0.0, slope)}
+
+    return _by_rows(df, keys, ("tail_slope",), fill)
+
+
+def persistence(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
+    """``persistence``: products of neighbouring centred returns over their squares, in the last n; 0 without spread."""
+
+    def fill(rows):
+        ret = rows["ret"].to_numpy(float)
+        out = np.zeros(len(ret))
+        for low in range(0, len(ret), 2000):
+            part = ret[low : low + 2000]
+            w = _windows(ret[max(0, low - n + 1) : low + 2000], n)[-len(part) :]
+            count = (~np.isnan(w)).sum(axis=1)
+            centred = w - (np.nansum(w, axis=1) / np.maximum(count, 1))[:, None]
+            square = np.nansum(centred**2, axis=1)
+            good = (count > 2) & (square > 1e-20)
+            out[low : low + 2000] = np.where(good, np.nansum(centred[:, :-1] * centred[:, 1:], axis=1) / np.where(good, square, 1.0), 0.0)
+        return {"persistence": out}
+
+    return _by_rows(df, keys, ("persistence",), fill)
+
+
+def rolling_rank_correlation(df: DataFrame, x: str, y: str, n: int = 20, least: int = 10, keys=SYMBOL) -> DataFrame:
+    """``ic_n``: rank correlation of two columns without nulls in the last n rows, ties by mean ranks; 0 with fewer than ``least``."""
+
+    def ranks(w):
+        valid = ~np.isnan(w)
+        below = (w[:, None, :] < w[:, :, None]).sum(axis=2)
+        equal = (w[:, None, :] == w[:, :, None]).sum(axis=2)
+        return np.where(valid, below + (equal + 1) / 2, np.nan)
+
+    def fill(rows):
+        a, b = (_windows(rows[c].to_numpy(float), n) for c in (x, y))
+        out = np.zeros(len(a))
+        for low in range(0, len(a), 2000):
+            p, q = ranks(a[low : low + 2000]), ranks(b[low : low + 2000])
+            count = (~np.isnan(p)).sum(axis=1)
+            p, q = (v - (np.nansum(v, axis=1) / np.maximum(count, 1))[:, None] for v in (p, q))
+            spread = np.sqrt(np.nansum(p * p, axis=1) * np.nansum(q * q, axis=1))
+            good = (count >= least) & (spread > 1e-12)
+            out[low : low + 2000] = np.where(good, np.nansum(p * q, axis=1) / np.where(good, spread, 1.0), 0.0)
+        return {f"ic_{n}": out}
+
+    return _by_rows(df, keys, (f"ic_{n}",), fill)
+
+
+def left_tail_alpha(df: DataFrame, n: int = 200, share: float = 0.1, keys=SYMBOL) -> DataFrame:
+    """``alpha``: Hill's estimate from the k = max(5, share * count) lowest of the last n returns, clipped to [1, 10].
+
+    2 where the k lowest are not all losses or are all equal.
+    """
+
+    def fill(rows):
+        w = _windows(rows["ret"].to_numpy(float), n)
+        count = (~np.isnan(w)).sum(axis=1)
+        most = max(5, int(n * share))
+        lowest = np.sort(np.partition(np.where(np.isnan(w), np.inf, w), min(most, n - 1), axis=1)[:, :most], axis=1)
+        k = np.minimum(np.maximum(5, (count * share + 1e-9).astype(int)), count)
+        losses = -lowest
+        edge = losses[np.arange(len(w)), np.maximum(k, 1) - 1]
+        with np.errstate(all="ignore"):
+            logs = np.where(np.arange(most)[None, :] < k[:, None], np.log(losses / edge[:, None]), 0.0).sum(axis=1)
+            alpha = np.clip(k / logs, 1.0, 10.0)
+        return {"alpha": np.where((count > 0) & (edge > 0) & (logs > 0), alpha, 2.0)}
+
+    return _by_rows(df, keys, ("alpha",), fill)
 
 
 def average_true_range(df: DataFrame, bar: int = 10, n: int = 28, keys=SYMBOL) -> DataFrame:
@@ -201,11 +344,12 @@ def average_true_range(df: DataFrame, bar: int = 10, n: int = 28, keys=SYMBOL) -
     return df.withColumn("atr", F.when(size == 0, 0.0).when(size < 14, plain).otherwise(weighted)).drop("__t")
 
 
-def evaluations(df: DataFrame, window: int = 150, every: int = 10, keys=SYMBOL) -> DataFrame:
-    """The rows at which a window is evaluated: every tenth tick once ``window`` returns exist; adds ``k``, their number."""
-    number = F.row_number().over(ordered(keys))
-    rows = df.withColumn("__n", number).where((F.col("__n") > window) & (F.col("__n") % every == 0)).drop("__n")
-    return rows.withColumn("k", F.row_number().over(ordered(keys)))
+def evaluated(df: DataFrame, window: int = 150, every: int = 10) -> DataFrame:
+    """The rows at which a window is evaluated: every tenth tick once ``window`` returns exist; adds ``k``, their number.
+
+    ``df`` has the row number ``n`` within its symbol, as ``tiles.rolling`` gives it.
+    """
+    return df.where((F.col("n") > window) & (F.col("n") % every == 0)).withColumn("k", (F.col("n") / every).cast("long") - window // every)
 
 
 def vol_of_vol(evaluated: DataFrame, n: int = 50, keys=SYMBOL) -> DataFrame:
@@ -214,6 +358,27 @@ def vol_of_vol(evaluated: DataFrame, n: int = 50, keys=SYMBOL) -> DataFrame:
     return evaluated.withColumn("vol_of_vol", F.when(F.count("sigma").over(w) < 10, 0.0).otherwise(F.stddev_pop("sigma").over(w)))
 
 
+def weighted_sigma(evaluated: DataFrame, n: int = 50, keys=SYMBOL) -> DataFrame:
+    """``weighted_sigma``: the last n sigmas on evaluation rows, weighted by exp(linspace(-1, 0))."""
+    df = evaluated.withColumn("__s", F.collect_list("sigma").over(last(n, keys)))
+    size = F.size("__s")
+    weights = F.transform("__s", lambda x, i: F.exp(F.when(size > 1, i.cast("double") / (size - 1) - 1).otherwise(-1.0)))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("weighted_sigma", add(F.zip_with("__s", weights, lambda x, w: x * w)) / add(weights)).drop("__s")
+
+
+def stencil(df: DataFrame, col: str = "price", keys=SYMBOL) -> DataFrame:
+    """``velocity, acceleration`` of a column from its last five values, from three until there are as many, 0 before."""
+    w = ordered(keys)
+    x, a, b, c, d = (F.col(col), *(F.lag(col, i).over(w) for i in range(1, 5)))
+    return df.withColumns(
+        {
+            "velocity": F.when(d.isNotNull(), (-d + 8 * c - 8 * a + x) / 12).when(b.isNotNull(), x - a).otherwise(0.0),
+            "acceleration": F.when(d.isNotNull(), (-d + 16 * c - 30 * b + 16 * a - x) / 12).when(b.isNotNull(), x - 2 * a + b).otherwise(0.0),
+        }
+    )
+
+
 def sixty_seconds(df: DataFrame, seconds: int = 60, least: int = 30, keys=SYMBOL) -> DataFrame:
     """``vol_60, drift_60, intensity_60`` of the returns of the last minute by time; null with fewer than ``least``."""
     at = F.col("ts").cast("timestamp").cast("double")
@@ -249,8 +414,22 @@ def streaks(df: DataFrame, sign: Column, keys, order) -> DataFrame:
 
 def rolling_var(df: DataFrame, n: int = 200, confidence: float = 0.95, keys=SYMBOL) -> DataFrame:
     """``var, cvar`` of the last n returns: the linear-interpolated lower percentile and the mean of returns not above it; 0 with fewer than 20."""
-    w = last(n, keys)
-    df = df.withColumn("var", F.when(F.count("ret").over(w) < 20, 0.0).otherwise(F.percentile("ret", F.lit(1 - confidence)).over(w)))
-    df = df.withColumn("__r", F.filter(F.collect_list("ret").over(w), lambda x: x <= F.col("var")))
-    mean = F.aggregate("__r", F.lit(0.0), lambda s, x: s + x) / F.size("__r")
-    return df.withColumn("cvar", F.when(F.count("ret").over(w) < 20, 0.0).when(F.size("__r") == 0, F.col("var")).otherwise(mean)).drop("__r")
+    tail = 1 - confidence
+
+    def fill(rows):
+        w = _windows(rows["ret"].to_numpy(float), n)
+        count = (~np.isnan(w)).sum(axis=1)
+        most = int((n - 1) * tail) + 2
+        lowest = np.sort(np.partition(np.where(np.isnan(w), np.inf, w), min(most, n - 1), axis=1)[:, :most], axis=1)
+        place = np.maximum(count - 1, 0) * tail
+        low = np.floor(place).astype(int)
+        at = np.arange(len(w))
+        a, b = lowest[at, low], lowest[at, np.minimum(low + 1, most - 1)]
+        with np.errstate(all="ignore"):
+            var = np.where(place > low, a + (b - a) * (place - low), a)
+            inside = lowest <= var[:, None]
+            cvar = np.where(inside, lowest, 0.0).sum(axis=1) / inside.sum(axis=1)
+        few = count < 20
+        return {"var": np.where(few, 0.0, var), "cvar": np.where(few, 0.0, cvar)}
+
+    return _by_rows(df, keys, ("var", "cvar"), fill)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density as N
 from ..operators import windows as W
+from ..operators.tiles import rolling
 from ..sources.views import ticks
 from .common import query, r, rounded
 from .tick_queries import RET, O, last
@@ -15,38 +16,53 @@ WIN = f"""{RET}, e AS (SELECT symbol, seq, ts, list(ret) FILTER (ret IS NOT NULL
 
 def windows(spark, sf_dir):
     """Evaluation rows with the last 150 returns."""
-    return W.evaluations(N.window_arrays(W.log_returns(ticks(spark, sf_dir)))).select("symbol", "seq", "ts", "k", "window")
+    out = rolling(ticks(spark, sf_dir), 151, lambda d, keys: N.window_arrays(W.log_returns(d, keys), keys=keys))
+    return W.evaluated(out).select("symbol", "seq", "ts", "k", "window")
 
 
-def densities(spark, sf_dir, points: int = 101):
-    """Evaluation rows with a mixture density on a grid from -4 to 4."""
-    fitted = N.mixtures(windows(spark, sf_dir))
-    x = N.grid(F.lit(-4.0), F.lit(4.0), points)
-    return fitted.withColumn("pdf", N.mixture_density(x, F.col("weights"), F.col("means"), F.col("vars")))
+POINTS = 1000
 
 
-STEP = 8.0 / 100
+def densities(spark, sf_dir, points: int = POINTS):
+    """Evaluation rows with a mixture density on a grid of four deviations on both sides of the window's mean."""
+    fitted = N.mixtures(windows(spark, sf_dir))
+    n = F.size("window")
+    mean = N.total(F.col("window")) / n
+    fitted = fitted.withColumn("mu", mean)
+    sigma = F.sqrt(N.total(F.transform("window", lambda v: (v - F.col("mu")) * (v - F.col("mu")))) / (n - 1))
+    fitted = fitted.withColumn("sigma", F.greatest(sigma, F.lit(1e-12)))
+    low, high = F.col("mu") - 4 * F.col("sigma"), F.col("mu") + 4 * F.col("sigma")
+    pdf = N.mixture_density(low, high, F.col("weights"), F.col("means"), F.col("vars"), points)
+    return fitted.withColumns({"step": 8 * F.col("sigma") / (points - 1), "pdf": pdf})
 
 
 @query()
 def gmm_density(spark, sf_dir):
-    """Mixture of each window: parts, BIC, mass on the grid and entropy."""
+    """Mixture of each window: parts, BIC, mass on the grid, entropy, mean log density and tail ratio; compared with numpy in the tests."""
     d = densities(spark, sf_dir)
-    out = d.select("symbol", "seq", F.size("weights").alias("parts"), "bic", (N.total(F.col("pdf")) * STEP).alias("mass"), N.differential_entropy(F.col("pdf"), STEP).alias("entropy"))
-    return rounded(out, "bic", "mass", "entropy", digits=4)
+    mixture = (F.col("weights"), F.col("means"), F.col("vars"))
+    out = d.select(
+        "symbol", "seq", F.size("weights").alias("parts"), "bic", (N.total(F.col("pdf")) * F.col("step")).alias("mass"), N.differential_entropy(F.col("pdf"), F.col("step")).alias("entropy"),
+        N.likelihood(F.col("window"), *mixture).alias("log_density"), N.tail_ratio(F.col("window"), *mixture).alias("tail_ratio"),
+    )
+    return rounded(out, "bic", "mass", "entropy", "log_density", "tail_ratio", digits=4)
 
 
 @query()
 def kl_shift(spark, sf_dir):
-    """Divergence of each window's density from the one before."""
-    d = densities(spark, sf_dir).withColumn("was", F.lag("pdf").over(W.ordered()))
-    return rounded(d.select("symbol", "seq", F.coalesce(N.divergence(F.col("pdf"), F.col("was"), STEP), F.lit(0.0)).alias("kl")), "kl", digits=4)
+    """Divergence of each window's density from the one before, both on one grid that holds five deviations of every part."""
+    d = N.mixtures(windows(spark, sf_dir))
+    d = d.select("symbol", "seq", "weights", "means", "vars", *(F.lag(c).over(W.ordered()).alias(f"was_{c}") for c in ("weights", "means", "vars")))
+    kl = N.mixture_divergence(tuple(map(F.col, ("weights", "means", "vars"))), tuple(map(F.col, ("was_weights", "was_means", "was_vars"))))
+    return rounded(d.select("symbol", "seq", F.coalesce(kl, F.lit(0.0)).alias("kl")), "kl", digits=4)
 
 
 @query()
 def density_surface(spark, sf_dir):
-    out = N.surface(densities(spark, sf_dir)).select("symbol", "seq", "velocity", "bifurcation", "peak", "slope", "curvature")
-    return rounded(out, "velocity", "bifurcation", "peak", "slope", "curvature", digits=4)
+    """How each window's density moves and what shape it has."""
+    out = N.shape(N.surface(densities(spark, sf_dir)))
+    cols = ("velocity", "bifurcation", "peak", "slope", "curvature", "change", "spread_90")
+    return rounded(out.select("symbol", "seq", *cols, "collapsed"), *cols, digits=4)
 
 
 @query(

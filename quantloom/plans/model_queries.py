@@ -12,6 +12,7 @@ from ..operators import quality as Q
 from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
+from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
 from .performance_queries import CURVE
@@ -98,7 +99,7 @@ STATE = ("mu", "sigma", "skew", "kurt")
 
 
 def _states(spark, sf_dir):
-    return W.evaluations(W.moments(W.log_returns(ticks(spark, sf_dir))))
+    return W.evaluated(rolling(ticks(spark, sf_dir), 151, lambda d, keys: W.moments(W.log_returns(d, keys), keys=keys)))
 
 
 @query()
@@ -296,6 +297,6 @@ def regime_transitions(spark, sf_dir):
 @query()
 def ensemble_predictions(spark, sf_dir):
     """Ridge, regime and momentum models weighed by their errors."""
-    rows = W.evaluations(W.momentum(W.moments(W.log_returns(ticks(spark, sf_dir)))))
+    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys)))
     rows = rows.withColumn("target", F.coalesce(F.lead("mu").over(W.ordered()), F.lit(0.0))).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
     return rounded(B.ensemble_predictions(rows, STATE, "target", "mom_50"), "prediction", "disagreement", "w_ridge", "w_regime", "w_momentum")

@@ -73,7 +73,7 @@ def rolling_zscore(spark, sf_dir):
     {r(f"CASE WHEN count(ret) OVER {before(200)} < 200 THEN 0 ELSE sum(ret) OVER {before(200)} END", "mom_200")} FROM rets"""
 )
 def momentum_50_200(spark, sf_dir):
-    out = W.momentum(W.log_returns(ticks(spark, sf_dir)))
+    out = rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.log_returns(d, keys), keys))
     return rounded(out, "mom_50", "mom_200").select("symbol", "seq", "mom_50", "mom_200")
 
 
@@ -81,7 +81,7 @@ def momentum_50_200(spark, sf_dir):
     f"""{T} SELECT symbol, seq, {r(f"CASE WHEN count(price) OVER {last(200)} < 50 OR stddev_pop(price) OVER {last(200)} < 1e-12 THEN 0 ELSE (price - avg(price) OVER {last(200)}) / stddev_pop(price) OVER {last(200)} END", "mean_rev")} FROM ticks"""
 )
 def price_mean_reversion(spark, sf_dir):
-    return rounded(W.mean_reversion(ticks(spark, sf_dir)), "mean_rev").select("symbol", "seq", "mean_rev")
+    return rounded(rolling(ticks(spark, sf_dir), 200, lambda d, keys: W.mean_reversion(d, keys=keys)), "mean_rev").select("symbol", "seq", "mean_rev")
 
 
 OFI = f"""{T}, lagged AS (SELECT *, coalesce(lag(bid) OVER ({O}), bid) AS wb, coalesce(lag(ask) OVER ({O}), ask) AS wa,
@@ -105,7 +105,7 @@ def book_slope(spark, sf_dir):
     SELECT symbol, seq, {r("s", "ofi_std")}, {r("ofi / s", "ofi_z")} FROM m"""
 )
 def ofi_zscore(spark, sf_dir):
-    out = W.ofi_zscore(W.order_flow_imbalance(ticks(spark, sf_dir)))
+    out = rolling(ticks(spark, sf_dir), 201, lambda d, keys: W.ofi_zscore(W.order_flow_imbalance(d, keys), keys=keys))
     return rounded(out, "ofi_std", "ofi_z").select("symbol", "seq", "ofi_std", "ofi_z")
 
 
@@ -115,7 +115,7 @@ def ofi_zscore(spark, sf_dir):
     SELECT symbol, seq, {r("o", "ofi_sum")}, {r("o / greatest(v, 1)", "toxicity")}, {r("CASE WHEN span > 0 THEN v / span ELSE 0 END", "intensity")} FROM m"""
 )
 def flow_toxicity(spark, sf_dir):
-    out = W.flow(W.order_flow_imbalance(ticks(spark, sf_dir)))
+    out = rolling(ticks(spark, sf_dir), 151, lambda d, keys: W.flow(W.order_flow_imbalance(d, keys), keys=keys))
     return rounded(out, "ofi_sum", "toxicity", "intensity").select("symbol", "seq", "ofi_sum", "toxicity", "intensity")
 
 
@@ -137,7 +137,7 @@ def spread_stats(spark, sf_dir):
     SELECT symbol, seq, {r("CASE WHEN n < 20 OR v < 1e-15 THEN 0 ELSE c / v END", "kyle")} FROM m"""
 )
 def kyle_lambda(spark, sf_dir):
-    return rounded(W.kyle_lambda(ticks(spark, sf_dir)), "kyle").select("symbol", "seq", "kyle")
+    return rounded(rolling(ticks(spark, sf_dir), 102, lambda d, keys: W.kyle_lambda(d, keys=keys)), "kyle").select("symbol", "seq", "kyle")
 
 
 @query(
@@ -163,8 +163,8 @@ def _ac(k: int) -> str:
 )
 def autocorr_lags(spark, sf_dir):
     """Lags 1, 5 and 10 on evaluation rows."""
-    out = W.autocorrelations(W.log_returns(ticks(spark, sf_dir)))
-    return rounded(W.evaluations(out), "ac_1", "ac_5", "ac_10").select("symbol", "seq", "ac_1", "ac_5", "ac_10")
+    out = rolling(ticks(spark, sf_dir), 302, lambda d, keys: W.autocorrelations(W.log_returns(d, keys), keys=keys))
+    return rounded(W.evaluated(out), "ac_1", "ac_5", "ac_10").select("symbol", "seq", "ac_1", "ac_5", "ac_10")
 
 
 @query(
@@ -197,7 +197,7 @@ def atr(spark, sf_dir):
     SELECT symbol, seq, {r(f"CASE WHEN count(*) OVER {last(50)} < 10 THEN 0 ELSE stddev_pop(sigma) OVER {last(50)} END", "vol_of_vol")} FROM e"""
 )
 def vol_of_vol(spark, sf_dir):
-    out = W.vol_of_vol(W.evaluations(W.moments(W.log_returns(ticks(spark, sf_dir)))))
+    out = W.vol_of_vol(W.evaluated(rolling(ticks(spark, sf_dir), 151, lambda d, keys: W.moments(W.log_returns(d, keys), keys=keys))))
     return rounded(out, "vol_of_vol").select("symbol", "seq", "vol_of_vol")
 
 
@@ -217,7 +217,8 @@ def sliding_time_window(spark, sf_dir):
     SELECT symbol, seq, {r("CASE WHEN n < 20 THEN 0 ELSE q END", "var")}, {r("CASE WHEN n < 20 THEN 0 ELSE list_avg(list_filter(l, lambda x: x <= q)) END", "cvar")} FROM v"""
 )
 def rolling_var(spark, sf_dir):
-    return rounded(W.rolling_var(W.log_returns(ticks(spark, sf_dir))), "var", "cvar").select("symbol", "seq", "var", "cvar")
+    out = rolling(ticks(spark, sf_dir), 201, lambda d, keys: W.rolling_var(W.log_returns(d, keys), keys=keys))
+    return rounded(out, "var", "cvar").select("symbol", "seq", "var", "cvar")
 
 
 @query(
