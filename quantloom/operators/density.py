@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..cluster import ship_package
+from ..cluster import default_parallelism, ship_package
 from .windows import SYMBOL, ordered
 
 MIXTURE = "weights array<double>, means array<double>, vars array<double>, bic double"
@@ -39,40 +39,62 @@ def window_arrays(rows: DataFrame, n: int = 150, every: int = 10, keys=SYMBOL) -
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
-def fit_mixture(x: np.ndarray, most: int = 4, rounds: int = 60) -> tuple | None:
-    """Gaussian mixture of 1 to ``most`` parts with the least BIC, by EM from quantiles; None with fewer than 20 finite values."""
-    x = x[np.isfinite(x)]
-    if len(x) < 20:
-        return None
-    best, floor = None, max(float(x.var()) * 1e-4, 1e-18)
+def fit_mixtures(x: np.ndarray, most: int = 4, rounds: int = 60) -> list[tuple]:
+    """Gaussian mixtures of 1 to ``most`` parts with the least BIC, by EM from quantiles: (weights, means, vars, bic) for each row of values.
+
+    All rows take their steps together, as one array operation each.
+    """
+    count, n = x.shape
+    floor = np.maximum(x.var(axis=1) * 1e-4, 1e-18)[:, None]
+    best: list = [None] * count
+
+    def logs_of(weights, means, spread):
+        return np.log(weights)[:, None] - 0.5 * (np.log(2 * np.pi * spread)[:, None] + (x[:, :, None] - means[:, None]) ** 2 / spread[:, None])
+
     for k in range(1, most + 1):
-        means = np.quantile(x, (np.arange(k) + 0.5) / k)
-        weights, spread = np.full(k, 1 / k), np.full(k, max(float(x.var()), floor))
+        means = np.quantile(x, (np.arange(k) + 0.5) / k, axis=1).T
+        weights = np.full((count, k), 1 / k)
+        spread = np.repeat(np.maximum(x.var(axis=1)[:, None], floor), k, axis=1)
         for _ in range(rounds if k > 1 else 1):
-            logs = np.log(weights) - 0.5 * (np.log(2 * np.pi * spread) + (x[:, None] - means) ** 2 / spread)
-            top = logs.max(axis=1, keepdims=True)
-            p = np.exp(logs - top)
-            p /= p.sum(axis=1, keepdims=True)
-            mass = p.sum(axis=0) + 1e-12
-            weights, means = mass / mass.sum(), (p * x[:, None]).sum(axis=0) / mass
-            spread = np.maximum((p * (x[:, None] - means) ** 2).sum(axis=0) / mass, floor)
-        logs = np.log(weights) - 0.5 * (np.log(2 * np.pi * spread) + (x[:, None] - means) ** 2 / spread)
-        likelihood = float(np.logaddexp.reduce(logs, axis=1).sum())
-        bic = -2 * likelihood + (3 * k - 1) * math.log(len(x))
-        if best is None or bic < best[3]:
-            best = (weights.tolist(), means.tolist(), spread.tolist(), bic)
+            logs = logs_of(weights, means, spread)
+            p = np.exp(logs - logs.max(axis=2, keepdims=True))
+            p /= p.sum(axis=2, keepdims=True)
+            mass = p.sum(axis=1) + 1e-12
+            weights, means = mass / mass.sum(axis=1, keepdims=True), (p * x[:, :, None]).sum(axis=1) / mass
+            spread = np.maximum((p * (x[:, :, None] - means[:, None]) ** 2).sum(axis=1) / mass, floor)
+        likelihood = np.logaddexp.reduce(logs_of(weights, means, spread), axis=2).sum(axis=1)
+        bic = -2 * likelihood + (3 * k - 1) * math.log(n)
+        for i in range(count):
+            if best[i] is None or bic[i] < best[i][3]:
+                best[i] = (weights[i].tolist(), means[i].tolist(), spread[i].tolist(), float(bic[i]))
     return best
 
 
-def mixtures(rows: DataFrame) -> DataFrame:
-    """``weights, means, vars, bic`` of each row's ``window``, fitted in Arrow batches; null for too short windows."""
+def fit_mixture(x: np.ndarray, most: int = 4, rounds: int = 60) -> tuple | None:
+    """The same for one array, whose values that are not finite go; None with fewer than 20 others."""
+    x = x[np.isfinite(x)]
+    return fit_mixtures(x[None], most, rounds)[0] if len(x) >= 20 else None
+
+
+def mixtures(rows: DataFrame, at_once: int = 200) -> DataFrame:
+    """``weights, means, vars, bic`` of each row's ``window``, fitted in Arrow batches, windows of one length together; null for too short windows."""
     ship_package(rows.sparkSession)
 
     @F.pandas_udf(MIXTURE)
     def fit(windows: pd.Series) -> pd.DataFrame:
-        found = [fit_mixture(np.asarray(w, float)) or (None, None, None, None) for w in windows]
+        values = [np.asarray(w, float) for w in windows]
+        values = [v[np.isfinite(v)] for v in values]
+        found: list = [(None, None, None, None)] * len(values)
+        for n in sorted({len(v) for v in values if len(v) >= 20}):
+            same = [i for i, v in enumerate(values) if len(v) == n]
+            for low in range(0, len(same), at_once):
+                part = same[low : low + at_once]
+                for i, mixture in zip(part, fit_mixtures(np.array([values[i] for i in part]))):
+                    found[i] = mixture
         return pd.DataFrame(found, columns=["weights", "means", "vars", "bic"])
 
+    # a fit takes milliseconds: windows are dealt over all tasks, however few bytes they are
+    rows = rows.repartition(default_parallelism(rows.sparkSession))
     return rows.withColumn("__m", fit("window")).select(*rows.columns, "__m.*")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SYMBOL, before, last, ordered, so_far
+from .windows import SYMBOL, last, ordered, sliding_moments, sliding_sums, so_far
 
 
 def running_scale(df: DataFrame, cols, keys=SYMBOL) -> DataFrame:
@@ -31,13 +31,14 @@ def regime_label(mu: Column, sigma: Column, entropy: Column) -> Column:
 
 def risk_regime(df: DataFrame, keys=SYMBOL) -> DataFrame:
     """``vol_ratio, risk_regime`` and ``size_multiplier``: the deviation of the last 20 returns over the mean of its last 100 values."""
-    w = last(20, keys)
-    df = df.withColumn("vol", F.when(F.count("ret").over(w) >= 10, F.stddev_pop("ret").over(w)))
-    mean = F.avg("vol").over(last(100, keys))
+    df = sliding_moments(df, "ret", 20, keys)
+    df = df.withColumn("vol", F.when(F.col("__n") >= 10, F.sqrt("__m2"))).drop("__n", "__mean", "__m2")
+    df = sliding_sums(df, {"__s": F.col("vol"), "__c": F.when(F.col("vol").isNotNull(), 1.0)}, 100, keys)
+    mean = F.when(F.col("__c") > 0, F.col("__s") / F.col("__c"))
     df = df.withColumn("vol_ratio", F.when(mean > 0, F.col("vol") / mean))
     df = df.withColumn("risk_regime", F.when(F.col("vol_ratio") > 2.0, "CRISIS").when(F.col("vol_ratio") > 1.5, "HIGH").when(F.col("vol_ratio") > 1.1, "ELEVATED").otherwise("NORMAL"))
     multiplier = F.when(F.col("risk_regime") == "CRISIS", 0.25).when(F.col("risk_regime") == "HIGH", 0.5).when(F.col("risk_regime") == "ELEVATED", 0.75).otherwise(1.0)
-    return df.withColumn("size_multiplier", multiplier)
+    return df.withColumn("size_multiplier", multiplier).drop("__s", "__c")
 
 
 def drift(df: DataFrame, cols, regime: str = "regime_id", keys=SYMBOL) -> DataFrame:
@@ -54,13 +55,15 @@ def drift(df: DataFrame, cols, regime: str = "regime_id", keys=SYMBOL) -> DataFr
 
 def rolling_sharpe(df: DataFrame, n: int = 50, keys=SYMBOL) -> DataFrame:
     """``sharpe``: mean over population deviation of the n returns before; null until there are as many."""
-    w = before(n, keys)
-    return df.withColumn("sharpe", F.when((F.count("ret").over(w) == n) & (F.stddev_pop("ret").over(w) > 1e-15), F.avg("ret").over(w) / F.stddev_pop("ret").over(w)))
+    df = sliding_moments(df, "ret", n, keys, newest=1)
+    deviation = F.sqrt("__m2")
+    return df.withColumn("sharpe", F.when((F.col("__n") == n) & (deviation > 1e-15), F.col("__mean") / deviation)).drop("__n", "__mean", "__m2")
 
 
 def long_trend(df: DataFrame, n: int = 750, keys=SYMBOL) -> DataFrame:
     """``rising``: whether the mean of the last n returns is positive, beyond rounding."""
-    return df.withColumn("rising", F.coalesce(F.avg("ret").over(last(n, keys)) > 1e-12, F.lit(False)))
+    df = sliding_sums(df, {"__s": F.col("ret"), "__c": F.when(F.col("ret").isNotNull(), 1.0)}, n, keys)
+    return df.withColumn("rising", F.coalesce(F.try_divide("__s", "__c") > 1e-12, F.lit(False))).drop("__s", "__c")
 
 
 def regime_t(trades: DataFrame, least: int = 10) -> DataFrame:

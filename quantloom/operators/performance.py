@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
 from ..functions import normal
 
 EULER_GAMMA = 0.5772156649
@@ -123,10 +124,16 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def false_discovery(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg: ``rejected`` for the p-values up to the largest with p <= alpha * rank / count.
 
-    Ranks count the p-values not above: a group-by of distinct p-values, and one window over those alone.
+    Ranks count the p-values not above. Distinct values are put into ranges of their logarithm, of which there are fewer
+    than 200,000; one window adds up the ranges, others rank the values within each.
     """
     steps = tests.groupBy("p_value").agg(F.count("*").alias("same"))
-    steps = steps.withColumn("rank", F.sum("same").over(Window.orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.when(F.col("p_value") <= 0, F.lit(-(1 << 20))).otherwise(F.ceil(F.log("p_value") * 256)).cast("int")
+    steps = steps.withColumn("__range", place)
+    before = F.sum("here").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = steps.groupBy("__range").agg(F.sum("same").alias("here")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum("same").over(Window.partitionBy("__range").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("__inside", inside).join(ranges, "__range").withColumn("rank", F.col("__before") + F.col("__inside"))
     count = tests.agg(F.count("*").alias("tests"))
     cut = steps.crossJoin(F.broadcast(count)).where(F.col("p_value") <= alpha * F.col("rank") / F.col("tests")).agg(F.max("p_value").alias("cut"))
     return tests.crossJoin(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col("p_value") <= F.col("cut"), F.lit(False))).drop("cut")
@@ -181,13 +188,15 @@ SQL_DRAW = "((((({t} * 48271 + {i} * 69621 + {s}) % 2147483647 * 48271 + 11) % 2
 def bootstrap(values: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     """Means of ``trials`` samples with replacement: (trial, mean). ``values(i, x)`` numbers the values from 0.
 
-    Place i of each trial takes the value that its draw names: an equi-join on the number, partial sums per trial.
+    Place i of each trial takes the value that its draw names: an equi-join on the number, partial sums per trial. The
+    values are written first, so that the planner knows their size and sends them to the draws if they are few.
     """
     spark = values.sparkSession
+    values = materialize(values, "values")
     count = values.agg(F.count("*").alias("n"))
     places = values.select("i").crossJoin(F.broadcast(spark.range(trials).toDF("trial"))).crossJoin(F.broadcast(count))  # trials and one row
     picks = places.select("trial", (draw(F.col("trial"), F.col("i"), seed) % F.col("n")).alias("i"))
-    return picks.groupBy("trial", "i").agg(F.count("*").alias("times")).join(values, "i").groupBy("trial").agg((F.sum(F.col("times") * F.col("x")) / F.sum("times")).alias("mean"))
+    return picks.join(values, "i").groupBy("trial").agg(F.avg("x").alias("mean"))
 
 
 def sign_flips(values: DataFrame, trials: int, seed: int = 7) -> DataFrame:

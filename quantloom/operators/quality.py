@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SYMBOL, ordered
+from .windows import SYMBOL, ordered, sliding_moments, sliding_sums
 
 
 def _issue(when: Column, name: str, severity: str, value: Column) -> Column:
@@ -32,13 +32,15 @@ def quality_issues(
     w = Window.partitionBy(*keys).orderBy("seq")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     d = ticks.withColumn("__ms", at - F.lag(at).over(w)).withColumn("__ret", F.log(F.col("price") / F.lag("price").over(w)))
-    past = w.rowsBetween(-99, -1)
-    deviation = F.when((F.count("price").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= 20), F.stddev_pop("__ret").over(past))
-    d = d.withColumn("__z", F.when(deviation > 1e-10, F.abs("__ret") / deviation))
+    d = d.withColumn("__seen", F.row_number().over(w) - 1)
+    d = sliding_moments(d, "__ret", 99, keys, newest=1, order=("seq",))
+    deviation = F.when(F.col("__seen") >= 20, F.sqrt("__m2"))
+    d = d.withColumn("__z", F.when(deviation > 1e-10, F.abs("__ret") / deviation)).drop("__n", "__mean", "__m2", "__seen")
     zero = F.col("volume") == 0
     d = d.withColumn("__zero", F.sum(F.when(zero, 0).otherwise(1)).over(w))
     d = d.withColumn("__zeros", F.when(zero, F.sum(F.when(zero, 1).otherwise(0)).over(Window.partitionBy(*keys, "__zero").orderBy("seq"))).otherwise(0))
-    d = d.withColumn("__mean", F.avg("volume").over(w.rowsBetween(-500, -1)))
+    d = sliding_sums(d, {"__volume": F.col("volume"), "__volumes": F.when(F.col("volume").isNotNull(), 1.0)}, 500, keys, newest=1, order=("seq",))
+    d = d.withColumn("__mean", F.when(F.col("__volumes") > 0, F.col("__volume") / F.col("__volumes"))).drop("__volume", "__volumes")
     same = F.coalesce(F.col("__ms") == 0, F.lit(False))
     d = d.withColumn("__fresh", F.sum(F.when(same, 0).otherwise(1)).over(w))
     d = d.withColumn("__same", F.when(same, F.sum(F.when(same, 1).otherwise(0)).over(Window.partitionBy(*keys, "__fresh").orderBy("seq"))).otherwise(0))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
+from .tiles import spread
+
 
 def signed_quantity():
     """Bought quantity, or minus the sold one."""
@@ -137,26 +142,41 @@ def round_trips(fills: DataFrame) -> DataFrame:
     )
 
 
-def forward_curves(marks: DataFrame, events: DataFrame, horizon: int = 50) -> DataFrame:
-    """Mean absolute return from an event to each of the next ``horizon`` rows: (offset, n, curve).
+def forward_curves(marks: DataFrame, horizon: int = 50, tile_rows: int = 10_000) -> DataFrame:
+    """Mean absolute log return from each regime transition to each of the next ``horizon`` rows: (from_regime, to_regime, offset, n, curve).
 
-    ``marks(symbol, k, price)`` number the rows of a symbol; each event joins the marks after it by equality of the
-    row number, one for each offset, rather than by a range.
+    ``marks(symbol, ts, seq, price, regime_id)``; a transition is a row whose regime differs from the row before, and
+    counts if all its horizon rows exist. Each tile adds up its own transitions, so no event is multiplied by its horizon.
     """
-    ahead = events.select("symbol", "k", F.col("price").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("offset"))
-    ahead = ahead.withColumn("k", F.col("k") + F.col("offset"))
-    return ahead.join(marks.select("symbol", "k", "price"), ["symbol", "k"]).groupBy("offset").agg(
-        F.count("*").alias("n"), F.avg(F.abs(F.log(F.col("price") / F.col("start")))).alias("curve")
-    )
+    ship_package(marks.sparkSession)
+    schema = "from_regime long, to_regime long, offset int, n long, total double"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable").reset_index(drop=True)
+        price, regime = np.log(rows["price"].to_numpy(float)), rows["regime_id"].to_numpy(np.int64)
+        changed = np.flatnonzero((regime[1:] != regime[:-1]) & ((rows["tile"] == rows["own"]).to_numpy()[1:])) + 1
+        changed = changed[changed + horizon < len(price)]
+        out = []
+        for a, b in {(regime[i - 1], regime[i]) for i in changed.tolist()}:
+            at = changed[(regime[changed - 1] == a) & (regime[changed] == b)]
+            totals = [float(np.abs(price[at + d] - price[at]).sum()) for d in range(1, horizon + 1)]
+            out.append(pd.DataFrame({"from_regime": a, "to_regime": b, "offset": np.arange(1, horizon + 1), "n": len(at), "total": totals}))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
+    parts = spread(marks, lookback=1, lookahead=horizon, tile_rows=tile_rows).groupBy("symbol", "tile").applyInPandas(run, schema)
+    return parts.groupBy("from_regime", "to_regime", "offset").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("curve"))
 
-def half_life(curve: DataFrame) -> DataFrame:
-    """Log-linear fit of a decaying curve from its peak on: (slope, half_life, r2); null half life without decay."""
-    peak = curve.agg(F.max_by("offset", F.struct("curve", -F.col("offset"))).alias("peak"))
-    tail = curve.crossJoin(F.broadcast(peak)).where("offset >= peak AND curve > 0")  # one row
+
+def half_life(curve: DataFrame, by: tuple[str, ...] = ("from_regime", "to_regime"), least: int = 5) -> DataFrame:
+    """Log-linear fit of each decaying curve from its peak on: (by, slope, half_life, r2); null half life without decay.
+
+    Curves of fewer than ``least`` events are left out.
+    """
+    peak = curve.where(F.col("n") >= least).groupBy(*by).agg(F.max_by("offset", F.struct("curve", -F.col("offset"))).alias("peak"))
+    tail = curve.join(peak, list(by)).where("offset >= peak AND curve > 0")
     x, y = F.col("offset") - F.col("peak"), F.log("curve")
-    fit = tail.agg(F.regr_slope(y, x.cast("double")).alias("slope"), F.regr_r2(y, x.cast("double")).alias("r2"))
-    return fit.select("slope", F.when(F.col("slope") < 0, F.log(F.lit(2.0)) / -F.col("slope")).alias("half_life"), "r2")
+    fit = tail.groupBy(*by).agg(F.regr_slope(y, x.cast("double")).alias("slope"), F.regr_r2(y, x.cast("double")).alias("r2"))
+    return fit.select(*by, "slope", F.when(F.col("slope") < 0, F.log(F.lit(2.0)) / -F.col("slope")).alias("half_life"), "r2")
 
 
 def correlations(returns: DataFrame) -> DataFrame:

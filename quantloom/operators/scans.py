@@ -132,8 +132,9 @@ class GaussianHmm:
     certainty are drawn towards uniform.
     """
 
-    def __init__(self, cols, states=4, warmup=50, rate=0.01, floor=1e-4, sticky=4.0, max_row_kl=1.0, least=0.4):
-        self.cols, self.k, self.warmup, self.base_rate, self.floor, self.max_row_kl, self.least = list(cols), states, warmup, rate, floor, max_row_kl, least
+    def __init__(self, cols, states=4, warmup=50, rate=0.01, floor=1e-4, sticky=4.0, max_row_kl=None, blend=0.03, least=0.4):
+        self.cols, self.k, self.warmup, self.base_rate, self.floor, self.blend, self.least = list(cols), states, warmup, rate, floor, blend, least
+        self.max_row_kl = 0.8 * np.log(states) if max_row_kl is None else max_row_kl
         self.a = np.full((states, states), 1.0) + np.eye(states) * sticky
         self.a /= self.a.sum(axis=1, keepdims=True)
         self.held, self.alpha, self.surprise, self.ready = [], None, 0.0, False
@@ -145,9 +146,21 @@ class GaussianHmm:
             d = np.min([((x - m) ** 2).sum(axis=1) for m in means], axis=0)
             means.append(x[r.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[r.integers(len(x))])
         self.means = np.array(means)
+        self._separate(x, r)
         spread = np.diag(np.maximum(x.var(axis=0), self.floor))
         self.cov, self.ready, self.held = np.array([spread.copy() for _ in range(self.k)]), True, []
 
+    def _separate(self, x, r):
+        """Push a state that lies within half a deviation of one before it to one and a half times that distance, along a random direction."""
+        deviation = x.std(axis=0)
+        least = max(0.5 * float(np.linalg.norm(deviation)), 0.1)
+        for later in range(1, self.k):
+            for earlier in range(later):
+                if np.linalg.norm(self.means[later] - self.means[earlier]) < least:
+                    way = r.standard_normal(x.shape[1])
+                    way /= max(float(np.linalg.norm(way)), 1e-12)
+                    self.means[later] = self.means[earlier] + 1.5 * least * way
+
     def _emissions(self, x):
         d = x - self.means
         sign, logdet = np.linalg.slogdet(self.cov)
@@ -185,7 +198,7 @@ class GaussianHmm:
             self.a /= self.a.sum(axis=1, keepdims=True)
         safe = np.maximum(self.a, 1e-300)
         peaked = (safe * np.log(safe * self.k)).sum(axis=1) > self.max_row_kl
-        self.a[peaked] = 0.95 * self.a[peaked] + 0.05 / self.k
+        self.a[peaked] = (1 - self.blend) * self.a[peaked] + self.blend / self.k
         self.a /= self.a.sum(axis=1, keepdims=True)
         return self.alpha
 
@@ -243,8 +256,34 @@ def online_predictions(rows: DataFrame, cols, target: str) -> DataFrame:
     return scan(rows.select("symbol", "seq", "ts", *cols, target), lambda: OnlinePredictor(cols, target), schema)
 
 
+def fit_garch(x: np.ndarray, rounds: int = 6, side: int = 9) -> tuple[float, float, float]:
+    """(omega, alpha, beta) of the greatest Gaussian likelihood of zero-mean returns.
+
+    Ever finer grids around the best point of the last one, in the share of shocks and the persistence, all points of
+    a grid at once; omega gives the sample's variance in the long run.
+    """
+    square = np.asarray(x, float) ** 2
+    level = max(float(square.mean()), 1e-18)
+    low, high = np.array([0.0, 0.0]), np.array([0.5, 0.999])
+    best = (np.inf, 0.05, 0.9)
+    for _ in range(rounds):
+        alpha, total = (g.ravel() for g in np.meshgrid(np.linspace(low[0], high[0], side), np.linspace(low[1], high[1], side)))
+        alpha = np.minimum(alpha, total)
+        omega, beta, h, cost = level * (1 - total), total - alpha, np.full(len(alpha), level), np.zeros(len(alpha))
+        for v in square:
+            cost += np.log(h) + v / h
+            h = np.maximum(omega + alpha * v + beta * h, 1e-18)
+        i = int(cost.argmin())
+        if cost[i] < best[0]:
+            best = (float(cost[i]), float(alpha[i]), float(total[i]))
+        step = (high - low) / (side - 1)
+        centre = np.array(best[1:])
+        low, high = np.maximum(centre - step, 0.0), np.minimum(centre + step, [0.5, 0.999])
+    return level * (1 - best[2]), best[1], best[2] - best[1]
+
+
 class Garch:
-    """GARCH(1,1) variance with parameters refitted by grid likelihood every ``refit`` returns; the sample deviation before ``least``."""
+    """GARCH(1,1) variance with parameters refitted by likelihood every ``refit`` returns; the sample deviation before ``least``."""
 
     def __init__(self, refit=200, least=100, remembered=1000):
         self.refit, self.least, self.returns = refit, least, deque(maxlen=remembered)
@@ -252,18 +291,10 @@ class Garch:
 
     def _fit(self):
         x = np.array(self.returns)
-        x2, level, best = x * x, max(float(x.var()), 1e-18), (np.inf, None)
-        for alpha in (0.02, 0.05, 0.1, 0.2):
-            for beta in (0.7, 0.8, 0.9, 0.95):
-                if alpha + beta >= 0.999:
-                    continue
-                omega, h, cost = level * (1 - alpha - beta), level, 0.0
-                for v in x2:
-                    cost += np.log(h) + v / h
-                    h = omega + alpha * v + beta * h
-                if cost < best[0]:
-                    best = (cost, (omega, alpha, beta, h))
-        *self.fitted, self.h = best[1]
+        omega, alpha, beta = self.fitted = fit_garch(x)
+        self.h = max(float((x**2).mean()), 1e-18)
+        for v in (x * x).tolist():
+            self.h = omega + alpha * v + beta * self.h
 
     def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
         out = []

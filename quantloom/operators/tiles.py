@@ -25,6 +25,18 @@ def numbered(df: DataFrame, key: str = "symbol", order: tuple[str, ...] = ("ts",
     )
 
 
+def spread(df: DataFrame, lookback: int = 0, lookahead: int = 0, tile_rows: int = 10_000, key: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Numbered rows of each ``tile`` of consecutive numbers, with copies of the rows before and after it that its own need.
+
+    ``own`` is the tile that a row belongs to; a copy has another ``tile``.
+    """
+    tile = F.floor((F.col("n") - 1) / tile_rows)
+    rows = numbered(df, key, order).withColumn("tile", tile)
+    later = [F.when(F.col("n") > (F.col("tile") + d) * tile_rows - lookback, F.col("tile") + d) for d in range(1, -(-lookback // tile_rows) + 1)]
+    earlier = [F.when((F.col("n") <= (F.col("tile") + 1 - d) * tile_rows + lookahead) & (F.col("tile") >= d), F.col("tile") - d) for d in range(1, -(-lookahead // tile_rows) + 1)]
+    return rows.withColumn("own", F.col("tile")).withColumn("tile", F.explode(F.array_compact(F.array(F.col("tile"), *later, *earlier))))
+
+
 def rolling(
     df: DataFrame,
     lookback: int,
@@ -37,10 +49,4 @@ def rolling(
 
     ``features`` partitions its windows by ``keys``; each row comes back once, with the row number ``n``.
     """
-    tile = F.floor((F.col("n") - 1) / tile_rows)
-    rows = numbered(df, key, order).withColumn("tile", tile)
-    reach = -(-lookback // tile_rows)  # tiles that a row may have to be copied to
-    near_end = [F.when(F.col("n") > (F.col("tile") + d) * tile_rows - lookback, F.col("tile") + d) for d in range(1, reach + 1)]
-    tiles = F.array_compact(F.array(F.col("tile"), *near_end))
-    spread = rows.withColumn("own", F.col("tile")).withColumn("tile", F.explode(tiles))
-    return features(spread, (key, "tile")).where("tile = own").drop("tile", "own")
+    return features(spread(df, lookback, 0, tile_rows, key, order), (key, "tile")).where("tile = own").drop("tile", "own")

@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
+from .tiles import spread
 from .windows import SYMBOL, ordered, so_far
 
 
-def exits(entries: DataFrame, marks: DataFrame, hold: int = 80, activation=0.6, tight=0.5, normal=0.7) -> DataFrame:
-    """First exit of each entry: (symbol, k, side, exit_k, reason, ret).
+EXITS = "symbol string, k long, side string, exit_k long, reason string, ret double"
 
-    ``entries(symbol, k, price, side, stop, take_profit, trail)`` follow the next ``hold`` rows of ``marks(symbol, k,
-    price)`` by equality of the row number; running extremes are windows of one trade. In order of precedence: stop
-    loss; trailing stop, armed at a share of the take profit and tighter from 1.5 times it on; take profit; longest hold.
+
+def exits(marks: DataFrame, hold: int = 80, activation=0.6, tight=0.5, normal=0.7, tile_rows: int = 10_000) -> DataFrame:
+    """First exit of each entry: (symbol, k, side, exit_k, reason, ret); k numbers a symbol's rows.
+
+    ``marks(symbol, ts, seq, price, side, stop, take_profit, trail)``: rows with a side are entries, which follow the
+    next ``hold`` rows. In order of precedence: stop loss; trailing stop, armed at a share of the take profit and
+    tighter from 1.5 times it on; take profit; longest hold. Each tile brings the rows after it that its entries need.
     """
-    path = entries.select("symbol", F.col("k").alias("entry_k"), F.col("price").alias("entry"), "side", "stop", "take_profit", "trail", F.explode(F.sequence(F.lit(1), F.lit(hold))).alias("age"))
-    path = path.withColumn("k", F.col("entry_k") + F.col("age")).join(marks.select("symbol", "k", "price"), ["symbol", "k"])
-    w = Window.partitionBy("symbol", "entry_k").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    long = F.col("side") == "BUY"
-    gain = F.when(long, F.col("price") / F.col("entry") - 1).otherwise(1 - F.col("price") / F.col("entry"))
-    path = path.withColumn("ret", gain).withColumn("best", F.greatest(F.lit(0.0), F.max("ret").over(w)))
-    peak, trough = F.greatest(F.col("entry"), F.max("price").over(w)), F.least(F.col("entry"), F.min("price").over(w))
-    path = path.withColumn("drop", F.when(long, (peak - F.col("price")) / peak).otherwise((F.col("price") - trough) / trough))
-    factor = F.when(F.col("best") >= 1.5 * F.col("take_profit"), tight).otherwise(normal)
-    trailing = (F.col("best") > F.col("take_profit") * activation) & (F.col("drop") >= F.col("trail") * factor)
-    reason = (
-        F.when(F.col("ret") <= -F.col("stop"), "STOP_LOSS")
-        .when(trailing, "TRAILING_STOP")
-        .when(F.col("ret") >= F.col("take_profit"), "TAKE_PROFIT")
-        .when(F.col("age") >= hold, "MAX_HOLD")
-    )
-    path = path.withColumn("reason", reason).where("reason IS NOT NULL")
-    first = path.groupBy("symbol", "entry_k", "side").agg(F.min(F.struct("k", "reason", "ret")).alias("x"))
-    return first.select("symbol", F.col("entry_k").alias("k"), "side", F.col("x.k").alias("exit_k"), "x.reason", "x.ret")
+    ship_package(marks.sparkSession)
+    order = ("STOP_LOSS", "TRAILING_STOP", "TAKE_PROFIT", "MAX_HOLD")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable").reset_index(drop=True)
+        price = np.concatenate([rows["price"].to_numpy(float), np.full(hold, np.nan)])
+        ahead = np.lib.stride_tricks.sliding_window_view(price[1:], hold)
+        entries = rows.index[(rows["tile"] == rows["own"]) & rows["side"].notna()].to_numpy()
+        out = []
+        for low in range(0, len(entries), 2000):
+            at = entries[low : low + 2000]
+            e = rows.iloc[at]
+            path, start = ahead[at], e["price"].to_numpy(float)[:, None]
+            long = (e["side"] == "BUY").to_numpy()[:, None]
+            stop, take, trail = (e[c].to_numpy(float)[:, None] for c in ("stop", "take_profit", "trail"))
+            with np.errstate(all="ignore"):
+                ret = np.where(long, path / start - 1, 1 - path / start)
+                best = np.maximum(0.0, np.fmax.accumulate(ret, axis=1))
+                peak = np.maximum(start, np.fmax.accumulate(path, axis=1))
+                trough = np.minimum(start, np.fmin.accumulate(path, axis=1))
+                fall = np.where(long, (peak - path) / peak, (path - trough) / trough)
+                trailing = (best > take * activation) & (fall >= trail * np.where(best >= 1.5 * take, tight, normal))
+                last = np.broadcast_to(np.arange(hold) == hold - 1, ret.shape) & ~np.isnan(path)
+                hits = np.stack([ret <= -stop, trailing, ret >= take, last]) & ~np.isnan(path)
+            met = hits.any(axis=0)
+            first = met.argmax(axis=1)
+            found = np.flatnonzero(met.any(axis=1))
+            reason = hits[:, found, first[found]].argmax(axis=0)
+            k = e["n"].to_numpy()[found]
+            if len(found):
+                out.append([np.asarray(c, object) for c in (e["symbol"].iloc[found], k, e["side"].iloc[found], k + first[found] + 1, [order[r] for r in reason], ret[found, first[found]])])
+        names = [c.split()[0] for c in EXITS.split(", ")]
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))) if out else {c: np.empty(0, object) for c in names}, dtype=object)
+
+    return spread(marks, lookahead=hold, tile_rows=tile_rows).groupBy("symbol", "tile").applyInPandas(run, EXITS)
 
 
 def kill_switch(curve: DataFrame, most_fall: float, keys=SYMBOL, order=("ts", "order_id", "line", "pnl")) -> DataFrame:

@@ -37,13 +37,14 @@ def so_far(keys=SYMBOL):
     return ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def sliding_sums(df: DataFrame, values: dict[str, Column], n: int, keys=SYMBOL, newest: int = 0) -> DataFrame:
+def sliding_sums(df: DataFrame, values: dict[str, Column], n: int, keys=SYMBOL, newest: int = 0, order=("ts", "seq")) -> DataFrame:
     """Each of ``values`` summed over the n rows that end ``newest`` rows before this one; nulls count as 0.
 
     Differences of running sums: a row costs the same whatever n is, where a sliding frame would read its n rows again.
     """
-    w = ordered(keys)
-    running = df.withColumns({f"__run_{c}": F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(so_far(keys)) for c, v in values.items()})
+    w = Window.partitionBy(*keys).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    running = df.withColumns({f"__run_{c}": F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(run) for c, v in values.items()})
 
     def ended(c: str, ago: int) -> Column:
         return F.coalesce(F.lag(f"__run_{c}", ago).over(w), F.lit(0.0)) if ago else F.col(f"__run_{c}")
@@ -56,14 +57,15 @@ def _present(col: str) -> Column:
     return F.when(F.col(col).isNotNull(), 1.0)
 
 
-def sliding_moments(df: DataFrame, col: str, n: int, keys=SYMBOL, newest: int = 0, powers: int = 2) -> DataFrame:
+def sliding_moments(df: DataFrame, col: str, n: int, keys=SYMBOL, newest: int = 0, powers: int = 2, order=("ts", "seq")) -> DataFrame:
     """``__n, __mean, __m2`` (and ``__m3, __m4``): count, mean and central power means of a column over the sliding rows.
 
     Values are taken from the first of their partition, so that a constant column has no spread at all.
     """
-    df = df.withColumn("__base", F.first(col, ignorenulls=True).over(so_far(keys))).withColumn("__x", F.col(col) - F.col("__base"))
+    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__base", F.first(col, ignorenulls=True).over(run)).withColumn("__x", F.col(col) - F.col("__base"))
     sums = {"__n": _present(col)} | {f"__s{k}": F.col("__x") ** k if k > 1 else F.col("__x") for k in range(1, powers + 1)}
-    df = sliding_sums(df, sums, n, keys, newest)
+    df = sliding_sums(df, sums, n, keys, newest, order)
     raw = {k: F.col(f"__s{k}") / F.col("__n") for k in range(1, powers + 1)}
     m = raw[1]
     out = {"__mean": F.when(F.col("__n") > 0, F.col("__base") + m), "__m2": F.when(F.col("__n") > 0, F.greatest(F.lit(0.0), raw[2] - m * m))}

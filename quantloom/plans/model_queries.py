@@ -95,7 +95,7 @@ def kalman_derivatives(spark, sf_dir):
     return rounded(S.kalman_derivatives(ticks(spark, sf_dir)), "velocity", "acceleration")
 
 
-STATE = ("mu", "sigma", "skew", "kurt")
+STATE = ("mu", "sigma", "skew", "kurt")  # the full state has the tail slope and the entropy besides, see feature_vector
 
 
 def _states(spark, sf_dir):
@@ -133,7 +133,8 @@ def kill_switch(spark, sf_dir):
 
 
 @query(
-    f"""{T}, m AS (SELECT *, row_number() OVER ({O}) AS k FROM ticks), e AS (SELECT symbol, k AS ek, price AS p0, CASE WHEN seq % 40 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM m WHERE seq % 20 = 0
+    f"""{T}, m AS (SELECT *, row_number() OVER ({O}) AS k, CAST(floor(price / 20) AS BIGINT) % 3 AS regime FROM ticks), l AS (SELECT *, lag(regime) OVER ({O}) AS was FROM m
+    ), e AS (SELECT symbol, k AS ek, price AS p0, CASE WHEN regime > was THEN 'BUY' ELSE 'SELL' END AS side FROM l WHERE regime <> was
     ), p AS (SELECT e.symbol, ek, side, m.k, m.k - ek AS age, price, p0, CASE WHEN side = 'BUY' THEN price / p0 - 1 ELSE 1 - price / p0 END AS ret FROM e JOIN m ON m.symbol = e.symbol AND m.k BETWEEN ek + 1 AND ek + 80
     ), q AS (SELECT *, greatest(0, max(ret) OVER w) AS best, greatest(p0, max(price) OVER w) AS pk, least(p0, min(price) OVER w) AS tr FROM p WINDOW w AS (PARTITION BY symbol, ek ORDER BY k)
     ), d AS (SELECT *, CASE WHEN side = 'BUY' THEN (pk - price) / pk ELSE (price - tr) / tr END AS fall FROM q
@@ -141,11 +142,11 @@ def kill_switch(spark, sf_dir):
     SELECT symbol, ek AS k, side, min(k) AS exit_k, arg_min(reason, k) AS reason, {r("arg_min(ret, k)", "ret")} FROM x WHERE reason IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def exit_automaton(spark, sf_dir):
-    """Entries at every twentieth tick."""
-    marks = ticks(spark, sf_dir).withColumn("k", F.row_number().over(W.ordered()).cast("long"))
-    entries = marks.where("seq % 20 = 0").withColumn("side", F.when(F.col("seq") % 40 == 0, "BUY").otherwise("SELL"))
-    entries = entries.withColumns({"stop": F.lit(0.5), "take_profit": F.lit(0.8), "trail": F.lit(0.3)})
-    return rounded(X.exits(entries, marks), "ret")
+    """Entries at every change of the price regime, up or down with it."""
+    regime = F.floor(F.col("price") / 20) % 3
+    was = F.lag(regime).over(W.ordered())
+    marks = ticks(spark, sf_dir).withColumn("side", F.when(regime > was, "BUY").when(regime < was, "SELL"))
+    return rounded(X.exits(marks.withColumns({"stop": F.lit(0.5), "take_profit": F.lit(0.8), "trail": F.lit(0.3)})), "ret")
 
 
 @query(
@@ -276,14 +277,18 @@ def entry_actions(spark, sf_dir):
     return t.select("symbol", action.alias("action")).groupBy("symbol", "action").agg(F.count("*").alias("n"))
 
 
-@query()
-def book_dynamics(spark, sf_dir):
-    """A book fed by the ticks taken as inserts, updates and deletes of its first five levels."""
-    t = ticks(spark, sf_dir).select(
+def book_events(t):
+    """Ticks taken as inserts, updates and deletes of the first five levels of a book."""
+    return t.select(
         "symbol", "seq", "ts", (F.col("seq") % 3).cast("int").alias("operation"), F.when(F.col("seq") % 2 == 0, "BID").otherwise("ASK").alias("side"),
         (F.floor(F.col("seq") / 6) % 5).cast("int").alias("level"), "price", F.col("volume").alias("size"),
     )
-    return rounded(B.book_dynamics(t), "bid_depth", "ask_depth", "pull_bid", "pull_ask", "spoofing")
+
+
+@query()
+def book_dynamics(spark, sf_dir):
+    """A book fed by the ticks taken as operations on its first five levels."""
+    return rounded(B.book_dynamics(book_events(ticks(spark, sf_dir))), "bid_depth", "ask_depth", "pull_bid", "pull_ask", "spoofing")
 
 
 @query()

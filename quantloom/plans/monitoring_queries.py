@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import decisions as D
+from ..operators import density as N
+from ..operators import entries as E
+from ..operators import models as B
 from ..operators import monitoring as M
 from ..operators import performance as P
+from ..operators import scans as S
+from ..operators import trades as X
 from ..operators import windows as W
 from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
+from .density_queries import densities
+from .model_queries import book_events
 from .performance_queries import _daily
 from .tick_queries import RET, O, before, last
 
@@ -28,7 +37,7 @@ def running_scale(spark, sf_dir):
     SELECT symbol, seq, {r("q", "vol_ratio")}, risk_regime FROM g"""
 )
 def risk_regime(spark, sf_dir):
-    return rounded(M.risk_regime(W.log_returns(ticks(spark, sf_dir))), "vol_ratio").select("symbol", "seq", "vol_ratio", "risk_regime")
+    return rounded(rolling(ticks(spark, sf_dir), 121, lambda d, keys: M.risk_regime(W.log_returns(d, keys), keys)), "vol_ratio").select("symbol", "seq", "vol_ratio", "risk_regime")
 
 
 @query(
@@ -44,7 +53,7 @@ def regime_drift(spark, sf_dir):
 @query(f"{RET} SELECT symbol, seq, {r(f'CASE WHEN count(ret) OVER {before(50)} = 50 THEN avg(ret) OVER {before(50)} / stddev_pop(ret) OVER {before(50)} END', 'sharpe')}, coalesce(avg(ret) OVER {last(750)} > 1e-12, false) AS rising FROM rets")
 def rolling_sharpe(spark, sf_dir):
     """With the long-term trend flag."""
-    out = M.long_trend(M.rolling_sharpe(W.log_returns(ticks(spark, sf_dir))))
+    out = rolling(ticks(spark, sf_dir), 751, lambda d, keys: M.long_trend(M.rolling_sharpe(W.log_returns(d, keys), keys=keys), keys=keys))
     return rounded(out, "sharpe").select("symbol", "seq", "sharpe", "rising")
 
 
@@ -110,18 +119,16 @@ def entry_gates(spark, sf_dir):
 
 @query(
     f"""{TR}, d AS (SELECT CAST(ts AS DATE) AS day, sum(pnl) AS x FROM trades GROUP BY 1), v AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, x FROM d), c AS (SELECT count(*) AS n FROM v
-    ), k AS (SELECT t.trial, v.i AS place, {P.SQL_DRAW.format(t="t.trial", i="v.i", s=5)} % n AS pick FROM v, c, (SELECT unnest(range(100)) AS trial) t
+    ), k AS (SELECT t.trial, v.i AS place, {P.SQL_DRAW.format(t="t.trial", i="v.i", s=5)} % n AS pick FROM v, c, (SELECT unnest(range(1000)) AS trial) t
     ), p AS (SELECT trial, place, 1e6 + sum(v.x) OVER (PARTITION BY trial ORDER BY place) AS equity FROM k JOIN v ON v.i = k.pick
     ), e AS (SELECT trial, arg_max(equity, place) AS fin, min(equity) AS low FROM p GROUP BY 1)
     SELECT count(*) AS trials, {r("avg(CASE WHEN low > 900000 THEN 1.0::DOUBLE ELSE 0 END)", "survival")}, {r("avg(fin)", "mean", 2)}, {r("quantile_cont(fin, 0.05)", "p5", 2)}, {r("quantile_cont(fin, 0.5)", "median", 2)}, {r("quantile_cont(fin, 0.95)", "p95", 2)} FROM e"""
 )
 def monte_carlo(spark, sf_dir):
-    """A hundred equity paths of resampled days."""
-    from pyspark.sql import Window
-
+    """A thousand equity paths of resampled days."""
     daily = _daily(spark, sf_dir)
     count = daily.agg(F.count("*").alias("n"))
-    picks = daily.select(F.col("i").alias("place")).crossJoin(F.broadcast(spark.range(100).toDF("trial"))).crossJoin(F.broadcast(count))
+    picks = daily.select(F.col("i").alias("place")).crossJoin(F.broadcast(spark.range(1000).toDF("trial"))).crossJoin(F.broadcast(count))
     picks = picks.select("trial", "place", (P.draw(F.col("trial"), F.col("place"), 5) % F.col("n")).alias("i")).join(daily, "i")
     equity = F.lit(1e6) + F.sum("x").over(Window.partitionBy("trial").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     out = M.ruin(picks.select("trial", F.col("place").alias("i"), equity.alias("equity")), 900_000.0)
@@ -139,6 +146,52 @@ def cost_sensitivity(spark, sf_dir):
     return rounded(out, "objective")
 
 
+FEATURES = (
+    "mu", "sigma", "skew", "kurt", "tail_slope", "entropy", "ofi_sum", "vpin", "kyle", "amihud", "depth_imbalance", "toxicity", "ac_1", "ac_5", "ac_10", "mom_50", "mom_200", "mean_rev", "vol_of_vol",
+    "regime_age", "confidence", "since_transition", "cluster_distance", "spread_frac", "intensity", "liquidity_pull", "pressure", "spoofing", "spread_bps", "imbalance", "velocity", "trajectory_z",
+    "vpin_spread", "kyle_confidence", "amihud_vol_of_vol", "ofi_pressure", "vpin_kyle", "fat_tail",
+)
+
+
+@query()
+def feature_vector(spark, sf_dir):
+    """The 38 features of each evaluation row, joined from the operators that make them; the tests compare columns with the single queries."""
+    t = ticks(spark, sf_dir)
+
+    def features(d, keys):
+        d = W.moments(W.log_returns(d, keys), keys=keys)
+        d = W.flow(W.order_flow_imbalance(d, keys), keys=keys)
+        d = W.kyle_lambda(W.mean_reversion(W.momentum(d, keys), keys=keys), keys=keys)
+        d = W.amihud(W.spread_stats(d, keys=keys), keys=keys)
+        return W.autocorrelations(W.hill_slope(d, keys=keys), keys=keys)
+
+    rows = W.vol_of_vol(W.evaluated(rolling(t, 302, features)))
+    # books: a ladder on each side of the tick, pulled and spoofed levels from the tick's own operations
+    mid = (F.col("bid") + F.col("ask")) / 2
+    size = F.col("bid_size") + F.col("ask_size")
+    rows = rows.withColumns({
+        "depth_imbalance": (F.col("bid_size") - F.col("ask_size")) / size, "imbalance": (F.col("bid_size") - F.col("ask_size")) / size, "spread_bps": (F.col("ask") - F.col("bid")) / mid * 10_000,
+        "pressure": D.book_pressure(D.levels(mid, F.lit(0.01), F.col("bid_size"), -1), D.levels(mid, F.lit(0.01), F.col("ask_size"), 1)),
+    })
+    book = B.book_dynamics(book_events(t)).select("symbol", "seq", F.greatest("pull_bid", "pull_ask").alias("liquidity_pull"), "spoofing")
+    rows = rows.join(book, ["symbol", "seq"], "left")
+    # the newest closed volume bucket
+    closed = S.toxicity(t).select("symbol", F.col("closed").alias("ts"), F.lit(0).cast("long").alias("seq"), F.col("bucket").alias("at"), "vpin")
+    marks = rows.select("symbol", "ts", "seq", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("vpin")).unionByName(closed)
+    so_far = Window.partitionBy("symbol").orderBy("ts", F.col("at").asc_nulls_last(), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    vpin = marks.withColumn("vpin", F.coalesce(F.last("vpin", ignorenulls=True).over(so_far), F.lit(0.0))).where("at IS NULL").select("symbol", "seq", "vpin")
+    rows = rows.join(vpin, ["symbol", "seq"])
+    # densities and regimes of the same rows
+    d = densities(spark, sf_dir)
+    shape = N.surface(d.withColumn("entropy", N.differential_entropy(F.col("pdf"), F.col("step")))).select("symbol", "seq", "entropy", "velocity")
+    rows = rows.join(shape, ["symbol", "seq"])
+    states = ("mu", "sigma", "skew", "kurt", "tail_slope", "entropy")
+    rows = rows.join(S.hmm_regimes(rows, states).select("symbol", "seq", "regime_id", "confidence"), ["symbol", "seq"])
+    rows = M.drift(X.regime_changes(rows).withColumnRenamed("age", "regime_age"), ("mu", "sigma")).withColumnRenamed("drift", "cluster_distance")
+    rows = M.running_scale(rows.withColumn("since_transition", F.col("regime_age") * 10), ("mu",)).withColumnRenamed("mu_z", "trajectory_z")
+    return rounded(E.interactions(rows), *FEATURES).select("symbol", "seq", *FEATURES)
+
+
 @query()
 def feature_table(spark, sf_dir):
     """All rolling features of each tick in one pass of tiles; the tests compare its columns with the single queries."""

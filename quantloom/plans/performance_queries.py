@@ -185,19 +185,19 @@ def pnl_gini(spark, sf_dir):
 
 
 @query(
-    f"""{TR}, b AS (SELECT symbol % 10 AS trial, CAST(order_id % 6 AS INTEGER) AS block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS q FROM trades GROUP BY 1, 2
-    ), sp AS (SELECT a.i AS a, b.i AS b, c.i AS c FROM range(6) a(i), range(6) b(i), range(6) c(i) WHERE a.i < b.i AND b.i < c.i
-    ), sd AS (SELECT sp.a, sp.b, sp.c, trial, block IN (sp.a, sp.b, sp.c) AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b, sp GROUP BY ALL
+    f"""{TR}, b AS (SELECT symbol % 10 AS trial, CAST(order_id // 4 % 16 AS INTEGER) AS block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS q FROM trades GROUP BY 1, 2
+    ), sp AS (SELECT m FROM range(65536) t(m) WHERE bit_count(m) = 8
+    ), sd AS (SELECT m, trial, (m >> block) & 1 = 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b, sp GROUP BY ALL
     ), sh AS (SELECT *, (s / n) / sqrt((q - n * (s / n) * (s / n)) / (n - 1)) AS sharpe FROM sd
-    ), best AS (SELECT a, b, c, arg_max(trial, (sharpe, -trial)) AS trial FROM sh WHERE inside GROUP BY ALL
-    ), o AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY sharpe, trial) - 1 AS k, count(*) OVER (PARTITION BY a, b, c) AS m FROM sh WHERE NOT inside
-    ), l AS (SELECT least(0.99::DOUBLE, greatest(0.01::DOUBLE, k / (m - 1)::DOUBLE)) AS p FROM o JOIN best USING (a, b, c, trial))
+    ), best AS (SELECT m, arg_max(trial, (sharpe, -trial)) AS trial FROM sh WHERE inside GROUP BY ALL
+    ), o AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY sharpe, trial) - 1 AS k, count(*) OVER (PARTITION BY m) AS c FROM sh WHERE NOT inside
+    ), l AS (SELECT least(0.99::DOUBLE, greatest(0.01::DOUBLE, k / (c - 1)::DOUBLE)) AS p FROM o JOIN best USING (m, trial))
     SELECT count(*) AS splits, {r("avg(CASE WHEN ln(p / (1 - p)) < 0 THEN 1.0::DOUBLE ELSE 0 END)", "pbo")}, {r("avg(ln(p / (1 - p)))", "mean_logit")} FROM l"""
 )
 def cscv_pbo(spark, sf_dir):
-    """Ten groups of instruments as trials, six blocks of orders."""
-    t = trades(spark, sf_dir).select((F.col("symbol") % 10).alias("trial"), (F.col("order_id") % 6).cast("int").alias("block"), F.col("pnl").alias("ret"))
-    return rounded(P.combinatorial_overfit(t, blocks=6), "pbo", "mean_logit")
+    """Ten groups of instruments as trials, sixteen blocks of orders: 12870 splits."""
+    t = trades(spark, sf_dir).select((F.col("symbol") % 10).alias("trial"), (F.floor(F.col("order_id") / 4) % 16).cast("int").alias("block"), F.col("pnl").alias("ret"))
+    return rounded(P.combinatorial_overfit(t, blocks=16), "pbo", "mean_logit")
 
 
 NUM = f"{TR}, d AS (SELECT CAST(ts AS DATE) AS day, sum(pnl) AS x FROM trades GROUP BY 1), v AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, x FROM d)"
@@ -210,26 +210,26 @@ def _daily(spark, sf_dir):
 
 
 @query(
-    f"""{NUM}, c AS (SELECT count(*) AS n FROM v), k AS (SELECT t.trial, {P.SQL_DRAW.format(t="t.trial", i="v.i", s=42)} % n AS i FROM v, c, (SELECT unnest(range(200)) AS trial) t
+    f"""{NUM}, c AS (SELECT count(*) AS n FROM v), k AS (SELECT t.trial, {P.SQL_DRAW.format(t="t.trial", i="v.i", s=42)} % n AS i FROM v, c, (SELECT unnest(range(5000)) AS trial) t
     ), m AS (SELECT trial, avg(x) AS mean FROM k JOIN v USING (i) GROUP BY 1)
     SELECT {r("avg(mean)", "mean", 3)}, {r("quantile_cont(mean, 0.025)", "low", 3)}, {r("quantile_cont(mean, 0.975)", "high", 3)} FROM m"""
 )
 def bootstrap_ci(spark, sf_dir):
-    """Confidence interval of mean daily profit from 200 samples."""
-    means = P.bootstrap(_daily(spark, sf_dir), 200)
+    """Confidence interval of mean daily profit from 5000 samples."""
+    means = P.bootstrap(_daily(spark, sf_dir), 5000)
     out = means.agg(F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return rounded(out, "mean", "low", "high", digits=3)
 
 
 @query(
-    f"""{NUM}, o AS (SELECT abs(avg(x)) AS seen FROM v), m AS (SELECT t.trial, avg(CASE WHEN {P.SQL_DRAW.format(t="t.trial", i="v.i", s=7)} % 2 = 0 THEN x ELSE -x END) AS mean FROM v, (SELECT unnest(range(200)) AS trial) t GROUP BY 1)
+    f"""{NUM}, o AS (SELECT abs(avg(x)) AS seen FROM v), m AS (SELECT t.trial, avg(CASE WHEN {P.SQL_DRAW.format(t="t.trial", i="v.i", s=7)} % 2 = 0 THEN x ELSE -x END) AS mean FROM v, (SELECT unnest(range(5000)) AS trial) t GROUP BY 1)
     SELECT {r("any_value(seen)", "seen", 3)}, {r("avg(CASE WHEN abs(mean) >= seen THEN 1.0::DOUBLE ELSE 0 END)", "p_value")} FROM m, o"""
 )
 def permutation_test(spark, sf_dir):
     """Two-sided sign-flip test of mean daily profit."""
     daily = _daily(spark, sf_dir)
     seen = daily.agg(F.abs(F.avg("x")).alias("seen"))
-    means = P.sign_flips(daily, 200).crossJoin(F.broadcast(seen))  # one row
+    means = P.sign_flips(daily, 5000).crossJoin(F.broadcast(seen))  # one row
     out = means.agg(F.first("seen").alias("seen"), F.avg(F.when(F.abs("mean") >= F.col("seen"), 1.0).otherwise(0.0)).alias("p_value"))
     return rounded(rounded(out, "seen", digits=3), "p_value")
 

@@ -132,12 +132,12 @@ def exposure_proposals(spark, sf_dir):
     return rounded(out, "most", digits=2)
 
 
-@query(f"{TR} SELECT CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS session, {r('sum(pnl)', 'pnl', 2)}, count(*) AS trades, count(*) FILTER (pnl < -1500) AS violations, {r('min(pnl)', 'worst', 2)} FROM trades GROUP BY 1")
+@query(f"{TR} SELECT CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS session, {r('sum(pnl)', 'pnl', 2)}, count(*) AS trades, count(*) FILTER (pnl < -1500) AS violations, {r('min(pnl)', 'worst', 4)} FROM trades GROUP BY 1")
 def session_pnl(spark, sf_dir):
     """Profit of each month's session, and trades that lost more than allowed."""
     month = F.date_trunc("month", F.col("ts")).cast("date").cast("string")
     out = trades(spark, sf_dir).groupBy(month.alias("session")).agg(F.sum("pnl").alias("pnl"), F.count("*").alias("trades"), F.count(F.when(F.col("pnl") < -1500, 1)).alias("violations"), F.min("pnl").alias("worst"))
-    return rounded(out, "pnl", "worst", digits=2)
+    return rounded(rounded(out, "pnl", digits=2), "worst", digits=4)
 
 
 ALERTS = f"""{CURVE}, k AS (SELECT 'drawdown/' || symbol AS source, epoch(ts)::DOUBLE AS raised_at, order_id * 10 + line AS seq, CASE WHEN dd <= -0.004 THEN 'CRITICAL' WHEN dd <= -0.002 THEN 'WARNING' END AS level FROM d

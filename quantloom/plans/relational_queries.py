@@ -183,25 +183,28 @@ def round_trips(spark, sf_dir):
     return rounded(out, "pnl", "fees", digits=2).select("symbol", "opened", "closed", "side", "qty", "pnl", "fees")
 
 
-K = f"{with_views('ticks')}, n AS (SELECT symbol, price, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks)"
-CURVE = f"""{K}, c AS (SELECT o.off AS "offset", count(*) AS n, avg(abs(ln(b.price / a.price))) AS curve FROM n a CROSS JOIN (SELECT unnest(range(1, 51)) AS off) o JOIN n b ON b.symbol = a.symbol AND b.k = a.k + o.off WHERE a.seq % 10 = 0 GROUP BY 1)"""
+CURVE = f"""{with_views('ticks')}, n AS (SELECT symbol, price, CAST(floor(price / 20) AS BIGINT) % 3 AS regime, row_number() OVER w AS k, lag(CAST(floor(price / 20) AS BIGINT) % 3) OVER w AS was, lead(price, 50) OVER w AS final FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)
+), e AS (SELECT * FROM n WHERE regime <> was AND final IS NOT NULL
+), c AS (SELECT e.was AS from_regime, e.regime AS to_regime, b.k - e.k AS "offset", count(*) AS n, avg(abs(ln(b.price / e.price))) AS curve FROM e JOIN n b ON b.symbol = e.symbol AND b.k BETWEEN e.k + 1 AND e.k + 50 GROUP BY 1, 2, 3)"""
 
 
 def _curve(spark, sf_dir):
-    t = ticks(spark, sf_dir).withColumn("k", F.row_number().over(W.ordered()))
-    return R.forward_curves(t, t.where("seq % 10 = 0"))
+    return R.forward_curves(ticks(spark, sf_dir).withColumn("regime_id", F.floor(F.col("price") / 20) % 3))
 
 
-@query(f"""{CURVE} SELECT CAST("offset" AS INTEGER) AS "offset", n, {r("curve", "curve")} FROM c""")
+@query(f"""{CURVE} SELECT from_regime, to_regime, CAST("offset" AS INTEGER) AS "offset", n, {r("curve", "curve")} FROM c""")
 def forward_return_curve(spark, sf_dir):
+    """Moves after each kind of transition between three price regimes."""
     return rounded(_curve(spark, sf_dir), "curve")
 
 
 @query(
-    f"""{CURVE}, p AS (SELECT arg_max("offset", (curve, -"offset")) AS peak FROM c), f AS (SELECT regr_slope(ln(curve), "offset" - peak) AS slope, regr_r2(ln(curve), "offset" - peak) AS r2 FROM c, p WHERE "offset" >= peak AND curve > 0)
-    SELECT {r("slope", "slope")}, {r("CASE WHEN slope < 0 THEN ln(2) / -slope END", "half_life", 3)}, {r("r2", "r2")} FROM f"""
+    f"""{CURVE}, p AS (SELECT from_regime, to_regime, arg_max("offset", (curve, -"offset")) AS peak FROM c WHERE n >= 5 GROUP BY 1, 2
+    ), f AS (SELECT from_regime, to_regime, regr_slope(ln(curve), "offset" - peak) AS slope, regr_r2(ln(curve), "offset" - peak) AS r2 FROM c JOIN p USING (from_regime, to_regime) WHERE "offset" >= peak AND curve > 0 GROUP BY 1, 2)
+    SELECT from_regime, to_regime, {r("slope", "slope")}, {r("CASE WHEN slope < 0 THEN ln(2) / -slope END", "half_life", 3)}, {r("r2", "r2")} FROM f"""
 )
 def alpha_half_life(spark, sf_dir):
+    """How fast the moves after each kind of transition fade."""
     return rounded(rounded(R.half_life(_curve(spark, sf_dir)), "slope", "r2"), "half_life", digits=3)
 
 

@@ -271,7 +271,7 @@ def trial_diagnostics(spark, sf_dir):
 
 @query(
     f"""{TR}, b AS (SELECT symbol, order_id, line, pnl, row_number() OVER (PARTITION BY symbol ORDER BY pnl DESC, order_id, line) AS best, row_number() OVER (PARTITION BY symbol ORDER BY pnl, order_id, line) AS worst FROM trades)
-    SELECT symbol, 'best' AS side, CAST(best AS INTEGER) AS place, order_id, line, {r("pnl", "pnl", 2)} FROM b WHERE best <= 5 UNION ALL SELECT symbol, 'worst', CAST(worst AS INTEGER), order_id, line, {r("pnl", "pnl", 2)} FROM b WHERE worst <= 5"""
+    SELECT symbol, 'best' AS side, CAST(best AS INTEGER) AS place, order_id, line, {r("pnl", "pnl", 4)} FROM b WHERE best <= 5 UNION ALL SELECT symbol, 'worst', CAST(worst AS INTEGER), order_id, line, {r("pnl", "pnl", 4)} FROM b WHERE worst <= 5"""
 )
 def extreme_trades(spark, sf_dir):
     """The five best and the five worst trades of each symbol."""
@@ -279,7 +279,7 @@ def extreme_trades(spark, sf_dir):
     place = lambda *by: F.row_number().over(Window.partitionBy("symbol").orderBy(*by, "order_id", "line"))
     t = t.withColumns({"b": place(F.desc("pnl")), "w": place("pnl")})
     best, worst = (t.where(f"{c} <= 5").select("symbol", F.lit(side).alias("side"), F.col(c).alias("place"), "order_id", "line", "pnl") for c, side in (("b", "best"), ("w", "worst")))
-    return rounded(best.union(worst), "pnl", digits=2)
+    return rounded(best.union(worst), "pnl", digits=4)
 
 
 @query(f"{T}, n AS (SELECT symbol, seq, price, row_number() OVER ({O}) AS n FROM ticks) SELECT symbol, seq, price FROM n WHERE n % 25 = 0")

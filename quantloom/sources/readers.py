@@ -21,7 +21,8 @@ def csv_ticks(spark: SparkSession, path: str, symbol: str | None = None) -> Data
     """Ticks of delimited files with a header; columns other than timestamp and price may be missing.
 
     Rows without a finite price above 0 or a readable timestamp are dropped; volumes that are no finite number become
-    0, the exchange defaults to generic. Rows are numbered by (ts, file, line order is not kept): order by (ts, seq).
+    0, the exchange defaults to generic. ``seq`` is a hash of the row, so that equal timestamps have the same order
+    however the files are split; rows equal in all have one seq.
     """
     raw = spark.read.csv(path, header=True)
     fields = {name.split()[0]: name.split()[1] for name in CSV.split(", ")}
@@ -29,7 +30,8 @@ def csv_ticks(spark: SparkSession, path: str, symbol: str | None = None) -> Data
     d = raw.select(*(v.alias(c) for c, v in cols.items())).withColumn("ts", F.expr("try_cast(timestamp AS timestamp_ntz)"))
     d = d.where(_finite("price") & (F.col("price") > 0) & F.col("ts").isNotNull())
     d = d.withColumns({"volume": F.when(_finite("volume"), F.col("volume")).otherwise(0.0), "exchange": F.coalesce("exchange", F.lit("generic")), "symbol": F.coalesce(F.lit(symbol), F.col("symbol"), F.lit("UNKNOWN"))})
-    return d.withColumn("seq", F.monotonically_increasing_id()).select(*(f.split()[0] for f in TICK.split(", ")))
+    row = F.xxhash64(*(c for c in d.columns if c != "timestamp"))
+    return d.withColumn("seq", F.pmod(row, F.lit(1 << 62))).select(*(f.split()[0] for f in TICK.split(", ")))
 
 
 def stored_ticks(spark: SparkSession, path: str, symbol: str | None = None, start=None, end=None) -> DataFrame:
@@ -61,6 +63,26 @@ def book_export(rows: DataFrame, trades_only: bool = False) -> DataFrame:
     )
 
 
+def scaled_export(rows: DataFrame) -> DataFrame:
+    """Ticks of a vendor's export whose prices may be in units of 1e-9: magnitudes above a million are; a missing price is the mid."""
+    cols = ("price", "bid", "ask")
+    scaled = rows.withColumns({c: F.when(F.abs(c) > 1e6, F.col(c) * 1e-9).otherwise(F.col(c).cast("double")) for c in cols})
+    return scaled.withColumn("price", F.coalesce("price", (F.col("bid") + F.col("ask")) / 2))
+
+
+def log_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of delimited logs with a header (decisions, journal, market states); malformed rows are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").csv(path, header=True)
+
+
+def restored_state(spark: SparkSession, path: str, now, most_age_s: float = 300.0, key: str = "symbol") -> DataFrame:
+    """The newest saved state of each key that is not older than ``most_age_s`` seconds at ``now``; none is better than a stale one."""
+    d = spark.read.parquet(path)
+    newest = d.groupBy(key).agg(F.max_by(F.struct(*(c for c in d.columns if c != key)), "saved_at").alias("state")).select(key, "state.*")
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("saved_at").cast("timestamp"))
+    return newest.where(age <= most_age_s * 1e6)
+
+
 def synthetic_ticks(spark: SparkSession, symbols: int, rows: int, seed: int = 42, drift: float = 0.0, tick: float = 0.25, start: str = "2024-01-01") -> DataFrame:
     """A random walk from 10000 for each symbol, generated by a task of its own from (seed, symbol).
 

@@ -15,8 +15,13 @@ import __spark_entry__ as entry
 from quantloom.functions import decisions as D
 from quantloom.functions import normal
 from quantloom.operators import density as N
+from quantloom.operators import entries as E
+from quantloom.operators import portfolio as PF
 from quantloom.operators import quality as Q
+from quantloom.operators import relational as REL
+from quantloom.operators import reports as RP
 from quantloom.operators import scans as S
+from quantloom.operators import trades as X
 from quantloom.operators import windows as W
 from quantloom.operators.tiles import numbered, rolling
 from quantloom.plans import registry
@@ -72,6 +77,29 @@ def test_tiles_change_nothing(spark, sf_small, tile_rows):
     assert near(whole) == near(tiled) and len(whole) == len(tiled)
 
 
+@pytest.mark.parametrize("tile_rows", [9, 50])
+def test_tiles_change_no_kernel(spark, sf_small, tile_rows):
+    t = ticks(spark, sf_small)
+    for make in (W.hill_slope, W.rolling_var, W.autocorrelations, W.persistence, W.left_tail_alpha):
+        whole, tiled = (rolling(t, 302, lambda d, keys: make(W.log_returns(d, keys), keys=keys), tile_rows=n).toPandas().sort_values(["symbol", "seq"]) for n in (10_000, tile_rows))
+        new = [c for c in whole.columns if c not in t.columns]
+        assert np.allclose(whole[new].astype(float), tiled[new].astype(float), equal_nan=True), make.__name__
+    marks = t.withColumns({"side": F.when(F.col("seq") % 3 == 0, "BUY").when(F.col("seq") % 3 == 1, "SELL"), "stop": F.lit(0.5), "take_profit": F.lit(0.8), "trail": F.lit(0.3), "regime_id": F.floor(F.col("price") / 20) % 3})
+    assert sorted(map(tuple, X.exits(marks, 20).collect())) == sorted(map(tuple, X.exits(marks, 20, tile_rows=tile_rows).collect()))
+    curves = [{tuple(r)[:4]: round(r.curve, 9) for r in REL.forward_curves(marks, 20, n).collect()} for n in (10_000, tile_rows)]
+    assert curves[0] == curves[1] and curves[0]
+
+
+def test_a_hot_symbol_is_many_tasks(spark):
+    d = frame(spark, np.cumsum(np.random.default_rng(2).normal(0, 1, 3000)) + 500)
+    out = rolling(d, 151, lambda rows, keys: W.moments(W.log_returns(rows, keys), keys=keys), tile_rows=200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 3000 rows would be put together again
+    try:
+        assert out.select("mu", F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("mu")).count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_numbering(spark, sf_small):
     got = {(r.symbol, r.seq): r.n for r in numbered(ticks(spark, sf_small)).collect()}
     expected = {}
@@ -157,7 +185,7 @@ def test_decision_rules(spark):
     one = spark.range(1)
     k = one.select(D.kelly(F.lit(0.6), F.lit(1.0)).alias("a"), D.kelly(F.lit(0.2), F.lit(1.0)).alias("b"), D.kelly(F.lit(float("nan")), F.lit(0.0)).alias("c")).first()
     assert (round(k.a, 9), k.b, k.c) == (0.2, 0.0, 0.0)
-    size = lambda tail: one.select(D.position_size(F.lit(1e5), F.lit(100.0), F.lit(0.01), F.lit(0.6), F.lit(1.5), F.lit(1.0), F.lit(tail), F.lit(0.0), F.lit(0.0)).alias("s")).first().s
+    size = lambda tail: one.select(D.position_size(F.lit(1e5), F.lit(100.0), F.lit(0.05), F.lit(0.6), F.lit(1.5), F.lit(1.0), F.lit(tail), F.lit(0.0), F.lit(0.0)).alias("s")).first().s
     assert size(4.0) < size(1.0)
     impact = lambda q: one.select(D.market_impact(F.lit(q), F.lit(10.0), F.lit(0.02), F.lit(1000.0)).alias("i")).first().i.bps
     assert impact(500.0) > impact(5.0) > 0 == impact(0.0)
@@ -270,3 +298,88 @@ def test_feature_table_equals_single_queries(spark, sf_small):
     for name, cols in (("rolling_moments", ["mu", "sigma", "skew", "kurt"]), ("momentum_50_200", ["mom_50", "mom_200"]), ("kyle_lambda", ["kyle"]), ("flow_toxicity", ["toxicity", "intensity"])):
         single = registry.QUERIES[name](spark, sf_small).toPandas().set_index(["symbol", "seq"]).sort_index()
         assert np.allclose(joint[cols].astype(float), single[cols].astype(float), atol=2e-6), name
+
+
+def test_garch_fit_finds_its_parameters():
+    r = np.random.default_rng(8)
+    omega, alpha, beta, h, x = 0.1, 0.12, 0.8, 1.0, []
+    for _ in range(4000):
+        x.append(r.normal() * math.sqrt(h))
+        h = omega + alpha * x[-1] ** 2 + beta * h
+    w, a, b = S.fit_garch(np.array(x))
+    assert abs(a - alpha) < 0.04 and abs(b - beta) < 0.08 and 0.03 < w < 0.3
+
+
+def test_mixture_grids_and_divergence(spark):
+    row = ([0.4, 0.6], [-1.0, 2.0], [0.5, 1.5])
+    d = spark.createDataFrame([(*row, [1.0], [0.0], [1.0])], "w array<double>, m array<double>, v array<double>, w2 array<double>, m2 array<double>, v2 array<double>")
+    got = d.select(N.mixture_density(F.lit(-8.0), F.lit(10.0), F.col("w"), F.col("m"), F.col("v"), 1000).alias("pdf"), N.mixture_divergence(tuple(map(F.col, ("w", "m", "v"))), tuple(map(F.col, ("w2", "m2", "v2")))).alias("kl"), N.density_at(F.lit(0.3), F.col("w"), F.col("m"), F.col("v")).alias("at")).first()
+    x = np.linspace(-8, 10, 1000)
+    p = sum(w / np.sqrt(2 * np.pi * v) * np.exp(-((x - m) ** 2) / 2 / v) for w, m, v in zip(*row))
+    q = np.exp(-(x**2) / 2) / np.sqrt(2 * np.pi)
+    assert np.allclose(got.pdf, p) and sum(p) * (x[1] - x[0]) == pytest.approx(1, abs=1e-6)
+    assert got.kl == pytest.approx(float((p * np.log(p / q)).sum() * (x[1] - x[0])), rel=1e-3)
+    assert got.at == pytest.approx(0.4 / math.sqrt(math.pi) * math.exp(-1.69) + 0.6 / math.sqrt(3 * math.pi) * math.exp(-(1.7**2) / 3))
+    values = np.random.default_rng(1).normal(0, 1, (5, 150))
+    many = N.fit_mixtures(values)
+    assert all(np.allclose(np.hstack(N.fit_mixture(v)[:3]), np.hstack(m[:3])) for v, m in zip(values, many))
+
+
+def test_t_probability(spark):
+    x = np.linspace(3.5, 80, 400_001)
+    tail = np.trapezoid(math.gamma(15.5) / math.sqrt(30 * math.pi) / math.gamma(15) * (1 + x * x / 30) ** -15.5, x)
+    known = [(2.0, 10, 0.073388), (1.0, 1, 0.5), (3.5, 30, 2 * tail), (0.0, 5, 1.0), (-2.042272, 30, 0.05)]
+    d = spark.createDataFrame([(t, v) for t, v, _ in known], "t double, v int")
+    assert np.allclose([r.p for r in d.select("t", RP.t_probability(F.col("t"), F.col("v")).alias("p")).collect()], [p for *_, p in known], atol=2e-6)
+
+
+def test_predictive_regimes_ban_noise(spark):
+    r = np.random.default_rng(3)
+    data = [("A", 0, i, float(x)) for i, x in enumerate(r.normal(0.5, 1, 200))] + [("A", 1, i, float(x)) for i, x in enumerate(r.permutation(np.linspace(-1, 1, 200)))] + [("A", 2, i, 1.0) for i in range(5)]
+    got = {x.regime_id: (x.banned, x.reason) for x in RP.predictive_regimes(spark.createDataFrame(data, "symbol string, regime_id int, at int, ret double")).collect()}
+    assert got == {0: (False, "PREDICTIVE"), 1: (True, "NOT_PREDICTIVE"), 2: (False, "TOO_FEW")}
+
+
+def test_bootstrapped_transitions(spark):
+    rows = [(0.6, 1.0, 0, True, 200), (0.4, 1.0, 0, True, 200), (-3.0, 1.0, 0, True, 200), (0.6, 1.0, -1, True, 200), (0.6, 1.0, 0, False, 200), (0.6, 0.0, 0, True, 200), (0.6, 1.0, 0, True, 100)]
+    d = spark.createDataFrame(rows, "v double, s double, r int, flat boolean, n int")
+    assert [x.b for x in d.select(E.bootstrapped(*map(F.col, "v s r flat n".split())).alias("b")).collect()] == [0.3, None, 1.0, None, None, None, None]
+
+
+def test_halts_stay(spark):
+    base = pd.Timestamp("2024-01-01")
+    rows = [("A", (base + pd.Timedelta(seconds=i)).to_pydatetime(), i, 0.9 if i != 7 else 0.0, 0.0 if i != 5 else 0.5, 0.0, 0.0, 99) for i in range(12)]
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, confidence double, slippage double, fall double, cvar double, since_transition int")
+    got = PF.halts(d).orderBy("seq").collect()
+    assert [r.halted for r in got] == [False] * 5 + [True] * 7 and {r.reason for r in got} == {None, "SLIPPAGE"} and got[-1].since == 6
+
+
+def test_search_points_stay_in_their_ranges(spark):
+    space = [("a", 1.0, 5.0, False), ("b", 1e-6, 1e-3, True)]
+    got = RP.search_points(spark, space, 300).collect()
+    assert len(got) == 600 and all(lo <= r.value <= hi for r in got for n, lo, hi, _ in space if n == r.name)
+    logs = [math.log10(r.value) for r in got if r.name == "b"]
+    assert -4.8 < sum(logs) / len(logs) < -4.2
+
+
+def test_scaled_exports_logs_and_states(spark, tmp_path):
+    d = spark.createDataFrame([("A", 101_000_000_000.0, None, None), ("A", None, 99.0, 101.0)], "symbol string, price double, bid double, ask double")
+    assert [r.price for r in readers.scaled_export(d).collect()] == [101.0, 100.0]
+    (tmp_path / "log.csv").write_text("n,reason\n1,a\nx,b\n3,c\n")
+    assert [(r.n, r.reason) for r in readers.log_rows(spark, f"file://{tmp_path}/log.csv", "n int, reason string").collect()] == [(1, "a"), (3, "c")]
+    path, now = f"file://{tmp_path}/states", pd.Timestamp("2024-01-01 10:00").to_pydatetime()
+    states = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "symbol string, level double")
+    writers.save_state(states, path, now - pd.Timedelta(seconds=400).to_pytimedelta())
+    writers.save_state(states.where("symbol = 'B'").withColumn("level", F.lit(3.0)), path, now - pd.Timedelta(seconds=100).to_pytimedelta())
+    assert [(r.symbol, r.level) for r in readers.restored_state(spark, path, now).collect()] == [("B", 3.0)]
+    regimes = spark.createDataFrame([("A", now, None, 0.5, 1.0)], "symbol string, ts timestamp, regime_id long, confidence double, entropy double")
+    writers.store_regimes(regimes, f"file://{tmp_path}/regimes")
+    assert spark.read.parquet(f"file://{tmp_path}/regimes").first().regime_id == -1
+
+
+def test_feature_vector_equals_single_queries(spark, sf_small):
+    joint = registry.QUERIES["feature_vector"](spark, sf_small).toPandas().set_index(["symbol", "seq"]).sort_index()
+    assert joint.shape[1] == 38
+    for name, cols in (("rolling_moments", ["mu", "sigma", "skew", "kurt"]), ("momentum_50_200", ["mom_50", "mom_200"]), ("kyle_lambda", ["kyle"]), ("hill_tail", ["tail_slope"]), ("autocorr_lags", ["ac_1", "ac_5", "ac_10"]), ("vol_of_vol", ["vol_of_vol"])):
+        single = registry.QUERIES[name](spark, sf_small).toPandas().set_index(["symbol", "seq"]).loc[joint.index]
+        assert np.allclose(joint[cols].astype(float), single[cols].astype(float), atol=2e-6), name
