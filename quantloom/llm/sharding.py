@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import default_parallelism
 
 #: Buckets that a task shuffles one after the other; their rows are in memory together at most.
-BUCKETS_A_TASK = 16
+BUCKETS_A_TASK = 8
 
 RESERVED = ("shard", "slot", "bucket", "position")
 
