@@ -91,13 +91,17 @@ def test_tiles_change_no_kernel(spark, sf_small, tile_rows):
 
 
 def test_a_hot_symbol_is_many_tasks(spark):
-    d = frame(spark, np.cumsum(np.random.default_rng(2).normal(0, 1, 3000)) + 500)
+    d = frame(spark, np.cumsum(np.random.default_rng(2).normal(0, 1, 3000)) + 500).repartition(8)
     out = rolling(d, 151, lambda rows, keys: W.moments(W.log_returns(rows, keys), keys=keys), tile_rows=200)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 3000 rows would be put together again
+    # so few rows would be broadcast or put together again
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
     try:
         assert len(out.groupBy(F.spark_partition_id()).agg(F.sum("mu")).collect()) > 4
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for key in small:
+            spark.conf.unset(key)
 
 
 def test_numbering(spark, sf_small):
