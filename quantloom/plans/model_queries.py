@@ -120,7 +120,15 @@ def garch_volatility(spark, sf_dir):
     return rounded(S.garch_sigma(W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL")), "sigma")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {T[5:]}, o AS (SELECT symbol, seq, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER ({O}) AS n FROM ticks
+    ), s AS (
+      SELECT symbol, seq, n, true AS admitted, [t] AS passed FROM o WHERE n = 1
+      UNION ALL
+      SELECT symbol, seq, n, ok, CASE WHEN ok THEN list_append(passed, t)[-5:] ELSE passed END FROM (
+        SELECT o.symbol, o.seq, o.n, o.t, s.passed, len(list_filter(s.passed, lambda x: x > o.t - 600)) < 2 AND len(list_filter(s.passed, lambda x: x > o.t - 3600)) < 5 AS ok FROM s JOIN o ON o.symbol = s.symbol AND o.n = s.n + 1) q)
+    SELECT symbol, seq, admitted FROM s"""
+)
 def rate_limits(spark, sf_dir):
     """Two orders in ten minutes and five in an hour."""
     return S.rate_limited(ticks(spark, sf_dir), per_second=2, per_minute=5, second=600.0, minute=3600.0)

@@ -16,7 +16,7 @@ from ..operators import trades as X
 from ..operators import windows as W
 from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
-from .common import query, r, rounded
+from .common import ORACLE_SQL, query, r, rounded
 from .density_queries import densities
 from .model_queries import book_events
 from .performance_queries import _daily
@@ -192,7 +192,10 @@ def feature_vector(spark, sf_dir):
     return rounded(E.interactions(rows), *FEATURES).select("symbol", "seq", *FEATURES)
 
 
-@query()
+JOINED = " JOIN ".join(f"({ORACLE_SQL[name]}) {name} USING (symbol, seq)" if i else f"({ORACLE_SQL[name]}) {name}" for i, name in enumerate(("rolling_moments", "ofi_bbo", "ofi_zscore", "momentum_50_200", "price_mean_reversion", "book_slope", "kyle_lambda", "flow_toxicity")))
+
+
+@query(f"SELECT symbol, seq, mu, sigma, skew, kurt, round(ofi, 6) AS ofi, ofi_z, mom_50, mom_200, mean_rev, slope, kyle, toxicity, intensity FROM {JOINED}")
 def feature_table(spark, sf_dir):
     """All rolling features of each tick in one pass of tiles; the tests compare its columns with the single queries."""
 
