@@ -89,9 +89,20 @@ def kalman_level(spark, sf_dir):
     return rounded(S.kalman_level(ticks(spark, sf_dir)), "level")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {T[5:]}, o AS (SELECT symbol, seq, price AS z, row_number() OVER ({O}) AS n FROM ticks
+    ), k AS (
+      SELECT symbol, seq, n, z AS x0, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.0::DOUBLE AS p02, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1.0::DOUBLE AS p22 FROM o WHERE n = 1
+      UNION ALL
+      SELECT symbol, seq, n, y0 + m00 / (m00 + 1e-4) * (z - y0), y1 + m01 / (m00 + 1e-4) * (z - y0), y2 + m02 / (m00 + 1e-4) * (z - y0),
+        m00 - m00 / (m00 + 1e-4) * m00, m01 - m00 / (m00 + 1e-4) * m01, m02 - m00 / (m00 + 1e-4) * m02, m11 - m01 / (m00 + 1e-4) * m01, m12 - m01 / (m00 + 1e-4) * m02, m22 - m02 / (m00 + 1e-4) * m02
+      FROM (SELECT o.symbol, o.seq, o.n, o.z, x0 + x1 + 0.5::DOUBLE * x2 AS y0, x1 + x2 AS y1, x2 AS y2,
+        (p00 + p01 + 0.5::DOUBLE * p02) + (p01 + p11 + 0.5::DOUBLE * p12) + 0.5::DOUBLE * (p02 + p12 + 0.5::DOUBLE * p22) + 1e-6 AS m00, (p01 + p11 + 0.5::DOUBLE * p12) + (p02 + p12 + 0.5::DOUBLE * p22) AS m01, p02 + p12 + 0.5::DOUBLE * p22 AS m02,
+        (p11 + p12) + (p12 + p22) + 1e-5 AS m11, p12 + p22 AS m12, p22 + 1e-4 AS m22 FROM k JOIN o ON o.symbol = k.symbol AND o.n = k.n + 1) q)
+    SELECT symbol, seq, {r("x1", "velocity")}, {r("x2", "acceleration")} FROM k"""
+)
 def kalman_derivatives(spark, sf_dir):
-    """Velocity and acceleration of the price; compared with a numpy twin in the tests."""
+    """Velocity and acceleration of the price; compared with a numpy twin in the tests too."""
     return rounded(S.kalman_derivatives(ticks(spark, sf_dir)), "velocity", "acceleration")
 
 
