@@ -106,3 +106,29 @@ WITH cut AS (
 SELECT j.page_id, j.host, j.path, rule, coalesce(action, CASE WHEN probability >= 0.95::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN known USING (host) LEFT JOIN best USING (page_id)
 """
+
+OP12 = r"""
+WITH words AS (
+  SELECT rowid AS row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+), wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), sized AS (
+  SELECT row, count(*) AS n FROM words GROUP BY row
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized
+), postings AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY row, doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), impacts AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS part
+  FROM postings JOIN sized USING (row) JOIN weights USING (term), totals
+), scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, row, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

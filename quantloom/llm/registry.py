@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import shared_dir
+from ..cluster import materialize, shared_dir
 from . import oracles
 from .bpe import bpe_decode, bpe_encode
 from .embedding_dedup import embedding_near_duplicates
+from .lexical_search import index_documents, search
 from .line_dedup import drop_boilerplate_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import importance_resample
 from .sharding import shard_of, shuffled_shards
 from .syncmers import as_text, edited, likeness, sketch, with_next
+from .tier_packing import pack_token_tiers
 from .token_store import read_documents, write_tokens
 from .url_filter import host_and_path, judge_urls
 
@@ -111,6 +114,49 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).select("doc_id", "log_weight", "kept")
 
 
+def op11_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents into windows of up to 4096, all of them powers of two."""
+    packed = pack_token_tiers(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    segments = materialize(index_documents(table(spark, sf_dir, "documents")), "segments")
+    return search(segments, table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four or more periods in every document, after one in ten has been made periodic from some word on."""
+    found = periodic_runs(made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    run = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("run", run).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("run.start")).alias("start"),
+        F.col("run.length").alias("length"),
+        (-F.col("run.period")).alias("period"),
+        F.expr("1000 * run.length div -run.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """Documents of which those whose crc32 of the id ends in 0 repeat a stretch of their words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("words", F.when(F.col("g").isNotNull(), words))
+    docs = docs.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+        lambda i: F.element_at("words", (F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1).cast("int")),
+    )
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, bad) of the labelled pages."""
     host, path = host_and_path(F.col("__url"))
@@ -132,6 +178,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_reputation": op9_url_reputation,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_hierarchical_packing": op11_hierarchical_packing,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_periodic_run_detection": op13_periodic_run_detection,
 }
 
 #: The others hash, tokenize or search in ways that SQL cannot express; tests compare them with brute force.
@@ -140,4 +189,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_near_dedup": oracles.OP3,
     "op8_line_dedup": oracles.OP8,
     "op9_url_reputation": oracles.OP9,
+    "op12_ranked_lexical_search": oracles.OP12,
 }
