@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .carried import last_known
 from .scans import scan
+from .tiles import spread, tiled
 from .windows import SYMBOL, last, ordered, so_far
 
 #: Limits of each risk regime, from the calmest on: gross, net, share of one position, value at risk, drawdown, size multiplier.
@@ -23,12 +25,14 @@ def budgets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUDGETS, "risk_regime string, max_gross double, max_net double, max_single double, max_var double, max_fall double, size_multiplier double")
 
 
-def mark_prices(df: DataFrame, keys=SYMBOL) -> DataFrame:
+def mark_prices(df: DataFrame, tile_rows: int = 10_000) -> DataFrame:
     """``mark, mark_ret``: the mid of the last positive bid and ask if they do not cross, else the price; its log return."""
-    bid, ask = (F.last(F.when(F.col(c) > 0, F.col(c)), ignorenulls=True).over(so_far(keys)) for c in ("bid", "ask"))
-    df = df.withColumn("mark", F.when(ask >= bid, (bid + ask) / 2).otherwise(F.col("price")))
-    was = F.lag("mark").over(ordered(keys))
-    return df.withColumn("mark_ret", F.when((was > 0) & (F.col("mark") > 0), F.log(F.col("mark") / was)))
+    rows = last_known(spread(df, lookback=1, tile_rows=tile_rows), {f"known_{c}": F.when(F.col(c) > 0, F.col(c)) for c in ("bid", "ask")})
+    bid, ask = F.col("known_bid"), F.col("known_ask")
+    rows = rows.withColumn("mark", F.when(ask >= bid, (bid + ask) / 2).otherwise(F.col("price")))
+    was = F.lag("mark").over(Window.partitionBy("symbol", "tile").orderBy("n"))
+    marked = rows.withColumn("mark_ret", F.when((was > 0) & (F.col("mark") > 0), F.log(F.col("mark") / was)))
+    return marked.where("tile = own").drop("tile", "own", "n", "known_bid", "known_ask")
 
 
 def pretrade_reason(notional: Column, gross: Column, net: Column, var: Column, fall: Column) -> Column:
@@ -189,15 +193,14 @@ def liquidity_at(side: Column, price: Column, buy: bool) -> Column:
     return F.aggregate(F.filter(side, crosses), F.lit(0.0), lambda s, level: s + level["size"])
 
 
-def with_book(rows: DataFrame, keys=SYMBOL) -> DataFrame:
+def with_book(rows: DataFrame, tile_rows: int = 10_000) -> DataFrame:
     """``spread, imbalance, pressure, liquid`` of each row from the last book snapshot so far, else from its own best quotes.
 
     ``rows`` have ``bids`` and ``asks`` (arrays of price and size, null between snapshots). A book with a side missing
     does not count.
     """
     whole = (F.size("bids") > 0) & (F.size("asks") > 0)
-    book = F.last(F.when(whole, F.struct("bids", "asks")), ignorenulls=True).over(so_far(keys))
-    rows = rows.withColumn("__book", book)
+    rows = last_known(tiled(rows, tile_rows), {"book": F.when(whole, F.struct("bids", "asks"))}).withColumnRenamed("book", "__book").drop("n", "tile")
     b, a = best_first(F.col("__book.bids"), False), best_first(F.col("__book.asks"), True)
     rows = rows.withColumns({"__b": b, "__a": a})
     depth = lambda side: F.aggregate(side, F.lit(0.0), lambda s, level: s + level["size"])

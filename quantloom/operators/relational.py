@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from .tiles import spread
+from .carried import last_known
+from .tiles import spread, tiled
 
 
 def signed_quantity():
@@ -16,16 +17,16 @@ def signed_quantity():
     return F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
 
 
-def as_of_quotes(trades: DataFrame, quotes: DataFrame, fields=("bid", "ask")) -> DataFrame:
+def as_of_quotes(trades: DataFrame, quotes: DataFrame, fields=("bid", "ask"), tile_rows: int = 10_000) -> DataFrame:
     """Each trade with the newest value of every quote field at or before it, field by field; null if never quoted.
 
-    One union and one window per symbol, no range join; a quote at a trade's own instant counts if its seq is not larger.
+    One union whose fields are carried from tile to tile, no range join; a quote at a trade's own instant counts if its
+    seq is not larger.
     """
     both = trades.select("symbol", "seq", "ts", F.lit(True).alias("is_trade"), *(F.lit(None).cast("double").alias(f) for f in fields)).unionByName(
         quotes.select("symbol", "seq", "ts", F.lit(False).alias("is_trade"), *fields)
     )
-    w = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumns({f: F.last(f, ignorenulls=True).over(w) for f in fields}).where("is_trade").drop("is_trade")
+    return last_known(tiled(both, tile_rows), {f: F.col(f) for f in fields}).where("is_trade").drop("is_trade", "n", "tile")
 
 
 def orphaned_orders(submitted: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -44,9 +44,17 @@ def rolling(
     tile_rows: int = 10_000,
     key: str = "symbol",
     order: tuple[str, ...] = ("ts", "seq"),
+    keep_tile: bool = False,
 ) -> DataFrame:
     """``features(rows, keys)`` of windows that look back at most ``lookback`` rows, tile by tile.
 
-    ``features`` partitions its windows by ``keys``; each row comes back once, with the row number ``n``.
+    ``features`` partitions its windows by ``keys``; each row comes back once, with the row number ``n``, and with its
+    ``tile`` if that is to be kept.
     """
-    return features(spread(df, lookback, 0, tile_rows, key, order), (key, "tile")).where("tile = own").drop("tile", "own")
+    out = features(spread(df, lookback, 0, tile_rows, key, order), (key, "tile")).where("tile = own").drop("own")
+    return out if keep_tile else out.drop("tile")
+
+
+def tiled(df: DataFrame, tile_rows: int = 10_000, key: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """``df`` with the row number ``n`` and the ``tile`` of each row, for ``carried``."""
+    return numbered(df, key, order).withColumn("tile", F.floor((F.col("n") - 1) / tile_rows))

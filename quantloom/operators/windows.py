@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..cluster import ship_package
+from .carried import mean_of_newest
 
 SYMBOL = ("symbol",)
 
@@ -37,20 +38,31 @@ def so_far(keys=SYMBOL):
     return ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def sliding_sums(df: DataFrame, values: dict[str, Column], n: int, keys=SYMBOL, newest: int = 0, order=("ts", "seq")) -> DataFrame:
-    """Each of ``values`` summed over the n rows that end ``newest`` rows before this one; nulls count as 0.
+def _two_parts(df: DataFrame, n: int, keys, newest: int, order, parts: dict[str, Callable]) -> DataFrame:
+    """Aggregates of the n rows that end ``newest`` rows before this one, in two parts that do not overlap: ``a_*`` the older rows, ``b_*`` the newer.
 
-    Differences of running sums: a row costs the same whatever n is, where a sliding frame would read its n rows again.
+    A partition is cut into blocks of n rows. Such a window is the end of one block and the beginning of the next, and
+    each block is aggregated from its first row on and from its last row back. So a row costs the same whatever n is,
+    nothing is subtracted, and a value that has left the window leaves no trace. ``parts`` make a column over a window.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    running = df.withColumns({f"__run_{c}": F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(run) for c, v in values.items()})
+    start = Window.unboundedPreceding
+    df = df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("__block", F.floor(F.col("__at") / n))
+    block, at = Window.partitionBy(*keys, "__block"), Window.partitionBy(*keys).orderBy("__at")
+    df = df.withColumns({f"b_{c}": make(block.orderBy("__at").rowsBetween(start, 0)) for c, make in parts.items()})
+    df = df.withColumns({f"a_{c}": make(block.orderBy(F.desc("__at")).rowsBetween(start, 0)) for c, make in parts.items()})
+    whole = F.pmod(F.col("__at") - newest, F.lit(n)) == n - 1  # the newer part is a whole block
+    older = {f"a_{c}": F.when(~whole, F.lag(f"a_{c}", n - 1 + newest).over(at)) for c in parts}
+    newer = {f"b_{c}": F.lag(f"b_{c}", newest).over(at) for c in parts} if newest else {}
+    return df.withColumns(older | newer).drop("__at", "__block")
 
-    def ended(c: str, ago: int) -> Column:
-        return F.coalesce(F.lag(f"__run_{c}", ago).over(w), F.lit(0.0)) if ago else F.col(f"__run_{c}")
 
-    summed = running.withColumns({c: ended(c, newest) - ended(c, newest + n) for c in values})
-    return summed.drop(*(f"__run_{c}" for c in values))
+def sliding_sums(df: DataFrame, values: dict[str, Column], n: int, keys=SYMBOL, newest: int = 0, order=("ts", "seq")) -> DataFrame:
+    """Each of ``values`` summed over the n rows that end ``newest`` rows before this one; nulls count as 0."""
+    df = df.withColumns({f"__v_{c}": v.cast("double") for c, v in values.items()})
+    df = _two_parts(df, n, keys, newest, order, {c: lambda w, c=c: F.sum(f"__v_{c}").over(w) for c in values})
+    zero = F.lit(0.0)
+    df = df.withColumns({c: F.coalesce(f"a_{c}", zero) + F.coalesce(f"b_{c}", zero) for c in values})
+    return df.drop(*(f"{p}_{c}" for c in values for p in ("a", "b", "__v")))
 
 
 def _present(col: str) -> Column:
@@ -60,19 +72,34 @@ def _present(col: str) -> Column:
 def sliding_moments(df: DataFrame, col: str, n: int, keys=SYMBOL, newest: int = 0, powers: int = 2, order=("ts", "seq")) -> DataFrame:
     """``__n, __mean, __m2`` (and ``__m3, __m4``): count, mean and central power means of a column over the sliding rows.
 
-    Values are taken from the first of their partition, so that a constant column has no spread at all.
+    The central moments of the two parts of a window are put together without raw powers, so neither a large mean nor an
+    outlier that has left the window costs digits. A window of one value has no spread at all.
     """
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__base", F.first(col, ignorenulls=True).over(run)).withColumn("__x", F.col(col) - F.col("__base"))
-    sums = {"__n": _present(col)} | {f"__s{k}": F.col("__x") ** k if k > 1 else F.col("__x") for k in range(1, powers + 1)}
-    df = sliding_sums(df, sums, n, keys, newest, order)
-    raw = {k: F.col(f"__s{k}") / F.col("__n") for k in range(1, powers + 1)}
-    m = raw[1]
-    out = {"__mean": F.when(F.col("__n") > 0, F.col("__base") + m), "__m2": F.when(F.col("__n") > 0, F.greatest(F.lit(0.0), raw[2] - m * m))}
+    moments = {"n": F.count, "mean": F.avg, "var": F.var_pop, "low": F.min, "high": F.max}
+    if powers == 4:
+        moments |= {"skew": F.skewness, "kurt": F.kurtosis}
+    df = _two_parts(df, n, keys, newest, order, {c: lambda w, f=f: f(col).over(w) for c, f in moments.items()})
+    zero = F.lit(0.0)
+    at = lambda c, p: F.coalesce(F.nanvl(f"{p}_{c}", zero) if c in ("skew", "kurt") else F.col(f"{p}_{c}"), zero)
+    df = df.withColumns({f"{p}_n": at("n", p).cast("double") for p in "ab"})
+    na, nb = F.col("a_n"), F.col("b_n")
+    count = na + nb
+    gap = F.when((na > 0) & (nb > 0), F.col("b_mean") - F.col("a_mean")).otherwise(0.0)
+    mean = F.when(na > 0, F.col("a_mean") + gap * nb / count).when(nb > 0, F.col("b_mean"))
+    low, high = F.least("a_low", "b_low"), F.greatest("a_high", "b_high")
+    flat = low == high
+    m2 = {p: at("var", p) * at("n", p) for p in "ab"}
+    some, d = count > 0, gap
+    square = m2["a"] + m2["b"] + d * d * na * nb / count
+    out = {"__n": count, "__mean": F.when(flat, low).otherwise(mean), "__m2": F.when(flat, 0.0).when(some, square / count)}
     if powers == 4:
-        out["__m3"] = F.when(F.col("__n") > 0, raw[3] - 3 * m * raw[2] + 2 * m**3)
-        out["__m4"] = F.when(F.col("__n") > 0, raw[4] - 4 * m * raw[3] + 6 * m * m * raw[2] - 3 * m**4)
-    return df.withColumns(out).drop("__base", "__x", *(f"__s{k}" for k in range(1, powers + 1)))
+        m3 = {p: at("skew", p) * F.pow(m2[p], F.lit(1.5)) / F.sqrt(F.greatest(at("n", p), F.lit(1.0))) for p in "ab"}
+        m4 = {p: F.when(m2[p] > 0, (at("kurt", p) + 3) * m2[p] * m2[p] / F.greatest(at("n", p), F.lit(1.0))).otherwise(0.0) for p in "ab"}
+        cube = m3["a"] + m3["b"] + d**3 * na * nb * (na - nb) / (count * count) + 3 * d * (na * m2["b"] - nb * m2["a"]) / count
+        fourth = m4["a"] + m4["b"] + d**4 * na * nb * (na * na - na * nb + nb * nb) / count**3
+        fourth = fourth + 6 * d * d * (na * na * m2["b"] + nb * nb * m2["a"]) / (count * count) + 4 * d * (na * m3["b"] - nb * m3["a"]) / count
+        out |= {"__m3": F.when(flat, 0.0).when(some, cube / count), "__m4": F.when(flat, 0.0).when(some, fourth / count)}
+    return df.withColumns(out).drop(*(f"{p}_{c}" for c in moments for p in "ab"))
 
 
 def log_returns(df: DataFrame, keys=SYMBOL) -> DataFrame:
@@ -161,16 +188,14 @@ def flow(df: DataFrame, n: int = 150, keys=SYMBOL) -> DataFrame:
     ).drop("__volume")
 
 
-def spread_stats(df: DataFrame, n: int = 20, keys=SYMBOL) -> DataFrame:
-    """``mean_spread, spread_frac``: mean of the last n valid spreads (ask above bid), carried over invalid rows, and its share of the mid."""
-    valid = F.col("ask") > F.col("bid")
-    place = F.when(valid, F.sum(F.when(valid, 1).otherwise(0)).over(so_far(keys)))
-    spreads = df.withColumn("__valid", place)
-    lined = Window.partitionBy(*keys, F.col("__valid").isNotNull()).orderBy("ts", "seq").rowsBetween(1 - n, 0)
-    spreads = spreads.withColumn("__mean", F.when(F.col("__valid").isNotNull(), F.avg(F.col("ask") - F.col("bid")).over(lined)))
-    spreads = spreads.withColumn("mean_spread", F.coalesce(F.last("__mean", ignorenulls=True).over(so_far(keys)), F.lit(0.0)))
+def spread_stats(rows: DataFrame, n: int = 20) -> DataFrame:
+    """``mean_spread, spread_frac``: mean of the last n valid spreads (ask above bid), over any distance, and its share of the mid.
+
+    ``rows`` come in tiles.
+    """
+    rows = mean_of_newest(rows, F.when(F.col("ask") > F.col("bid"), F.col("ask") - F.col("bid")), n, "mean_spread")
     mid = (F.col("bid") + F.col("ask")) / 2
-    return spreads.withColumn("spread_frac", F.when(mid > 0, F.col("mean_spread") / mid).otherwise(0.0)).drop("__valid", "__mean")
+    return rows.withColumn("spread_frac", F.when(mid > 0, F.col("mean_spread") / mid).otherwise(0.0))
 
 
 def kyle_lambda(df: DataFrame, n: int = 100, keys=SYMBOL) -> DataFrame:
@@ -188,13 +213,12 @@ def kyle_lambda(df: DataFrame, n: int = 100, keys=SYMBOL) -> DataFrame:
     return df.withColumn("kyle", kyle).drop("__c", "__v", *sums)
 
 
-def amihud(df: DataFrame, n: int = 200, keys=SYMBOL) -> DataFrame:
-    """``amihud``: mean of absolute return over volume in the last n rows whose volume is positive, carried over the others."""
-    valid = (F.col("volume") > 1e-8) & F.col("ret").isNotNull()
-    lined = Window.partitionBy(*keys, "__valid").orderBy("ts", "seq").rowsBetween(1 - n, 0)
-    df = df.withColumn("__valid", valid)
-    df = df.withColumn("__ratio", F.when(F.col("__valid"), F.avg(F.try_divide(F.abs("ret"), F.col("volume"))).over(lined)))
-    return df.withColumn("amihud", F.coalesce(F.last("__ratio", ignorenulls=True).over(so_far(keys)), F.lit(0.0))).drop("__valid", "__ratio")
+def amihud(rows: DataFrame, n: int = 200) -> DataFrame:
+    """``amihud``: mean of absolute return over volume in the last n rows with a return and a positive volume, over any distance.
+
+    ``rows`` come in tiles.
+    """
+    return mean_of_newest(rows, F.when(F.col("volume") > 1e-8, F.try_divide(F.abs("ret"), F.col("volume"))), n, "amihud")
 
 
 def _by_rows(df: DataFrame, keys, columns: tuple[str, ...], fill: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:

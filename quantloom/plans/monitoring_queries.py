@@ -15,7 +15,7 @@ from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
 from ..operators.tiles import rolling
-from ..sources.views import fills, ticks, trades, with_views
+from ..sources.views import SQL, fills, ticks, trades, with_views
 from .common import ORACLE_SQL, query, r, rounded
 from .density_queries import densities
 from .model_queries import book_events
@@ -153,19 +153,18 @@ FEATURES = (
 )
 
 
-@query()
-def feature_vector(spark, sf_dir):
-    """The 38 features of each evaluation row, joined from the operators that make them; the tests compare columns with the single queries."""
-    t = ticks(spark, sf_dir)
+def window_rows(t, tile_rows=10_000):
+    """Evaluation rows of ticks with every feature of windows, books and volume buckets."""
 
     def features(d, keys):
         d = W.moments(W.log_returns(d, keys), keys=keys)
         d = W.flow(W.order_flow_imbalance(d, keys), keys=keys)
         d = W.kyle_lambda(W.mean_reversion(W.momentum(d, keys), keys=keys), keys=keys)
-        d = W.amihud(W.spread_stats(d, keys=keys), keys=keys)
         return W.autocorrelations(W.hill_slope(d, keys=keys), keys=keys)
 
-    rows = W.vol_of_vol(W.evaluated(rolling(t, 302, features)))
+    # spreads and ratios are means of valid rows over any distance, which tiles carry on
+    rows = W.amihud(W.spread_stats(rolling(t, 302, features, tile_rows, keep_tile=True)))
+    rows = W.vol_of_vol(W.evaluated(rows).drop("tile"))
     # books: a ladder on each side of the tick, pulled and spoofed levels from the tick's own operations
     mid = (F.col("bid") + F.col("ask")) / 2
     size = F.col("bid_size") + F.col("ask_size")
@@ -173,6 +172,11 @@ def feature_vector(spark, sf_dir):
         "depth_imbalance": (F.col("bid_size") - F.col("ask_size")) / size, "imbalance": (F.col("bid_size") - F.col("ask_size")) / size, "spread_bps": (F.col("ask") - F.col("bid")) / mid * 10_000,
         "pressure": D.book_pressure(D.levels(mid, F.lit(0.01), F.col("bid_size"), -1), D.levels(mid, F.lit(0.01), F.col("ask_size"), 1)),
     })
+    return rows
+
+
+def with_buckets(rows, t):
+    """Levels pulled and spoofed, and the newest closed volume bucket, of each row."""
     book = B.book_dynamics(book_events(t)).select("symbol", "seq", F.greatest("pull_bid", "pull_ask").alias("liquidity_pull"), "spoofing")
     rows = rows.join(book, ["symbol", "seq"], "left")
     # the newest closed volume bucket
@@ -180,7 +184,30 @@ def feature_vector(spark, sf_dir):
     marks = rows.select("symbol", "ts", "seq", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("vpin")).unionByName(closed)
     so_far = Window.partitionBy("symbol").orderBy("ts", F.col("at").asc_nulls_last(), "seq").rowsBetween(Window.unboundedPreceding, 0)
     vpin = marks.withColumn("vpin", F.coalesce(F.last("vpin", ignorenulls=True).over(so_far), F.lit(0.0))).where("at IS NULL").select("symbol", "seq", "vpin")
-    rows = rows.join(vpin, ["symbol", "seq"])
+    return rows.join(vpin, ["symbol", "seq"])
+
+
+WINDOWED = ("mu", "sigma", "skew", "kurt", "tail_slope", "ofi_sum", "kyle", "amihud", "depth_imbalance", "toxicity", "ac_1", "ac_5", "ac_10", "mom_50", "mom_200", "mean_rev", "vol_of_vol", "spread_frac", "intensity", "pressure", "spread_bps")
+SINGLE = ("vol_of_vol", "autocorr_lags", "rolling_moments", "hill_tail", "flow_toxicity", "kyle_lambda", "momentum_50_200", "price_mean_reversion")
+
+
+@query(
+    f"""WITH j AS (SELECT * FROM {" JOIN ".join(f"({ORACLE_SQL[name]}) {name} USING (symbol, seq)" if i else f"({ORACLE_SQL[name]}) {name}" for i, name in enumerate(SINGLE))}), {SQL["ticks"]}, p AS (
+      SELECT *, abs(ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq))) / volume AS ratio FROM ticks), v AS (
+      SELECT symbol, seq, bid, ask, bid_size, ask_size, avg(ratio) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS 199 PRECEDING) AS a, avg(ask - bid) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS 19 PRECEDING) AS s FROM p)
+    SELECT symbol, seq, mu, sigma, skew, kurt, tail_slope, ofi_sum, kyle, {r("a", "amihud")}, {r("(bid_size - ask_size) / (bid_size + ask_size)", "depth_imbalance")}, toxicity, ac_1, ac_5, ac_10, mom_50, mom_200, mean_rev, vol_of_vol,
+    {r("s / ((bid + ask) / 2)", "spread_frac")}, intensity, {r("(bid_size - ask_size) / (bid_size + ask_size)", "pressure")}, {r("(ask - bid) / ((bid + ask) / 2) * 10000", "spread_bps")} FROM j JOIN v USING (symbol, seq)"""
+)
+def window_features(spark, sf_dir):
+    """The features of windows and books on evaluation rows; valid rows are all rows here, as volumes and spreads are positive."""
+    return rounded(window_rows(ticks(spark, sf_dir)), *WINDOWED).select("symbol", "seq", *WINDOWED)
+
+
+@query()
+def feature_vector(spark, sf_dir):
+    """The 38 features of each evaluation row, joined from the operators that make them; ``window_features`` has a twin for 21 of them, the tests compare others with the single queries."""
+    t = ticks(spark, sf_dir)
+    rows = with_buckets(window_rows(t), t)
     # densities and regimes of the same rows
     d = densities(spark, sf_dir)
     shape = N.surface(d.withColumn("entropy", N.differential_entropy(F.col("pdf"), F.col("step")))).select("symbol", "seq", "entropy", "velocity")

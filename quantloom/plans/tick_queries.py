@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
-from ..operators.tiles import rolling
+from ..operators.tiles import rolling, tiled
 from ..sources.views import ticks, with_views
 from .common import query, r, rounded
 
@@ -128,7 +128,7 @@ def flow_toxicity(spark, sf_dir):
 def spread_stats(spark, sf_dir):
     """Every fifth quote is made crossed, so that valid rows and all rows differ."""
     t = ticks(spark, sf_dir).withColumn("ask", F.when(F.col("seq") % 5 == 0, F.col("bid") - 0.005).otherwise(F.col("ask")))
-    return rounded(W.spread_stats(t), "mean_spread", "spread_frac").select("symbol", "seq", "mean_spread", "spread_frac")
+    return rounded(W.spread_stats(tiled(t)), "mean_spread", "spread_frac").select("symbol", "seq", "mean_spread", "spread_frac")
 
 
 @query(
@@ -146,7 +146,7 @@ def kyle_lambda(spark, sf_dir):
 )
 def amihud(spark, sf_dir):
     """Volumes less one, so that some are zero."""
-    t = W.log_returns(ticks(spark, sf_dir)).withColumn("volume", F.col("volume") - 1)
+    t = rolling(ticks(spark, sf_dir), 1, lambda d, keys: W.log_returns(d, keys), keep_tile=True).select("symbol", "seq", "n", "tile", "ret", (F.col("volume") - 1).alias("volume"))
     return rounded(W.amihud(t), "amihud", digits=9).select("symbol", "seq", "amihud")
 
 
