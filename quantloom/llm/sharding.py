@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import default_parallelism
+from ..cluster import materialize
 
 #: Buckets that a task shuffles one after the other; their rows are in memory together at most.
 BUCKETS_A_TASK = 8
@@ -32,7 +32,8 @@ def shuffled_shards(
     The key and the number of shards decide the shard (law ``key``). Pass 1 scatters the records of a shard
     uniformly over as many buckets as its bytes need to be of about ``bucket_bytes`` each. Pass 2 gathers one bucket
     at a time, puts it in a fixed order and applies a seeded Fisher-Yates shuffle; slots number the buckets of a
-    shard one after the other, without gaps.
+    shard one after the other, without gaps. How many buckets a task takes depends on the bytes alone, so the same
+    records, seed and sizes give the same order in any session.
 
     Rows with a null key share a shard, rows with one key too; they are scattered by key and text, so such a group
     spreads over buckets unless the rows are equal in both. Null texts count no bytes. Columns named like the
@@ -45,16 +46,16 @@ def shuffled_shards(
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     scatter = F.xxhash64(F.lit(seed + 1), F.col(key_col), F.col(text_col))
     placed = placed.withColumn("bucket", F.pmod(scatter, F.lit(per_shard)).cast("int"))
-    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
+    # written, so that the plan below does not join the records with an aggregate of themselves
+    counts = materialize(placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows")), "bucket-rows")
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
 
     # a fixed order first, so that a bucket computed again after a lost executor is shuffled alike
     order = F.xxhash64(F.lit(seed + 2), F.col(key_col), F.col(text_col))
-    row = F.struct(order.alias("order"), F.struct(*kept).alias("record"))
-    buckets = shards * per_shard
-    tasks = max(-(-buckets // BUCKETS_A_TASK), min(buckets, default_parallelism(records.sparkSession)))
-    scattered = placed.repartition(tasks, "shard", "bucket")
+    others = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in records.select(*kept).dtypes]
+    row = F.struct(F.struct(order, F.xxhash64(*others)).alias("order"), F.struct(*kept).alias("record"))
+    scattered = placed.repartition(-(-shards * per_shard // BUCKETS_A_TASK), "shard", "bucket")
     gathered = scattered.groupBy("shard", "bucket").agg(F.collect_list(row).alias("rows")).sortWithinPartitions("shard", "bucket")
     by_order = F.array_sort("rows", lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0))
     dealt = gathered.select("shard", "bucket", F.shuffle(by_order, F.lit(seed)).alias("rows"))

@@ -152,6 +152,42 @@ def test_shards_keep_every_row_and_slot(spark, tmp_path):
     assert shuffled_shards(documents(spark, [])).count() == 0
 
 
+def test_order_does_not_depend_on_the_session(spark, sf_dir):
+    """Whatever ran before in the session and however many shuffle partitions it has."""
+    spark.range(8).select(F.shuffle(F.array(F.lit(1), F.lit(2)))).collect()
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = []
+    for partitions in ("4", "16"):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            runs.append({r.doc_id: (r.shard, r.bucket, r.slot) for r in shuffled_shards(d, 8, 17, bucket_bytes=40_000).select("doc_id", "shard", "bucket", "slot").collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert runs[0] == runs[1] and len(runs[0]) == d.count()
+
+
+def test_rows_equal_in_id_and_text_have_a_fixed_order(spark):
+    rows = [(1, "same", i) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    one, two = ({r.other: r.slot for r in shuffled_shards(x).collect()} for x in (d, d.orderBy(F.desc("other")).repartition(5)))
+    assert one == two and sorted(one.values()) == list(range(40))
+
+
+def test_shards_and_buckets_by_brute_force(spark):
+    """Law and scatter computed again, one row at a time, and the slots of each bucket follow those of the buckets before it."""
+    d = documents(spark, corpus(5, 250))
+    got = shuffled_shards(d, shards=5, seed=3, bucket_bytes=2_000).collect()
+    total = sum(len((r.text or "").encode()) + 1 for r in got)
+    per_shard = -(-total // (5 * 2_000))
+    for r in got[::9]:
+        draws = spark.createDataFrame([(r.doc_id, r.text, s) for s in range(5)], "k long, t string, s int").select("s", F.xxhash64(F.lit(3), "k", "s").alias("draw"), F.xxhash64(F.lit(4), "k", "t").alias("scatter")).collect()
+        assert r.shard == max(draws, key=lambda x: x.draw).s and r.bucket == draws[0].scatter % per_shard
+    for shard in range(5):
+        held = sorted((r.bucket, r.position, r.slot) for r in got if r.shard == shard)
+        assert [slot for _, _, slot in held] == list(range(len(held)))
+
+
 def test_one_more_shard_takes_rows_only_into_itself(spark):
     moved = spark.range(2000).select(shard_of(F.col("id"), 8, 17).alias("a"), shard_of(F.col("id"), 9, 17).alias("b")).where("a != b").collect()
     assert moved and all(r.b == 8 for r in moved)
