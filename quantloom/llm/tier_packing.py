@@ -137,7 +137,7 @@ def pack_token_tiers(
     longest: int = 4096,
     end_id: int = 2,
     step_tokens: int = 1 << 16,
-    group_bytes: int = 12 << 20,
+    group_bytes: int = 4 << 20,
     hot_rows: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
