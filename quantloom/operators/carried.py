@@ -91,3 +91,72 @@ def mean_of_newest(rows: DataFrame, value: Column, n: int, into: str, key: str =
         return {into: np.where(seen > 0, means[np.maximum(seen, 1) - 1], 0.0)}
 
     return finished(rows, carried_over(ends, step, key), (into,), fill, key).drop("__value")
+
+
+def exponential_mean(rows: DataFrame, value: str, decay: float, into: str, start: float | None = None, key: str = "symbol", tile_rows: int = 10_000) -> DataFrame:
+    """``into``: decay times the mean before plus (1 - decay) times the value, from ``start`` (default: the first value) on.
+
+    Each row maps the mean to a mean, and the maps of a tile compose to one: a factor and a term. ``rows`` come in tiles
+    of ``tile_rows``; null values leave the mean.
+    """
+    rows = rows.withColumn("__value", F.col(value).cast("double"))
+    counted = F.count("__value").over(Window.partitionBy(key, "tile"))
+    later = counted - F.count("__value").over(Window.partitionBy(key, "tile").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.withColumn("__later", later)
+    first = F.min_by("__value", F.when(F.col("__value").isNotNull(), F.col("n")))
+    ends = parts.groupBy(key, "tile").agg(F.array(F.pow(F.lit(decay), F.count("__value")), F.coalesce(F.sum((1 - decay) * F.pow(F.lit(decay), F.col("__later")) * F.col("__value")), F.lit(0.0)), F.coalesce(first, F.lit(float("nan")))).alias("end"))
+
+    def step(end: np.ndarray, carry: np.ndarray | None) -> np.ndarray | None:
+        mean = carry[0] if carry is not None else (end[2] if start is None else start)
+        return np.array([end[0] * mean + end[1]]) if mean == mean else None
+
+    def fill(tile: pd.DataFrame, carry: np.ndarray | None) -> dict[str, np.ndarray]:
+        mean, out = (start if carry is None else float(carry[0])), []
+        for x in tile["__value"].tolist():
+            if x == x:
+                mean = x if mean is None else decay * mean + (1 - decay) * x
+            out.append(mean)
+        return {into: np.array(out, float)}
+
+    return finished(rows, carried_over(ends, step, key), (into,), fill, key).drop("__value")
+
+
+def tracked_level(rows: DataFrame, value: str, process: float, measurement: float, into: str, key: str = "symbol", tile_rows: int = 10_000) -> DataFrame:
+    """``into``: the level that a filter with fixed process and measurement variances follows; the first value is taken as it is.
+
+    A row's gain depends on its number alone and settles within a few rows, so the rows of a tile compose to one factor
+    and one term, as those of an exponential mean do. ``rows`` come in tiles of ``tile_rows`` with numbers ``n``.
+    """
+    gains = [1.0]
+    error = 1.0
+    while len(gains) < 3 or abs(gains[-1] - gains[-2]) > 1e-17 and len(gains) < 100_000:
+        wide = error + process
+        gains.append(wide / (wide + measurement))
+        error = (1 - gains[-1]) * wide
+    known = np.array(gains)
+
+    def gain_at(n: np.ndarray) -> np.ndarray:
+        return known[np.minimum(n - 1, len(known) - 1)]
+
+    ship_package(rows.sparkSession)
+    rows = rows.withColumn("__value", F.col(value).cast("double"))
+    schema = StructType([rows.schema[key], rows.schema["tile"], StructField("end", ArrayType(DoubleType()))])
+
+    def composed(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("n")
+        gain = gain_at(tile["n"].to_numpy(np.int64))
+        left = np.cumprod((1 - gain)[::-1])[::-1]  # of the value before, after this row and all later ones
+        after = np.append(left[1:], 1.0)
+        return pd.DataFrame({key: [tile[key].iloc[0]], "tile": tile["tile"].iloc[0], "end": [[left[0], float((gain * after * tile["__value"].to_numpy(float)).sum())]]})
+
+    ends = rows.select(key, "tile", "n", "__value").groupBy(key, "tile").applyInPandas(composed, schema)
+
+    def fill(tile: pd.DataFrame, carry: np.ndarray | None) -> dict[str, np.ndarray]:
+        level, out = (0.0 if carry is None else float(carry[0])), []
+        for x, g in zip(tile["__value"].tolist(), gain_at(tile["n"].to_numpy(np.int64)).tolist()):
+            level += g * (x - level)
+            out.append(level)
+        return {into: np.array(out, float)}
+
+    carries = carried_over(ends, lambda end, carry: np.array([end[0] * (0.0 if carry is None else carry[0]) + end[1]]), key)
+    return finished(rows, carries, (into,), fill, key).drop("__value")

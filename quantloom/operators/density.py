@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..cluster import default_parallelism, ship_package
+from ..functions.normal import quantile as normal_quantile
+from .performance import draw
 from .windows import SYMBOL, ordered
 
 MIXTURE = "weights array<double>, means array<double>, vars array<double>, bic double"
@@ -238,3 +240,20 @@ def nearest_neighbour_entropy(values: Column, k: int = 3) -> Column:
     digamma_n = F.log(n.cast("double")) - 1 / (2.0 * n) - 1 / (12.0 * n * n)
     mean_log = F.transform(F.array(F.sort_array(values)), at)[0]
     return F.when(n >= 20, digamma_n - digamma_k + mean_log)
+
+
+def kernel_draws(windows: DataFrame, values: str, trial: str, draws: int, seed: int = 42, least: int = 10) -> DataFrame:
+    """``windows`` with ``draw`` (its number, from 0) and ``sample``: seeded draws from the kernel density of each window.
+
+    A draw takes a value of the window by a portable hash of (trial, draw) and moves it by a normal deviate of the
+    kernel's width: Scott's factor times the population deviation. A constant window is drawn from with a deviation of
+    1e-8. Windows of fewer than ``least`` values have no rows.
+    """
+    n = F.size(values)
+    mean = total(F.col(values)) / n
+    deviation = F.sqrt(total(F.transform(values, lambda v: (v - mean) * (v - mean))) / n)
+    width = F.when(F.col("__deviation") > 0, F.pow(n.cast("double"), F.lit(-0.2)) * F.col("__deviation")).otherwise(1e-8)
+    d = windows.where(n >= least).withColumn("__deviation", deviation).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    chosen = (draw(F.col(trial), F.col("draw"), seed) % n).cast("int")
+    share = (draw(F.col(trial), F.col("draw"), seed + 1) + 0.5) / 2147483648.0
+    return d.withColumn("sample", F.get(F.col(values), chosen) + width * normal_quantile(share)).drop("__deviation")

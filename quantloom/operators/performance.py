@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import materialize
+from ..cluster import default_parallelism, materialize, ship_package
 from ..functions import normal
+from .quantiles import exact_quantiles
 
 EULER_GAMMA = 0.5772156649
 TRADE_ORDER = ("ts", "order_id", "line", "pnl")
@@ -81,10 +84,13 @@ def rolling_trades(trades: DataFrame, sizes=(20, 50, 100), by: tuple[str, ...] =
 
 def value_at_risk(returns: DataFrame, by: tuple[str, ...], confidence: float = 0.95, least: int = 20) -> DataFrame:
     """(n, var, cvar) by group: lower percentile (linear) and the mean of returns not above it; null with too few."""
-    level = returns.groupBy(*by).agg(F.count("ret").alias("n"), F.percentile("ret", F.lit(1 - confidence)).alias("var"))
+    level = exact_quantiles(returns, "ret", (1 - confidence,), by, names=("var",))
     level = level.withColumn("var", F.when(F.col("n") >= least, F.col("var")))
-    tail = returns.join(level, list(by)).where("ret <= var").groupBy(*by).agg(F.avg("ret").alias("cvar")) if by else returns.crossJoin(level).where("ret <= var").agg(F.avg("ret").alias("cvar"))
-    return level.join(tail, list(by), "left") if by else level.crossJoin(tail)
+    if by:
+        tail = returns.join(level, list(by)).where("ret <= var").groupBy(*by).agg(F.avg("ret").alias("cvar"))
+        return level.join(tail, list(by), "left")
+    tail = returns.crossJoin(F.broadcast(level)).where("ret <= var").agg(F.avg("ret").alias("cvar"))  # one row
+    return level.crossJoin(F.broadcast(tail))  # one row
 
 
 def regime_var(returns: DataFrame, confidence: float = 0.95, least: int = 20) -> DataFrame:
@@ -147,30 +153,83 @@ def gini(df: DataFrame, col: str, by: tuple[str, ...]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.when(total > 0, (2 * F.sum(F.col("__i") * F.col("__x")) - (n + 1) * total) / (n * total)).otherwise(0.0).alias("gini"))
 
 
-def combinatorial_overfit(returns: DataFrame, blocks: int = 8) -> DataFrame:
+def combinatorial_overfit(returns: DataFrame, blocks: int = 8, most_trials: int = 20_000) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric splits: (splits, pbo, mean_logit).
 
     ``returns(trial, block, ret)``. Sums of each (trial, block) are taken once; a split in and out of sample adds up
     blocks, so no split reads the returns again. A split overfits if its best trial in sample is below the median out of sample.
+    Up to ``most_trials`` trials the block sums go to every task as one row, and splits are a 0/1 matrix times them.
     """
-    from itertools import combinations
-
     spark = returns.sparkSession
+    ship_package(spark)
     sums = returns.groupBy("trial", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") ** 2).alias("q"))
+    sums = materialize(sums, "block-sums")
+    trials = sums.select("trial").distinct().count()
+    ranked = split_ranks(sums, blocks) if trials <= most_trials and blocks % 2 == 0 else joined_split_ranks(sums, blocks)
+    share = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("rank") / max(trials - 1, 1)))
+    logit = F.log(share / (1 - share))
+    return ranked.agg(F.count("*").alias("splits"), F.avg(F.when(logit < 0, 1.0).otherwise(0.0)).alias("pbo"), F.avg(logit).alias("mean_logit"))
+
+
+def sharpe_of_sums(n, s, q):
+    """Mean over sample deviation from counts, sums and sums of squares; 0 without spread."""
+    mean = s / np.maximum(n, 1)
+    deviation = np.sqrt(np.maximum((q - n * mean * mean) / np.maximum(n - 1, 1), 0.0))
+    return np.where(deviation > 1e-15, mean / np.where(deviation > 0, deviation, 1.0), 0.0)
+
+
+def split_ranks(sums: DataFrame, blocks: int) -> DataFrame:
+    """(split, rank): the place out of sample, from 0, of each split's best trial; a split and its complement share their sums."""
+    spark = sums.sparkSession
+    half = math.comb(blocks, blocks // 2) // 2  # those that hold the first block, if blocks are even in number
+    row = sums.agg(F.collect_list(F.struct("trial", "block", "n", "s", "q")).alias("sums"))
+    tasks = min(default_parallelism(spark), half)
+    work = spark.range(0, half, 1, tasks).crossJoin(F.broadcast(row))  # one row of bounded size
+
+    def run(batches):
+        from itertools import combinations
+
+        chosen = np.zeros((2 * half, blocks))
+        for i, inside in enumerate(combinations(range(blocks), blocks // 2)):
+            chosen[i, list(inside)] = 1.0
+        held = None
+        for batch in batches:
+            if held is None:
+                found = batch["sums"].iloc[0]
+                names = sorted({r["trial"] for r in found})
+                place = {t: i for i, t in enumerate(names)}
+                held = np.zeros((3, blocks, len(names)))
+                for r in found:
+                    held[:, r["block"], place[r["trial"]]] = r["n"], r["s"], r["q"]
+            numbers = batch["id"].to_numpy()
+            out = []
+            for low in range(0, len(numbers), 256):
+                part = numbers[low : low + 256]
+                inside, outside = (sharpe_of_sums(*(m @ held[k] for k in range(3))) for m in (chosen[part], 1 - chosen[part]))
+                for first, second, number in ((inside, outside, part), (outside, inside, 2 * half - 1 - part)):
+                    best = first.argmax(axis=1)
+                    own = second[np.arange(len(part)), best][:, None]
+                    earlier = np.arange(second.shape[1])[None, :] < best[:, None]
+                    out.append(pd.DataFrame({"split": number, "rank": ((second < own) | (second == own) & earlier).sum(axis=1)}))
+            yield pd.concat(out)
+
+    return work.select("id", "sums").mapInPandas(run, "split long, rank long")
+
+
+def joined_split_ranks(sums: DataFrame, blocks: int) -> DataFrame:
+    """The same for any number of trials: every split joined with the sums of every trial."""
+    from itertools import combinations
+
     splits = [(i, list(c)) for i, c in enumerate(combinations(range(blocks), blocks // 2))]
-    splits = spark.createDataFrame(splits, "split int, inside array<int>")
-    sides = sums.crossJoin(F.broadcast(splits))  # at most C(16, 8) rows of splits
-    side = sides.withColumn("side", F.when(F.array_contains("inside", F.col("block")), "in").otherwise("out"))
+    splits = sums.sparkSession.createDataFrame(splits, "split long, inside array<int>")
+    side = sums.crossJoin(F.broadcast(splits)).withColumn("side", F.when(F.array_contains("inside", F.col("block").cast("int")), "in").otherwise("out"))  # at most C(16, 8) rows of splits
     ratio = side.groupBy("split", "side", "trial").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     deviation = F.sqrt(F.greatest((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
     ratio = ratio.select("split", "side", "trial", F.when(deviation > 1e-15, mean / deviation).otherwise(0.0).alias("sharpe"))
     inside = ratio.where("side = 'in'").groupBy("split").agg(F.max_by("trial", F.struct("sharpe", -F.col("trial"))).alias("trial"))
     out = ratio.where("side = 'out'").withColumn("rank", F.row_number().over(Window.partitionBy("split").orderBy("sharpe", "trial")) - 1)
-    out = out.withColumn("share", F.col("rank") / F.greatest(F.count("*").over(Window.partitionBy("split")) - 1, F.lit(1)))
-    best = inside.join(out, ["split", "trial"]).withColumn("p", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("share"))))
-    logit = F.log(F.col("p") / (1 - F.col("p")))
-    return best.agg(F.count("*").alias("splits"), F.avg(F.when(logit < 0, 1.0).otherwise(0.0)).alias("pbo"), F.avg(logit).alias("mean_logit"))
+    return out.join(inside, ["split", "trial"]).select("split", F.col("rank").cast("long").alias("rank"))
 
 
 def draw(trial: Column, i: Column, seed: int) -> Column:

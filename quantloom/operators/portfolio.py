@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .carried import last_known
+from .carried import exponential_mean, last_known
 from .scans import scan
 from .tiles import spread, tiled
 from .windows import SYMBOL, last, ordered, so_far
@@ -122,18 +124,29 @@ def cooled(alerts: DataFrame, seconds: float = 60.0) -> DataFrame:
     return scan(alerts.select("source", "at", "seq", "level"), lambda: Cooldown(seconds), schema, key="source", order=("at", "seq"))
 
 
-class Ema:
-    """Exponential mean that starts at the first value."""
+class AlertCap:
+    """Fires an alert if its kind has been silent for ``seconds`` and fewer than ``most`` of all kinds fired within ``window`` seconds."""
 
-    def __init__(self, alpha: float):
-        self.alpha, self.mean = alpha, None
+    def __init__(self, seconds: float, most: int, window: float):
+        self.seconds, self.most, self.window, self.last, self.fired = seconds, most, window, {}, deque()
 
     def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for x in part["x"].tolist():
-            self.mean = x if self.mean is None else self.alpha * x + (1 - self.alpha) * self.mean
-            out.append(self.mean)
-        return part.assign(ema=out)
+        for kind, at in zip(part["kind"].tolist(), part["at"].tolist()):
+            while self.fired and self.fired[0] <= at - self.window:
+                self.fired.popleft()
+            go = at - self.last.get(kind, float("-inf")) >= self.seconds and len(self.fired) < self.most
+            out.append(go)
+            if go:
+                self.last[kind] = at
+                self.fired.append(at)
+        return part.assign(fired=out)
+
+
+def capped(alerts: DataFrame, seconds: float = 60.0, most: int = 20, window: float = 3600.0) -> DataFrame:
+    """``fired`` for ``alerts(channel, at, seq, kind)``: a pause after each alert of a kind, and a cap on all of a channel in any hour."""
+    schema = "channel string, at double, seq long, kind string, fired boolean"
+    return scan(alerts.select("channel", "at", "seq", "kind"), lambda: AlertCap(seconds, most, window), schema, key="channel", order=("at", "seq"))
 
 
 def halts(
@@ -154,11 +167,7 @@ def halts(
     confidence below ``floor`` (not before ``warm_up`` rows, nor within ``exempt`` rows of a regime change), slippage,
     drawdown, tail loss.
     """
-    schema = f"{key} {dict(rows.dtypes)[key]}, " + ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in order) + ", x double, ema double"
-    ema = scan(rows.select(key, *order, F.col("confidence").alias("x")), lambda: Ema(alpha), schema, key=key, order=order).drop("x")
-    d = rows.join(ema, [key, *order])
-    w = Window.partitionBy(key).orderBy(*order)
-    d = d.withColumn("n", F.row_number().over(w))
+    d = exponential_mean(tiled(rows, key=key, order=order), "confidence", 1 - alpha, "ema", key=key)
     trusted = F.when(F.col("n") < warm_up, F.lit(floor)).when(F.col("since_transition") < exempt, F.greatest("ema", F.lit(floor + 0.05))).otherwise(F.col("ema"))
     found = (
         F.when(trusted < floor, "CONFIDENCE")
@@ -166,9 +175,11 @@ def halts(
         .when(F.col("fall") > most_fall, "DRAWDOWN")
         .when((F.col("cvar") < least_cvar) & (F.col("cvar") < 0), "TAIL_LOSS")
     )
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__found", found)
-    return d.withColumns({"reason": F.first("__found", ignorenulls=True).over(run), "since": F.min(F.when(F.col("__found").isNotNull(), F.col("n"))).over(run)}).withColumn("halted", F.col("reason").isNotNull()).drop("__found")
+    # the first row that halts a symbol, then a join: no window over the symbol
+    first = d.withColumn("__found", found).where("__found IS NOT NULL").groupBy(key).agg(F.min_by("__found", "n").alias("__reason"), F.min("n").alias("__since"))
+    stopped = F.col("n") >= F.col("__since")
+    d = d.join(first, key, "left").withColumns({"reason": F.when(stopped, F.col("__reason")), "since": F.when(stopped, F.col("__since"))})
+    return d.withColumn("halted", F.col("reason").isNotNull()).drop("__reason", "__since", "tile")
 
 
 def staleness(df: DataFrame, aging: float, stale: float, silent: float, dead: float, keys=SYMBOL) -> DataFrame:

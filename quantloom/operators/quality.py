@@ -68,6 +68,13 @@ def issue_counts(checked: DataFrame) -> DataFrame:
     return checked.select("symbol", F.explode("issues").alias("i")).groupBy("symbol", "i.issue", "i.severity").agg(F.count("*").alias("n"))
 
 
+def recent_issues(checked: DataFrame, newest: int = 50, kept: int = 1000) -> DataFrame:
+    """The ``newest`` issues of each symbol among its last ``kept``: (symbol, seq, place, issue, severity, value), ``place`` in the row's list."""
+    each = checked.select("symbol", "seq", F.posexplode("issues").alias("place", "i")).select("symbol", "seq", "place", "i.issue", "i.severity", "i.value")
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("seq"), F.desc("place")))
+    return each.withColumn("__back", back).where(F.col("__back") <= min(newest, kept)).drop("__back")  # Spark cuts each task's rows to as many first
+
+
 def gaps(ticks: DataFrame, expected_s: float, keys=SYMBOL) -> DataFrame:
     """Pauses longer than 1.1 times the expected interval: (symbol, seq, gap_s)."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

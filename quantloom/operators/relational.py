@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship_package
+from ..cluster import materialize, ship_package
 from .carried import last_known
+from .quantiles import exact_quantiles
 from .tiles import spread, tiled
 
 
@@ -83,23 +84,30 @@ def slippage(fills: DataFrame) -> DataFrame:
     return fills.withColumns({"slippage_bps": bps, "shortfall": worse * F.col("qty"), "hour": F.hour("ts")})
 
 
-def execution_report(fills: DataFrame, dims: tuple[str, ...] = ("side", "regime_id", "order_type")) -> DataFrame:
-    """Slippage statistics over all fills and by each dimension: one pass of grouping sets."""
+def execution_report(fills: DataFrame, dims: tuple[str, ...] = ("side", "regime_id", "order_type"), held: int = 1_000_000) -> DataFrame:
+    """Slippage statistics over all fills and by each dimension: one pass of grouping sets; beyond ``held`` fills the percentiles are narrowed down."""
     base = slippage(fills).select("slippage_bps", "shortfall", "fees", *(F.col(d).cast("string").alias(d) for d in dims))
     sets = [[], *([F.col(d)] for d in dims)]
+    shares = {"median_bps": 0.5, "p95_bps": 0.95}
+    few = base.count() <= held
     out = base.groupingSets(sets, *(F.col(d) for d in dims)).agg(
         F.count("*").alias("n"),
         F.avg("slippage_bps").alias("mean_bps"),
-        F.percentile("slippage_bps", F.lit(0.5)).alias("median_bps"),
-        F.percentile("slippage_bps", F.lit(0.95)).alias("p95_bps"),
+        *(F.percentile("slippage_bps", F.lit(s)).alias(c) for c, s in shares.items() if few),
         F.max("slippage_bps").alias("max_bps"),
         F.sum("shortfall").alias("shortfall"),
         F.sum("fees").alias("fees"),
         *(F.grouping(d).alias(f"__{d}") for d in dims),
     )
     dim = F.coalesce(*(F.when(F.col(f"__{d}") == 0, F.lit(d)) for d in dims), F.lit("all"))
-    value = F.coalesce(*(F.when(F.col(f"__{d}") == 0, F.col(d)) for d in dims), F.lit("all"))
-    return out.select(dim.alias("dim"), value.alias("value"), "n", "mean_bps", "median_bps", "p95_bps", "max_bps", "shortfall", "fees")
+    value = F.coalesce(*(F.when(F.col(f"__{d}") == 0, F.col(d)) for d in dims), F.when(sum(F.col(f"__{d}") for d in dims) == len(dims), F.lit("all")))
+    out = out.withColumns({"dim": dim, "value": value})
+    if not few:
+        each = F.array(F.struct(F.lit("all").alias("dim"), F.lit("all").alias("value")), *(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims))
+        long = base.select("slippage_bps", F.inline(each))
+        found = exact_quantiles(long, "slippage_bps", tuple(shares.values()), ("dim", "value"), held, tuple(shares)).drop("n")
+        out = out.join(found.withColumnsRenamed({"dim": "__dim", "value": "__value"}), (F.col("dim") == F.col("__dim")) & F.col("value").eqNullSafe(F.col("__value")))
+    return out.select("dim", "value", "n", "mean_bps", "median_bps", "p95_bps", "max_bps", "shortfall", "fees")
 
 
 def cost_curve(fills: DataFrame, grid=(0.0, 0.5, 1.0, 2.0, 5.0, 10.0)) -> DataFrame:
@@ -180,8 +188,46 @@ def half_life(curve: DataFrame, by: tuple[str, ...] = ("from_regime", "to_regime
     return fit.select(*by, "slope", F.when(F.col("slope") < 0, F.log(F.lit(2.0)) / -F.col("slope")).alias("half_life"), "r2")
 
 
-def correlations(returns: DataFrame) -> DataFrame:
-    """Pearson correlation of every pair of symbols over the slots both have: (a, b, n, rho). ``returns(symbol, slot, ret)``."""
-    left = returns.select(F.col("symbol").alias("a"), "slot", F.col("ret").alias("x"))
-    right = returns.select(F.col("symbol").alias("b"), "slot", F.col("ret").alias("y"))
-    return left.join(right, "slot").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
+def correlations(returns: DataFrame, block_symbols: int = 256, chunk_rows: int = 200_000) -> DataFrame:
+    """Pearson correlation of every pair of symbols over the slots both have: (a, b, n, rho). ``returns(symbol, slot, ret)``, a row per symbol and slot.
+
+    Slots are dealt into chunks of about ``chunk_rows`` rows and symbols into blocks; a task multiplies the matrices of
+    two blocks in one chunk and sends on sums for each pair, so what is shuffled does not grow with pairs times slots.
+    """
+    ship_package(returns.sparkSession)
+    means = returns.where(F.col("ret").isNotNull()).groupBy("symbol").agg(F.count("*").alias("__n"), F.avg("ret").alias("__mean"))
+    means = materialize(means, "symbol-means")
+    size = means.agg(F.count("*").alias("symbols"), F.sum("__n").alias("rows")).first()
+    blocks, chunks = max(1, -(-size["symbols"] // block_symbols)), max(1, -(-(size["rows"] or 0) // chunk_rows))
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    d = returns.where(F.col("ret").isNotNull()).join(means, "symbol").select("symbol", "slot", (F.col("ret") - F.col("__mean")).alias("x"), own.alias("own"), F.pmod(F.xxhash64(F.lit(5), "slot"), F.lit(chunks)).cast("int").alias("chunk"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    d = d.withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    kind = returns.schema["symbol"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(rows["symbol"].unique())
+        slots, at = np.unique(rows["slot"].to_numpy(), return_inverse=True)
+        column = rows["symbol"].map({s: i for i, s in enumerate(names)}).to_numpy()
+        x, has = np.zeros((len(slots), len(names))), np.zeros((len(slots), len(names)))
+        x[at, column], has[at, column] = rows["x"].to_numpy(float), 1.0
+        i, j = np.triu_indices(len(names), 1)
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        if low != high:  # pairs within a block belong to its own task
+            block = dict(zip(rows["symbol"], rows["own"]))
+            block = np.array([block[s] for s in names])
+            apart = block[i] != block[j]
+            i, j = i[apart], j[apart]
+        parts = {"n": has.T @ has, "sx": x.T @ has, "sxx": (x * x).T @ has, "sxy": x.T @ x}
+        met = parts["n"][i, j] > 0
+        i, j = i[met], j[met]
+        named = {c: pd.Series([names[k] for k in at], dtype=object) for c, at in (("a", i), ("b", j))}
+        return pd.DataFrame({**named, "n": parts["n"][i, j], "sx": parts["sx"][i, j], "sy": parts["sx"].T[i, j], "sxx": parts["sxx"][i, j], "syy": parts["sxx"].T[i, j], "sxy": parts["sxy"][i, j]})
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = d.groupBy("chunk", "low", "high").applyInPandas(run, f"a {kind}, b {kind}, " + ", ".join(f"{c} double" for c in sums))
+    g = parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in sums))
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    rho = F.when((n > 1) & (vx > 0) & (vy > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    return g.select("a", "b", n.cast("long").alias("n"), rho.alias("rho"))

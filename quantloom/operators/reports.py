@@ -206,22 +206,6 @@ def predictive_regimes(returns: DataFrame, by: tuple[str, ...] = ("symbol", "reg
     return g.select(*by, "n", "t", "p", banned.alias("banned"), F.when(few, "TOO_FEW").when(banned, "NOT_PREDICTIVE").otherwise("PREDICTIVE").alias("reason"))
 
 
-def rank_sum(df: DataFrame, value: str, group: str, by: tuple[str, ...]) -> DataFrame:
-    """Mann-Whitney test of two groups (``group`` true or false): (by, n1, n2, u, p), normal approximation with ties and continuity."""
-    ties = Window.partitionBy(*by, value)
-    d = df.withColumn("__rank", F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2).withColumn("__ties", F.count("*").over(ties))
-    one = F.col(group)
-    g = d.groupBy(*by).agg(
-        F.count(F.when(one, 1)).alias("n1"), F.count(F.when(~one, 1)).alias("n2"), F.sum(F.when(one, F.col("__rank"))).alias("r1"), F.sum(F.col("__ties").cast("double") ** 2 - 1).alias("tie")
-    )
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    n = n1 + n2
-    u = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
-    z = F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2) - 0.5) / sigma
-    return g.select(*by, "n1", "n2", u.alias("u"), (2 * (1 - cumulative(z))).alias("p"))
-
-
 def search_points(spark, space: list[tuple[str, float, float, bool]], trials: int, seed: int = 42) -> DataFrame:
     """(trial, name, value): the defaults' neighbourhood drawn uniformly, on a log scale where told, one row for each trial and parameter.
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
+from .carried import tracked_level
+from .tiles import tiled
 
 
 def scan(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, key: str = "symbol", order=("ts", "seq")) -> DataFrame:
@@ -72,28 +74,10 @@ def toxicity(ticks: DataFrame, size: float = 500.0, buckets: int = 50) -> DataFr
     return closed.withColumn("vpin", F.avg("imbalance").over(Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - buckets, 0)))
 
 
-class Kalman1D:
-    """Level tracking with fixed process and measurement variances; the first value is taken as it is."""
-
-    def __init__(self, process: float, measurement: float):
-        self.q, self.r, self.level, self.error = process, measurement, None, 1.0
-
-    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x in part["price"].tolist():
-            if self.level is None:
-                self.level = x
-            else:
-                spread = self.error + self.q
-                gain = spread / (spread + self.r)
-                self.level += gain * (x - self.level)
-                self.error = (1 - gain) * spread
-            out.append(self.level)
-        return pd.DataFrame({"symbol": part["symbol"], "seq": part["seq"], "level": out})
-
-
-def kalman_level(ticks: DataFrame, process: float = 1e-4, measurement: float = 1e-2) -> DataFrame:
-    return scan(ticks.select("symbol", "seq", "ts", "price"), lambda: Kalman1D(process, measurement), "symbol string, seq long, level double")
+def kalman_level(ticks: DataFrame, process: float = 1e-4, measurement: float = 1e-2, tile_rows: int = 10_000) -> DataFrame:
+    """(symbol, seq, level): the price followed with fixed process and measurement variances, tile by tile."""
+    rows = tiled(ticks.select("symbol", "seq", "ts", "price"), tile_rows)
+    return tracked_level(rows, "price", process, measurement, "level").select("symbol", "seq", "level")
 
 
 class Kalman3D:

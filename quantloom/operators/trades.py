@@ -8,15 +8,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
+from .ranks import rank_correlation
 from .tiles import spread
 from .windows import SYMBOL, ordered, so_far
 
 
 EXITS = "symbol string, k long, side string, exit_k long, reason string, ret double"
+JOURNAL = f"{EXITS}, entry_price double, exit_price double, best double, worst double, low double, high double"
 
 
 def exits(marks: DataFrame, hold: int = 80, activation=0.6, tight=0.5, normal=0.7, tile_rows: int = 10_000) -> DataFrame:
-    """First exit of each entry: (symbol, k, side, exit_k, reason, ret); k numbers a symbol's rows.
+    """First exit of each entry: (symbol, k, side, exit_k, reason, ret); k numbers a symbol's rows; see ``_paths``."""
+    return _paths(marks, hold, activation, tight, normal, tile_rows).select(*(c.split()[0] for c in EXITS.split(", ")))
+
+
+def exit_journal(marks: DataFrame, hold: int = 80, activation=0.6, tight=0.5, normal=0.7, tile_rows: int = 10_000) -> DataFrame:
+    """A journal row for each exit, of one unit: prices, profit (fees are not known here, so gross is net), what the position went through, and how much of it was kept.
+
+    ``best_pct, worst_pct`` are the best and worst unrealised shares after the entry, 0 at least and at most;
+    ``mfe_pct, mae_pct`` their sizes, ``mfe_price, mae_price`` the best and worst prices; ``edge_captured`` is the
+    realised share over ``mfe_pct``, 0 where that is 0.
+    """
+    d = _paths(marks, hold, activation, tight, normal, tile_rows)
+    buy = F.col("side") == "BUY"
+    gross = F.when(buy, F.col("exit_price") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("exit_price"))
+    mfe = F.greatest(F.lit(0.0), F.col("best"))
+    return d.select(
+        "symbol", F.col("k").alias("entry_k"), "exit_k", "side", "entry_price", "exit_price", gross.alias("gross_pnl"), gross.alias("net_pnl"), F.lit(0.0).alias("fees"), F.col("reason").alias("exit_reason"),
+        (F.col("exit_k") - F.col("k")).alias("hold_rows"), mfe.alias("best_pct"), F.least(F.lit(0.0), F.col("worst")).alias("worst_pct"), F.greatest(F.lit(0.0), -F.col("worst")).alias("mae_pct"), mfe.alias("mfe_pct"),
+        F.when(buy, F.col("low")).otherwise(F.col("high")).alias("mae_price"), F.when(buy, F.col("high")).otherwise(F.col("low")).alias("mfe_price"), F.when(mfe > 0, gross / F.col("entry_price") / mfe).otherwise(0.0).alias("edge_captured"),
+    )
+
+
+def _paths(marks: DataFrame, hold: int, activation: float, tight: float, normal: float, tile_rows: int) -> DataFrame:
+    """First exit of each entry with what its path went through.
 
     ``marks(symbol, ts, seq, price, side, stop, take_profit, trail)``: rows with a side are entries, which follow the
     next ``hold`` rows. In order of precedence: stop loss; trailing stop, armed at a share of the take profit and
@@ -53,10 +78,14 @@ def exits(marks: DataFrame, hold: int = 80, activation=0.6, tight=0.5, normal=0.
             k = e["n"].to_numpy()[found]
             if len(found):
                 out.append([np.asarray(c, object) for c in (e["symbol"].iloc[found], k, e["side"].iloc[found], k + first[found] + 1, [order[r] for r in reason], ret[found, first[found]])])
-        names = [c.split()[0] for c in EXITS.split(", ")]
+                went = path[found], ret[found]
+                until = np.arange(hold)[None, :] <= first[found][:, None]
+                seen = [np.where(until, x, np.nan) for x in went]
+                out[-1] += [np.asarray(c, object) for c in (start[found, 0], path[found, first[found]], np.nanmax(seen[1], axis=1), np.nanmin(seen[1], axis=1), np.nanmin(seen[0], axis=1), np.nanmax(seen[0], axis=1))]
+        names = [c.split()[0] for c in JOURNAL.split(", ")]
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))) if out else {c: np.empty(0, object) for c in names}, dtype=object)
 
-    return spread(marks, lookahead=hold, tile_rows=tile_rows).groupBy("symbol", "tile").applyInPandas(run, EXITS)
+    return spread(marks, lookahead=hold, tile_rows=tile_rows).groupBy("symbol", "tile").applyInPandas(run, JOURNAL)
 
 
 def kill_switch(curve: DataFrame, most_fall: float, keys=SYMBOL, order=("ts", "order_id", "line", "pnl")) -> DataFrame:
@@ -103,14 +132,9 @@ def signal_weights(signals: DataFrame, names: tuple[str, ...], outcome: str = "r
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...], least: int = 10) -> DataFrame:
-    """Rank correlation with mean ranks for ties, by group; 0 with fewer than ``least`` rows."""
-
-    def mean_rank(col):
-        return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / 2
-
-    ranked = df.withColumn("__x", mean_rank(x)).withColumn("__y", mean_rank(y))
-    rho = F.corr("__x", "__y")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") < least, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("ic"))
+    """Rank correlation with mean ranks for ties, by group; 0 with fewer than ``least`` rows. Ranks come from ranges, so a group is many tasks."""
+    found = rank_correlation(df, x, y, by)
+    return found.select(*by, "n", F.when(F.col("n") < least, 0.0).otherwise(F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0))).alias("ic"))
 
 
 def hit_rate(df: DataFrame, prediction: str, outcome: str, by: tuple[str, ...], dead: float = 0.01, least: int = 5) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import quality as Q
 from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
+from ..operators.boosting import boosted_predictions
 from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
@@ -324,3 +325,12 @@ def ensemble_predictions(spark, sf_dir):
     rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys)))
     rows = rows.withColumn("target", F.coalesce(F.lead("mu").over(W.ordered()), F.lit(0.0))).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
     return rounded(B.ensemble_predictions(rows, STATE, "target", "mom_50"), "prediction", "disagreement", "w_ridge", "w_regime", "w_momentum")
+
+
+@query()
+def boosted_block_predictions(spark, sf_dir):
+    """The next mean return of each evaluation row by trees refitted every 100 rows; the tests compare fits and predictions with plain ones."""
+    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys)))
+    rows = rows.drop("n").withColumn("target", F.lead("mu").over(W.ordered()))
+    out = boosted_predictions(rows, (*STATE, "mom_50"), "target", block=100, keep=1000, least_rows=80)
+    return rounded(out.select("symbol", "seq", "gbt", "gbt_block", "gbt_accepted"), "gbt", digits=9)

@@ -9,7 +9,10 @@ from ..functions import normal
 from ..operators import performance as P
 from ..operators import reports as R
 from ..operators import windows as W
+from ..operators.boosting import boosted_predictions, rollbacks
+from ..operators.ranks import rank_correlation, rank_sum
 from ..operators.tiles import numbered, rolling
+from ..operators.unit_roots import stationarity_tests
 from ..sources.views import fills, order_log, table, ticks, trades, with_views
 from .common import query, r, rounded
 from .performance_queries import CURVE
@@ -192,6 +195,57 @@ def stationarity(spark, sf_dir):
     return rounded(out, "variance_ratio", "mean_z")
 
 
+@query()
+def unit_root_tests(spark, sf_dir):
+    """Dickey-Fuller and KPSS tests of each symbol's returns in each price regime; the tests compare them with plain regressions."""
+    d = regime_returns(spark, sf_dir)
+    return rounded(stationarity_tests(d, ("symbol", "regime_id"), "ret"), "adf", "adf_p", "kpss", "kpss_p")
+
+
+def regime_returns(spark, sf_dir):
+    """Returns of each tick with the price regime before it."""
+    d = rolling(ticks(spark, sf_dir), 1, lambda d, keys: W.log_returns(d, keys).withColumn("regime_id", F.lag(F.floor(F.col("price") / 20) % 3).over(W.ordered(keys))))
+    return d.where("ret IS NOT NULL").select("symbol", "regime_id", "ts", "seq", "ret")
+
+
+@query(
+    f"""{RET}, v AS (SELECT symbol, volume, ret FROM rets WHERE ret IS NOT NULL), k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2::DOUBLE AS x, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2::DOUBLE AS y FROM v)
+    SELECT symbol, count(*) AS n, {r("corr(x, y)", "rho")} FROM k GROUP BY 1"""
+)
+def volume_return_ranks(spark, sf_dir):
+    """Rank correlation of volumes and returns; a symbol's ranks come from as many ranges as the session has partitions."""
+    d = rolling(ticks(spark, sf_dir), 1, lambda d, keys: W.log_returns(d, keys))
+    return rounded(rank_correlation(d, "volume", "ret", ("symbol",)), "rho")
+
+
+NAIVE = f"""{RET}, e AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) - 1 AS n, ret, lag(ret) OVER ({O}) AS was, avg(ret) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean FROM rets
+    ), er AS (SELECT symbol, 'last' AS model, n - 1 AS k, abs(ret - was) AS error FROM e WHERE n > 1 UNION ALL SELECT symbol, 'mean', n - 1, abs(ret - mean) FROM e WHERE n > 1
+    ), b AS (SELECT symbol, model, (k - 1) // 50 AS block, error FROM er), m AS (SELECT symbol, model, block, avg(error) AS mean_error FROM b GROUP BY ALL HAVING count(*) = 50
+    ), pr AS (SELECT symbol, model, error, block, block + unnest([0, 1]) AS pair FROM b), rk AS (SELECT *, rank() OVER (PARTITION BY symbol, model, pair ORDER BY error) + (count(*) OVER (PARTITION BY symbol, model, pair, error) - 1) / 2::DOUBLE AS k, count(*) OVER (PARTITION BY symbol, model, pair, error)::DOUBLE AS t FROM pr
+    ), st AS (SELECT symbol, model, pair AS block, sum(k) FILTER (block = pair) - 50 * 51 / 2::DOUBLE AS u, sum(t * t - 1) AS tie FROM rk GROUP BY ALL HAVING count(*) = 100
+    ), z AS (SELECT symbol, model, block, (u - 1250 - 0.5::DOUBLE) / sqrt(2500::DOUBLE / 12 * (101 - tie / (100 * 99))) AS z FROM st
+    ), j AS (SELECT m.*, lag(mean_error) OVER w AS before, z FROM m LEFT JOIN z USING (symbol, model, block) WINDOW w AS (PARTITION BY symbol, model ORDER BY block)
+    ), d AS (SELECT *, mean_error / before AS ratio, {normal.sql_cumulative('z')} AS c, coalesce(mean_error / before > 1.3 OR 1 - {normal.sql_cumulative('z')} < 0.05, false) AS degraded FROM j
+    ), i AS (SELECT *, sum(CASE WHEN degraded THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, model ORDER BY block ROWS UNBOUNDED PRECEDING) AS island FROM d
+    ), f AS (SELECT *, degraded AND row_number() OVER (PARTITION BY symbol, model, island, degraded ORDER BY block) % 2 = 1 AS rolled_back FROM i)"""
+
+
+@query(
+    f"""{NAIVE} SELECT symbol, model, block, {r("mean_error", "mean_error", 9)}, {r("ratio", "ratio")}, {r("1 - c", "p")}, degraded, rolled_back, last_value(CASE WHEN NOT rolled_back THEN block END IGNORE NULLS) OVER (PARTITION BY symbol, model ORDER BY block ROWS UNBOUNDED PRECEDING) AS version FROM f"""
+)
+def model_rollbacks(spark, sf_dir):
+    """Versions of two naive forecasts of the next return, the last return and the mean of 20, by blocks of 50 errors."""
+    d = rolling(ticks(spark, sf_dir), 23, lambda d, keys: naive_forecasts(d, keys)).where("n > 2")
+    errors = d.select("symbol", (F.col("n") - 2).alias("k"), F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.abs(F.col("ret") - F.col(m)).alias("error")) for m in ("last", "mean")))).alias("e"))
+    out = rollbacks(errors.select("symbol", "e.model", "k", "e.error"), ("symbol", "model"))
+    return rounded(rounded(out, "mean_error", digits=9), "ratio", "p")
+
+
+def naive_forecasts(d, keys):
+    d = W.log_returns(d, keys)
+    return d.withColumns({"last": F.lag("ret").over(W.ordered(keys)), "mean": F.avg("ret").over(W.before(20, keys))})
+
+
 DAYS = f"{TR}, dd AS (SELECT CAST(ts AS DATE) AS day, sum(pnl) AS pnl FROM trades GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY day) AS i, pnl FROM dd)"
 
 
@@ -312,7 +366,7 @@ def pending_orders(spark, sf_dir):
 def rank_sum_test(spark, sf_dir):
     """Whether returns on heavy volume rank unlike the others."""
     d = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL").withColumn("heavy", F.col("volume") > 50)
-    return rounded(rounded(R.rank_sum(d, "ret", "heavy", ("symbol",)), "u", digits=1), "p")
+    return rounded(rounded(rank_sum(d, "ret", "heavy", ("symbol",)).drop("method"), "u", digits=1), "p")
 
 
 @query()
