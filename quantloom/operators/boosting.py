@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize, ship_package
 from ..functions.normal import cumulative
-from .tiles import numbered
+from .carried import exponential_means
+from .tiles import numbered, rolling
+from .windows import sliding_sums
 
 BINS = 32
 FITTED = "block long, rows long, val_mse double, val_var double, accepted boolean, base double, columns array<int>, cuts array<double>, values array<double>"
@@ -176,3 +178,28 @@ def rollbacks(errors: DataFrame, by: tuple[str, ...], half: int = 50, ratio: flo
     out = out.withColumn("rolled_back", F.col("degraded") & (inside % 2 == 1))
     version = F.last(F.when(~F.col("rolled_back"), F.col("block")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("version", version).select(*by, "block", "mean_error", "ratio", "p", "degraded", "rolled_back", "version")
+
+
+def blended(rows: DataFrame, models: tuple[str, ...], target: str, least: int = 50, decay: float = 0.98, newest: int = 100, tile_rows: int = 10_000, key: str = "symbol") -> DataFrame:
+    """``rows`` with ``blend``, ``disagreement`` and a weight ``w_<model>`` for each of ``models``, columns of predictions of ``target``.
+
+    The weights aimed at are the inverse mean absolute errors of the ``newest`` rows before (1 for a model with fewer than ten),
+    those in use an exponential mean of them that starts even. Until ``least`` rows are learned, weights stay even and the blend is
+    a plain mean. A row is blended before anything is learned from it.
+    """
+
+    def aims(d: DataFrame, keys) -> DataFrame:
+        d = d.withColumns({f"__e_{m}": F.abs(F.col(target) - F.col(m)) for m in models})
+        sums = {f"__s_{m}": F.col(f"__e_{m}") for m in models} | {f"__c_{m}": F.when(F.col(f"__e_{m}").isNotNull(), 1.0) for m in models}
+        return sliding_sums(d, sums, newest, keys, newest=1).drop(*(f"__e_{m}" for m in models))
+
+    d = rolling(rows, newest + 1, aims, tile_rows, key, keep_tile=True)
+    inverse = {m: F.when(F.col(f"__c_{m}") >= 10, 1 / F.greatest(F.col(f"__s_{m}") / F.col(f"__c_{m}"), F.lit(1e-10))).otherwise(1.0) for m in models}
+    total = sum(inverse.values(), F.lit(0.0))
+    learned = F.col("n") - 1 >= least
+    d = exponential_means(d, {f"w_{m}": F.when(learned, inverse[m] / total) for m in models}, decay, 1 / len(models), key)
+    weights = sum((F.col(f"w_{m}") for m in models), F.lit(0.0))
+    mean = sum((F.col(m) for m in models), F.lit(0.0)) / len(models)
+    spread = F.sqrt(sum(((F.col(m) - mean) ** 2 for m in models), F.lit(0.0)) / len(models))
+    blend = F.when(learned, sum((F.col(f"w_{m}") * F.col(m) for m in models), F.lit(0.0)) / weights).otherwise(mean)
+    return d.withColumns({"blend": blend, "disagreement": spread}).drop("n", "tile", *(f"{p}_{m}" for m in models for p in ("__s", "__c")))

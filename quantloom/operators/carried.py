@@ -93,32 +93,48 @@ def mean_of_newest(rows: DataFrame, value: Column, n: int, into: str, key: str =
     return finished(rows, carried_over(ends, step, key), (into,), fill, key).drop("__value")
 
 
-def exponential_mean(rows: DataFrame, value: str, decay: float, into: str, start: float | None = None, key: str = "symbol", tile_rows: int = 10_000) -> DataFrame:
-    """``into``: decay times the mean before plus (1 - decay) times the value, from ``start`` (default: the first value) on.
+def exponential_mean(rows: DataFrame, value: str, decay: float, into: str, start: float | None = None, key: str = "symbol") -> DataFrame:
+    """``into``: decay times the mean before plus (1 - decay) times the value, from ``start`` (default: the first value) on; see ``exponential_means``."""
+    return exponential_means(rows, {into: F.col(value)}, decay, start, key)
 
-    Each row maps the mean to a mean, and the maps of a tile compose to one: a factor and a term. ``rows`` come in tiles
-    of ``tile_rows``; null values leave the mean.
+
+def exponential_means(rows: DataFrame, values: dict[str, Column], decay: float, start: float | None = None, key: str = "symbol") -> DataFrame:
+    """The exponential mean of each of ``values`` under its name, all in one pass.
+
+    Each row maps the mean to a mean, and the maps of a tile compose to one: a factor and a term. ``rows`` come in
+    tiles; null values leave the mean.
     """
-    rows = rows.withColumn("__value", F.col(value).cast("double"))
-    counted = F.count("__value").over(Window.partitionBy(key, "tile"))
-    later = counted - F.count("__value").over(Window.partitionBy(key, "tile").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    parts = rows.withColumn("__later", later)
-    first = F.min_by("__value", F.when(F.col("__value").isNotNull(), F.col("n")))
-    ends = parts.groupBy(key, "tile").agg(F.array(F.pow(F.lit(decay), F.count("__value")), F.coalesce(F.sum((1 - decay) * F.pow(F.lit(decay), F.col("__later")) * F.col("__value")), F.lit(0.0)), F.coalesce(first, F.lit(float("nan")))).alias("end"))
+    names = list(values)
+    rows = rows.withColumns({f"__{c}": v.cast("double") for c, v in values.items()})
+    tile = Window.partitionBy(key, "tile")
+    sofar = tile.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.withColumns({f"__later_{c}": F.count(f"__{c}").over(tile) - F.count(f"__{c}").over(sofar) for c in names})
 
-    def step(end: np.ndarray, carry: np.ndarray | None) -> np.ndarray | None:
-        mean = carry[0] if carry is not None else (end[2] if start is None else start)
-        return np.array([end[0] * mean + end[1]]) if mean == mean else None
+    def maps(c: str) -> list[Column]:
+        first = F.min_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col("n")))
+        term = F.sum((1 - decay) * F.pow(F.lit(decay), F.col(f"__later_{c}")) * F.col(f"__{c}"))
+        return [F.pow(F.lit(decay), F.count(f"__{c}")), F.coalesce(term, F.lit(0.0)), F.coalesce(first, F.lit(float("nan")))]
 
-    def fill(tile: pd.DataFrame, carry: np.ndarray | None) -> dict[str, np.ndarray]:
-        mean, out = (start if carry is None else float(carry[0])), []
-        for x in tile["__value"].tolist():
-            if x == x:
-                mean = x if mean is None else decay * mean + (1 - decay) * x
-            out.append(mean)
-        return {into: np.array(out, float)}
+    ends = parts.groupBy(key, "tile").agg(F.array(*(m for c in names for m in maps(c))).alias("end"))
 
-    return finished(rows, carried_over(ends, step, key), (into,), fill, key).drop("__value")
+    def step(end: np.ndarray, carry: np.ndarray | None) -> np.ndarray:
+        factor, term, first = end.reshape(-1, 3).T
+        before = np.full(len(factor), np.nan if start is None else start) if carry is None else carry
+        return factor * np.where(np.isnan(before), first, before) + term
+
+    def fill(tile: pd.DataFrame, carry: np.ndarray | None) -> dict[str, np.ndarray]:
+        out = {}
+        for i, c in enumerate(names):
+            mean = float("nan" if start is None else start) if carry is None else float(carry[i])
+            means = []
+            for x in tile[f"__{c}"].tolist():
+                if x == x:
+                    mean = x if mean != mean else decay * mean + (1 - decay) * x
+                means.append(mean)
+            out[c] = np.array(means, float)
+        return out
+
+    return finished(rows, carried_over(ends, step, key), tuple(names), fill, key).drop(*(f"__{c}" for c in names))
 
 
 def tracked_level(rows: DataFrame, value: str, process: float, measurement: float, into: str, key: str = "symbol", tile_rows: int = 10_000) -> DataFrame:

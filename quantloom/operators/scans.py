@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship_package
 from .carried import tracked_level
-from .tiles import tiled
+from .tiles import spread, tiled
 
 
 def scan(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, key: str = "symbol", order=("ts", "seq")) -> DataFrame:
@@ -266,36 +266,36 @@ def fit_garch(x: np.ndarray, rounds: int = 6, side: int = 9) -> tuple[float, flo
     return level * (1 - best[2]), best[1], best[2] - best[1]
 
 
-class Garch:
-    """GARCH(1,1) variance with parameters refitted by likelihood every ``refit`` returns; the sample deviation before ``least``."""
+def garch_sigma(returns: DataFrame, refit: int = 200, least: int = 100, remembered: int = 1000, tile_refits: int = 10) -> DataFrame:
+    """(symbol, seq, sigma): GARCH(1,1) deviation with parameters refitted by likelihood every ``refit`` returns; the sample deviation before ``least``.
 
-    def __init__(self, refit=200, least=100, remembered=1000):
-        self.refit, self.least, self.returns = refit, least, deque(maxlen=remembered)
-        self.seen, self.fitted, self.h = 0, None, None
-
-    def _fit(self):
-        x = np.array(self.returns)
-        omega, alpha, beta = self.fitted = fit_garch(x)
-        self.h = max(float((x**2).mean()), 1e-18)
-        for v in (x * x).tolist():
-            self.h = omega + alpha * v + beta * self.h
-
-    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in part["ret"].tolist():
-            self.returns.append(r)
-            self.seen += 1
-            if self.seen >= self.least and (self.seen - self.least) % self.refit == 0:
-                self._fit()
-            elif self.fitted:
-                omega, alpha, beta = self.fitted
-                self.h = omega + alpha * r * r + beta * self.h
-            out.append(float(np.sqrt(self.h)) if self.fitted else float(np.std(self.returns, ddof=1)) if len(self.returns) > 1 else 0.0)
-        return pd.DataFrame({"symbol": part["symbol"], "seq": part["seq"], "sigma": out})
-
-
-def garch_sigma(returns: DataFrame) -> DataFrame:
-    return scan(returns.select("symbol", "seq", "ts", "ret"), Garch, "symbol string, seq long, sigma double")
+    A refit takes the last ``remembered`` returns and runs the variance over them, so it owes nothing to the one before.
+    Tiles of ``tile_refits`` refits bring that many returns from before them, and a symbol is as many tasks as it has tiles.
+    """
+    ship_package(returns.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable")
+        x, n = rows["ret"].to_numpy(float), rows["n"].to_numpy(np.int64)
+        out, fitted, h = np.zeros(len(x)), None, 0.0
+        own = np.flatnonzero((rows["tile"] == rows["own"]).to_numpy())
+        for i in own.tolist():
+            if n[i] >= 1 and (n[i] - 1) % refit == 0:
+                past = x[max(0, i + 1 - remembered) : i + 1]
+                fitted = omega, alpha, beta = fit_garch(past)
+                h = max(float((past**2).mean()), 1e-18)
+                for v in (past * past).tolist():
+                    h = omega + alpha * v + beta * h
+            elif fitted:
+                h = omega + alpha * x[i] * x[i] + beta * h
+            out[i] = np.sqrt(h) if fitted else np.std(x[: i + 1], ddof=1) if i else 0.0
+        return pd.DataFrame({"symbol": rows["symbol"].to_numpy()[own], "seq": rows["seq"].to_numpy()[own], "sigma": out[own]})
+
+    d = returns.select("symbol", "seq", "ts", "ret")
+    tiles = spread(d, lookback=remembered - 1, tile_rows=refit * tile_refits, shift=least - 1)
+    # rows before the first refit look back on all rows of their symbol, which are fewer than ``least``
+    own = tiles.join(tiles.where("tile = own").select("symbol", "tile").distinct(), ["symbol", "tile"])  # not tiles of copies alone
+    return own.groupBy("symbol", "tile").applyInPandas(run, "symbol string, seq long, sigma double")
 
 
 class RateLimit:

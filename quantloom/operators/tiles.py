@@ -25,15 +25,16 @@ def numbered(df: DataFrame, key: str = "symbol", order: tuple[str, ...] = ("ts",
     )
 
 
-def spread(df: DataFrame, lookback: int = 0, lookahead: int = 0, tile_rows: int = 10_000, key: str = "symbol", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+def spread(df: DataFrame, lookback: int = 0, lookahead: int = 0, tile_rows: int = 10_000, key: str = "symbol", order: tuple[str, ...] = ("ts", "seq"), shift: int = 0) -> DataFrame:
     """Numbered rows of each ``tile`` of consecutive numbers, with copies of the rows before and after it that its own need.
 
-    ``own`` is the tile that a row belongs to; a copy has another ``tile``.
+    ``own`` is the tile that a row belongs to; a copy has another ``tile``. The row with number ``shift`` + 1 begins
+    tile 0 and has ``n`` 1; rows before it are in negative tiles.
     """
     tile = F.floor((F.col("n") - 1) / tile_rows)
-    rows = numbered(df, key, order).withColumn("tile", tile)
+    rows = numbered(df, key, order).withColumn("n", F.col("n") - shift).withColumn("tile", tile)
     later = [F.when(F.col("n") > (F.col("tile") + d) * tile_rows - lookback, F.col("tile") + d) for d in range(1, -(-lookback // tile_rows) + 1)]
-    earlier = [F.when((F.col("n") <= (F.col("tile") + 1 - d) * tile_rows + lookahead) & (F.col("tile") >= d), F.col("tile") - d) for d in range(1, -(-lookahead // tile_rows) + 1)]
+    earlier = [F.when((F.col("n") <= (F.col("tile") + 1 - d) * tile_rows + lookahead) & (F.col("tile") - d >= -shift), F.col("tile") - d) for d in range(1, -(-lookahead // tile_rows) + 1)]
     return rows.withColumn("own", F.col("tile")).withColumn("tile", F.explode(F.array_compact(F.array(F.col("tile"), *later, *earlier))))
 
 

@@ -12,6 +12,7 @@ from ..operators import quality as Q
 from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
+from ..operators.block_models import regimes_by_block, ridge_by_block
 from ..operators.boosting import boosted_predictions
 from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
@@ -334,3 +335,19 @@ def boosted_block_predictions(spark, sf_dir):
     rows = rows.drop("n").withColumn("target", F.lead("mu").over(W.ordered()))
     out = boosted_predictions(rows, (*STATE, "mom_50"), "target", block=100, keep=1000, least_rows=80)
     return rounded(out.select("symbol", "seq", "gbt", "gbt_block", "gbt_accepted"), "gbt", digits=9)
+
+
+@query()
+def regime_blocks(spark, sf_dir):
+    """Regimes of the rolling moments by models refitted every 100 rows, filtered from block to block; the tests compare them with one loop."""
+    rows = _states(spark, sf_dir).drop("n")
+    return rounded(regimes_by_block(rows, STATE), "confidence", "entropy").select("symbol", "seq", "regime_id", "confidence", "entropy")
+
+
+@query()
+def ridge_blocks(spark, sf_dir):
+    """The next mean return of each evaluation row by ridge regressions of its symbol, and of its symbol and the sign of its skewness; the tests compare them with weighted least squares."""
+    rows = _states(spark, sf_dir).drop("n").withColumn("target", F.lead("mu").over(W.ordered())).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
+    own = ridge_by_block(rows, STATE, "target", into="ridge")
+    both = ridge_by_block(own, STATE, "target", ("symbol", "regime_id"), into="by_regime")
+    return rounded(both.select("symbol", "seq", "regime_id", "ridge", "ridge_r2", "by_regime", "by_regime_r2"), "ridge", "ridge_r2", "by_regime", "by_regime_r2", digits=9)

@@ -9,7 +9,7 @@ from ..functions import normal
 from ..operators import performance as P
 from ..operators import reports as R
 from ..operators import windows as W
-from ..operators.boosting import boosted_predictions, rollbacks
+from ..operators.boosting import blended, rollbacks
 from ..operators.ranks import rank_correlation, rank_sum
 from ..operators.tiles import numbered, rolling
 from ..operators.unit_roots import stationarity_tests
@@ -246,6 +246,24 @@ def naive_forecasts(d, keys):
     return d.withColumns({"last": F.lag("ret").over(W.ordered(keys)), "mean": F.avg("ret").over(W.before(20, keys))})
 
 
+@query(
+    f"""WITH RECURSIVE {RET[5:]}, e AS (SELECT symbol, seq, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n, ret, lag(ret) OVER ({O}) AS last, avg(ret) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean FROM rets
+    ), f AS (SELECT symbol, seq, n - 2 AS n, ret, last, mean, 0.0::DOUBLE AS none FROM e WHERE n > 2
+    ), a AS (SELECT *, count(*) OVER w AS c, avg(abs(ret - last)) OVER w AS a, avg(abs(ret - mean)) OVER w AS b, avg(abs(ret)) OVER w AS d FROM f WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)
+    ), x AS (SELECT *, n > 50 AS learned, 1 / a / (1 / a + 1 / b + 1 / d) AS wa, 1 / b / (1 / a + 1 / b + 1 / d) AS wb, 1 / d / (1 / a + 1 / b + 1 / d) AS wd FROM a
+    ), s AS (
+      SELECT symbol, seq, n, last, mean, learned, 1 / 3::DOUBLE AS u, 1 / 3::DOUBLE AS v, 1 / 3::DOUBLE AS z FROM x WHERE n = 1
+      UNION ALL
+      SELECT x.symbol, x.seq, x.n, x.last, x.mean, x.learned, CASE WHEN x.learned THEN 0.98::DOUBLE * u + (1 - 0.98::DOUBLE) * wa ELSE u END, CASE WHEN x.learned THEN 0.98::DOUBLE * v + (1 - 0.98::DOUBLE) * wb ELSE v END, CASE WHEN x.learned THEN 0.98::DOUBLE * z + (1 - 0.98::DOUBLE) * wd ELSE z END FROM s JOIN x ON x.symbol = s.symbol AND x.n = s.n + 1)
+    SELECT symbol, seq, {r("u", "w_last")}, {r("v", "w_mean")}, {r("z", "w_none")}, {r("CASE WHEN learned THEN (u * last + v * mean) / (u + v + z) ELSE (last + mean) / 3 END", "blend")}, {r("sqrt(((last - (last + mean) / 3) ** 2 + (mean - (last + mean) / 3) ** 2 + ((last + mean) / 3) ** 2) / 3)", "disagreement")} FROM s"""
+)
+def blended_forecasts(spark, sf_dir):
+    """Three naive forecasts of the next return, the last one, the mean of 20 and none at all, weighed by their errors."""
+    d = rolling(ticks(spark, sf_dir), 23, lambda d, keys: naive_forecasts(d, keys)).where("n > 2").drop("n").withColumn("none", F.lit(0.0))
+    cols = ("w_last", "w_mean", "w_none", "blend", "disagreement")
+    return rounded(blended(d, ("last", "mean", "none"), "ret"), *cols).select("symbol", "seq", *cols)
+
+
 DAYS = f"{TR}, dd AS (SELECT CAST(ts AS DATE) AS day, sum(pnl) AS pnl FROM trades GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY day) AS i, pnl FROM dd)"
 
 
