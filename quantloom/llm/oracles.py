@@ -91,12 +91,14 @@ WITH cut AS (
 ), domains2 AS (
   SELECT domain, m, CASE WHEN n = 0 THEN given WHEN c >= 2 AND between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1.0::DOUBLE), 200.0::DOUBLE) ELSE 200.0::DOUBLE END AS k
   FROM domains1 LEFT JOIN spread_d USING (domain)
-), posterior AS (SELECT host, s + k * m AS a, n + k - (s + k * m) AS b FROM hosts JOIN domains2 USING (domain)
-), grid AS (
-  SELECT host, x, (a - 1) * ln(x) + (b - 1) * ln(1 - x) AS l FROM posterior, (SELECT (i + 0.5::DOUBLE) / 1000::DOUBLE AS x FROM range(1000) t(i))
-), tops AS (SELECT host, max(l) AS top FROM grid GROUP BY 1
-), known AS (
-  SELECT host, sum(exp(l - top)) FILTER (x > 0.4::DOUBLE) / sum(exp(l - top)) AS probability FROM grid JOIN tops USING (host) GROUP BY 1
+), posterior AS (SELECT host, s + k * m AS a, n + k - (s + k * m) AS b, 1.5::DOUBLE * (SELECT m FROM overall) AS c FROM hosts JOIN domains2 USING (domain)
+), sided AS (
+  SELECT host, c <= (a + 1) / (a + b + 2) AS upper, CASE WHEN c <= (a + 1) / (a + b + 2) THEN a ELSE b END AS p, CASE WHEN c <= (a + 1) / (a + b + 2) THEN b ELSE a END AS q, CASE WHEN c <= (a + 1) / (a + b + 2) THEN c ELSE 1 - c END AS x FROM posterior WHERE c < 1
+), fraction AS (
+  SELECT *, list_reduce(list_concat([1.0::DOUBLE], list_transform(range(1200, 0, -1), lambda j: j::DOUBLE)), lambda k, j: 1 + CASE WHEN j % 2 = 0 THEN (j / 2) * (q - j / 2) * x / ((p + j - 1) * (p + j))
+    ELSE -(p + (j - 1) / 2) * (p + q + (j - 1) / 2) * x / ((p + j - 1) * (p + j)) END / k) AS k FROM sided
+), parts_ AS (SELECT host, upper, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(x) + q * ln(1 - x)) / p / k AS part FROM fraction
+), known AS (SELECT host, CASE WHEN upper THEN 1 - part ELSE part END AS probability FROM parts_
 ), rules(action, rule_host, rule_path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), best AS (

@@ -18,7 +18,7 @@ from quantloom.llm.packing import pack
 from quantloom.llm.quality import gumbel, importance_resample, kth_largest, margin
 from quantloom.llm.registry import QUERIES, page_outcomes
 from quantloom.llm.sharding import shard_of, shuffled_shards, write_shards
-from quantloom.llm.url_filter import domain_and_suffix, judge_urls, probability_above, reputations
+from quantloom.llm.url_filter import domain_and_suffix, beta_tail, judge_urls, probability_above, reputations
 
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu") for b in ("la", "me", "ni", "ro", "su", "ta")]
 
@@ -307,7 +307,7 @@ def test_shrinkage_goes_from_host_to_domain(spark):
 
 
 def test_hosts_without_labels_are_judged_by_their_prior(spark):
-    outcomes = [(f"h{i % 4}.bad.net", 1) for i in range(40)] + [(f"h{i % 4}.good.net", 0) for i in range(40)] + [(f"h{i}.d{i}.xyz", 1) for i in range(20)]
+    outcomes = [(f"h{i % 4}.bad.net", 1) for i in range(40)] + [(f"h{i % 4}.good.net", 0) for i in range(40)] + [(f"h{i}.d{i}.xyz", 1) for i in range(20)] + [("ok.gov", 0)] * 400
     outcomes = spark.createDataFrame(outcomes, "host string, bad int")
     urls = ["http://new.bad.net/a", "http://new.good.net/a", "http://new.net/a", "http://new.d.xyz/a", "http://new.museum/a", "http:///a", None]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -315,7 +315,7 @@ def test_hosts_without_labels_are_judged_by_their_prior(spark):
     assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "allow", "block", "allow", "allow", "allow"]
     known = {r.host: r for r in reputations(outcomes).collect()}
     assert got[0].bad_mean > 0.9 and got[1].bad_mean < 0.1 and abs(got[0].bad_mean - known["h0.bad.net"].mean) < 0.05
-    assert abs(got[4].bad_mean - 61 / 102) < 1e-9
+    assert abs(got[4].bad_mean - 61 / 502) < 1e-9
     assert got[5].bad_mean is None and got[6].bad_mean is None
     empty = judge_urls(pages.limit(0), outcomes)
     assert empty.count() == 0 and "verdict" in empty.columns
@@ -323,11 +323,48 @@ def test_hosts_without_labels_are_judged_by_their_prior(spark):
 
 def test_posterior_probability_is_that_of_the_beta_distribution(spark):
     draws = np.random.default_rng(4)
-    for a, b in ((0.6, 3.0), (2.5, 2.5), (40.0, 60.0), (900.0, 1100.0)):
-        got = spark.range(1).select(probability_above(F.lit(a), F.lit(b), 0.4).alias("p")).first().p
-        assert abs(got - (draws.beta(a, b, 400_000) > 0.4).mean()) < 0.004
+    for a, b in ((0.6, 3.0), (2.5, 2.5), (40.0, 60.0), (900.0, 1100.0), (0.97, 0.03), (0.9, 0.1), (0.1, 0.9), (400_100.0, 600_000.0), (0.02, 200.0)):
+        got = spark.range(1).select(probability_above(F.lit(a), F.lit(b), F.lit(0.4)).alias("p")).first().p
+        assert abs(got - (draws.beta(a, b, 400_000) > 0.4).mean()) < 0.004, (a, b)
+    assert beta_tail(1, 1, 0.3) == pytest.approx(0.7) and beta_tail(2, 1, 0.3) == pytest.approx(0.91) and beta_tail(3, 4, 0.0) == 1.0 and beta_tail(3, 4, 1.0) == 0.0
+    assert beta_tail(0.97, 0.03, 0.4) == pytest.approx(0.984, abs=1e-3) and beta_tail(0.1, 0.9, 0.4) == pytest.approx(0.099, abs=1e-3)
 
 
+def test_planted_bad_hosts_are_blocked_as_in_sql(spark, tmp_path):
+    """Hosts and domains of bad pages among good ones, some without labels: the query and its twin block the same pages."""
+    import duckdb
+
+    from quantloom.llm.oracles import OP9
+
+    r = random.Random(6)
+    pages, labels = [], []
+    sites = [(f"good{i}.net", 0.1) for i in range(12)] + [("a.spam.net", 0.9), ("b.spam.net", 0.95), ("shop.mixed.info", 0.5), ("x.mixed.info", 0.1), ("one.biz", 1.0)]
+    for host, bad in sites:
+        for _ in range({"one.biz": 2}.get(host, 40)):
+            n = len(pages)
+            pages.append((n, f"http://{host}/en/{n}", None))
+            if r.random() < 0.7:
+                labels.append((n, int(r.random() >= bad), 0))
+    pages += [(10_000, "http://new.spam.net/en/99999999", None), (10_001, "http://new.good0.net/en/x", None), (10_002, "http://other.net/", None), (10_003, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in QUERIES["op9_url_reputation"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    twin = {row[0]: row[1:] for row in con.execute(OP9).fetchall()}
+    assert {k: (v.host, v.path, v.rule, v.verdict) for k, v in got.items()} == twin
+    blocked = {v.host for v in got.values() if v.verdict == "block"}
+    assert {"a.spam.net", "b.spam.net", "new.spam.net"} <= blocked and not any("good" in h or h == "other.net" for h in blocked)
+
+
+def test_listed_suffixes_decide_the_domain(spark):
+    outcomes = spark.createDataFrame([(f"bad.pages.io", 1)] * 30 + [(f"h{i}.pages.io", 0) for i in range(30)] + [("u:1@bad.pages.io:80", 1)], "host string, bad int")
+    plain = {r.host: r.mean for r in reputations(outcomes).collect()}
+    hosts = spark.createDataFrame([("x.bad.pages.io",), ("new.pages.io",), ("pages.io",)], "host string")
+    listed = {r.host: r.mean for r in reputations(outcomes, hosts=hosts, suffixes=spark.createDataFrame([("io",), ("pages.io",), ("pages.io",)], "suffix string")).collect()}
+    assert listed["x.bad.pages.io"] > 0.8 and 0.2 < listed["new.pages.io"] < 0.8 and set(plain) < set(listed)
+
 def test_domains_and_suffixes(spark):
     hosts = {"a.b.com": ("b.com", "com"), "u:p@x.y.co.kr:8080": ("y.co.kr", "co.kr"), "gov.uk": ("gov.uk", "gov.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "a.de": ("a.de", "de")}
     d = spark.createDataFrame([(h,) for h in hosts], "host string")
