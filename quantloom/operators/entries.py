@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
 from .scans import scan
 from .windows import SYMBOL, ordered, so_far
 
@@ -106,22 +108,53 @@ def stop_reason(ret: Column, stop: Column, notional: Column, hard: float = 2.0,
     return F.when(money & (ret > -stop), "MONEY_STOP").when((ret <= -stop) & (ret > -stop * hard), "TICK_STOP").when((ret <= -stop) | money, "HARD_STOP")
 
 
-def tick_stops(entries: DataFrame, marks: DataFrame, hold: int, hard: float = 2.0, least_money: float = 5.0) -> DataFrame:
+STOPS = "symbol string, k long, side string, stop_k long, reason string, mae double, mfe double"
+
+
+def tick_stops(entries: DataFrame, marks: DataFrame, hold: int, hard: float = 2.0, least_money: float = 5.0, tile_rows: int = 10_000) -> DataFrame:
     """First stop of each entry within ``hold`` rows, with its worst and best return until then: (symbol, k, side, stop_k, reason, mae, mfe).
 
-    ``entries(symbol, k, price, side, qty, stop)`` and ``marks(symbol, k, price)`` number the rows of a symbol. Each
-    mark is told the entries of the rows before it by equality of blocks of ``hold`` rows.
+    ``entries(symbol, k, price, side, qty, stop)`` and ``marks(symbol, k, price)`` number the rows of a symbol. The
+    entries of a tile of numbers meet its marks and the ``hold`` marks after it, so no entry is sent more than once.
+    The rules are those of ``stop_reason``.
     """
-    e = entries.select("symbol", F.col("k").alias("entry_k"), F.col("price").alias("entry"), "side", "qty", "stop")
-    e = e.withColumn("block", F.explode(F.array(F.floor(F.col("entry_k") / hold), F.floor(F.col("entry_k") / hold) + 1)))
-    path = e.join(marks.select("symbol", "k", F.col("price").alias("now"), F.floor(F.col("k") / hold).alias("block")), ["symbol", "block"])
-    path = path.where((F.col("k") > F.col("entry_k")) & (F.col("k") <= F.col("entry_k") + hold))
-    ret = F.when(F.col("side") == "BUY", F.col("now") / F.col("entry") - 1).otherwise(1 - F.col("now") / F.col("entry"))
-    path = path.withColumn("ret", ret).withColumn("reason", stop_reason(F.col("ret"), F.col("stop"), F.col("entry") * F.abs("qty"), hard, least_money))
-    w = Window.partitionBy("symbol", "entry_k").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumns({"mae": F.least(F.lit(0.0), F.min("ret").over(w)), "mfe": F.greatest(F.lit(0.0), F.max("ret").over(w))})
-    stopped = path.where("reason IS NOT NULL").groupBy("symbol", "entry_k", "side").agg(F.min(F.struct("k", "reason", "mae", "mfe")).alias("x"))
-    return stopped.select("symbol", F.col("entry_k").alias("k"), "side", F.col("x.k").alias("stop_k"), "x.reason", "x.mae", "x.mfe")
+    ship_package(marks.sparkSession)
+    tile = F.floor((F.col("k") - 1) / tile_rows)
+    earlier = [F.when((F.col("k") <= (tile + 1 - d) * tile_rows + hold) & (tile >= d), tile - d) for d in range(1, -(-hold // tile_rows) + 1)]
+    m = marks.select("symbol", "k", F.col("price").cast("double").alias("price"), F.explode(F.array_compact(F.array(tile, *earlier))).alias("tile"))
+    e = entries.select(F.col("symbol").alias("symbol"), F.col("k").alias("k"), F.col("price").cast("double").alias("price"), "side", F.col("qty").cast("double").alias("qty"), F.col("stop").cast("double").alias("stop"), tile.alias("tile"))
+    names = [c.split()[0] for c in STOPS.split(", ")]
+
+    def run(entered: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        seen = seen.sort_values("k", kind="stable")
+        numbers, out = seen["k"].to_numpy(np.int64), []
+        ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([seen["price"].to_numpy(float), np.full(hold, np.nan)]), hold)
+        number = np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, np.full(hold, np.iinfo(np.int64).max)]), hold)
+        for low in range(0, len(entered), 2000):
+            part = entered.iloc[low : low + 2000]
+            at = np.searchsorted(numbers, part["k"].to_numpy(np.int64), side="right")
+            price, stop, qty = (part[c].to_numpy(float)[:, None] for c in ("price", "stop", "qty"))
+            near = number[at] <= part["k"].to_numpy(np.int64)[:, None] + hold
+            path = np.where(near, ahead[at], np.nan)
+            buy = (part["side"] == "BUY").to_numpy()[:, None]
+            with np.errstate(all="ignore"):
+                ret = np.where(buy, path / price - 1, 1 - path / price)
+                notional = price * np.abs(qty)
+                money = (ret < 0) & (np.abs(ret) * notional >= np.maximum(least_money, notional * stop * hard))
+                hit = money | (ret <= -stop)
+            found = np.flatnonzero(hit.any(axis=1))
+            if not len(found):
+                continue
+            first = hit[found].argmax(axis=1)
+            here, limit = ret[found, first], stop[found, 0]
+            reason = np.where(money[found, first] & (here > -limit), "MONEY_STOP", np.where((here <= -limit) & (here > -limit * hard), "TICK_STOP", "HARD_STOP"))
+            went = np.where(np.arange(hold)[None, :] <= first[:, None], ret[found], np.nan)
+            columns = (part["symbol"].to_numpy()[found], part["k"].to_numpy()[found], part["side"].to_numpy()[found], number[at][found, first], reason, np.minimum(0.0, np.nanmin(went, axis=1)), np.maximum(0.0, np.nanmax(went, axis=1)))
+            out.append([np.asarray(c, object) for c in columns])
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))) if out else {c: np.empty(0, object) for c in names}, dtype=object)
+
+    schema = STOPS.replace("symbol string", f"symbol {marks.schema['symbol'].dataType.simpleString()}", 1)
+    return e.groupBy("symbol", "tile").cogroup(m.groupBy("symbol", "tile")).applyInPandas(run, schema)
 
 
 def entry_order(held: Column, action: Column, size: Column, calibrated: Column, live: Column) -> Column:

@@ -18,7 +18,7 @@ from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
 from .performance_queries import CURVE
-from .tick_queries import O, OFI, RET, last
+from .tick_queries import O, OFI, RET, lagged_returns, last
 
 T = with_views("ticks")
 
@@ -130,7 +130,7 @@ def online_predictions(spark, sf_dir):
 
 @query()
 def garch_volatility(spark, sf_dir):
-    return rounded(S.garch_sigma(W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL")), "sigma")
+    return rounded(S.garch_sigma(lagged_returns(spark, sf_dir).where("ret IS NOT NULL")), "sigma")
 
 
 @query(
@@ -189,9 +189,9 @@ def regime_dwell(spark, sf_dir):
 )
 def signal_weights(spark, sf_dir):
     """A reversal and a momentum signal weighed by their accuracy."""
-    t = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL")
+    t = lagged_returns(spark, sf_dir).where("ret IS NOT NULL")
     t = t.withColumn("a", F.when(F.col("ret") > 0, -0.5).otherwise(0.5)).withColumn("b", F.when(F.col("seq") % 3 == 0, 0.0).otherwise(F.coalesce(F.signum("ret"), F.lit(0.0)) * 0.4))
-    return rounded(rounded(X.signal_weights(t, ("a", "b")), "w_a", "w_b"), "direction", digits=9).select("symbol", "seq", "w_a", "w_b", "direction")
+    return rounded(rounded(rolling(t, 100, lambda d, keys: X.signal_weights(d, ("a", "b"), keys=keys)), "w_a", "w_b"), "direction", digits=9).select("symbol", "seq", "w_a", "w_b", "direction")
 
 
 @query(
@@ -275,8 +275,12 @@ def compliance_reasons(spark, sf_dir):
 )
 def position_sizes(spark, sf_dir):
     """Risked quantity of an account of 100000 at a price of 50, from rolling win rate and volatility."""
-    w = W.last(150)
-    t = W.log_returns(ticks(spark, sf_dir)).withColumns({"v": F.stddev_samp("ret").over(w), "wr": F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)).over(w), "n": F.row_number().over(W.ordered())})
+
+    def features(d, keys):
+        w = W.last(150, keys)
+        return W.log_returns(d, keys).withColumns({"v": F.stddev_samp("ret").over(w), "wr": F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)).over(w)})
+
+    t = rolling(ticks(spark, sf_dir), 151, features)
     stop = F.greatest(F.lit(0.001), F.col("v") * 0.6 * 0.8)
     size = D.position_size(F.lit(100_000.0), F.lit(50.0), stop, F.col("wr"), F.lit(1.5), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
     return rounded(t.where("n > 150").select("symbol", "seq", D.kelly(F.col("wr"), F.lit(1.5)).alias("kelly"), size.alias("size")), "kelly", "size")

@@ -20,7 +20,7 @@ from .common import ORACLE_SQL, query, r, rounded
 from .density_queries import densities
 from .model_queries import book_events
 from .performance_queries import _daily
-from .tick_queries import RET, O, before, last
+from .tick_queries import RET, O, before, lagged_returns, last
 
 T, TR, FL = with_views("ticks"), with_views("trades"), with_views("fills")
 U = f"({O} ROWS UNBOUNDED PRECEDING)"
@@ -63,7 +63,7 @@ def rolling_sharpe(spark, sf_dir):
 )
 def regime_labels(spark, sf_dir):
     """Words for each regime from its newest return and its deviation."""
-    t = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
+    t = lagged_returns(spark, sf_dir).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
     g = t.groupBy("symbol", "regime_id").agg(F.max_by("ret", F.struct("ts", "seq")).alias("mu"), F.stddev_samp("ret").alias("sigma"))
     return g.select("symbol", "regime_id", M.regime_label(F.col("mu"), F.col("sigma"), F.lit(0.0)).alias("label"))
 

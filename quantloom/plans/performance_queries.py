@@ -10,6 +10,7 @@ from ..operators import performance as P
 from ..operators import windows as W
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
+from .tick_queries import lagged_returns
 
 TR, TK = with_views("trades"), with_views("ticks")
 ORDER = "PARTITION BY symbol ORDER BY ts, order_id, line, pnl"
@@ -72,7 +73,7 @@ RETS = f"{TK}, v AS (SELECT symbol, seq, seq % 4 AS regime_id, ln(price / lag(pr
 
 
 def _returns(spark, sf_dir):
-    return W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
+    return lagged_returns(spark, sf_dir).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
 
 
 @query(

@@ -245,6 +245,6 @@ def left_tail(spark, sf_dir):
 )
 def run_health(spark, sf_dir):
     """Volumes taken as latencies and every twentieth row as an error, over the last 1000."""
-    out = R.health(ticks(spark, sf_dir), "volume", F.col("seq") % 20 == 0, 60.0, 0.05)
+    out = rolling(ticks(spark, sf_dir), 999, lambda d, keys: R.health(d, "volume", F.col("seq") % 20 == 0, 60.0, 0.05, keys=keys))
     out = out.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("healthy"), 1)).alias("healthy"), F.max("mean_latency").alias("most_latency"), F.max("error_rate").alias("most_errors"))
     return rounded(out, "most_latency", "most_errors")

@@ -16,7 +16,7 @@ from ..operators.unit_roots import stationarity_tests
 from ..sources.views import fills, order_log, table, ticks, trades, with_views
 from .common import query, r, rounded
 from .performance_queries import CURVE
-from .tick_queries import OFI, RET, O, before, last
+from .tick_queries import OFI, RET, O, before, lagged_returns, last
 
 T, TR, FL = with_views("ticks"), with_views("trades"), with_views("fills")
 
@@ -75,7 +75,7 @@ PAIRS = f"""{RET}, p AS (SELECT symbol, seq, ts, -ret / 4 AS prediction FROM ret
 
 def _pairs(spark, sf_dir):
     """Predictions from each return and outcomes that begin later, so that they pair first in, first out."""
-    d = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL")
+    d = lagged_returns(spark, sf_dir).where("ret IS NOT NULL")
     predictions = d.select("symbol", "ts", "seq", (-F.col("ret") / 4).alias("prediction"))
     return R.paired(predictions, d.where("seq > 50").select("symbol", "ts", "seq", F.col("ret").alias("actual")), ("symbol",))
 
@@ -189,7 +189,7 @@ def cost_elasticity(spark, sf_dir):
 )
 def stationarity(spark, sf_dir):
     """Whether each regime's returns keep their mean and variance from one half to the other."""
-    d = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
+    d = lagged_returns(spark, sf_dir).where("ret IS NOT NULL").withColumn("regime_id", F.col("seq") % 4)
     by = Window.partitionBy("symbol", "regime_id").orderBy("ts", "seq")
     out = R.stationarity(d.select("symbol", "regime_id", F.col("ret").alias("x"), F.row_number().over(by).alias("k")), ("symbol", "regime_id"))
     return rounded(out, "variance_ratio", "mean_z")
@@ -383,7 +383,7 @@ def pending_orders(spark, sf_dir):
 )
 def rank_sum_test(spark, sf_dir):
     """Whether returns on heavy volume rank unlike the others."""
-    d = W.log_returns(ticks(spark, sf_dir)).where("ret IS NOT NULL").withColumn("heavy", F.col("volume") > 50)
+    d = lagged_returns(spark, sf_dir).where("ret IS NOT NULL").withColumn("heavy", F.col("volume") > 50)
     return rounded(rounded(rank_sum(d, "ret", "heavy", ("symbol",)).drop("method"), "u", digits=1), "p")
 
 

@@ -41,9 +41,14 @@ def tick_count(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+def lagged_returns(spark, sf_dir):
+    """Ticks with their log returns, tile by tile."""
+    return rolling(ticks(spark, sf_dir), 1, lambda d, keys: W.log_returns(d, keys)).drop("n")
+
+
 @query(f"{RET} SELECT symbol, seq, {r('ret', 'ret', 9)} FROM rets")
 def log_returns(spark, sf_dir):
-    return rounded(W.log_returns(ticks(spark, sf_dir)), "ret", digits=9).select("symbol", "seq", "ret")
+    return rounded(lagged_returns(spark, sf_dir), "ret", digits=9).select("symbol", "seq", "ret")
 
 
 @query(

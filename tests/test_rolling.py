@@ -115,6 +115,18 @@ def test_quotes_and_books_as_of_do_not_depend_on_tiles(spark, sf_small):
     assert one == two
 
 
+def test_written_tables_can_be_cleaned_up(spark):
+    from pathlib import Path
+
+    from quantloom import cluster
+
+    cluster.cleanup(spark)
+    d = cluster.materialize(spark.range(5), "once")
+    path = Path(d.inputFiles()[0].removeprefix("file://")).parent
+    assert d.count() == 5 and path.exists()
+    assert cluster.cleanup(spark) == 1 and not path.exists() and cluster.cleanup(spark) == 0
+
+
 def test_carried_values_of_a_hot_symbol_are_many_tasks(spark):
     hot = spark.range(4000).select(F.lit("x").alias("symbol"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.when(F.col("id") % 700 == 0, F.col("id") * 1.0).alias("bid"))
     out = last_known(tiled(hot, 100), {"b": F.col("bid")}).withColumn("task", F.spark_partition_id())
