@@ -49,3 +49,24 @@ def test_empty_table(spark):
 
 def test_tables_follow_the_number_of_vectors():
     assert tables_for(10**6, 0.95)[0] > tables_for(10**4, 0.95)[0]
+
+
+def test_recall_of_pairs_planted_at_the_threshold(spark):
+    """Among 3000 vectors, 300 pairs with a cosine between 0.9501 and 0.952 and as many just below: every link and no other."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(600):
+        cosine = r.uniform(0.9501, 0.952) if i < 300 else r.uniform(0.945, 0.9499)
+        side = r.standard_normal(48)
+        side -= side @ x[i] * x[i]
+        x[1000 + i] = cosine * x[i] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    np.fill_diagonal(cosines, 0.0)
+    expected = (cosines >= 0.95).sum(axis=1)
+    assert expected.sum() >= 600
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {f.vec_id: f.n_links for f in embedding_near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(3000)])
+    assert (found <= expected).all() and found.sum() >= 0.99 * expected.sum()
