@@ -135,8 +135,10 @@ def overfit_share(report: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def top_features(rows: DataFrame, cols: tuple[str, ...], target: str, by: tuple[str, ...], k: int = 5) -> DataFrame:
-    """(by, rank, feature, weight): the k features that weigh most on ``target`` by size, each weight being its correlation; ties by name."""
-    g = rows.groupBy(*by).agg(*(F.corr(c, target).alias(c) for c in cols))
+    """(by, rank, feature, weight): the k features that weigh most on ``target`` by size, each weight being its correlation, 0 without spread; ties by name."""
+    known = rows.where(F.col(target).isNotNull())
+    y = lambda c: F.stddev_pop(F.when(F.col(c).isNotNull(), F.col(target)))
+    g = known.groupBy(*by).agg(*(F.try_divide(F.covar_pop(c, target), F.stddev_pop(c) * y(c)).alias(c) for c in cols))
     long = g.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias("weight")) for c in cols))))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs("weight")), "feature"))
     return long.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -106,7 +106,7 @@ WEIGHED = ("mu", "sigma", "skew", "kurt", "ofi_z", "mom_50", "mom_200", "mean_re
 
 
 @query(
-    f"""WITH f AS ({ORACLE_SQL["feature_table"]}), {T[5:]}, n AS (SELECT symbol, seq, lead(price) OVER ({O}) - price AS target FROM ticks), g AS (SELECT symbol, {", ".join(f"corr({c}, target) AS {c}" for c in WEIGHED)} FROM f JOIN n USING (symbol, seq) GROUP BY 1
+    f"""WITH f AS ({ORACLE_SQL["feature_table"]}), {T[5:]}, n AS (SELECT symbol, seq, lead(price) OVER ({O}) - price AS target FROM ticks), g AS (SELECT symbol, {", ".join(f"coalesce(CASE WHEN isnan(corr({c}, target)) THEN 0 ELSE corr({c}, target) END, 0) AS {c}" for c in WEIGHED)} FROM f JOIN n USING (symbol, seq) GROUP BY 1
     ), l AS (UNPIVOT g ON {", ".join(WEIGHED)} INTO NAME feature VALUE weight), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(weight), 9) DESC, feature) AS rank FROM l)
     SELECT symbol, CAST(rank AS INTEGER) AS rank, feature, {r("weight", "weight", 5)} FROM k WHERE rank <= 5"""
 )
