@@ -15,7 +15,10 @@ from .dac import Segment, encode
 from .ranges import boundaries, range_count
 from .words import Memo, cut
 
-SEGMENT = "bucket int, segment int, n_ids long, doc_ids array<long>, starts array<long>, data binary"
+SEGMENT = "bucket int, segment int, inside long, n_ids long, doc_ids array<long>, starts array<long>, data binary"
+
+
+MOST_RANGES = 1_000_000  # whose totals are broadcast; more are joined
 
 
 class LibraryTokenizer:
@@ -134,17 +137,17 @@ def write_tokens(
 
     def pack(batches):
         held: dict = {"docs": [], "starts": [], "ids": []}
-        state = {"bucket": None, "segment": 0, "n": 0}
+        state = {"bucket": None, "segment": 0, "inside": 0, "n": 0}
 
         def flush():
             if not held["docs"]:
                 return None
-            row = [state["bucket"], state["segment"], state["n"], held["docs"][:], held["starts"][:], encode(np.concatenate(held["ids"]), chunk_bits)]
+            row = [state["bucket"], state["segment"], state["inside"], state["n"], held["docs"][:], held["starts"][:], encode(np.concatenate(held["ids"]), chunk_bits)]
             for part in held.values():
                 part.clear()
-            state["segment"], state["n"] = state["segment"] + 1, 0
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["bucket", "segment", "n_ids", "doc_ids", "starts", "data"])
+            state["segment"], state["inside"], state["n"] = state["segment"] + 1, state["inside"] + state["n"], 0
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["bucket", "segment", "inside", "n_ids", "doc_ids", "starts", "data"])
 
         for batch in batches:
             for bucket, doc_id, width, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "width", "ids"))):
@@ -152,7 +155,7 @@ def write_tokens(
                     if out := flush():
                         yield out
                     if bucket != state["bucket"]:
-                        state |= {"bucket": bucket, "segment": 0}
+                        state |= {"bucket": bucket, "segment": 0, "inside": 0}
                 ids = np.frombuffer(data, f"<u{width}")
                 held["docs"].append(doc_id)
                 held["starts"].append(state["n"])
@@ -172,18 +175,15 @@ def write_tokens(
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The written segments with ``first``, the number of ids in all segments before each.
 
-    Two sums: over the buckets' totals, as many as the writer had ranges, then within each bucket.
+    The writer knows how many of a bucket's ids stand before a segment; the buckets' totals, a row for each range of
+    the writer (``range_bytes`` of text), are summed up and sent to the segments, which stay where they are.
     """
     stored = spark.read.schema(SEGMENT).parquet(path)
-    sizes = stored.select("bucket", "segment", "n_ids")
-    totals = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("total"))
+    totals = stored.groupBy("bucket").agg(F.sum("n_ids").alias("total"))
     before = F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("bucket_first"))
-    inside = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    places = sizes.withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, "bucket")
-    # written, so that the planner knows its size and sends it to the segments if it is small enough
-    places = materialize(places.select("bucket", "segment", (F.col("bucket_first") + F.col("inside")).alias("first")), "places")
-    return stored.join(places, ["bucket", "segment"])
+    totals = materialize(totals.select("bucket", F.coalesce(before, F.lit(0)).alias("bucket_first")), "bucket-totals")
+    joined = stored.join(F.broadcast(totals) if totals.count() <= MOST_RANGES else totals, "bucket")
+    return joined.withColumn("first", F.col("bucket_first") + F.col("inside")).drop("bucket_first", "inside")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
