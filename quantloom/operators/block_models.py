@@ -24,7 +24,7 @@ def ridge_by_block(rows: DataFrame, cols: tuple[str, ...], target: str, by: tupl
     """
     ship_package(rows.sparkSession)
     d = numbered(rows.withColumn("__series", F.concat_ws("\x1f", *(F.col(c).cast("string") for c in by))), "__series", order)
-    d = d.withColumn("tile", F.floor((F.col("n") - 1) / block))
+    d = materialize(d.withColumn("tile", F.floor((F.col("n") - 1) / block)), "ridge-rows")  # read twice
     size = len(cols) + 2
 
     def design(part: pd.DataFrame) -> np.ndarray:
@@ -109,7 +109,7 @@ def regimes_by_block(rows: DataFrame, cols: tuple[str, ...], states: int = 4, bl
     its probability is below ``sure`` or no model is fitted yet (confidence and entropy are 0 there). Null features count as 0.
     """
     ship_package(rows.sparkSession)
-    d = numbered(rows, key, order).withColumn("tile", F.floor((F.col("n") - 1) / block))
+    d = materialize(numbered(rows, key, order).withColumn("tile", F.floor((F.col("n") - 1) / block)), "regime-rows")  # read three times
     kind = rows.schema[key].dataType.simpleString()
     width = len(cols)
     ahead = F.sequence(F.col("tile") + 1, F.floor((F.col("n") - 1 + keep) / block))

@@ -118,7 +118,7 @@ def boosted_predictions(rows: DataFrame, cols: tuple[str, ...], target: str, ord
     Null features count as 0; rows with a null target are predicted but not learned.
     """
     ship_package(rows.sparkSession)
-    d = numbered(rows, key, order)
+    d = materialize(numbered(rows, key, order), "boosted-rows")  # read by the fits, the blocks and the predictions
     fits = materialize(fitted_blocks(d, cols, target, block=block, depth=depth, key=key, **fitting), "fits")
     upto = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     model = F.struct("block", "base", "columns", "cuts", "values")
@@ -193,7 +193,7 @@ def blended(rows: DataFrame, models: tuple[str, ...], target: str, least: int =
         sums = {f"__s_{m}": F.col(f"__e_{m}") for m in models} | {f"__c_{m}": F.when(F.col(f"__e_{m}").isNotNull(), 1.0) for m in models}
         return sliding_sums(d, sums, newest, keys, newest=1).drop(*(f"__e_{m}" for m in models))
 
-    d = rolling(rows, newest + 1, aims, tile_rows, key, keep_tile=True)
+    d = materialize(rolling(rows, newest + 1, aims, tile_rows, key, keep_tile=True), "blend-rows")  # read twice
     inverse = {m: F.when(F.col(f"__c_{m}") >= 10, 1 / F.greatest(F.col(f"__s_{m}") / F.col(f"__c_{m}"), F.lit(1e-10))).otherwise(1.0) for m in models}
     total = sum(inverse.values(), F.lit(0.0))
     learned = F.col("n") - 1 >= least

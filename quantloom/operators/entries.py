@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship_package
 from .scans import scan
-from .windows import SYMBOL, ordered, so_far
+from .tiles import rolling
+from .windows import SYMBOL, last, ordered, so_far
 
 TRADE_ORDER = ("ts", "order_id", "line", "pnl")
 
@@ -81,23 +82,19 @@ def confirmed(df: DataFrame, signal: str, windows: int, regime: str = "regime_id
     return df.withColumn("confirmed_at", F.when(F.col("outcome") == "CONFIRMED", F.col("__n") + windows)).drop("__n")
 
 
-def edge_decay(df: DataFrame, stable: float, ticks: int = 2, keys=SYMBOL) -> DataFrame:
+def edge_decay(df: DataFrame, stable: float, ticks: int = 2, tile_rows: int = 10_000) -> DataFrame:
     """``decay``: why the edge of an open ``side`` is gone, or null: the divergence collapsed, the move against it speeds up
     again, or the entropy has risen for ``ticks`` rows.
 
     Rows have divergence, velocity, acceleration and entropy_velocity. The entropy's streak counts only rows that no
-    rule before it ends.
+    rule before it ends, so ``ticks`` of these in a row decide, tile by tile of their own.
     """
-    w = ordered(keys)
     against = F.when(F.col("side") == "BUY", (F.col("velocity") < 0) & (F.col("acceleration") < 0)).otherwise((F.col("velocity") > 0) & (F.col("acceleration") > 0))
-    df = df.withColumn("__first", F.when(F.col("divergence") < stable, "COLLAPSED").when(against, "REACCELERATED"))
-    judged = df.where("__first IS NULL").withColumn("__calm", F.when(F.col("entropy_velocity") > 0, 0).otherwise(1))
-    judged = judged.withColumn("__run", F.sum("__calm").over(so_far(keys)))
-    island = Window.partitionBy(*keys, "__run").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    judged = judged.withColumn("__streak", F.sum(1 - F.col("__calm")).over(island))
-    judged = judged.withColumn("decay", F.when(F.col("__streak") >= ticks, "ENTROPY_RISES")).drop("__calm", "__run", "__streak", "__first")
-    ended = df.where("__first IS NOT NULL").withColumnRenamed("__first", "decay")
-    return judged.unionByName(ended)
+    df = df.withColumn("decay", F.when(F.col("divergence") < stable, "COLLAPSED").when(against, "REACCELERATED"))
+    rising = F.when(F.col("entropy_velocity") > 0, 1).otherwise(0)
+    risen = lambda d, keys: d.withColumn("decay", F.when(F.sum(rising).over(last(ticks, keys)) == ticks, "ENTROPY_RISES"))
+    judged = rolling(df.where("decay IS NULL"), ticks - 1, risen, tile_rows).drop("n")
+    return judged.unionByName(df.where("decay IS NOT NULL"))
 
 
 def stop_reason(ret: Column, stop: Column, notional: Column, hard: float = 2.0, least_money: float = 5.0) -> Column:

@@ -405,20 +405,27 @@ def stencil(df: DataFrame, col: str = "price", keys=SYMBOL) -> DataFrame:
     )
 
 
-def sixty_seconds(df: DataFrame, seconds: int = 60, least: int = 30, keys=SYMBOL) -> DataFrame:
-    """``vol_60, drift_60, intensity_60`` of the returns of the last minute by time; null with fewer than ``least``."""
-    at = F.col("ts").cast("timestamp").cast("double")
+def sixty_seconds(df: DataFrame, seconds: int = 60, least: int = 30, tile_windows: int = 20, key: str = "symbol") -> DataFrame:
+    """``vol_60, drift_60, intensity_60`` of the returns of the last minute by time; null with fewer than ``least``.
+
+    Tiles are stretches of ``tile_windows`` windows of time that bring the rows of the window before them.
+    """
+    micros = seconds * 1_000_000
     df = df.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy(*keys).orderBy("__s").rangeBetween(-seconds * 1_000_000, 0)
+    own = F.floor(F.col("__s") / (micros * tile_windows))
+    later = F.when(F.col("__s") >= (own + 1) * (micros * tile_windows) - micros, own + 1)
+    df = df.withColumn("__own", own).withColumn("__tile", F.explode(F.array_compact(F.array(own, later))))
+    w = Window.partitionBy(key, "__tile").orderBy("__s").rangeBetween(-micros, 0)
     count = F.count("ret").over(w)
     enough = count >= least
-    return df.withColumns(
+    df = df.withColumns(
         {
             "vol_60": F.when(enough, F.stddev_pop("ret").over(w)),
             "drift_60": F.when(enough, F.avg("ret").over(w)),
             "intensity_60": F.when(enough, count / seconds),
         }
-    ).drop("__s")
+    )
+    return df.where("__tile = __own").drop("__s", "__own", "__tile")
 
 
 def drawdown(df: DataFrame, equity: Column, keys, order) -> DataFrame:

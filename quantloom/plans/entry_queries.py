@@ -112,9 +112,14 @@ def signal_confirmation(spark, sf_dir):
 )
 def edge_decay(spark, sf_dir):
     """Why the edge of a position would be gone at each tick; volumes stand for the entropy."""
-    w = W.ordered()
-    d = W.log_returns(ticks(spark, sf_dir)).withColumns({"velocity": F.col("ret"), "divergence": F.abs("ret") * 0.1, "entropy_velocity": F.col("volume") - F.lag("volume").over(w)})
-    d = d.withColumns({"acceleration": F.col("ret") - F.lag("ret").over(w), "side": F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL")})
+
+    def moves(d, keys):
+        w = W.ordered(keys)
+        d = W.log_returns(d, keys).withColumns({"velocity": F.col("ret"), "divergence": F.abs("ret") * 0.1, "entropy_velocity": F.col("volume") - F.lag("volume").over(w)})
+        return d.withColumn("acceleration", F.col("ret") - F.lag("ret").over(w))
+
+    d = rolling(ticks(spark, sf_dir), 2, moves).drop("n")
+    d = d.withColumns({"side": F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL")})
     return E.edge_decay(d, 0.001).groupBy("symbol", "decay").agg(F.count("*").alias("n"))
 
 

@@ -13,7 +13,7 @@ from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
 from ..operators.block_models import regimes_by_block, ridge_by_block
-from ..operators.boosting import boosted_predictions
+from ..operators.boosting import blended, boosted_predictions
 from ..operators.tiles import rolling
 from ..sources.views import fills, ticks, trades, with_views
 from .common import query, r, rounded
@@ -355,3 +355,24 @@ def ridge_blocks(spark, sf_dir):
     own = ridge_by_block(rows, STATE, "target", into="ridge")
     both = ridge_by_block(own, STATE, "target", ("symbol", "regime_id"), into="by_regime")
     return rounded(both.select("symbol", "seq", "regime_id", "ridge", "ridge_r2", "by_regime", "by_regime_r2"), "ridge", "ridge_r2", "by_regime", "by_regime_r2", digits=9)
+
+
+def ensemble_members(rows, block=100, **fitting):
+    """``rows`` with the predictions of four models of ``target``, each made before the row is learned: ``ridge``, ``by_regime``, ``momentum`` and ``gbt``."""
+    own = ridge_by_block(rows, STATE, "target", into="ridge", block=block)
+    both = ridge_by_block(own, STATE, "target", ("symbol", "regime_id"), into="by_regime", block=block).drop("ridge_r2", "by_regime_r2")
+    return boosted_predictions(both.withColumn("momentum", 0.1 * F.col("mom_50")), (*STATE, "mom_50"), "target", block=block, **fitting)
+
+
+@query()
+def ensemble_blocks(spark, sf_dir):
+    """Ridge, regime, momentum and boosted models of the next mean return by block, weighed by their recent errors; the tests compare the blend with a plain loop."""
+    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys))).drop("n")
+    rows = rows.withColumn("target", F.lead("mu").over(W.ordered())).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
+    members = ensemble_members(rows, keep=1000, least_rows=80)
+    out = blended(members, MEMBERS, "target")
+    cols = (*MEMBERS, "blend", "disagreement", *(f"w_{m}" for m in MEMBERS))
+    return rounded(out, *cols, digits=9).select("symbol", "seq", "target", *cols)
+
+
+MEMBERS = ("ridge", "by_regime", "momentum", "gbt")

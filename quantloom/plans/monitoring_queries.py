@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
 from ..functions import decisions as D
 from ..operators import density as N
 from ..operators import entries as E
@@ -163,7 +164,8 @@ def window_rows(t, tile_rows=10_000):
         return W.autocorrelations(W.hill_slope(d, keys=keys), keys=keys)
 
     # spreads and ratios are means of valid rows over any distance, which tiles carry on
-    rows = W.amihud(W.spread_stats(rolling(t, 302, features, tile_rows, keep_tile=True)))
+    made = materialize(rolling(t, 302, features, tile_rows, keep_tile=True), "window-features")  # read more than once below
+    rows = W.amihud(W.spread_stats(made))
     rows = W.vol_of_vol(W.evaluated(rows).drop("tile"))
     # books: a ladder on each side of the tick, pulled and spoofed levels from the tick's own operations
     mid = (F.col("bid") + F.col("ask")) / 2

@@ -213,7 +213,7 @@ def vol_of_vol(spark, sf_dir):
 )
 def sliding_time_window(spark, sf_dir):
     """The time window of ``sixty_seconds``, ten hours long as these ticks are minutes apart."""
-    out = W.sixty_seconds(W.log_returns(ticks(spark, sf_dir)), seconds=36_000)
+    out = W.sixty_seconds(lagged_returns(spark, sf_dir), seconds=36_000)
     return rounded(out, "vol_60", "drift_60", "intensity_60").select("symbol", "seq", "vol_60", "drift_60", "intensity_60")
 
 

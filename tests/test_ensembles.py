@@ -85,6 +85,28 @@ def test_predictions_come_from_the_newest_accepted_fit(rows):
     assert np.corrcoef(a["gbt"].astype(float), a["y"])[0, 1] > 0.8
 
 
+def test_the_blend_of_all_members_equals_a_plain_loop(spark, sf_dir):
+    from quantloom.plans.registry import QUERIES
+
+    out = QUERIES["ensemble_blocks"](spark, sf_dir).toPandas().sort_values(["symbol", "seq"])
+    members = ["ridge", "by_regime", "momentum", "gbt"]
+    assert len(out) > 500 and (out["ridge"] != 0).any() and (out["by_regime"] != 0).any()
+    for _, part in out.groupby("symbol"):
+        x, y = part[members].to_numpy(float), part["target"].to_numpy(float)
+        w, errors = np.full(4, 0.25), []
+        for i in range(len(part)):
+            recent = np.array(errors[-100:])
+            if i >= 50:
+                known = recent[~np.isnan(recent).any(axis=1)]
+                aim = 1 / np.maximum(known.mean(axis=0), 1e-10)
+                w = 0.98 * w + 0.02 * aim / aim.sum()
+            blend = (w * x[i]).sum() / w.sum() if i >= 50 else x[i].mean()
+            row = part.iloc[i]
+            np.testing.assert_allclose(row[[f"w_{m}" for m in members]].to_numpy(float), w, atol=2e-6)
+            assert row["blend"] == pytest.approx(blend, abs=1e-7) and row["disagreement"] == pytest.approx(x[i].std(), abs=1e-7)
+            errors.append(np.abs(y[i] - x[i]))
+
+
 def test_a_planted_break_makes_the_version_go_back(spark):
     from math import erfc, sqrt
 

@@ -132,3 +132,43 @@ def test_carried_values_of_a_hot_symbol_are_many_tasks(spark):
     out = last_known(tiled(hot, 100), {"b": F.col("bid")}).withColumn("task", F.spark_partition_id())
     assert out.where(F.col("b") != F.floor(F.col("seq") / 700) * 700).count() == 0
     assert out.select("tile").distinct().count() == 40
+
+
+@pytest.mark.parametrize("tile_windows", [1, 3, 1000])
+def test_time_windows_reach_over_tiles_of_time(frame, rows, tile_windows):
+    returns = rolling(rows, 1, lambda d, k: W.log_returns(d, k))
+    got = sorted_pandas(W.sixty_seconds(returns, seconds=3000, least=10, tile_windows=tile_windows))
+    assert len(got) == len(frame)
+    for symbol, part in frame.groupby("symbol"):
+        ours = got[got["symbol"] == symbol]
+        at = part["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        ret = np.concatenate([[np.nan], np.diff(np.log(part["price"].to_numpy()))])
+        for i in (0, 5, 10, 11, 40, 400, 420, 1499):
+            x = ret[(at >= at[i] - 3_000_000_000) & (at <= at[i])]
+            x = x[~np.isnan(x)]
+            row = ours.iloc[i]
+            if len(x) < 10:
+                assert np.isnan(row["vol_60"])
+            else:
+                assert row["vol_60"] == pytest.approx(x.std(), rel=1e-9) and row["drift_60"] == pytest.approx(x.mean(), rel=1e-7, abs=1e-12) and row["intensity_60"] == pytest.approx(len(x) / 3000)
+
+
+@pytest.mark.parametrize("tile_rows", [5, 10_000])
+def test_entropy_streaks_reach_over_tiles(spark, tile_rows):
+    from quantloom.operators.entries import edge_decay
+
+    r = np.random.default_rng(9)
+    n = 300
+    d = pd.DataFrame({"symbol": "a", "seq": np.arange(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="min"), "divergence": r.random(n), "velocity": r.normal(size=n), "acceleration": r.normal(size=n), "entropy_velocity": r.normal(size=n) + 0.3, "side": r.choice(["BUY", "SELL"], n)})
+    got = edge_decay(spark.createDataFrame(d), 0.2, 3, tile_rows).toPandas().sort_values("seq")["decay"].tolist()
+    streak = 0
+    for i, x in enumerate(d.itertuples()):
+        sign = 1 if x.side == "BUY" else -1
+        if x.divergence < 0.2:
+            expected = "COLLAPSED"
+        elif sign * x.velocity < 0 and sign * x.acceleration < 0:
+            expected = "REACCELERATED"
+        else:
+            streak = streak + 1 if x.entropy_velocity > 0 else 0
+            expected = "ENTROPY_RISES" if streak >= 3 else None
+        assert (None if pd.isna(got[i]) else got[i]) == expected, i
