@@ -27,9 +27,13 @@ def budgets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUDGETS, "risk_regime string, max_gross double, max_net double, max_single double, max_var double, max_fall double, size_multiplier double")
 
 
-def mark_prices(df: DataFrame, tile_rows: int = 10_000) -> DataFrame:
-    """``mark, mark_ret``: the mid of the last positive bid and ask if they do not cross, else the price; its log return."""
-    rows = last_known(spread(df, lookback=1, tile_rows=tile_rows), {f"known_{c}": F.when(F.col(c) > 0, F.col(c)) for c in ("bid", "ask")})
+def mark_prices(df: DataFrame, tile_rows: int = 10_000, positive: bool = True) -> DataFrame:
+    """``mark, mark_ret``: the mid of the last known bid and ask if they do not cross, else the price; its log return.
+
+    Quotes that are null, and unless ``positive`` is false those not above 0, leave the known ones.
+    """
+    known = {f"known_{c}": F.when(F.col(c) > 0, F.col(c)) if positive else F.col(c) for c in ("bid", "ask")}
+    rows = last_known(spread(df, lookback=1, tile_rows=tile_rows), known)
     bid, ask = F.col("known_bid"), F.col("known_ask")
     rows = rows.withColumn("mark", F.when(ask >= bid, (bid + ask) / 2).otherwise(F.col("price")))
     was = F.lag("mark").over(Window.partitionBy("symbol", "tile").orderBy("n"))
