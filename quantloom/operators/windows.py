@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -405,27 +406,75 @@ def stencil(df: DataFrame, col: str = "price", keys=SYMBOL) -> DataFrame:
     )
 
 
-def sixty_seconds(df: DataFrame, seconds: int = 60, least: int = 30, tile_windows: int = 20, key: str = "symbol") -> DataFrame:
+def _running_moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and sum of squared deviations of the first i values that are no NaN, for i from 0 on; nothing is subtracted from a sum."""
+    valid = ~np.isnan(x)
+    count = np.append(0, np.cumsum(valid))
+    mean = np.append(0.0, np.cumsum(np.where(valid, x, 0.0))) / np.maximum(count, 1)
+    n = count[1:]
+    steps = np.where(valid & (n > 1), (x - mean[:-1]) ** 2 * (n - 1) / np.maximum(n, 1), 0.0)
+    return count, mean, np.append(0.0, np.cumsum(steps))
+
+
+def _time_window(at: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and population variance of the values at most ``width`` before each place ``at``, which ascend; equal places see each other.
+
+    Time is cut into blocks of ``width``. A window is the end of one block and the beginning of the next.
+    """
+    count, mean, var = np.zeros(len(at), np.int64), np.zeros(len(at)), np.zeros(len(at))
+    block = at // width
+    edges = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(at))
+    before, was = (np.empty(0, np.int64), np.empty(0)), None
+    for low, high in zip(edges[:-1], edges[1:]):
+        times, values = at[low:high], x[low:high]
+        old_times, old_values = before if was == block[low] - 1 else (times[:0], values[:0])
+        newer = _running_moments(values)
+        older = _running_moments(old_values[::-1])
+        end = np.searchsorted(times, times, "right")
+        held = len(old_times) - np.searchsorted(old_times, times - width, "left")
+        (na, ma, sa), (nb, mb, sb) = ([p[held] for p in older], [p[end] for p in newer])
+        n = na + nb
+        some = np.maximum(n, 1)
+        gap = np.where((na > 0) & (nb > 0), mb - ma, 0.0)
+        count[low:high] = n
+        mean[low:high] = np.where(na > 0, ma + gap * nb / some, mb)
+        var[low:high] = (sa + sb + gap * gap * na * nb / some) / some
+        before, was = (times, values), block[low]
+    return count, mean, var
+
+
+def sixty_seconds(df: DataFrame, seconds: int = 60, least: int = 30, tile_windows: int = 20, key: str = "symbol", tile_rows: int = 100_000) -> DataFrame:
     """``vol_60, drift_60, intensity_60`` of the returns of the last minute by time; null with fewer than ``least``.
 
-    Tiles are stretches of ``tile_windows`` windows of time that bring the rows of the window before them.
+    Tiles are up to ``tile_windows`` blocks of time of the window's length, as many as have ``tile_rows`` rows, that
+    bring the rows of the block before them; a row costs the same however many are in its window.
     """
+    ship_package(df.sparkSession)
     micros = seconds * 1_000_000
-    df = df.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")))
-    own = F.floor(F.col("__s") / (micros * tile_windows))
-    later = F.when(F.col("__s") >= (own + 1) * (micros * tile_windows) - micros, own + 1)
-    df = df.withColumn("__own", own).withColumn("__tile", F.explode(F.array_compact(F.array(own, later))))
-    w = Window.partitionBy(key, "__tile").orderBy("__s").rangeBetween(-micros, 0)
-    count = F.count("ret").over(w)
-    enough = count >= least
-    df = df.withColumns(
-        {
-            "vol_60": F.when(enough, F.stddev_pop("ret").over(w)),
-            "drift_60": F.when(enough, F.avg("ret").over(w)),
-            "intensity_60": F.when(enough, count / seconds),
-        }
-    )
-    return df.where("__tile = __own").drop("__s", "__own", "__tile")
+    df = df.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__block", F.expr(f"div(__s - pmod(__s, {micros}), {micros})"))
+    order = Window.partitionBy(key).orderBy("__block")
+    blocks = df.groupBy(key, "__block").agg(F.count("*").alias("__rows"))
+    sofar = F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")
+    blocks = blocks.withColumn("__own", F.struct(F.floor(F.col("__block") / tile_windows).alias("stretch"), F.floor(sofar / tile_rows).alias("part")))
+    following = F.when(F.lead("__block").over(order) == F.col("__block") + 1, F.lead("__own").over(order))
+    blocks = blocks.select(key, "__block", "__own", F.when(following > F.col("__own"), following).alias("__later"))
+    rows = df.join(blocks, [key, "__block"]).withColumn("__tile", F.explode(F.array_compact(F.array("__own", "__later"))))
+    rows = rows.select(*df.columns, "__tile", (F.col("__tile") == F.col("__own")).alias("__is_own")).drop("__block")  # a tile is ordered as time is
+    kept = [f for f in rows.schema.fields if not f.name.startswith("__")]
+    made = ("vol_60", "drift_60", "intensity_60")
+    schema = StructType([*kept, *(StructField(c, DoubleType()) for c in made)])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("__s")
+        at, ret = tile["__s"].to_numpy(), tile["ret"].to_numpy().astype(float)
+        count, mean, var = _time_window(at, ret, micros)
+        few = count < least
+        values = (np.sqrt(var), mean, count / seconds)
+        for name, value in zip(made, values):
+            tile = tile.append_column(name, pa.array(value, mask=few))
+        return tile.filter(tile["__is_own"]).select(schema.fieldNames())
+
+    return rows.groupBy(key, "__tile").applyInArrow(run, schema)
 
 
 def drawdown(df: DataFrame, equity: Column, keys, order) -> DataFrame:
