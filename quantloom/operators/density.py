@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -36,7 +36,7 @@ def window_arrays(rows: DataFrame, n: int = 150, every: int = 10, keys=SYMBOL) -
         ret = part["ret"].to_numpy(float)
         chosen = part[(part["n"] > n) & (part["n"] % every == 0)]
         windows = [ret[max(0, i - n + 1) : i + 1] for i in chosen.index]
-        return chosen.assign(window=[w[~np.isnan(w)].tolist() for w in windows])
+        return chosen.assign(window=pd.Series([w[~np.isnan(w)] for w in windows], index=chosen.index, dtype=object))
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
@@ -44,31 +44,52 @@ def window_arrays(rows: DataFrame, n: int = 150, every: int = 10, keys=SYMBOL) -
 def fit_mixtures(x: np.ndarray, most: int = 4, rounds: int = 60) -> list[tuple]:
     """Gaussian mixtures of 1 to ``most`` parts with the least BIC, by EM from quantiles: (weights, means, vars, bic) for each row of values.
 
-    All rows take their steps together, as one array operation each.
+    All rows take their steps together, as one array operation each, over arrays of parts, rows and values that are
+    filled again in every round.
     """
     count, n = x.shape
-    floor = np.maximum(x.var(axis=1) * 1e-4, 1e-18)[:, None]
+    var = x.var(axis=1)
+    floor = np.maximum(var * 1e-4, 1e-18)
     best: list = [None] * count
-
-    def logs_of(weights, means, spread):
-        return np.log(weights)[:, None] - 0.5 * (np.log(2 * np.pi * spread)[:, None] + (x[:, :, None] - means[:, None]) ** 2 / spread[:, None])
-
     for k in range(1, most + 1):
-        means = np.quantile(x, (np.arange(k) + 0.5) / k, axis=1).T
-        weights = np.full((count, k), 1 / k)
-        spread = np.repeat(np.maximum(x.var(axis=1)[:, None], floor), k, axis=1)
+        square, p, one = np.empty((k, count, n)), np.empty((k, count, n)), np.empty((count, n))
+
+        def squares(means):
+            np.subtract(x, means[:, :, None], out=square)
+            np.multiply(square, square, out=square)
+
+        def over_parts(combine):
+            np.copyto(one, p[0])
+            for part in p[1:]:
+                combine(one, part, out=one)
+
+        def expect(weights, spread):
+            """``p`` becomes each part's density over the greatest part's; the logs of the greatest are returned."""
+            np.multiply(square, (-0.5 / spread)[:, :, None], out=p)
+            np.add(p, (np.log(weights) - 0.5 * np.log(2 * np.pi * spread))[:, :, None], out=p)
+            over_parts(np.maximum)
+            top = one.copy()
+            np.subtract(p, top, out=p)
+            np.exp(p, out=p)
+            over_parts(np.add)
+            return top
+
+        means = np.quantile(x, (np.arange(k) + 0.5) / k, axis=1)
+        weights = np.full((k, count), 1 / k)
+        spread = np.repeat(np.maximum(var, floor)[None], k, axis=0)
+        squares(means)
         for _ in range(rounds if k > 1 else 1):
-            logs = logs_of(weights, means, spread)
-            p = np.exp(logs - logs.max(axis=2, keepdims=True))
-            p /= p.sum(axis=2, keepdims=True)
-            mass = p.sum(axis=1) + 1e-12
-            weights, means = mass / mass.sum(axis=1, keepdims=True), (p * x[:, :, None]).sum(axis=1) / mass
-            spread = np.maximum((p * (x[:, :, None] - means[:, None]) ** 2).sum(axis=1) / mass, floor)
-        likelihood = np.logaddexp.reduce(logs_of(weights, means, spread), axis=2).sum(axis=1)
+            expect(weights, spread)
+            np.divide(p, one, out=p)
+            mass = p.sum(axis=2) + 1e-12
+            weights, means = mass / mass.sum(axis=0), np.einsum("kcn,cn->kc", p, x) / mass
+            squares(means)
+            spread = np.maximum(np.einsum("kcn,kcn->kc", p, square) / mass, floor)
+        likelihood = (expect(weights, spread) + np.log(one)).sum(axis=1)
         bic = -2 * likelihood + (3 * k - 1) * math.log(n)
         for i in range(count):
             if best[i] is None or bic[i] < best[i][3]:
-                best[i] = (weights[i].tolist(), means[i].tolist(), spread[i].tolist(), float(bic[i]))
+                best[i] = (weights[:, i].tolist(), means[:, i].tolist(), spread[:, i].tolist(), float(bic[i]))
     return best
 
 
@@ -78,7 +99,7 @@ def fit_mixture(x: np.ndarray, most: int = 4, rounds: int = 60) -> tuple | None:
     return fit_mixtures(x[None], most, rounds)[0] if len(x) >= 20 else None
 
 
-def mixtures(rows: DataFrame, at_once: int = 200) -> DataFrame:
+def mixtures(rows: DataFrame, at_once: int = 64) -> DataFrame:
     """``weights, means, vars, bic`` of each row's ``window``, fitted in Arrow batches, windows of one length together; null for too short windows."""
     ship_package(rows.sparkSession)
 
@@ -142,6 +163,106 @@ def divergence_of(p: np.ndarray, q: np.ndarray, step: float, eps: float = 1e-12)
     return max(0.0, float((p[both] * np.log(p[both] / q[both])).sum() * step))
 
 
+#: What ``measures`` adds.
+MEASURES = "mass double, entropy double, log_density double, tail_ratio double"
+#: What ``moves`` adds.
+MOVES = "velocity double, bifurcation double, peak double, entropy double, change double, collapsed boolean, spread_90 double"
+
+
+def entropy_of(pdf: np.ndarray, step: float) -> float:
+    """-sum p ln p dx over a density's grid."""
+    p = pdf[pdf > 1e-300]
+    return float(-(p * np.log(p)).sum() * step)
+
+
+def grid_of(values: np.ndarray, points: int, deviations: float = 4.0) -> np.ndarray:
+    """Even places over so many sample deviations on both sides of the mean of an array."""
+    mu, sigma = values.mean(), max(values.std(ddof=1), 1e-12)
+    return np.linspace(mu - deviations * sigma, mu + deviations * sigma, points)
+
+
+def tail_ratio_of(values: np.ndarray, mixture: tuple, share: float = 0.95) -> float:
+    """``tail_ratio`` of one array."""
+    mean = values.mean()
+    variance = max((values * values).mean() - mean * mean, 1e-18)
+    at = np.quantile(values, share)
+    gauss = np.exp(-(at - mean) * (at - mean) / (2 * variance)) / np.sqrt(2 * np.pi * variance)
+    return float(mixture_values(np.array([at]), *mixture)[0] / max(gauss, 1e-300))
+
+
+def measures(rows: DataFrame, points: int = 1000) -> DataFrame:
+    """``mass, entropy, log_density, tail_ratio`` of the mixture of each row's ``window`` on its grid (``grid_of``), in Arrow batches; null without one."""
+    ship_package(rows.sparkSession)
+
+    @F.pandas_udf(MEASURES)
+    def measure(window: pd.Series, weights: pd.Series, means: pd.Series, spread: pd.Series) -> pd.DataFrame:
+        out = []
+        for values, *mixture in zip(window, weights, means, spread):
+            if mixture[0] is None:
+                out.append((None,) * 4)
+                continue
+            x = grid_of(values, points)
+            pdf, step = mixture_values(x, *mixture), (x[-1] - x[0]) / (points - 1)
+            at_values = np.log(np.maximum(mixture_values(values, *mixture), 1e-300))
+            out.append((pdf.sum() * step, entropy_of(pdf, step), at_values.mean(), tail_ratio_of(values, mixture)))
+        return pd.DataFrame(out, columns=["mass", "entropy", "log_density", "tail_ratio"]).astype(float)
+
+    return rows.withColumn("__measures", measure("window", "weights", "means", "vars")).select(*rows.columns, "__measures.*")
+
+
+def with_earlier(rows: DataFrame, columns: tuple[str, ...], back: int = 1, number: str = "k", key: str = "symbol", stretch: int = 1000) -> DataFrame:
+    """``rows`` with ``was_1_*`` to ``was_{back}_*``: ``columns`` of the rows before, where ``number`` counts a key's rows without gaps.
+
+    A stretch of numbers brings copies of the rows before it, so that a key is many tasks.
+    """
+    own = F.floor(F.col(number) / stretch)
+    later = F.when(F.col(number) >= (own + 1) * stretch - back, own + 1)
+    rows = rows.withColumn("__own", own).withColumn("__stretch", F.explode(F.array_compact(F.array(own, later))))
+    w = Window.partitionBy(key, "__stretch").orderBy(number)
+    earlier = {f"was_{i}_{c}": F.lag(c, i).over(w) for i in range(1, back + 1) for c in columns}
+    return rows.withColumns(earlier).where("__stretch = __own").drop("__own", "__stretch")
+
+
+def moves(rows: DataFrame, points: int = 1000, peak: float = 1000.0, key: str = "symbol") -> DataFrame:
+    """What ``surface`` and ``shape`` say of the mixture densities of each row's ``window`` on its grid, and their ``entropy``.
+
+    Only the mixtures and the ends of the grids move to the row after; densities are made in Arrow batches, two at a
+    time, and none is stored. ``k`` counts the rows of a key.
+    """
+    ship_package(rows.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def ends(window: pd.Series) -> pd.Series:
+        return pd.Series([grid_of(w, points)[[0, -1]] if len(w) > 1 else None for w in window], dtype=object)
+
+    @F.pandas_udf(MOVES)
+    def move(window: pd.Series, now: pd.DataFrame, was: pd.DataFrame) -> pd.DataFrame:
+        def density(ends, weights, means, spread):
+            return None if weights is None or ends is None else mixture_values(np.linspace(*ends, points), weights, means, spread)
+
+        out = []
+        for values, a, b in zip(window, now.itertuples(index=False, name=None), was.itertuples(index=False, name=None)):
+            reach = float(np.subtract(*np.quantile(values, [0.95, 0.05]))) if len(values) else None
+            pdf, before = density(*a), density(*b)
+            if pdf is None:
+                out.append((0.0, None, None, None, 0.0, None, reach))
+                continue
+            high = pdf.max()
+            gap = np.zeros(1) if before is None else pdf - before
+            step = (a[0][1] - a[0][0]) / (points - 1)
+            out.append((np.abs(gap).mean(), np.flatnonzero(pdf > high / 2).std(), high, entropy_of(pdf, step), np.sqrt((gap * gap).sum()), high > peak, reach))
+        return pd.DataFrame(out, columns=["velocity", "bifurcation", "peak", "entropy", "change", "collapsed", "spread_90"])
+
+    rows = rows.withColumn("ends", ends("window"))
+    mixture = ("ends", "weights", "means", "vars")
+    moved = with_earlier(rows, mixture, 1, key=key)
+    now, was = F.struct(*mixture), F.struct(*(f"was_1_{c}" for c in mixture))
+    moved = moved.withColumn("__moves", move("window", now, was)).select(*(c for c in rows.columns if c not in ("ends", "window")), "__moves.*")
+    moved = with_earlier(moved, ("peak",), 2, key=key)
+    v0, v1, v2 = F.col("peak"), F.col("was_1_peak"), F.col("was_2_peak")
+    return moved.withColumns({"slope": v0 - v1, "curvature": (v0 - v1) - (v0 - v2) / 2}).drop("was_1_peak", "was_2_peak")
+
+
 def density_at(x: Column, weights: Column, means: Column, spread: Column) -> Column:
     """Density of a mixture at one point."""
     parts = F.arrays_zip(weights.alias("w"), means.alias("m"), spread.alias("v"))
@@ -149,12 +270,31 @@ def density_at(x: Column, weights: Column, means: Column, spread: Column) -> Col
 
 
 def kernel_density(x: Column, values: Column) -> Column:
-    """Gaussian kernel density of an array of values at every point of another, with the width of Scott's rule."""
-    n = F.size(values)
-    mean = total(values) / n
-    variance = total(F.transform(values, lambda v: (v - mean) * (v - mean))) / (n - 1)
-    width = F.greatest(F.sqrt(variance) * F.pow(n.cast("double"), F.lit(-0.2)), F.lit(1e-12))
-    return F.transform(F.array(width), lambda h: F.transform(x, lambda p: total(F.transform(values, lambda v: F.exp(-(p - v) * (p - v) / (2 * h * h)))) / (n * h * math.sqrt(2 * math.pi))))[0]
+    """Gaussian kernel density of an array of values at every point of another, with the width of Scott's rule; in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def evaluate(x: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for points, v in zip(x, values):
+            if points is None or v is None or len(v) < 2:
+                out.append(None)
+                continue
+            h = max(v.std(ddof=1) * len(v) ** -0.2, 1e-12)
+            gaps = (np.asarray(points, float)[:, None] - v) / h
+            out.append(np.exp(-0.5 * gaps * gaps).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi)))
+        return pd.Series(out, dtype=object)
+
+    return evaluate(x, values)
+
+
+def deviation_of(values: Column) -> Column:
+    """Population deviation of an array, in Arrow batches: a mean inside the function of each value would be made anew for each."""
+
+    @F.pandas_udf("double")
+    def evaluate(values: pd.Series) -> pd.Series:
+        return pd.Series([v.std() if v is not None and len(v) else None for v in values], dtype=float)
+
+    return evaluate(values)
 
 
 def differential_entropy(pdf: Column, step: Column) -> Column:
@@ -250,8 +390,8 @@ def kernel_draws(windows: DataFrame, values: str, trial: str, draws: int, seed:
     1e-8. Windows of fewer than ``least`` values have no rows.
     """
     n = F.size(values)
-    mean = total(F.col(values)) / n
-    deviation = F.sqrt(total(F.transform(values, lambda v: (v - mean) * (v - mean))) / n)
+    ship_package(windows.sparkSession)
+    deviation = deviation_of(F.col(values))
     width = F.when(F.col("__deviation") > 0, F.pow(n.cast("double"), F.lit(-0.2)) * F.col("__deviation")).otherwise(1e-8)
     d = windows.where(n >= least).withColumn("__deviation", deviation).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     chosen = (draw(F.col(trial), F.col("draw"), seed) % n).cast("int")

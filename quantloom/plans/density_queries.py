@@ -23,45 +23,33 @@ def windows(spark, sf_dir):
 POINTS = 1000
 
 
-def densities(spark, sf_dir, points: int = POINTS):
-    """Evaluation rows with a mixture density on a grid of four deviations on both sides of the window's mean."""
-    fitted = N.mixtures(windows(spark, sf_dir))
-    n = F.size("window")
-    mean = N.total(F.col("window")) / n
-    fitted = fitted.withColumn("mu", mean)
-    sigma = F.sqrt(N.total(F.transform("window", lambda v: (v - F.col("mu")) * (v - F.col("mu")))) / (n - 1))
-    fitted = fitted.withColumn("sigma", F.greatest(sigma, F.lit(1e-12)))
-    low, high = F.col("mu") - 4 * F.col("sigma"), F.col("mu") + 4 * F.col("sigma")
-    pdf = N.mixture_density(low, high, F.col("weights"), F.col("means"), F.col("vars"), points)
-    return fitted.withColumns({"step": 8 * F.col("sigma") / (points - 1), "pdf": pdf})
+def mixtures(spark, sf_dir):
+    """Evaluation rows with a mixture of each window; densities lie on a grid of four deviations on both sides of its mean."""
+    return N.mixtures(windows(spark, sf_dir))
 
 
 @query()
 def gmm_density(spark, sf_dir):
     """Mixture of each window: parts, BIC, mass on the grid, entropy, mean log density and tail ratio; compared with numpy in the tests."""
-    d = densities(spark, sf_dir)
-    mixture = (F.col("weights"), F.col("means"), F.col("vars"))
-    out = d.select(
-        "symbol", "seq", F.size("weights").alias("parts"), "bic", (N.total(F.col("pdf")) * F.col("step")).alias("mass"), N.differential_entropy(F.col("pdf"), F.col("step")).alias("entropy"),
-        N.likelihood(F.col("window"), *mixture).alias("log_density"), N.tail_ratio(F.col("window"), *mixture).alias("tail_ratio"),
-    )
-    return rounded(out, "bic", "mass", "entropy", "log_density", "tail_ratio", digits=4)
+    cols = ("mass", "entropy", "log_density", "tail_ratio")
+    out = N.measures(mixtures(spark, sf_dir), POINTS).select("symbol", "seq", F.size("weights").alias("parts"), "bic", *cols)
+    return rounded(out, "bic", *cols, digits=4)
 
 
 @query()
 def kl_shift(spark, sf_dir):
     """Divergence of each window's density from the one before, both on one grid that holds five deviations of every part."""
-    d = N.mixtures(windows(spark, sf_dir))
-    d = d.select("symbol", "seq", "weights", "means", "vars", *(F.lag(c).over(W.ordered()).alias(f"was_{c}") for c in ("weights", "means", "vars")))
-    kl = N.mixture_divergence(tuple(map(F.col, ("weights", "means", "vars"))), tuple(map(F.col, ("was_weights", "was_means", "was_vars"))))
+    parts = ("weights", "means", "vars")
+    d = N.with_earlier(mixtures(spark, sf_dir).select("symbol", "seq", "k", *parts), parts)
+    kl = N.mixture_divergence(tuple(map(F.col, parts)), tuple(F.col(f"was_1_{c}") for c in parts))
     return rounded(d.select("symbol", "seq", F.coalesce(kl, F.lit(0.0)).alias("kl")), "kl", digits=4)
 
 
 @query()
 def density_surface(spark, sf_dir):
     """How each window's density moves and what shape it has."""
-    out = N.shape(N.surface(densities(spark, sf_dir)))
     cols = ("velocity", "bifurcation", "peak", "slope", "curvature", "change", "spread_90")
+    out = N.moves(mixtures(spark, sf_dir), POINTS)
     return rounded(out.select("symbol", "seq", *cols, "collapsed"), *cols, digits=4)
 
 

@@ -18,7 +18,7 @@ from ..operators import windows as W
 from ..operators.tiles import rolling
 from ..sources.views import SQL, fills, ticks, trades, with_views
 from .common import ORACLE_SQL, query, r, rounded
-from .density_queries import densities
+from .density_queries import mixtures
 from .model_queries import book_events
 from .performance_queries import _daily
 from .tick_queries import RET, O, before, lagged_returns, last
@@ -211,8 +211,7 @@ def feature_vector(spark, sf_dir):
     t = ticks(spark, sf_dir)
     rows = with_buckets(window_rows(t), t)
     # densities and regimes of the same rows
-    d = densities(spark, sf_dir)
-    shape = N.surface(d.withColumn("entropy", N.differential_entropy(F.col("pdf"), F.col("step")))).select("symbol", "seq", "entropy", "velocity")
+    shape = N.moves(mixtures(spark, sf_dir)).select("symbol", "seq", "entropy", "velocity")
     rows = rows.join(shape, ["symbol", "seq"])
     states = ("mu", "sigma", "skew", "kurt", "tail_slope", "entropy")
     rows = rows.join(S.hmm_regimes(rows, states).select("symbol", "seq", "regime_id", "confidence"), ["symbol", "seq"])
