@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..cluster import default_parallelism, ship_package
 from ..functions.normal import quantile as normal_quantile
 from .performance import draw
+from .tiles import stretched
 from .windows import SYMBOL, ordered
 
 MIXTURE = "weights array<double>, means array<double>, vars array<double>, bic double"
@@ -210,17 +211,14 @@ def measures(rows: DataFrame, points: int = 1000) -> DataFrame:
     return rows.withColumn("__measures", measure("window", "weights", "means", "vars")).select(*rows.columns, "__measures.*")
 
 
-def with_earlier(rows: DataFrame, columns: tuple[str, ...], back: int = 1, number: str = "k", key: str = "symbol", stretch: int = 1000) -> DataFrame:
-    """``rows`` with ``was_1_*`` to ``was_{back}_*``: ``columns`` of the rows before, where ``number`` counts a key's rows without gaps.
+def with_earlier(rows: DataFrame, columns: tuple[str, ...], back: int = 1, number: str = "k", key: str = "symbol") -> DataFrame:
+    """``rows`` with ``was_1_*`` to ``was_{back}_*``: ``columns`` of the rows before, where ``number`` counts a key's rows without gaps."""
 
-    A stretch of numbers brings copies of the rows before it, so that a key is many tasks.
-    """
-    own = F.floor(F.col(number) / stretch)
-    later = F.when(F.col(number) >= (own + 1) * stretch - back, own + 1)
-    rows = rows.withColumn("__own", own).withColumn("__stretch", F.explode(F.array_compact(F.array(own, later))))
-    w = Window.partitionBy(key, "__stretch").orderBy(number)
-    earlier = {f"was_{i}_{c}": F.lag(c, i).over(w) for i in range(1, back + 1) for c in columns}
-    return rows.withColumns(earlier).where("__stretch = __own").drop("__own", "__stretch")
+    def features(d, keys):
+        w = Window.partitionBy(*keys).orderBy(number)
+        return d.withColumns({f"was_{i}_{c}": F.lag(c, i).over(w) for i in range(1, back + 1) for c in columns})
+
+    return stretched(rows, back, features, number, key)
 
 
 def moves(rows: DataFrame, points: int = 1000, peak: float = 1000.0, key: str = "symbol") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import default_parallelism
+from .carried import last_known
+from .tiles import spread
 from .windows import SYMBOL, ordered, sliding_moments, sliding_sums
 
 
@@ -22,6 +25,7 @@ def quality_issues(
     spike: float = 10.0,
     duplicate_run: int = 10,
     keys=SYMBOL,
+    tile_rows: int = 10_000,
 ) -> DataFrame:
     """``issues``: array of (issue, severity, value) found on each row, in the order of arrival (seq).
 
@@ -29,21 +33,24 @@ def quality_issues(
     prices on), ZERO_VOLUME runs, VOLUME_SPIKE (against the mean of up to 500 volumes before), DUPLICATE_TIMESTAMP
     runs. A row that is dropped later has counted for the rows after it.
     """
-    w = Window.partitionBy(*keys).orderBy("seq")
+    # tiles of rows in the order of arrival; a struct of the keys is never null, and neither is a stretch
+    stretch = F.coalesce(F.floor(F.col("seq") / 100_000), F.lit(-(1 << 62)))
+    rows = ticks.withColumn("__key", F.struct(*keys))
+    rows = spread(rows, lookback=502, tile_rows=tile_rows, key="__key", order=("seq",), stretch=stretch, tasks=default_parallelism(ticks.sparkSession))
+    tile = ("__key", "tile")
+    w = Window.partitionBy(*tile).orderBy("n")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
-    d = ticks.withColumn("__ms", at - F.lag(at).over(w)).withColumn("__ret", F.log(F.col("price") / F.lag("price").over(w)))
-    d = d.withColumn("__seen", F.row_number().over(w) - 1)
-    d = sliding_moments(d, "__ret", 99, keys, newest=1, order=("seq",))
-    deviation = F.when(F.col("__seen") >= 20, F.sqrt("__m2"))
-    d = d.withColumn("__z", F.when(deviation > 1e-10, F.abs("__ret") / deviation)).drop("__n", "__mean", "__m2", "__seen")
-    zero = F.col("volume") == 0
-    d = d.withColumn("__zero", F.sum(F.when(zero, 0).otherwise(1)).over(w))
-    d = d.withColumn("__zeros", F.when(zero, F.sum(F.when(zero, 1).otherwise(0)).over(Window.partitionBy(*keys, "__zero").orderBy("seq"))).otherwise(0))
-    d = sliding_sums(d, {"__volume": F.col("volume"), "__volumes": F.when(F.col("volume").isNotNull(), 1.0)}, 500, keys, newest=1, order=("seq",))
+    d = rows.withColumn("__ms", at - F.lag(at).over(w)).withColumn("__ret", F.log(F.col("price") / F.lag("price").over(w)))
+    d = sliding_moments(d, "__ret", 99, tile, newest=1, order=("n",))
+    deviation = F.when(F.col("n") > 20, F.sqrt("__m2"))
+    d = d.withColumn("__z", F.when(deviation > 1e-10, F.abs("__ret") / deviation)).drop("__n", "__mean", "__m2")
+    d = sliding_sums(d, {"__volume": F.col("volume"), "__volumes": F.when(F.col("volume").isNotNull(), 1.0)}, 500, tile, newest=1, order=("n",))
     d = d.withColumn("__mean", F.when(F.col("__volumes") > 0, F.col("__volume") / F.col("__volumes"))).drop("__volume", "__volumes")
-    same = F.coalesce(F.col("__ms") == 0, F.lit(False))
-    d = d.withColumn("__fresh", F.sum(F.when(same, 0).otherwise(1)).over(w))
-    d = d.withColumn("__same", F.when(same, F.sum(F.when(same, 1).otherwise(0)).over(Window.partitionBy(*keys, "__fresh").orderBy("seq"))).otherwise(0))
+    # a run ends at the newest row outside it, which may be any number of tiles back
+    d = d.where("tile = own")
+    zero, same = F.coalesce(F.col("volume") == 0, F.lit(False)), F.coalesce(F.col("__ms") == 0, F.lit(False))
+    d = last_known(d, {"__filled": F.when(~zero, F.col("n")), "__fresh": F.when(~same, F.col("n"))}, "__key")
+    d = d.withColumn("__zeros", F.col("n") - F.coalesce("__filled", F.lit(0))).withColumn("__same", F.col("n") - F.coalesce("__fresh", F.lit(0)))
     found = F.array_compact(
         F.array(
             F.coalesce(_issue(F.col("__ms") > gap_critical_ms, "TICK_GAP", "CRITICAL", F.col("__ms")), _issue(F.col("__ms") > gap_warning_ms, "TICK_GAP", "WARNING", F.col("__ms"))),
@@ -55,7 +62,7 @@ def quality_issues(
             _issue(F.col("__same") > duplicate_run, "DUPLICATE_TIMESTAMP", "WARNING", F.col("__same")),
         )
     )
-    return d.withColumn("issues", found).drop("__ms", "__ret", "__z", "__zero", "__zeros", "__mean", "__fresh", "__same")
+    return d.withColumn("issues", found).drop("__key", "tile", "own", "n", "__ms", "__ret", "__z", "__filled", "__zeros", "__mean", "__fresh", "__same")
 
 
 def quality_gate(checked: DataFrame) -> DataFrame:
