@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..cluster import materialize
+from ..cluster import default_parallelism, materialize
 from ..functions import decisions as D
 from ..operators import density as N
 from ..operators import entries as E
@@ -15,7 +15,7 @@ from ..operators import performance as P
 from ..operators import scans as S
 from ..operators import trades as X
 from ..operators import windows as W
-from ..operators.tiles import rolling
+from ..operators.tiles import rolling, stretched
 from ..sources.views import SQL, fills, ticks, trades, with_views
 from .common import ORACLE_SQL, query, r, rounded
 from .density_queries import mixtures
@@ -164,9 +164,9 @@ def window_rows(t, tile_rows=10_000):
         return W.autocorrelations(W.hill_slope(d, keys=keys), keys=keys)
 
     # spreads and ratios are means of valid rows over any distance, which tiles carry on
-    made = materialize(rolling(t, 302, features, tile_rows, keep_tile=True), "window-features")  # read more than once below
+    made = materialize(rolling(t, 302, features, tile_rows, keep_tile=True, tasks=default_parallelism(t.sparkSession)), "window-features")  # read more than once below
     rows = W.amihud(W.spread_stats(made))
-    rows = W.vol_of_vol(W.evaluated(rows).drop("tile"))
+    rows = stretched(W.evaluated(rows).drop("tile"), 49, lambda d, keys: W.vol_of_vol(d, keys=keys))
     # books: a ladder on each side of the tick, pulled and spoofed levels from the tick's own operations
     mid = (F.col("bid") + F.col("ask")) / 2
     size = F.col("bid_size") + F.col("ask_size")
@@ -234,4 +234,4 @@ def feature_table(spark, sf_dir):
         return W.flow(W.kyle_lambda(W.book_slope(d), keys=keys), keys=keys)
 
     cols = ("mu", "sigma", "skew", "kurt", "ofi", "ofi_z", "mom_50", "mom_200", "mean_rev", "slope", "kyle", "toxicity", "intensity")
-    return rounded(rolling(ticks(spark, sf_dir), 202, features), *cols).select("symbol", "seq", *cols)
+    return rounded(rolling(ticks(spark, sf_dir), 202, features, tasks=default_parallelism(spark)), *cols).select("symbol", "seq", *cols)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import default_parallelism
 from ..functions import normal
 from ..operators import monitoring as M
 from ..operators import performance as P
@@ -117,10 +117,10 @@ def top_features(spark, sf_dir):
         d = W.moments(W.log_returns(d, keys), keys=keys)
         d = W.ofi_zscore(W.order_flow_imbalance(d, keys), keys=keys)
         d = W.mean_reversion(W.momentum(d, keys), keys=keys)
+        d = d.withColumn("target", F.lead("price").over(W.ordered(keys)) - F.col("price"))
         return W.flow(W.kyle_lambda(W.book_slope(d), keys=keys), keys=keys)
 
-    rows = rounded(rolling(ticks(spark, sf_dir), 202, features), *WEIGHED)
-    rows = rows.withColumn("target", F.lead("price").over(Window.partitionBy("symbol").orderBy("n")) - F.col("price"))
+    rows = rounded(rolling(ticks(spark, sf_dir), 202, features, lookahead=1, tasks=default_parallelism(spark)), *WEIGHED)
     return rounded(V.top_features(rows, WEIGHED, "target", ("symbol",)), "weight", digits=5).select("symbol", "rank", "feature", "weight")
 
 
