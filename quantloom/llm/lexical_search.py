@@ -20,6 +20,8 @@ from ..cluster import materialize, prepare
 TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 SEGMENT = "doc_ids array<long>, sizes array<int>, n_terms long, terms array<binary>, df array<int>, places binary, counts binary"
+#: To write segments by: each is a row group. Writers and readers of Parquet hold whole groups, else a hundred rows or what a file has.
+SEGMENT_FILES = {"parquet.block.row.count.limit": 1}
 LEAF, FAN = 8, 32  # documents to a leaf range, ranges to a range of the next level
 BLOCK_TERMS = 4096  # distinct terms whose trees are held at once
 NOWHERE = 1 << 63  # a null id comes after all others
@@ -29,11 +31,11 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(TERM_BYTES).split() if text else []
 
 
-def index_documents(docs: DataFrame, segment_terms: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Inverted segments of all documents, for ``search``: write them down to search them more than once.
+def index_documents(docs: DataFrame, segment_terms: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", segment_docs: int = 1 << 14) -> DataFrame:
+    """Inverted segments of all documents, for ``search``: write them down, by ``SEGMENT_FILES``, to search them more than once.
 
-    A segment holds consecutive documents until they have ``segment_terms`` terms, shortest documents first, so that
-    neighbours weigh their terms alike. It lists their ids and sizes, and for each of its terms the number of documents
+    A segment holds consecutive documents until they have ``segment_terms`` terms or are ``segment_docs`` (a search holds a
+    block's terms times a segment's documents), shortest documents first, so that neighbours weigh their terms alike. It lists their ids and sizes, and for each of its terms the number of documents
     that hold it; ``places`` and ``counts`` (little-endian unsigned 32-bit) are these documents and how often each
     holds the term, term by term. Texts without terms, and null ones, are in no segment. Ids may be null or repeated;
     other columns are not looked at; an empty table has no segments. No row moves: a task indexes what it reads.
@@ -70,7 +72,7 @@ def index_documents(docs: DataFrame, segment_terms: int = 1 << 21, id_col: str =
                 words.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
                 sizes.append(len(terms))
                 total += len(terms)
-                if total >= segment_terms:
+                if total >= segment_terms or len(ids) >= segment_docs:
                     yield segment(ids, words, sizes, numbers)
                     ids, words, sizes, numbers, total = [], [], [], defaultdict(count().__next__), 0
         if ids:
