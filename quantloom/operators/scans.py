@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship_package
+from ..cluster import default_parallelism, ship_package
 from .carried import tracked_level
 from .tiles import spread, tiled
 
@@ -241,29 +241,43 @@ def online_predictions(rows: DataFrame, cols, target: str) -> DataFrame:
 
 
 def fit_garch(x: np.ndarray, rounds: int = 6, side: int = 9) -> tuple[float, float, float]:
-    """(omega, alpha, beta) of the greatest Gaussian likelihood of zero-mean returns.
+    """(omega, alpha, beta) of the greatest Gaussian likelihood of zero-mean returns."""
+    return tuple(float(p[0]) for p in fit_garchs(np.asarray(x, float)[None, :], rounds, side))
+
+
+def fit_garchs(x: np.ndarray, rounds: int = 6, side: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(omega, alpha, beta) for each row of ``x``, a series of returns of mean zero, by the greatest Gaussian likelihood.
 
     Ever finer grids around the best point of the last one, in the share of shocks and the persistence, all points of
-    a grid at once; omega gives the sample's variance in the long run.
+    the grids of all rows at once; omega gives the sample's variance in the long run.
     """
     square = np.asarray(x, float) ** 2
-    level = max(float(square.mean()), 1e-18)
-    low, high = np.array([0.0, 0.0]), np.array([0.5, 0.999])
-    best = (np.inf, 0.05, 0.9)
+    count, each = len(square), np.arange(len(square))
+    level = np.maximum([float(s.mean()) for s in square], 1e-18)
+    low, high = np.zeros((count, 2)), np.tile([0.5, 0.999], (count, 1))
+    cost, best = np.full(count, np.inf), np.tile([0.05, 0.9], (count, 1))
     for _ in range(rounds):
-        alpha, total = (g.ravel() for g in np.meshgrid(np.linspace(low[0], high[0], side), np.linspace(low[1], high[1], side)))
+        grids = [[g.ravel() for g in np.meshgrid(np.linspace(a[0], b[0], side), np.linspace(a[1], b[1], side))] for a, b in zip(low, high)]
+        alpha, total = (np.array([g[k] for g in grids]) for k in (0, 1))
         alpha = np.minimum(alpha, total)
-        omega, beta, h, cost = level * (1 - total), total - alpha, np.full(len(alpha), level), np.zeros(len(alpha))
-        for v in square:
-            cost += np.log(h) + v / h
-            h = np.maximum(omega + alpha * v + beta * h, 1e-18)
-        i = int(cost.argmin())
-        if cost[i] < best[0]:
-            best = (float(cost[i]), float(alpha[i]), float(total[i]))
+        omega, beta = level[:, None] * (1 - total), total - alpha
+        h, found, part, shock = np.repeat(level[:, None], side * side, axis=1), np.zeros(alpha.shape), np.empty(alpha.shape), np.empty(alpha.shape)
+        for v in np.ascontiguousarray(square.T)[:, :, None]:  # in arrays that are filled again
+            np.log(h, out=part)
+            part += np.divide(v, h, out=shock)
+            found += part
+            np.multiply(alpha, v, out=shock)
+            shock += omega
+            np.multiply(beta, h, out=h)
+            np.add(shock, h, out=h)
+            np.maximum(h, 1e-18, out=h)
+        i = found.argmin(axis=1)
+        better = found[each, i] < cost
+        cost = np.where(better, found[each, i], cost)
+        best = np.where(better[:, None], np.column_stack([alpha[each, i], total[each, i]]), best)
         step = (high - low) / (side - 1)
-        centre = np.array(best[1:])
-        low, high = np.maximum(centre - step, 0.0), np.minimum(centre + step, [0.5, 0.999])
-    return level * (1 - best[2]), best[1], best[2] - best[1]
+        low, high = np.maximum(best - step, 0.0), np.minimum(best + step, [0.5, 0.999])
+    return level * (1 - best[:, 1]), best[:, 0], best[:, 1] - best[:, 0]
 
 
 def garch_sigma(returns: DataFrame, refit: int = 200, least: int = 100, remembered: int = 1000, tile_refits: int = 10) -> DataFrame:
@@ -271,30 +285,44 @@ def garch_sigma(returns: DataFrame, refit: int = 200, least: int = 100, remember
 
     A refit takes the last ``remembered`` returns and runs the variance over them, so it owes nothing to the one before.
     Tiles of ``tile_refits`` refits bring that many returns from before them, and a symbol is as many tasks as it has tiles.
+    A tile's refits of as many returns are made together.
     """
     ship_package(returns.sparkSession)
 
+    def refits(x: np.ndarray, ends: list[int]) -> dict[int, tuple[float, float, float, float]]:
+        """(omega, alpha, beta, variance after them) of the returns that end with each place of ``ends``."""
+        out, by_length = {}, {}
+        for i in ends:
+            by_length.setdefault(min(remembered, i + 1), []).append(i)
+        for length, places in by_length.items():
+            past = np.array([x[i + 1 - length : i + 1] for i in places])
+            omega, alpha, beta = fit_garchs(past)
+            h = np.maximum([float((p**2).mean()) for p in past], 1e-18)
+            for v in np.ascontiguousarray((past * past).T):
+                h = omega + alpha * v + beta * h
+            out |= dict(zip(places, zip(omega.tolist(), alpha.tolist(), beta.tolist(), h.tolist())))
+        return out
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n", kind="stable")
         x, n = rows["ret"].to_numpy(float), rows["n"].to_numpy(np.int64)
         out, fitted, h = np.zeros(len(x)), None, 0.0
         own = np.flatnonzero((rows["tile"] == rows["own"]).to_numpy())
+        made = refits(x, own[(n[own] >= 1) & ((n[own] - 1) % refit == 0)].tolist())
         for i in own.tolist():
-            if n[i] >= 1 and (n[i] - 1) % refit == 0:
-                past = x[max(0, i + 1 - remembered) : i + 1]
-                fitted = omega, alpha, beta = fit_garch(past)
-                h = max(float((past**2).mean()), 1e-18)
-                for v in (past * past).tolist():
-                    h = omega + alpha * v + beta * h
+            if i in made:
+                *fitted, h = omega, alpha, beta, _ = made[i]
             elif fitted:
                 h = omega + alpha * x[i] * x[i] + beta * h
             out[i] = np.sqrt(h) if fitted else np.std(x[: i + 1], ddof=1) if i else 0.0
         return pd.DataFrame({"symbol": rows["symbol"].to_numpy()[own], "seq": rows["seq"].to_numpy()[own], "sigma": out[own]})
 
     d = returns.select("symbol", "seq", "ts", "ret")
-    tiles = spread(d, lookback=remembered - 1, tile_rows=refit * tile_refits, shift=least - 1)
+    # dealt by number: a tile takes far longer than its bytes would say
+    tiles = spread(d, lookback=remembered - 1, tile_rows=refit * tile_refits, shift=least - 1, tasks=default_parallelism(returns.sparkSession))
     # rows before the first refit look back on all rows of their symbol, which are fewer than ``least``
-    own = tiles.join(tiles.where("tile = own").select("symbol", "tile").distinct(), ["symbol", "tile"])  # not tiles of copies alone
+    made = Window.partitionBy("symbol", "tile")
+    own = tiles.withColumn("__own", F.max(F.col("tile") == F.col("own")).over(made)).where("__own").drop("__own")  # not tiles of copies alone
     return own.groupBy("symbol", "tile").applyInPandas(run, "symbol string, seq long, sigma double")
 
 
