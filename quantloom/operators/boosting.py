@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import materialize, ship_package
+from ..cluster import default_parallelism, materialize, ship_package
 from ..functions.normal import cumulative
 from .carried import exponential_means
 from .tiles import numbered, rolling
@@ -17,52 +17,80 @@ BINS = 32
 FITTED = "block long, rows long, val_mse double, val_var double, accepted boolean, base double, columns array<int>, cuts array<double>, values array<double>"
 
 
-def grow(binned: np.ndarray, gradient: np.ndarray, depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One regression tree as (column, bin, leaf value): node k has children 2k+1 and 2k+2, and splits by bin <= its own; -1 is no split."""
-    count, width = binned.shape
-    column, cut = np.full(2**depth - 1, -1, np.int32), np.zeros(2**depth - 1, np.int64)
-    at = np.zeros(count, np.int64)  # node within the level
+def grown(binned: np.ndarray, gradient: np.ndarray, depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One regression tree for each sample as (column, bin, leaf value): node k has children 2k+1 and 2k+2, and splits by bin <= its own; -1 is no split.
+
+    ``binned`` has samples of as many rows, ``gradient`` a value for each row; the histograms of a level are made for all samples, columns and nodes at once.
+    """
+    samples, count, width = binned.shape
+    column, cut = np.full((samples, 2**depth - 1), -1, np.int64), np.zeros((samples, 2**depth - 1), np.int64)
+    at, each = np.zeros((samples, count), np.int64), np.arange(samples)[:, None]  # node within the level
+    turned, weights = np.ascontiguousarray(binned.transpose(0, 2, 1)), np.repeat(gradient, width, axis=0).ravel()
+    place = (np.arange(samples * width) * BINS).reshape(samples, width, 1)
     for level in range(depth):
         nodes = 2**level
-        best, chosen = np.full(nodes, 1e-12), {}
+        key = (turned + place * nodes + (at * BINS)[:, None, :]).ravel()
+        shape = (samples, width, nodes, BINS)
+        n = np.bincount(key, minlength=samples * width * nodes * BINS).reshape(shape).cumsum(axis=3)
+        s = np.bincount(key, weights, samples * width * nodes * BINS).reshape(shape).cumsum(axis=3)
+        whole_n, whole_s = n[..., -1:], s[..., -1:]
+        right = whole_n - n
+        fits = (n >= least) & (right >= least)
+        gain = np.where(fits, s**2 / np.maximum(n, 1) + (whole_s - s) ** 2 / np.maximum(right, 1) - whole_s**2 / np.maximum(whole_n, 1), -1.0)
+        where, top = gain.argmax(axis=3), gain.max(axis=3)
+        best, own = top.argmax(axis=1), np.arange(nodes)  # the first column, where several gain as much
+        split = top[each, best, own] > 1e-12
+        column[:, nodes - 1 : 2 * nodes - 1] = np.where(split, best, -1)
+        cut[:, nodes - 1 : 2 * nodes - 1] = np.where(split, where[each, best, own], 0)
+        at = descend(binned, column, cut, at, nodes - 1)
+    leaf = (at + each * 2**depth).ravel()
+    sums, sizes = np.bincount(leaf, gradient.ravel(), samples * 2**depth), np.bincount(leaf, minlength=samples * 2**depth)
+    return column, cut, (sums / np.maximum(sizes, 1)).reshape(samples, -1)
+
+
+def grow(binned: np.ndarray, gradient: np.ndarray, depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grown`` of one sample."""
+    return tuple(p[0] for p in grown(binned[None], gradient[None], depth, least))
+
+
+def descend(binned: np.ndarray, column: np.ndarray, cut: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+    """The places in the next level of the rows that are ``at`` places of the level whose first node is ``first``."""
+    samples, count, width = binned.shape
+    node = at + (np.arange(samples) * column.shape[1] + first)[:, None]
+    own = column.ravel()[node]
+    value = binned.ravel()[np.arange(samples * count).reshape(samples, count) * width + np.maximum(own, 0)]
+    return 2 * at + ((own >= 0) & (value > cut.ravel()[node]))
+
+
+def boosts(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, share: float, least: int, seed: int) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """(base, columns, cuts, values) for each sample (x[i], y[i]): trees on the residuals of those before, each on a drawn share of the rows; cuts are values of x."""
+    samples, count, width = x.shape
+    binned, real = np.empty(x.shape, np.int64), np.full((samples, width, BINS), np.inf)  # the value of x that a bin ends at
+    for i in range(samples):
         for c in range(width):
-            key = at * BINS + binned[:, c]
-            n = np.bincount(key, minlength=nodes * BINS).reshape(nodes, BINS).cumsum(axis=1)
-            s = np.bincount(key, gradient, nodes * BINS).reshape(nodes, BINS).cumsum(axis=1)
-            whole_n, whole_s = n[:, -1:], s[:, -1:]
-            right = whole_n - n
-            fits = (n >= least) & (right >= least)
-            gain = np.where(fits, s**2 / np.maximum(n, 1) + (whole_s - s) ** 2 / np.maximum(right, 1) - whole_s**2 / np.maximum(whole_n, 1), -1.0)
-            where = gain.argmax(axis=1)
-            top = gain[np.arange(nodes), where]
-            for node in np.flatnonzero(top > best):
-                best[node], chosen[int(node)] = top[node], (c, int(where[node]))
-        for node, (c, b) in chosen.items():
-            column[nodes - 1 + node], cut[nodes - 1 + node] = c, b
-        own = column[nodes - 1 + at]
-        goes_right = (own >= 0) & (binned[np.arange(count), np.maximum(own, 0)] > cut[nodes - 1 + at])
-        at = 2 * at + goes_right
-    sums, sizes = np.bincount(at, gradient, 2**depth), np.bincount(at, minlength=2**depth)
-    return column, cut, sums / np.maximum(sizes, 1)
-
-
-def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, share: float, least: int, seed: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(base, columns, cuts, values): trees on the residuals of those before, each on a drawn share of the rows; cuts are values of x."""
-    edges = [np.unique(np.quantile(x[:, c], np.arange(1, BINS) / BINS)) for c in range(x.shape[1])]
-    binned = np.column_stack([np.searchsorted(e, x[:, c], side="left") for c, e in enumerate(edges)])
-    draw = np.random.default_rng(seed)
-    base = float(y.mean())
-    out = np.full(len(y), base)
+            edges = np.unique(np.quantile(x[i, :, c], np.arange(1, BINS) / BINS))
+            binned[i, :, c], real[i, c, : len(edges)] = np.searchsorted(edges, x[i, :, c], side="left"), edges
+    draw, each = np.random.default_rng(seed), np.arange(samples)[:, None]
+    base = np.array([float(v.mean()) for v in y])
+    out = np.repeat(base[:, None], count, axis=1)
     columns, cuts, values = [], [], []
     for _ in range(rounds):
-        rows = draw.random(len(y)) < share
-        column, cut, value = grow(binned[rows], (y - out)[rows], depth, least)
-        real = np.array([edges[c][b] if c >= 0 and b < len(edges[c]) else np.inf for c, b in zip(column, cut)])
-        columns.append(column)
-        cuts.append(real)
+        rows = draw.random(count) < share
+        column, cut, value = grown(binned[:, rows], (y - out)[:, rows], depth, least)
+        columns.append(column.astype(np.int32))
+        cuts.append(np.where(column >= 0, real[each, np.maximum(column, 0), cut], np.inf))
         values.append(rate * value)
-        out += predict_tree(x, column, real, rate * value)
-    return base, np.concatenate(columns), np.concatenate(cuts), np.concatenate(values)
+        at = np.zeros(y.shape, np.int64)
+        for level in range(depth):  # a bin is above a cut where its values are
+            at = descend(binned, column, cut, at, 2**level - 1)
+        out += values[-1][each, at]
+    columns, cuts, values = (np.concatenate(p, axis=1) for p in (columns, cuts, values))
+    return [(float(base[i]), columns[i], cuts[i], values[i]) for i in range(samples)]
+
+
+def boost(x: np.ndarray, y: np.ndarray, *how) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """``boosts`` of one sample."""
+    return boosts(x[None], y[None], *how)[0]
 
 
 def predict_tree(x: np.ndarray, column: np.ndarray, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -81,35 +109,46 @@ def predict(x: np.ndarray, base: float, columns: np.ndarray, cuts: np.ndarray, v
     return out
 
 
-def fitted_blocks(rows: DataFrame, cols: tuple[str, ...], target: str, block: int = 500, keep: int = 5000, least_rows: int = 200, rounds: int = 100, depth: int = 3, rate: float = 0.05, share: float = 0.8, least: int = 10, seed: int = 42, key: str = "symbol") -> DataFrame:
+def fitted_blocks(rows: DataFrame, cols: tuple[str, ...], target: str, block: int = 500, keep: int = 5000, least_rows: int = 200, rounds: int = 100, depth: int = 3, rate: float = 0.05, share: float = 0.8, least: int = 10, seed: int = 42, key: str = "symbol", together: int = 5) -> DataFrame:
     """A fit for each block of a symbol, on the newest ``keep`` rows before it: (key, block, rows, val_mse, val_var, accepted, and the trees).
 
     ``rows`` have ``n``, the number of a row within its symbol. The first four fifths of those rows are fitted and the
-    rest tell whether the fit is accepted: their mean squared error is below their variance. Each fit is a group of its
-    own, of a bounded number of rows, whatever its symbol.
+    rest tell whether the fit is accepted: their mean squared error is below their variance. The fits of ``together``
+    neighbouring blocks are a group, of a bounded number of rows, whatever its symbol, and grow their trees at the same time.
     """
     ship_package(rows.sparkSession)
     own = F.floor((F.col("n") - 1) / block)
-    ahead = F.sequence(own + 1, F.floor((F.col("n") - 1 + keep) / block))  # the blocks that learn from a row
+    # the groups of blocks that learn from a row
+    ahead = F.sequence(F.floor((own + 1) / together), F.floor(F.floor((F.col("n") - 1 + keep) / block) / together))
     last = rows.groupBy(key).agg(F.max(own).alias("__last"))
-    learned = rows.where(F.col(target).isNotNull()).select(key, "n", *cols, target, F.explode(ahead).alias("block"))
-    learned = learned.join(last, key).where(F.col("block") <= F.col("__last") + 1).drop("__last")
+    learned = rows.where(F.col(target).isNotNull()).select(key, "n", *cols, target, F.explode(ahead).alias("__group"))
+    learned = learned.join(last, key).where(F.col("__group") * together <= F.col("__last") + 1)
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, {FITTED}"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n", kind="stable").iloc[-keep:]
-        x, y = part[list(cols)].fillna(0.0).to_numpy(float), part[target].to_numpy(float)
-        name, number = part[key].iloc[0], int(part["block"].iloc[0])
-        if len(part) < least_rows:
-            return pd.DataFrame([(name, number, len(part), None, None, False, None, None, None, None)], columns=[c.split()[0] for c in schema.split(", ")])
-        split = int(len(y) * 0.8)
-        base, columns, cuts, values = boost(x[:split], y[:split], rounds, depth, rate, share, least, seed)
-        error = float(((predict(x[split:], base, columns, cuts, values, depth) - y[split:]) ** 2).mean())
-        variance = float(y[split:].var())
-        accepted = variance > 1e-15 and error < variance
-        return pd.DataFrame([(name, number, len(y), error, variance, accepted, base, columns.tolist(), cuts.tolist(), values.tolist())], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return learned.groupBy(key, "block").applyInPandas(run, schema)
+        part = part.sort_values("n", kind="stable")
+        x, y, n = part[list(cols)].fillna(0.0).to_numpy(float), part[target].to_numpy(float), part["n"].to_numpy()
+        name, group, final = part[key].iloc[0], int(part["__group"].iloc[0]), int(part["__last"].iloc[0]) + 1
+        found, alike = {}, {}
+        for number in range(group * together, min((group + 1) * together - 1, final) + 1):
+            a, b = np.searchsorted(n, [number * block - keep, number * block], side="right")
+            if b - a >= least_rows:
+                alike.setdefault(int(b - a), []).append((number, slice(a, b)))
+            elif b > a:
+                found[number] = (name, number, int(b - a), None, None, False, None, None, None, None)
+        for length, fits in alike.items():
+            split = int(length * 0.8)
+            made = boosts(np.array([x[s][:split] for _, s in fits]), np.array([y[s][:split] for _, s in fits]), rounds, depth, rate, share, least, seed)
+            for (number, s), (base, columns, cuts, values) in zip(fits, made):
+                rest = y[s][split:]
+                error = float(((predict(x[s][split:], base, columns, cuts, values, depth) - rest) ** 2).mean())
+                variance = float(rest.var())
+                accepted = variance > 1e-15 and error < variance
+                found[number] = (name, number, length, error, variance, accepted, base, columns.tolist(), cuts.tolist(), values.tolist())
+        return pd.DataFrame([found[i] for i in sorted(found)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    # dealt by number: a fit takes far longer than its bytes would say
+    return learned.repartition(default_parallelism(rows.sparkSession), key, "__group").groupBy(key, "__group").applyInPandas(run, schema)
 
 
 def boosted_predictions(rows: DataFrame, cols: tuple[str, ...], target: str, order: tuple[str, ...] = ("ts", "seq"), block: int = 500, depth: int = 3, key: str = "symbol", **fitting) -> DataFrame:
