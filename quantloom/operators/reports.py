@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship_package
+from ..cluster import materialize, ship_package
 from ..functions.normal import cumulative
 from .trades import spearman
 
@@ -30,22 +30,23 @@ def signal_summary(signals: DataFrame, n: int = 1000, dead_after: int = 100, out
     ``signals(name, at, value, weight, ret)``, ``at`` ordering a signal's rows.
     """
     w = Window.partitionBy("name").orderBy(F.desc("at"))
-    d = contributions(signals, outcome).withColumn("__back", F.row_number().over(w))
-    recent, newest = F.col("__back") <= n, F.col("__back") <= dead_after
+    d = contributions(signals, outcome)
+    # a task gives at most its own last n rows of each signal to the window; read twice
+    recent = materialize(d.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= n), "recent-signals")
+    newest = F.col("__back") <= dead_after
     share = lambda which: F.avg(F.when(which, F.when(F.col("correct"), 1.0).otherwise(0.0)))
-    g = d.groupBy("name").agg(
-        F.sum("contribution").alias("total"),
-        F.count(F.when(recent, 1)).alias("n"),
-        share(recent).alias("hit_rate"),
-        F.avg(F.when(recent, F.abs("value"))).alias("magnitude"),
-        F.avg(F.when(recent, F.col("weight"))).alias("weight"),
-        F.coalesce(F.avg(F.when(recent & F.col("correct"), F.col("contribution"))), F.lit(0.0)).alias("when_right"),
-        F.coalesce(F.avg(F.when(recent & ~F.col("correct"), F.col("contribution"))), F.lit(0.0)).alias("when_wrong"),
+    whole = d.groupBy("name").agg(F.sum("contribution").alias("total"), F.count("*").alias("__all"))
+    g = recent.groupBy("name").agg(
+        F.count("*").alias("n"),
+        share(F.lit(True)).alias("hit_rate"),
+        F.avg(F.abs("value")).alias("magnitude"),
+        F.avg("weight").alias("weight"),
+        F.coalesce(F.avg(F.when(F.col("correct"), F.col("contribution"))), F.lit(0.0)).alias("when_right"),
+        F.coalesce(F.avg(F.when(~F.col("correct"), F.col("contribution"))), F.lit(0.0)).alias("when_wrong"),
         share(newest).alias("__newest"),
-        F.count("*").alias("__all"),
     )
-    ic = spearman(d.where(recent), "value", outcome, ("name",)).select("name", "ic")
-    g = g.join(ic, "name", "left")
+    ic = spearman(recent, "value", outcome, ("name",)).select("name", "ic")
+    g = whole.join(g, "name").join(ic, "name", "left").select("name", "total", "n", "hit_rate", "magnitude", "weight", "when_right", "when_wrong", "ic", "__newest", "__all")
     dead = (F.col("__all") >= dead_after) & (F.col("__newest") < 0.45) & (F.col("total") < 0)
     g = g.withColumn("dead", dead).drop("__newest", "__all")
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "name")))  # as many rows as signals

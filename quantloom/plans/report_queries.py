@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import default_parallelism
 from ..functions import normal
 from ..operators import performance as P
 from ..operators import reports as R
@@ -28,8 +29,11 @@ SIGNALS = f"""{OFI}, s AS (SELECT symbol, seq, ts, ofi, volume, price - lag(pric
 def _signals(spark, sf_dir):
     """Three signals of each tick with the move that follows."""
 
-    w = W.ordered()
-    d = W.order_flow_imbalance(ticks(spark, sf_dir)).withColumns({"ch": F.col("price") - F.lag("price").over(w), "ret": F.lead("price").over(w) - F.col("price")})
+    def features(d, keys):
+        w = W.ordered(keys)
+        return W.order_flow_imbalance(d, keys).withColumns({"ch": F.col("price") - F.lag("price").over(w), "ret": F.lead("price").over(w) - F.col("price")})
+
+    d = rolling(ticks(spark, sf_dir), 1, features, lookahead=1, tasks=default_parallelism(spark))
     each = F.array(
         F.struct(F.lit("flow").alias("kind"), (F.col("ofi") / 10).alias("value"), F.lit(0.5).alias("weight")),
         F.struct(F.lit("reversal").alias("kind"), (-F.col("ch") / 10).alias("value"), F.lit(0.3).alias("weight")),
@@ -61,9 +65,9 @@ def signal_accuracy(spark, sf_dir):
     """Accuracy of each signal's last 200 rows, a half for one that never spoke."""
     s = _signals(spark, sf_dir)
     w = Window.partitionBy("name").orderBy(F.desc("at"))
-    recent = s.withColumn("back", F.row_number().over(w)).where("back <= 200")
-    names = s.select("name").distinct().union(spark.createDataFrame([("silent",)], "name string"))
-    out = names.join(recent, "name", "left").groupBy("name").agg(
+    recent = s.withColumn("back", F.row_number().over(w)).where("back <= 200").select("name", "value", "ret")  # every name has a last row
+    silent = spark.createDataFrame([("silent", None, None)], "name string, value double, ret double")
+    out = recent.union(silent).groupBy("name").agg(
         F.count("ret").alias("n"), F.coalesce(F.avg(F.when(F.col("value") * F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)), F.lit(0.5)).alias("accuracy")
     )
     return rounded(out, "accuracy")
