@@ -260,8 +260,8 @@ def book_pressure(spark, sf_dir):
     SELECT reason, count(*) AS n FROM c GROUP BY 1"""
 )
 def compliance_reasons(spark, sf_dir):
-    """First rule broken by each fill taken as an order after the one before it."""
-    w = Window.partitionBy("symbol").orderBy("ts", "order_id", "line", "qty")
+    """First rule broken by each fill taken as an order after the one before it; fills that the SQL leaves in any order go by price and side."""
+    w = Window.partitionBy("symbol").orderBy("ts", "order_id", "line", "qty", "price", "side")
     f = fills(spark, sf_dir).withColumns({"lp": F.lag("price").over(w), "ls": F.lag("side").over(w), "since": F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))})
     reason = D.compliance_reason(F.col("price"), F.coalesce("lp", F.lit(0.0)), F.col("qty"), F.col("side"), F.lit(0.0), F.col("ls"), F.col("since"), F.lit(0.0), collar=0.5, order_cap=60_000.0, position_cap=50_000.0, wash_s=86_400.0)
     return f.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
