@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import default_parallelism
 from ..functions import decisions as D
 from ..operators import models as B
 from ..operators import performance as P
@@ -115,6 +116,11 @@ def _states(spark, sf_dir):
     return W.evaluated(rolling(ticks(spark, sf_dir), 151, lambda d, keys: W.moments(W.log_returns(d, keys), keys=keys)))
 
 
+def _states_and_momentum(spark, sf_dir):
+    """The rolling moments with momentum; tiles are sorted many times, so they are dealt by number."""
+    return W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys), tasks=default_parallelism(spark)))
+
+
 @query()
 def hmm_regimes(spark, sf_dir):
     """Regimes of the rolling moments on evaluation rows."""
@@ -327,7 +333,7 @@ def regime_transitions(spark, sf_dir):
 @query()
 def ensemble_predictions(spark, sf_dir):
     """Ridge, regime and momentum models weighed by their errors."""
-    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys)))
+    rows = _states_and_momentum(spark, sf_dir)
     rows = rows.withColumn("target", F.coalesce(F.lead("mu").over(W.ordered()), F.lit(0.0))).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
     return rounded(B.ensemble_predictions(rows, STATE, "target", "mom_50"), "prediction", "disagreement", "w_ridge", "w_regime", "w_momentum")
 
@@ -335,7 +341,7 @@ def ensemble_predictions(spark, sf_dir):
 @query()
 def boosted_block_predictions(spark, sf_dir):
     """The next mean return of each evaluation row by trees refitted every 100 rows; the tests compare fits and predictions with plain ones."""
-    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys)))
+    rows = _states_and_momentum(spark, sf_dir)
     rows = rows.drop("n").withColumn("target", F.lead("mu").over(W.ordered()))
     out = boosted_predictions(rows, (*STATE, "mom_50"), "target", block=100, keep=1000, least_rows=80)
     return rounded(out.select("symbol", "seq", "gbt", "gbt_block", "gbt_accepted"), "gbt", digits=9)
@@ -367,7 +373,7 @@ def ensemble_members(rows, block=100, **fitting):
 @query()
 def ensemble_blocks(spark, sf_dir):
     """Ridge, regime, momentum and boosted models of the next mean return by block, weighed by their recent errors; the tests compare the blend with a plain loop."""
-    rows = W.evaluated(rolling(ticks(spark, sf_dir), 202, lambda d, keys: W.momentum(W.moments(W.log_returns(d, keys), keys=keys), keys))).drop("n")
+    rows = _states_and_momentum(spark, sf_dir).drop("n")
     rows = rows.withColumn("target", F.lead("mu").over(W.ordered())).withColumn("regime_id", F.when(F.col("skew") > 0, 1).otherwise(0))
     members = ensemble_members(rows, keep=1000, least_rows=80)
     out = blended(members, MEMBERS, "target")
